@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, sharding
+from . import bpe, media, packing, sharding
 from .common import table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -28,10 +29,19 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    back = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    spaced = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spaced, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_media": op8_media,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
