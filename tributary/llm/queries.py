@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, sharding
+from . import bpe, media, packing, quality, sharding
 from .common import table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -24,6 +24,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality score."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a grey image and read back."""
     return media.text_media(table(spark, sf_dir, "documents"))
@@ -40,6 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality": op6_quality,
     "op8_media": op8_media,
     "op10_byte_bpe": op10_byte_bpe,
 }
