@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, sharding
+from . import bpe, line_dedup, media, packing, quality, sharding
 from .common import table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -31,6 +31,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that three or more documents share, but for the last of these."""
+    docs = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a grey image and read back."""
     return media.text_media(table(spark, sf_dir, "documents"))
@@ -48,8 +54,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op8_media": op8_media,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM split),
+keyed AS (
+  SELECT doc_id, line, pos,
+    translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM lines),
+frequent AS (
+  SELECT line_key, max(doc_id) AS keeper FROM keyed WHERE length(line_key) >= 20
+  GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT k.doc_id, k.line, k.pos, (f.line_key IS NULL OR f.keeper = k.doc_id) AS stays
+  FROM keyed k LEFT JOIN frequent f ON k.line_key = f.line_key)
+SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN stays THEN 0 ELSE 1 END)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
