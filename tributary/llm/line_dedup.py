@@ -37,7 +37,7 @@ def _identity(docs: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, splits: int = SPLITS) -> DataFrame:
-    """A row (__doc, __digest, keep) for each document that loses a line: keep maps position / 64 to 64 bits, 1 for lines that stay.
+    """A row (__doc, __digest, __keep) for each document that loses a line: __keep maps position / 64 to 64 bits, 1 for lines that stay.
 
     Words of 64 lines that all stay aren't in the map. Lines whose key has at least min_length code points and is found in at least
     min_documents ids stay only in the largest id holding it, at all places there. Rows repeated under one id count as one document.
@@ -57,7 +57,7 @@ def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: i
     )
     lost = rows.join(frequent, ["h1", "h2"]).where(F.col("__doc") != F.col("keeper"))
     bits = lost.groupBy("__doc", "__digest", F.shiftright("pos", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos & 63))").alias("bits"))
-    return bits.groupBy("__doc", "__digest").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("keep"))
+    return bits.groupBy("__doc", "__digest").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("__keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -66,11 +66,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def stays(_: Column, place: Column) -> Column:
-        word = F.coalesce(F.try_element_at("keep", F.shiftright(place, 6)), F.lit(-1).cast("long"))
+        word = F.coalesce(F.try_element_at("__keep", F.shiftright(place, 6)), F.lit(-1).cast("long"))
         return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)))) != 0
 
-    kept = F.when(F.col("keep").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.withColumns({"__kept": kept, "__lines": F.size(lines)}).drop("__doc", "__digest", "keep")
+    kept = F.when(F.col("__keep").isNull(), lines).otherwise(F.filter(lines, stays))
+    return joined.withColumns({"__kept": kept, "__lines": F.size(lines)}).drop("__doc", "__digest", "__keep")
 
 
 def deduplicate_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
