@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, near_dedup, packing, quality, sharding, substring_dedup
+from . import bpe, line_dedup, media, near_dedup, packing, quality, sharding, substring_dedup, topk
 from .common import table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -30,6 +30,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op5_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth id."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's quality score."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_maxscore_topk": op5_maxscore_topk,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_media": op8_media,
@@ -73,6 +80,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_maxscore_topk": """
+WITH part AS (
+  SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL),
+bad AS (SELECT DISTINCT vec_id FROM part WHERE x IS NULL OR isnan(x) OR isinf(x)),
+ints AS (
+  SELECT vec_id, place, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM part
+  WHERE vec_id NOT IN (SELECT vec_id FROM bad)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.place = c.place AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op7_line_dedup": """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM split),
