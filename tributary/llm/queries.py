@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, near_dedup, packing, quality, sharding, substring_dedup, topk
+from . import bpe, line_dedup, media, near_dedup, packing, quality, sharding, substring_dedup, surrogates, topk
 from .common import table
 
+#: Of the registered queries; a run on private data takes its own.
+SURROGATE_KEY = "registered query"
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
@@ -19,6 +21,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates for its personal data and secrets."""
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the words of windows of 35 that are found elsewhere too."""
     out = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), 35)
@@ -69,6 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_maxscore_topk": op5_maxscore_topk,
