@@ -8,7 +8,10 @@ their length and take their places by a join.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,26 +20,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK_BYTES, checkpoint
+from .common import checkpoint
 
 CAPACITY = 2048
 #: A third of all pieces may have one length, so the ranks of a length are counted in as many groups, then added up.
 RANK_GROUPS = 1024
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 
-_loaded: dict[str, tuple] = {}
+#: Spellings of plain words that a Python worker keeps besides.
+CACHED_SPELLINGS = 500_000
 
+def _ids(encoding) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return np.array(encoding.ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", encoding.ids).tobytes()
+
+
+def _plain(word: bytes) -> tuple[bytes, bytes] | None:
+    """The lower-case spelling and the mark of a word of Latin-1 letters with a full stop or comma behind it or without; None for other words."""
+    mark = word[-1:] if word[-1] in b".," else b""
+    core = word[:-1] if mark else word
+    if core.isalpha():  # ASCII letters
+        return core.lower(), mark
+    text = core.decode()
+    if text.isalpha() and max(text) < "\u0100":
+        return text.lower().encode(), mark
+    return None
 
-def _tokenizer(path: str):
-    if path not in _loaded:
-        import os
 
+class _Words:
+    """The ids of words, kept up to a bound; words without room are encoded again when they come back."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that its normaliser and its pattern leave in one piece, so without those two.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.marks = {m: _ids(self.tokenizer.encode(m.decode(), add_special_tokens=False)) for m in (b".", b",")} | {b"": b""}
+        self.known: dict[bytes, bytes] = {}
+        self.spelt: dict[bytes, bytes] = {}
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Plain words by their spelling, which they share with others; the rest go through the whole tokenizer."""
+        parts = list(map(_plain, words))
+        spelt = self.spelt
+        wanted = list({p[0] for p in parts if p is not None and p[0] not in spelt})
+        new = dict(zip(wanted, map(_ids, self.plain.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)), strict=True))
+        if len(spelt) + len(new) <= CACHED_SPELLINGS:
+            spelt |= new
+            new = spelt
+        else:
+            new |= {p[0]: spelt[p[0]] for p in parts if p is not None and p[0] in spelt}
+        marks = self.marks
+        found = {w: new[p[0]] + marks[p[1]] for w, p in zip(words, parts, strict=True) if p is not None}
+        rest = [w for w, p in zip(words, parts, strict=True) if p is None]
+        found |= zip(rest, map(_ids, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)), strict=True)
+        return found
 
-        _loaded[path] = Tokenizer.from_file(path), {}
-    return _loaded[path]
+
+#: Bytes of text whose words are looked up together.
+GROUP_BYTES = 4 << 20
+
+_loaded: dict[str, _Words] = {}
 
 
 def _encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
@@ -44,20 +93,17 @@ def _encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
 
     This tokenizer drops white space and never merges across it, so a text's ids are those of its words, one after another.
     """
-    tokenizer, cache = _tokenizer(path)
+    if path not in _loaded:
+        _loaded[path] = _Words(path)
+    known = _loaded[path].known
     split = [t.split() for t in texts]  # bytes.split() splits at 0x20 and 0x09-0x0D
-    wanted = {w for words in split for w in words if w not in cache}
-    own = cache
-    if wanted:
-        wanted = list(wanted)
-        got = tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(wanted, got, strict=True)}
-        if len(cache) + len(new) <= CACHED_WORDS:
-            cache.update(new)
-        else:
-            own = {w: cache[w] if w in cache else new[w] for words in split for w in words}
+    wanted = {w for words in split for w in words if w not in known}
+    new = _loaded[path].encode(list(wanted)) if wanted else {}
+    if len(known) + len(new) <= CACHED_WORDS:
+        known |= new
+        new = {}
     for words in split:
-        yield b"".join([own[w] for w in words])
+        yield b"".join([known[w] if w in known else new[w] for w in words] if new else [known[w] for w in words])
 
 
 def piece_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -71,7 +117,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
             while row < len(ids):
                 group: list[bytes] = []
                 size, first = 0, row
-                while row < len(ids) and size < CHUNK_BYTES:
+                while row < len(ids) and size < GROUP_BYTES:
                     group.append((texts[row].as_py() or "").encode())
                     size += len(group[-1])
                     row += 1
