@@ -76,7 +76,7 @@ def view_column_lineage(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = good.withColumn("tables", F.transform("tables", entry))
     # Commas inside brackets don't part items: they are hidden before the split.
     hidden = F.regexp_replace("select_list", r"\([^()]*\)", "()")
-    items = good.withColumn("item", F.explode(F.transform(F.split(hidden, ","), F.trim))).where(~F.col("item").endswith("*"))
+    items = good.withColumn("item", F.explode(F.transform(F.split(hidden, ","), lambda t: F.trim(t)))).where(~F.col("item").endswith("*"))
     item, column_pattern = F.col("item"), r"^([A-Za-z_\"`][\w.\"`]*)(?: (?:[aA][sS] )?([A-Za-z_\"`][\w\"`]*))?$"
     path = F.regexp_replace(F.regexp_extract(item, column_pattern, 1), _UNQUOTED, "")
     alias = F.regexp_replace(F.regexp_extract(item, column_pattern, 2), _UNQUOTED, "")

@@ -57,7 +57,7 @@ def _recomputed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _money(column: str) -> Column:
-    return F.round(F.col(column).cast("double"), 2).alias(column)
+    return F.col(column).cast("double").alias(column)
 
 
 def rollup_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def rollup_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three roll-ups in one pass; orders without a matching line keep null."""
-    return _recomputed(spark, sf_dir)["Orders"].select("o_orderkey", _money("item_total"), _money("taxed_total"), "item_count")
+    return _recomputed(spark, sf_dir)["Orders"].select("o_orderkey", _money("item_total"), _money("taxed_total"), F.coalesce("item_count", F.lit(0)).alias("item_count"))
 
 
 def write_back_keeps_old(spark: SparkSession, sf_dir: str) -> DataFrame:
