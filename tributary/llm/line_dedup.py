@@ -50,11 +50,12 @@ def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_documents: i
     ranged = rows.withColumns(place).repartition(n, "range", "split")
     stream = Window.partitionBy("range", "split", "h1", "h2").orderBy(F.col("__doc").desc(), "pos")
     first = F.lag("__doc").over(stream)
-    frequent = (
+    frequent = checkpoint(
         ranged.withColumn("first", (first.isNull() | (first != F.col("__doc"))).cast("long"))
         .groupBy("h1", "h2").agg(F.sum("first").alias("documents"), F.max("__doc").alias("keeper"))
         .where(F.col("documents") >= min_documents).select("h1", "h2", "keeper")
     )
+    # Both sides are plain tables here, so a line that many documents hold is split among tasks at run time.
     lost = rows.join(frequent, ["h1", "h2"]).where(F.col("__doc") != F.col("keeper"))
     bits = lost.groupBy("__doc", "__digest", F.shiftright("pos", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos & 63))").alias("bits"))
     return bits.groupBy("__doc", "__digest").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("__keep"))
