@@ -87,7 +87,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+#: Words of a text in SQL.
+_WORDS = "regexp_extract_all({text}, '[^' || chr(32) || chr(9) || '-' || chr(13) || ']+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+WITH split AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM split),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS w FROM starts),
+repeated AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows WHERE w IN (SELECT w FROM repeated)) AS t),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM split),
+marked AS (SELECT w.doc_id, w.word, w.p, g.p IS NULL AS stays FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(CASE WHEN stays THEN 0 ELSE 1 END)::BIGINT AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE stays), '') AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op9_minhash_near_dedup": f"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM lowered WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, ways.b FROM reach JOIN ways ON ways.a = reach.r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+""",
     "op5_maxscore_topk": """
 WITH part AS (
   SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL),
