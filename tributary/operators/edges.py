@@ -124,6 +124,13 @@ def upstream_edges(catalog: Catalog, texts: DataFrame | None = None) -> DataFram
     return (out if texts is None else out.union(view_edges(texts))).distinct()
 
 
+def direct_upstream(upstream: DataFrame, object_type: str | None = None, field: str | None = None, intra: bool = True, write_back: bool = True) -> DataFrame:
+    """The sources one step before a field, by kind; without arguments of all fields."""
+    wanted = [r for r, on in (("intra", intra), ("writeBack", write_back)) if on]
+    found = upstream.where(F.col("rel").isin(wanted))
+    return found if object_type is None else found.where((F.col("dst_object") == object_type) & (F.col("dst_field") == field))
+
+
 def rel_filter(edges: DataFrame, rel: int | None = 0, names_: tuple[str, ...] | None = None) -> DataFrame:
     """Edges by number: 0 all, 1 writeBack, 2 intra, 3 view, 4 intra and writeBack; or by names in any case, of which none known means intra and writeBack."""
     if names_ is not None:

@@ -246,4 +246,25 @@ UNION ALL SELECT 'modified', a.object_type, a.name, 'title', a.title, b.title FR
     "latest_definitions": f"""WITH {BASE}, {_FIELDS}, {_CHANGED}
 SELECT f.id, CASE WHEN c.id IS NOT NULL THEN c.trigger_expr ELSE f.trigger_expr END AS trigger_expr, CASE WHEN c.id IS NOT NULL THEN c.title ELSE f.title END AS title, CASE WHEN c.id IS NOT NULL THEN 1 ELSE 0 END AS from_latest
 FROM fields f LEFT JOIN changed c ON c.id = f.id AND (CAST(c.id AS BIGINT) % 97 <> 1 OR c.api_name <> '')""",
+    "trigger_fields": f"""WITH {BASE}, {_PAIRS}, used AS (SELECT k, a, b FROM direct UNION SELECT k, a, b FROM same_run)
+SELECT {_node('k', 'a')} AS src, CAST(b AS STRING) AS id, {_name('b')} AS name FROM used""",
+    "direct_upstream": f"WITH {BASE}, {_PAIRS} SELECT {_node('k', 'ok')} AS dst, CAST(1 AS BIGINT) AS sources FROM backs",
+    "normalised_roots": f"WITH {BASE} SELECT 'Obj' || k AS object, {_name('ok')} AS field, {_node('k', 'ok')} AS id FROM base",
+    "excluded_relations": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, {_walk('edges', 3)},
+kept AS (SELECT e.src, e.dst FROM edges e JOIN walk w ON w.id = e.src WHERE w.level < 3 AND e.rel <> 'intra')
+SELECT id, level FROM walk WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",
+    "thread_chain": f"""WITH {BASE}, having_it AS (SELECT DISTINCT k FROM base WHERE lower({_camel('ok')}) = 'fld28')
+SELECT 'Obj' || (b.k - 1) AS source_object, 'Obj' || b.k AS target_object, count(*) AS fields FROM base b JOIN having_it h ON h.k = b.k - 1 WHERE r % 4 = 0 AND b.k % 4 > 0 AND s IS NOT NULL GROUP BY b.k""",
+    "why_no_relation": f"""WITH {BASE}, {_FIELDS}, t AS (SELECT *, object_type = 'Obj1' AS own, coalesce(contains(trigger_expr, 'fld_'), false) OR coalesce(contains(expression, 'fld_'), false) OR coalesce(contains(virtual_expr, 'fld_'), false) AS holds FROM fields)
+SELECT 'formula_holds_text' AS "check", id FROM t WHERE own AND holds
+UNION ALL SELECT 'write_back_holds_both', id FROM t WHERE contains(write_back_expr, 'Obj1') AND contains(write_back_expr, 'fld_')
+UNION ALL SELECT 'same_name', id FROM t WHERE own AND (api_name = 'fld_' OR name = 'fld_')""",
+    "metadata_graph": f"""WITH {BASE} SELECT 'Obj' || k AS src, {_node('k', 'ok')} AS dst, 'HAS_FIELD' AS rel, {_camel('ok')} AS field FROM base
+UNION SELECT 'Obj' || k, 'Obj' || (k - 1), 'REFERS_TO', {_camel('ok')} FROM base WHERE ok % 6 = 0
+UNION SELECT 'Obj' || k, 'Other', 'REFERS_TO', {_camel('ok')} FROM base WHERE ok % 6 = 0""",
+    "reference_paths": f"""WITH RECURSIVE {BASE}, refers AS (SELECT DISTINCT 'Obj' || k AS a, 'Obj' || (k - 1) AS b FROM base WHERE ok % 6 = 0 UNION SELECT DISTINCT 'Obj' || k, 'Other' FROM base WHERE ok % 6 = 0),
+walk(start, id, hops) AS (
+  SELECT DISTINCT 'Obj' || k, 'Obj' || k, 0 FROM base WHERE k % 8 = 0 AND k % 10 <> 9
+  UNION SELECT w.start, r.b, w.hops + 1 FROM walk w JOIN refers r ON r.a = w.id WHERE w.hops < 3)
+SELECT start, id AS target, CAST(min(hops) AS INTEGER) AS hops FROM walk WHERE id <> start GROUP BY start, id""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formulas, mappings, names, rules
-from .operators import diff, edges, graph, health
+from .operators import diff, edges, graph, health, references
 from .operators.loops import checkpoint
 from .plans import recompute
 from .sources import catalog as cat
@@ -413,6 +413,55 @@ def graph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(edges.normalise_graph_ids(spelt.withColumn("src", F.regexp_replace("src", r"\.fld", ".fld_"))))
 
 
+def trigger_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog rows that each field's value triggers."""
+    c = _catalog(spark, sf_dir)
+    used = edges.intra_edges(c.fields).union(edges.alias_edges(c.fields)).distinct()
+    return graph.trigger_fields(used, c.fields).select("src", "id", "name")
+
+
+def direct_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sources each written-back field has one step before it."""
+    c = _catalog(spark, sf_dir)
+    return edges.direct_upstream(edges.upstream_edges(c), intra=False).groupBy("dst").agg(F.count("*").alias("sources"))
+
+
+def normalised_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field asked for by its catalog name, in snake case."""
+    c = _catalog(spark, sf_dir)
+    return graph.normalise_roots(c.fields.select(F.col("object_type").alias("object"), F.col("name").alias("field")), c.fields)
+
+
+def excluded_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of an impact that still touch an edge without the intra ones."""
+    c = _catalog(spark, sf_dir)
+    nodes, walked = graph.impact(_down(c), _roots(c), 3)
+    return edges.exclude_relations(nodes, walked, ("intra",), "none")[0]
+
+
+def thread_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with a field of one name, in any case, and where they write back to."""
+    c = _catalog(spark, sf_dir)
+    return health.thread_chain(c, "FLD28")
+
+
+def why_no_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text searches for one field over the whole catalog."""
+    return health.why_no_relation(_catalog(spark, sf_dir), "Obj1", "fld_")
+
+
+def metadata_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1."""
+    return references.metadata_graph(_catalog(spark, sf_dir))
+
+
+def reference_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: what every eighth object refers to within three steps."""
+    c = _catalog(spark, sf_dir)
+    starts = c.objects.where("type = 'bill' AND name NOT LIKE '%View'").where(F.substr("name", F.lit(4)).cast("long") % 8 == 0).select(F.col("name").alias("id"))
+    return references.reference_paths(references.metadata_graph(c), starts, 3).select("start", "target", "hops")
+
+
 # Snapshots and differences
 
 
@@ -447,5 +496,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fields_per_object, write_back_targets, write_back_sources, incoming_references, category_counts, object_health, object_profile, pattern_check, change_scope, trigger_summary,
         lineage_edges, upstream_edges, impact_nodes, impact_edges, trace_nodes, closed_graph, explain_paths, object_graph, global_graph, graph_stats,
         lineage_cycles, topological_order, deep_chains, longest_depths, fix_steps, dirty_fields, impact_report, graph_ids, catalog_diff, latest_definitions,
+        trigger_fields, direct_upstream, normalised_roots, excluded_relations, thread_chain, why_no_relation, metadata_graph, reference_paths,
     )
 }
