@@ -6,8 +6,9 @@ of 4 * M minhashes. Documents travel once for each pair of the first collection,
 grows with M as well, and the tables (i, 1) .. (i, M) are formed where the documents with an equal pair i meet.
 
 Documents with equal shingle sets are one class, and only classes are compared. A table's small groups give all their pairs. In a large
-group every class is compared with the one most like the group's majority; whoever that doesn't connect is compared in a second
-round with all members of other components. Candidates are confirmed on full shingle sets.
+group every class is compared with the one most like the group's majority. Large groups that overlap are a family; whoever isn't in its family's
+largest component after that is counted against all its members in a second round, in blocks of bounded size that give links, not
+candidates. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ HASHES = 4 * M
 SMALL = 8
 #: Of the 64 one-bit minhashes, equal sets share 64, sets of similarity 0.75 share 56 on average; below this, one in a million does.
 LEAST_BITS = 43
+#: Classes of a family that a task of the second round holds on either side.
+BLOCK_ROWS = 2048
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -89,18 +92,15 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(a ^ b)
 
 
-def _candidates(table: pa.Table, across: bool) -> pa.Table:
-    """Pairs of classes (a < b) that share a table of this bucket, each once, and whether a large group was compared with its middle only.
-
-    across: only large groups, all pairs of different components instead.
-    """
-    key, ids, component = (entries(table[c].to_pylist(), t) for c, t in (("key", "u8"), ("id", "i8"), ("component", "i8")))
-    bits, others = entries(table["bits"].to_pylist(), "u8"), entries(table["others"].to_pylist(), np.dtype(("V", 4 * M)))
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs of classes (a < b) that share a table of this bucket, each once, and whether a large group was compared with its middle only."""
+    key, ids, bits = (entries(table[c].to_pylist(), t) for c, t in (("key", "u8"), ("id", "i8"), ("bits", "u8")))
+    others = entries(table["others"].to_pylist(), np.dtype(("V", 4 * M)))
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[order][1:] == key[order][:-1]
     order = order[same[1:] | same[:-1]]
-    key, ids, component, bits = key[order], ids[order], component[order], bits[order]
+    key, ids, bits = key[order], ids[order], bits[order]
     others = others[order].view("u4").reshape(len(order), M)
     found: list[np.ndarray] = []  # a, b, star
     for j in range(M if len(key) else 0):
@@ -110,34 +110,23 @@ def _candidates(table: pa.Table, across: bool) -> pa.Table:
         sizes = np.diff(cuts)
         size_at = np.repeat(sizes, sizes)
         group = np.repeat(np.arange(len(sizes)), sizes)
-        if not across:
-            for step in range(1, SMALL):
-                good = np.flatnonzero((group[step:] == group[:-step]) & (size_at[step:] <= SMALL))
-                x, y = by[good], by[good + step]
-                near = _agreement(bits[x], bits[y]) >= LEAST_BITS
-                found.append(np.stack([ids[x[near]], ids[y[near]], np.zeros(near.sum(), np.int64)]))
+        for step in range(1, SMALL):
+            good = np.flatnonzero((group[step:] == group[:-step]) & (size_at[step:] <= SMALL))
+            x, y = by[good], by[good + step]
+            near = _agreement(bits[x], bits[y]) >= LEAST_BITS
+            found.append(np.stack([ids[x[near]], ids[y[near]], np.zeros(near.sum(), np.int64)]))
         for g in np.flatnonzero(sizes > SMALL):
             members = by[cuts[g] : cuts[g + 1]]
-            own = bits[members]
-            if across:
-                label = component[members]
-                if (label == label[0]).all():
-                    continue
-                for x in range(0, len(members), 256):
-                    near = (_agreement(own[x : x + 256, None], own[None]) >= LEAST_BITS) & (label[x : x + 256, None] != label[None])
-                    left, right = np.nonzero(near)
-                    found.append(np.stack([ids[members[x + left]], ids[members[right]], np.zeros(len(left), np.int64)]))
-            else:
-                most = np.packbits(np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0) >= 0.5).view("u8")[0]
-                middle = members[np.argmax(_agreement(own, most))]  # of equals the smallest id
-                found.append(np.stack([np.full(len(members), ids[middle]), ids[members], np.ones(len(members), np.int64)]))
+            most = np.packbits(np.unpackbits(bits[members].view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0) >= 0.5).view("u8")[0]
+            middle = members[np.argmax(_agreement(bits[members], most))]  # of equals the smallest id
+            found.append(np.stack([np.full(len(members), ids[middle]), ids[members], np.ones(len(members), np.int64)]))
     out = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
     out = np.unique(np.stack([np.minimum(out[0], out[1]), np.maximum(out[0], out[1]), out[2]])[:, out[0] != out[1]], axis=1)
     return pa.table({"a": out[0], "b": out[1], "star": out[2].astype(bool)})
 
 
-def _candidate_pairs(classes: DataFrame, across: bool = False) -> DataFrame:
-    """classes: id, pairs, bits, component."""
+def _candidate_pairs(classes: DataFrame) -> DataFrame:
+    """classes: id, pairs, bits."""
     buckets = bucket_count(classes.sparkSession)
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,22 +134,19 @@ def _candidate_pairs(classes: DataFrame, across: bool = False) -> DataFrame:
             n = len(batch)
             if not n:
                 continue
-            ids, component = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            ids = batch.column(0).to_numpy()
             pairs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(n, 2 * M)
             bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
             keys = mix(pairs[:, :M] + np.arange(M, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).ravel()
             others = np.repeat(np.ascontiguousarray((pairs[:, M:] >> np.uint64(32)).astype(np.uint32)).view(np.dtype(("V", 4 * M))).ravel(), M)
-            yield blocks(bucket_of(keys, buckets), {"key": keys, "id": np.repeat(ids, M), "component": np.repeat(component, M), "bits": np.repeat(bits, M), "others": others})
+            yield blocks(bucket_of(keys, buckets), {"key": keys, "id": np.repeat(ids, M), "bits": np.repeat(bits, M), "others": others})
 
-    def find(table: pa.Table) -> pa.Table:
-        return _candidates(table, across)
+    dealt = classes.select("id", "pairs", "bits").mapInArrow(entry, "bucket int, key binary, id binary, bits binary, others binary")
+    return dealt.groupBy("bucket").applyInArrow(_candidates, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
 
-    dealt = classes.select("id", "pairs", "bits", "component").mapInArrow(entry, "bucket int, key binary, id binary, component binary, bits binary, others binary")
-    return dealt.groupBy("bucket").applyInArrow(find, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
 
-
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, star) with `linked`: whether the full shingle sets are similar enough."""
+def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, star) with `linked`, whether the full shingle sets are similar enough; and the sets (id, shingles) of their documents."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +168,54 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
     sets = checkpoint(texts.mapInArrow(collect, "id long, shingles binary"))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return joined.select("a", "b", "star", "of_a", "of_b").mapInArrow(compare, "a long, b long, star boolean, linked boolean")
+    return joined.select("a", "b", "star", "of_a", "of_b").mapInArrow(compare, "a long, b long, star boolean, linked boolean"), sets
+
+
+def _second_round(star: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between members of families that aren't in their family's largest component and all its members; None if all are.
+
+    star: the pairs of large groups with their middles; found: components of the links so far. Of a class's links to one
+    component one is enough. A family's members and its open ones are dealt into blocks, and each pair of blocks is one task.
+    """
+    families = connected_components(star).withColumnRenamed("component", "family")
+    members = checkpoint(families.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    counts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_open")).where("n_open > 0")
+    counts = checkpoint(counts)
+    if counts.isEmpty():
+        return None
+    within = members.join(counts, "family").join(sets, "id")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_ROWS).cast("int") - 1))
+    left = within.select("family", "id", "component", "shingles", deal("n").alias("block"), each("n_open").alias("open_block"))
+    right = within.where("component <> largest").select(
+        F.col("family").alias("of"), F.col("id").alias("open_id"), F.col("component").alias("open_component"), F.col("shingles").alias("open_shingles"), each("n").alias("b1"), deal("n_open").alias("b2")
+    )
+
+    def link(all_: pa.Table, open_: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if len(all_) and len(open_):
+            sized = [np.frombuffer(b, np.uint64) for b in all_["shingles"].to_pylist()]
+            sizes = np.array([len(x) for x in sized])
+            tokens, inverse = np.unique(np.concatenate(sized), return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            owner = np.repeat(np.arange(len(sized)), sizes)[order]
+            places = np.searchsorted(inverse[order], np.arange(len(tokens) + 1))
+            ids, component = all_["id"].to_numpy(), all_["component"].to_numpy()
+            for own, own_component, shingles in zip(open_["open_id"].to_pylist(), open_["open_component"].to_pylist(), open_["open_shingles"].to_pylist(), strict=True):
+                wanted = np.frombuffer(shingles, np.uint64)
+                at = np.minimum(np.searchsorted(tokens, wanted), len(tokens) - 1)
+                at = at[tokens[at] == wanted]
+                counts = places[at + 1] - places[at]
+                which = np.repeat(places[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else np.zeros(0, np.int64)
+                both = np.bincount(owner[which], minlength=len(sized))
+                good = np.flatnonzero((100 * both >= percent * (sizes + len(wanted) - both)) & (component != own_component))
+                for k in good[np.unique(component[good], return_index=True)[1]]:
+                    out.append((min(own, int(ids[k])), max(own, int(ids[k]))))
+        columns = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return checkpoint(left.groupBy("family", "block", "open_block").cogroup(right.groupBy("of", "b1", "b2")).applyInArrow(link, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -198,19 +231,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         signed.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles")
         .agg(F.min("doc_id").alias("id"), F.first("pairs").alias("pairs"), F.first("bits").alias("bits"))
     )
-    first = checkpoint(_confirm(known, checkpoint(_candidate_pairs(classes.withColumn("component", F.col("id")))), percent))
-    links = first.where("linked").select("a", "b")
+    confirmed, sets = _confirm(known, checkpoint(_candidate_pairs(classes)), percent)
+    confirmed = checkpoint(confirmed)
+    links = confirmed.where("linked").select("a", "b")
     found = connected_components(links)
-    # Members of large groups, if any of them isn't in the component of the one it was compared with.
-    label = found.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
-    open_ = first.where("star").join(label, "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b", "left")
-    unsettled = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    if not open_.where(unsettled).isEmpty():
-        large = first.where("star").select(F.col("a").alias("id")).union(first.where("star").select(F.col("b").alias("id"))).distinct()
-        members = classes.join(large, "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        second = _confirm(known, checkpoint(_candidate_pairs(members, across=True)), percent)
-        links = links.union(second.where("linked").select("a", "b"))
-        found = connected_components(links)
+    more = _second_round(confirmed.where("star").select("a", "b"), found, sets, percent)
+    if more is not None:
+        found = connected_components(links.union(more))
     of_class = checkpoint(classes.select("fp1", "fp2", "n_shingles", "id").join(found, "id", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
