@@ -68,6 +68,10 @@ def test_second_round_finds_what_the_middle_misses(documents, monkeypatch):
     # Two families within one large group: each in reach of its own, not of the other.
     left, right = edited(base, 6), edited(base, 6)
     rows = [(k, " ".join(edited(left if k % 2 else right, 2))) for k in range(60)]
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    assert run(documents(rows)) == brute(rows)
+    bridge = edited(base, 3)  # in reach of some of either
+    rows += [(60 + k, " ".join(edited(bridge, k % 3))) for k in range(5)]
     assert run(documents(rows)) == brute(rows)
 
 
@@ -80,8 +84,10 @@ def test_hot_copies_and_nulls(documents):
     assert run(documents([])) == []
 
 
+@pytest.mark.parametrize("last", [0, 10_000])
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(100, 101), (101, 102), (103, 100)], [(9, 9), (7, 8)]])
-def test_components(spark, edges):
+def test_components(spark, monkeypatch, edges, last):
+    monkeypatch.setattr(components, "LAST_EDGES", last)
     got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {x: x for e in edges if e[0] != e[1] for x in e}
     for _ in want:
