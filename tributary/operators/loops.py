@@ -33,10 +33,18 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None, reverse: b
         frontier = checkpoint(reached.join(visited, "id", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        visited = checkpoint(visited.union(frontier))
+        visited = _gathered(visited.union(frontier), level)
     return visited
 
 
+#: Unions of parts that are written already are written anew each so many rounds only.
+GATHER = 8
+
+
+def _gathered(parts: DataFrame, turn: int) -> DataFrame:
+    return checkpoint(parts) if turn % GATHER == 0 else parts
+
+
 def walked(edges: DataFrame, visited: DataFrame, depth: int | None = None, reverse: bool = False) -> DataFrame:
     """The edges that a search walks: those at whose near end a node of level < depth was."""
     near = "dst" if reverse else "src"
@@ -58,7 +66,7 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         free = checkpoint(rest.join(targets, "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             return (free if levels is None else levels), rest
-        levels = free if levels is None else checkpoint(levels.union(free))
+        levels = free if levels is None else _gathered(levels.union(free), level)
         rest = checkpoint(rest.join(free, "id", "left_anti"))
         live = checkpoint(live.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
