@@ -13,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python task looks at in one go.
 CHUNK_BYTES = 1 << 20
 
+#: What operators keep in a Python worker between tasks, by operator.
+kept: dict[str, dict] = {}
+
+
+def keep_only(operator: str) -> None:
+    """Drops what other operators have kept in this worker; workers outlive their tasks, and their memory counts."""
+    for name, cache in kept.items():
+        if name != operator:
+            cache.clear()
+
+
 #: Odd multipliers of the polynomial hashes (fixed, so that results are the same on every run).
 _BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD_MULTIPLIER = 0xD1342543DE82EF95

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, lowered, mix, run_hashes, word_hashes, words
+from .common import checkpoint, chunks, keep_only, lowered, mix, run_hashes, word_hashes, words
 from .components import connected_components
 from .exchange import blocks, bucket_count, bucket_of, entries
 
@@ -70,6 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, the minhashes (two collections of M pairs, each pair as one number) and 64 one-bit minhashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
         for batch in batches:
             for first, last, data, starts in chunks(batch.column(1)):
                 hashes, places = shingle_sets(lowered(data), starts)
@@ -130,6 +131,7 @@ def _candidate_pairs(classes: DataFrame) -> DataFrame:
     buckets = bucket_count(classes.sparkSession)
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
         for batch in batches:
             n = len(batch)
             if not n:
@@ -149,6 +151,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame
     """The pairs (a, b, star) with `linked`, whether the full shingle sets are similar enough; and the sets (id, shingles) of their documents."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
         for batch in batches:
             for first, last, data, starts in chunks(batch.column(1)):
                 hashes, places = shingle_sets(lowered(data), starts)
@@ -156,6 +159,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), sets], ["id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(3), batch.column(4), strict=True):

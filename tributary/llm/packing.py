@@ -20,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, keep_only, kept
 
 CAPACITY = 2048
 #: A third of all pieces may have one length, so the ranks of a length are counted in as many groups, then added up.
 RANK_GROUPS = 1024
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 900_000
+CACHED_WORDS = 500_000
 
 #: Spellings of plain words that a Python worker keeps besides.
-CACHED_SPELLINGS = 500_000
+CACHED_SPELLINGS = 400_000
 
 def _ids(encoding) -> bytes:
     """Little-endian unsigned 32-bit numbers."""
@@ -85,7 +85,7 @@ class _Words:
 #: Bytes of text whose words are looked up together.
 GROUP_BYTES = 4 << 20
 
-_loaded: dict[str, _Words] = {}
+_loaded: dict[str, _Words] = kept.setdefault("packing", {})
 
 
 def _encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
@@ -110,6 +110,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
     """A row for each piece: doc_id, piece, start, length, ids_crc32. Null text is empty: one piece, the end id alone."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("packing")
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, word_hashes, words
+from .common import chunks, keep_only, mix, word_hashes, words
 
 BITS = 18
 #: The classifier is fitted on at most so many labelled rows of each class, those whose hashed id is smallest.
@@ -138,6 +138,7 @@ def score_documents(docs: DataFrame, model: Model, bits: int = BITS, keep: tuple
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.scale.astype(np.float32), model.weights.astype(np.float32), model.bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("quality")
         for batch in batches:
             for first, last, data, starts in chunks(batch.column("__text")):
                 text, feature = indicators(data, starts, bits)
