@@ -75,6 +75,32 @@ def test_second_round_finds_what_the_middle_misses(documents, monkeypatch):
     assert run(documents(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("listed", [65_536, 20])
+def test_no_task_holds_a_frequent_group(documents, monkeypatch, listed):
+    random.seed(8)
+    base = make(120)
+    rows = [" ".join(edited(base, k % 5)) for k in range(90)]
+    rows += [" ".join(make(30) + base[:50]) for _ in range(30)] + [" ".join(edited(base[20:], 2)) for _ in range(20)]
+    rows += [" ".join(make(40)) for _ in range(10)]
+    random.shuffle(rows)
+    rows = list(enumerate(rows))
+    most = max(12, near_dedup.M**2 * len(rows) // listed)
+    monkeypatch.setattr(near_dedup, "LARGE", 12, raising=False)
+    monkeypatch.setattr(near_dedup, "LISTED", listed, raising=False)
+
+    def bounded(function):
+        def run_bounded(table):
+            keys = near_dedup.entries(table["key"].to_pylist(), "u8").tolist()
+            assert not keys or max(map(keys.count, set(keys))) <= most
+            return function(table)
+
+        return run_bounded
+
+    for name in ("_candidates", "_grouped_candidates"):
+        monkeypatch.setattr(near_dedup, name, bounded(getattr(near_dedup, name, None)), raising=False)
+    assert run(documents(rows)) == brute(rows)
+
+
 def test_hot_copies_and_nulls(documents):
     rows = [(i, "the very same text of seven words") for i in range(50, 0, -1)]
     got = run(documents(rows))

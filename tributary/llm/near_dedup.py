@@ -6,7 +6,8 @@ of 4 * M minhashes. Documents travel once for each pair of the first collection,
 grows with M as well, and the tables (i, 1) .. (i, M) are formed where the documents with an equal pair i meet.
 
 Documents with equal shingle sets are one class, and only classes are compared. A table's small groups give all their pairs. In a large
-group every class is compared with the one most like the group's majority. Large groups that overlap are a family; whoever isn't in its family's
+group every class is compared with the one most like the group's majority. No task holds a group that grows with the input: classes of frequent first
+pairs are dealt out by table instead, and in frequent groups even of those only counts, sums of bits and the middle travel. Large groups that overlap are a family; whoever isn't in its family's
 largest component after that is counted against all its members in a second round, in blocks of bounded size that give links, not
 candidates. All links are confirmed on full shingle sets.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, keep_only, lowered, mix, run_hashes, word_hashes, words
+from .common import checkpoint, chunks, keep_only, lowered, mix, partitions, run_hashes, word_hashes, words
 from .components import connected_components
 from .exchange import blocks, bucket_count, bucket_of, entries
 
@@ -32,6 +33,11 @@ M = 16
 HASHES = 4 * M
 #: Groups of at most so many classes give all their pairs.
 SMALL = 8
+#: First pairs, and groups, of more classes than this are frequent, and more than this many of either are never listed: the bound grows with the input where they would be.
+LARGE = 2048
+LISTED = 65_536
+#: Classes whose places in all groups are made in one go.
+CHUNK_CLASSES = 2048
 #: Of the 64 one-bit minhashes, equal sets share 64, sets of similarity 0.75 share 56 on average; below this, one in a million does.
 LEAST_BITS = 43
 #: Classes of a family that a task of the second round holds on either side.
@@ -93,6 +99,34 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(a ^ b)
 
 
+def _paired(by: np.ndarray, new: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows a, b, star: the pairs of each group's entries. by: entries, group after group, by id in each; new: whether an entry there begins a group (but for the first)."""
+    if not len(by):
+        return np.zeros((3, 0), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(by)]])
+    sizes = np.diff(cuts)
+    size_at = np.repeat(sizes, sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    found: list[np.ndarray] = []
+    for step in range(1, SMALL):
+        good = np.flatnonzero((group[step:] == group[:-step]) & (size_at[step:] <= SMALL))
+        x, y = by[good], by[good + step]
+        near = _agreement(bits[x], bits[y]) >= LEAST_BITS
+        found.append(np.stack([ids[x[near]], ids[y[near]], np.zeros(near.sum(), np.int64)]))
+    for g in np.flatnonzero(sizes > SMALL):
+        members = by[cuts[g] : cuts[g + 1]]
+        most = np.packbits(np.unpackbits(bits[members].view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0) >= 0.5).view("u8")[0]
+        middle = members[np.argmax(_agreement(bits[members], most))]  # of equals the smallest id
+        found.append(np.stack([np.full(len(members), ids[middle]), ids[members], np.ones(len(members), np.int64)]))
+    return np.concatenate(found, axis=1)
+
+
+def _pair_table(found: np.ndarray) -> pa.Table:
+    """Each pair (a < b) once."""
+    out = np.unique(np.stack([np.minimum(found[0], found[1]), np.maximum(found[0], found[1]), found[2]])[:, found[0] != found[1]], axis=1)
+    return pa.table({"a": out[0], "b": out[1], "star": out[2].astype(bool)})
+
+
 def _candidates(table: pa.Table) -> pa.Table:
     """Pairs of classes (a < b) that share a table of this bucket, each once, and whether a large group was compared with its middle only."""
     key, ids, bits = (entries(table[c].to_pylist(), t) for c, t in (("key", "u8"), ("id", "i8"), ("bits", "u8")))
@@ -103,48 +137,153 @@ def _candidates(table: pa.Table) -> pa.Table:
     order = order[same[1:] | same[:-1]]
     key, ids, bits = key[order], ids[order], bits[order]
     others = others[order].view("u4").reshape(len(order), M)
-    found: list[np.ndarray] = []  # a, b, star
+    found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
     for j in range(M if len(key) else 0):
         by = np.lexsort((ids, others[:, j], key))
         k, o = key[by], others[by, j]
-        cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (o[1:] != o[:-1])) + 1, [len(by)]])
-        sizes = np.diff(cuts)
-        size_at = np.repeat(sizes, sizes)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        for step in range(1, SMALL):
-            good = np.flatnonzero((group[step:] == group[:-step]) & (size_at[step:] <= SMALL))
-            x, y = by[good], by[good + step]
-            near = _agreement(bits[x], bits[y]) >= LEAST_BITS
-            found.append(np.stack([ids[x[near]], ids[y[near]], np.zeros(near.sum(), np.int64)]))
-        for g in np.flatnonzero(sizes > SMALL):
-            members = by[cuts[g] : cuts[g + 1]]
-            most = np.packbits(np.unpackbits(bits[members].view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0) >= 0.5).view("u8")[0]
-            middle = members[np.argmax(_agreement(bits[members], most))]  # of equals the smallest id
-            found.append(np.stack([np.full(len(members), ids[middle]), ids[members], np.ones(len(members), np.int64)]))
-    out = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-    out = np.unique(np.stack([np.minimum(out[0], out[1]), np.maximum(out[0], out[1]), out[2]])[:, out[0] != out[1]], axis=1)
-    return pa.table({"a": out[0], "b": out[1], "star": out[2].astype(bool)})
+        found.append(_paired(by, (k[1:] != k[:-1]) | (o[1:] != o[:-1]), ids, bits))
+    return _pair_table(np.concatenate(found, axis=1))
+
+
+def _grouped_candidates(table: pa.Table) -> pa.Table:
+    """The same for entries that are dealt by group."""
+    key, ids, bits = (entries(table[c].to_pylist(), t) for c, t in (("key", "u8"), ("id", "i8"), ("bits", "u8")))
+    by = np.lexsort((ids, key))
+    return _pair_table(_paired(by, key[by][1:] != key[by][:-1], ids, bits))
+
+
+def _among(values: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in a sorted list, and where."""
+    if not len(listed):
+        return np.zeros(values.shape, bool), np.zeros(values.shape, np.int64)
+    at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
+    return listed[at] == values, at
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, pairs, bits, and the keys of the first pairs."""
+    n = len(batch)
+    pairs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(n, 2 * M)
+    bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+    return batch.column(0).to_numpy(), pairs, bits, mix(pairs[:, :M] + np.arange(M, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, bits, row, group) of some classes at a time: the groups of each one's frequent first pairs, row being its place in ids and bits."""
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK_CLASSES):
+            ids, pairs, bits, keys = _unpacked(batch.slice(at, CHUNK_CLASSES))
+            row, i = np.nonzero(_among(keys, frequent)[0])
+            groups = mix(keys[row, i][:, None] + pairs[row, M:] * np.uint64(0xD1342543DE82EF95))
+            yield ids, bits, np.repeat(row, M), groups.ravel()
+
+
+def _frequent(counted: DataFrame, most: int) -> np.ndarray:
+    """Of rows (key, n), the keys whose numbers add up to more than `most`, sorted."""
+    rows = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("key").collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
+def _counts(keys: np.ndarray) -> pa.RecordBatch:
+    found, n = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+
+
+def _frequent_group_pairs(classes: DataFrame, frequent: np.ndarray, groups: np.ndarray) -> DataFrame:
+    """Pairs (a, b, star) of the members of frequent groups with their group's middle. Groups' bits are added up and their middles chosen by partial aggregates; members stay where they are."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
+        for _, bits, row, key in _in_groups(batches, frequent):
+            good, at = _among(key, groups)
+            order = np.argsort(at[good], kind="stable")
+            row, at = row[good][order], at[good][order]
+            if not len(at):
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+            sums = np.add.reduceat(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1)[row], cuts, axis=0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cuts) + 1) * 64, pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at[cuts].astype(np.int32)), pa.array(np.diff(np.append(cuts, len(at)))), lists], ["at", "n", "sums"])
+
+    added = classes.mapInArrow(add, "at int, n long, sums array<long>").groupBy("at").agg(F.sum("n").alias("n"), *(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(64)))
+    most = F.concat(*(F.when(2 * F.col(f"s{k}") >= F.col("n"), "1").otherwise("0") for k in range(64)))
+    majority = np.zeros(len(groups), np.uint64)
+    for r in added.select("at", most.alias("most")).collect():
+        majority[r["at"]] = np.packbits(np.frombuffer(r["most"].encode(), np.uint8) - 48).view("u8")[0]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
+        for ids, bits, row, key in _in_groups(batches, frequent):
+            good, at = _among(key, groups)
+            row, at = row[good], at[good]
+            like = _agreement(bits[row], majority[at]).astype(np.int64)
+            order = np.lexsort((ids[row], -like, at))
+            row, at, like = row[order], at[order], like[order]
+            first = np.ones(len(at), bool)
+            first[1:] = at[1:] != at[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(like[first]), pa.array(ids[row[first]])], ["at", "like", "id"])
+
+    middles = classes.mapInArrow(best, "at int, like long, id long").groupBy("at").agg(F.min(F.struct((-F.col("like")).alias("unlike"), "id")).alias("first"))
+    middle = np.zeros(len(groups), np.int64)
+    for r in middles.select("at", "first.id").collect():
+        middle[r["at"]] = r["id"]
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
+        for ids, _, row, key in _in_groups(batches, frequent):
+            good, at = _among(key, groups)
+            yield from _pair_table(np.stack([middle[at[good]], ids[row[good]], np.ones(good.sum(), np.int64)])).to_batches()
+
+    return classes.mapInArrow(stars, "a long, b long, star boolean")
 
 
 def _candidate_pairs(classes: DataFrame) -> DataFrame:
     """classes: id, pairs, bits."""
     buckets = bucket_count(classes.sparkSession)
+    narrow = classes.select("id", "pairs", "bits")
+    n = narrow.count()
+
+    def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
+        for batch in batches:
+            yield _counts(_unpacked(batch)[3].ravel())
+
+    frequent = _frequent(narrow.mapInArrow(first_pairs, "key long, n long"), max(LARGE, M * n // LISTED))
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("near_dedup")
         for batch in batches:
-            n = len(batch)
-            if not n:
+            if not len(batch):
                 continue
-            ids = batch.column(0).to_numpy()
-            pairs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(n, 2 * M)
-            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-            keys = mix(pairs[:, :M] + np.arange(M, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).ravel()
-            others = np.repeat(np.ascontiguousarray((pairs[:, M:] >> np.uint64(32)).astype(np.uint32)).view(np.dtype(("V", 4 * M))).ravel(), M)
-            yield blocks(bucket_of(keys, buckets), {"key": keys, "id": np.repeat(ids, M), "bits": np.repeat(bits, M), "others": others})
+            ids, pairs, bits, keys = _unpacked(batch)
+            row, i = np.nonzero(~_among(keys, frequent)[0])
+            others = np.ascontiguousarray((pairs[:, M:] >> np.uint64(32)).astype(np.uint32)).view(np.dtype(("V", 4 * M))).ravel()
+            yield blocks(bucket_of(keys[row, i], buckets), {"key": keys[row, i], "id": ids[row], "bits": bits[row], "others": others[row]})
+
+    schema = "a long, b long, star boolean"
+    dealt = narrow.mapInArrow(entry, "bucket int, key binary, id binary, bits binary, others binary")
+    pairs = dealt.groupBy("bucket").applyInArrow(_candidates, schema)
+    if len(frequent):
+
+        def group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only("near_dedup")
+            for _, _, _, key in _in_groups(batches, frequent):
+                yield _counts(key)
+
+        groups = _frequent(narrow.mapInArrow(group_counts, "key long, n long"), max(LARGE, M * M * n // LISTED))
+
+        def group_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only("near_dedup")
+            for ids, bits, row, key in _in_groups(batches, frequent):
+                rest = ~_among(key, groups)[0]
+                row, key = row[rest], key[rest]
+                yield blocks(bucket_of(key, buckets), {"key": key, "id": ids[row], "bits": bits[row]})
 
-    dealt = classes.select("id", "pairs", "bits").mapInArrow(entry, "bucket int, key binary, id binary, bits binary, others binary")
-    return dealt.groupBy("bucket").applyInArrow(_candidates, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+        by_group = narrow.mapInArrow(group_entry, "bucket int, key binary, id binary, bits binary")
+        pairs = pairs.union(by_group.groupBy("bucket").applyInArrow(_grouped_candidates, schema))
+        if len(groups):
+            pairs = pairs.union(_frequent_group_pairs(narrow, frequent, groups))
+    return pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +310,13 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
     sets = checkpoint(texts.mapInArrow(collect, "id long, shingles binary"))
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    # A middle is in as many pairs as its group has members: they are dealt by both ends, and its set goes along once for each part.
+    parts = max(32, partitions(docs.sparkSession))
+    part = lambda c: F.when(F.col("star"), F.pmod(F.xxhash64(c), F.lit(parts))).otherwise(0).cast("int")
+    joined = pairs.withColumns({"part_a": part("b"), "part_b": part("a")})
+    for end in ("a", "b"):
+        wanted = joined.select(end, f"part_{end}").distinct()
+        joined = joined.join(wanted.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")), end), [end, f"part_{end}"])
     return joined.select("a", "b", "star", "of_a", "of_b").mapInArrow(compare, "a long, b long, star boolean, linked boolean"), sets
 
 
