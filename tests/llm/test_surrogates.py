@@ -54,6 +54,23 @@ def test_distinct_and_stable(documents):
     assert sum(other[r["kind"], r["norm"]] != r["surrogate"] for r in table) > len(table) * 0.8
 
 
+def test_long_secrets_and_spellings_of_their_names(documents):
+    long = "".join("abcdefghij0123456789"[(k * k + k // 7) % 20] for k in range(1000))
+    texts = [
+        f"token={long} end", f"token={long[:-1]}Z end", "client_secret=s3cr3tvalue1 end", "access_token: s3cr3tvalue2 end", "DB_PASSWORD='s3cr3tvalue3' end",
+        '{"password": "s3cr3tvalue4", "n": 1}', '{"clientSecret":"s3cr3tvalue5"}', "tokens: s3cr3tvalue6",
+    ]
+    rows = run(documents(list(enumerate(texts))))
+    t = [r["text"] for r in rows]
+    assert [r["n_entities"] for r in rows] == [1] * 7 + [0] and t[7] == texts[7]
+    assert re.fullmatch("token=[a-z0-9]{1000} end", t[0]) and re.fullmatch("token=[a-z0-9]{999}[A-Z] end", t[1])
+    assert long[200:240] not in t[0] and long[-40:] not in t[0] and t[0][6:206] != t[1][6:206]
+    shape = r"[a-z]\d[a-z]{2}\d[a-z]{6}\d"
+    forms = ["client_secret=S end", "access_token: S end", "DB_PASSWORD='S' end", r'\{"password": "S", "n": 1\}', r'\{"clientSecret":"S"\}']
+    assert all(re.fullmatch(form.replace("S ", shape + " ").replace("'S'", f"'{shape}'").replace('"S"', f'"{shape}"'), text) for form, text in zip(forms, t[2:7], strict=True))
+    assert not any("s3cr3t" in text for text in t[:7])
+
+
 def test_columns_and_empty(documents):
     docs = documents([(1, "a@bb.com"), (None, "a@bb.com")]).withColumn("norm", F.lit(1)).withColumn("surrogate", F.lit(2))
     out = sg.replace_entities(docs, KEY)

@@ -19,12 +19,12 @@ FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа|κ
 MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин|κύριος"
 NEUTRAL = "Dr|Prof"
 
-SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: By kind, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": SECRET_LEAD + r"[^\s\"',;]{6,200}",
+    "secret": SECRET_LEAD + r"[^\s\"',;]{6,}+",
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)",
@@ -33,8 +33,8 @@ PATTERNS = {
     "ip": rf"(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "name": rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.?[ \xa0]\p{{Lu}}[\p{{L}}'’-]{{1,30}}(?:[ \xa0]\p{{Lu}}[\p{{L}}'’-]{{1,30}})?",
 }
-#: Entities begin where no letter, digit or underscore is before.
-ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
+#: Entities begin where no letter, digit or underscore is before; secrets do anywhere, as their key words end longer names (client_secret, accessToken).
+ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")|" + PATTERNS["secret"]
 #: Kinds whose entity is its digits; a mention keeps its own blanks, brackets and dashes.
 DIGITS = ("card", "phone", "national_id")
 
