@@ -71,6 +71,17 @@ def test_long_secrets_and_spellings_of_their_names(documents):
     assert not any("s3cr3t" in text for text in t[:7])
 
 
+def test_secrets_of_other_characters(documents):
+    secrets = ["паролька", "ПаРоЛь12", "κωδικός", "!!!!!!", "-_-.-_", "密码密码密码", "пароль😀!x", "naïveté", "סיסמהא", "a\u0301b\u0301c\u0301"]
+    rows = run(documents([(k, f"password: {x} end") for k, x in enumerate(secrets)]))
+    assert all(r["n_entities"] == 1 and r["text"].startswith("password: ") and r["text"].endswith(" end") for r in rows)
+    new = [r["text"][10:-4] for r in rows]
+    assert not any(x in y for x, y in zip(secrets, new, strict=True)) and len(set(new)) == len(new)
+    assert all(sum(a == b for a, b in zip(x, y, strict=False)) < len(x) - 1 for x, y in zip(secrets, new, strict=True))
+    patterns = ["[а-я]{8}", r"[А-Я][а-я][А-Я][а-я][А-Я][а-я]\d\d", "[α-ω]{7}", r"[^a-zA-Z0-9\s]{6}", r"[^a-zA-Z0-9\s]{6}", "[\u4e00-\u4eff]{6}", r"[а-я]{6}[^a-zA-Z0-9\s]{2}[a-z]", "[a-z]{7}", "[א-ת]{6}", r"([a-z][^a-zA-Z0-9\s]){3}"]
+    assert all(re.fullmatch(p + r"\d*", y) for p, y in zip(patterns, new, strict=True)), new
+
+
 def test_columns_and_empty(documents):
     docs = documents([(1, "a@bb.com"), (None, "a@bb.com")]).withColumn("norm", F.lit(1)).withColumn("surrogate", F.lit(2))
     out = sg.replace_entities(docs, KEY)

@@ -56,6 +56,16 @@ SYLLABLES = {
     "greek": "βα βε βι βο δα δε δι δο λα λε λι λο μα με μι μο".split(),
 }
 
+# Letters by script, small and capital; scripts without case have one kind.
+_range = lambda first, last: "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if c.isalpha())
+LETTERS = {
+    "Cyrillic": (_range("а", "я"), _range("А", "Я")), "Greek": (_range("α", "ω"), _range("Α", "Ω")), "Armenian": (_range("ա", "ֆ"), _range("Ա", "Ֆ")), "Georgian": (_range("ა", "ჰ"),) * 2,
+    "Hebrew": (_range("א", "ת"),) * 2, "Arabic": (_range("ب", "غ"),) * 2, "Devanagari": (_range("क", "ह"),) * 2, "Thai": (_range("ก", "ฮ"),) * 2, "Han": (_range("一", "仿"),) * 2,
+    "Hiragana": (_range("か", "ろ"),) * 2, "Katakana": (_range("カ", "ロ"),) * 2, "Hangul": (_range("가", "갿"),) * 2, "Latin": (_range("a", "z"), _range("A", "Z")),
+}
+#: For signs of secrets; fewer would leave too many of them in place by chance.
+SIGNS = "!#$%&()*+-./:<=>?@[]^_{|}~"
+
 
 def _byte(digest: Column, at: Column | int) -> Column:
     """One of the 64 bytes of a hexadecimal digest."""
@@ -67,13 +77,23 @@ def _pick(options: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), number % len(options) + 1)
 
 
+def _sign(c: Column, n: Column) -> Column:
+    """A letter of the same script and case for a letter, of any other script a Latin one; a digit for a digit; a sign for all else."""
+    of = lambda options: F.substr(F.lit(options), n % len(options) + 1, F.lit(1))
+    out = F.when(c.rlike(r"^\p{N}$"), (n % 10).cast("string"))
+    for script, (small, capital) in LETTERS.items():
+        letter = c.rlike(r"^\p{L}$") if script == "Latin" else c.rlike(rf"^[\p{{Is{script}}}&&\p{{L}}]$")
+        out = out.when(letter & c.rlike(r"^\p{Lu}$"), of(capital)).when(letter, of(small))
+    return out.otherwise(of(SIGNS))
+
+
 def _alike(text: Column, digest: Column, hexadecimal: Column | None = None) -> Column:
-    """Digits become digits, letters letters of the same case, in hexadecimal texts hexadecimal digits; other characters stay."""
+    """Digits become digits, letters letters of the same case; other characters stay. With `hexadecimal`, for secrets, no character stays as it is but by chance, and in hexadecimal texts they become hexadecimal digits."""
 
     def one(c: Column, i: Column) -> Column:
         n = _byte(digest, i)
         digit = F.when(c.between("0", "9"), (n % 10).cast("string"))
-        other = digit.when(c.between("a", "z"), F.char(97 + n % 26)).when(c.between("A", "Z"), F.char(65 + n % 26)).otherwise(c)
+        other = digit.when(c.between("a", "z"), F.char(97 + n % 26)).when(c.between("A", "Z"), F.char(65 + n % 26)).otherwise(c if hexadecimal is None else _sign(c, n))
         return other if hexadecimal is None else F.when(hexadecimal, F.lower(F.hex(n % 16))).otherwise(other)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -167,11 +187,12 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
-    """kind, norm and surrogate for each distinct entity; within a kind no two surrogates are equal and none is an entity found."""
+    """kind, norm and surrogate for each distinct entity; within a kind no two surrogates are equal and none is an entity found. No secret is part of its surrogate."""
     entities = checkpoint(found.select("kind", "norm").distinct())
     pending, done, attempt = entities, None, 0
     while True:
         made = pending.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), key, attempt).alias("surrogate"))
+        made = made.where((F.col("kind") != "secret") | ~F.col("surrogate").contains(F.col("norm")))
         winners = made.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
         good = winners.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
