@@ -82,6 +82,18 @@ def test_secrets_of_other_characters(documents):
     assert all(re.fullmatch(p + r"\d*", y) for p, y in zip(patterns, new, strict=True)), new
 
 
+def test_more_addresses_than_their_range_has_free(spark):
+    one = lambda norm, attempt: spark.range(1).select(sg.surrogate(F.lit("ip"), F.lit(norm), KEY, attempt)).first()[0]
+    assert one("192.168.3.4", 3).startswith("192.168.") and one("192.168.3.4", 4).startswith("10.") and one("10.2.3.4", 11).startswith("10.")
+    assert all(re.fullmatch(r"\d+(\.\d+){3}", one(ip, attempt)) for ip in ("192.168.3.4", "10.2.3.4", "8.2.3.4") for attempt in (0, 4, 12, 19))
+    assert re.fullmatch("fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", one("10.2.3.4", 20))
+    n = 40_000
+    found = spark.range(n).select(F.lit("ip").alias("kind"), F.concat(F.lit("192.168."), (F.col("id") / 250).cast("int").cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("norm"))
+    table = sg.surrogate_table(found, KEY).collect()
+    new = {r["surrogate"] for r in table}
+    assert len(table) == len(new) == n and not new & {r["norm"] for r in table}
+
+
 def test_columns_and_empty(documents):
     docs = documents([(1, "a@bb.com"), (None, "a@bb.com")]).withColumn("norm", F.lit(1)).withColumn("surrogate", F.lit(2))
     out = sg.replace_entities(docs, KEY)

@@ -121,7 +121,12 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     valid = F.concat(F.substr(card, F.lit(1), F.lit(15)), ((10 - _luhn(unchecked)) % 10).cast("string"))
     card = F.when(_luhn(norm) == 0, valid).otherwise(card)
     private = F.regexp_extract(norm, r"^(10\.|192\.168\.)", 1)
-    octets = F.array_join(F.transform(F.split(F.substr(norm, F.length(private) + 1), r"\."), lambda _, i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
+    # Ranges of addresses run out: private ones go on in 10., then all in any range, at last in local addresses of the sixth version, of which there are 2 ** 120.
+    if attempt >= 4:
+        private = F.when((private == "") | F.lit(attempt >= 12), "").otherwise("10.")
+    n_octets = F.when(private == "", 4).when(private == "10.", 3).otherwise(2)
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), n_octets - 1), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
+    ip = F.concat(private, octets) if attempt < 20 else F.concat(F.lit("fd"), F.regexp_replace(F.substr(digest, F.lit(1), F.lit(30)), "^(..)" + "(....)" * 7 + "$", "$1:$2:$3:$4:$5:$6:$7:$8"))
     access = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _pick(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _byte(digest, i))), ""))
     hexadecimal = norm.rlike("^[0-9a-f]+$")
     script = F.when(norm.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
@@ -137,7 +142,7 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
         given = F.when(fits, made) if given is None else given.when(fits, made)
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", body(1)).when(kind == "national_id", F.concat(F.lit("9"), _alike(F.substr(norm, F.lit(2)), digest)))
-        .when(kind == "ip", F.concat(private, octets)).when(kind == "access_key", access).when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _alike(F.substr(norm, F.lit(3)), digest)))
+        .when(kind == "ip", ip).when(kind == "access_key", access).when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _alike(F.substr(norm, F.lit(3)), digest)))
         .when(kind == "secret", F.concat(_alike(norm, digest, hexadecimal), F.lit(more))).when(kind == "family", family).otherwise(given)
     )
 
