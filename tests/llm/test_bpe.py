@@ -44,3 +44,21 @@ def test_decoding(documents):
 
 def test_empty(documents):
     assert bpe.decode_documents(bpe.encode_documents(documents([]), PATH), PATH).collect() == []
+
+
+def test_merger():
+    random.seed(9)
+    merger = bpe.Merger(bpe.load_ranks(PATH))
+    pieces = list({bytes(random.choices(b"aeinrst \xc3\xa9", k=random.randint(1, 70))) for _ in range(3000)})
+    assert {p: list(memoryview(ids).cast("i")) for p, ids in merger.merge(pieces).items()} == {p: bpe.merge(p, merger.ranks) for p in pieces}
+    assert merger.merge([]) == {}
+
+
+def test_spans(documents):
+    rows = [(i, t) for i, t in enumerate(texts()[:200]) if t is None or len(t) < 100]
+    encoded = bpe.encode_documents(documents(rows), PATH)
+    asked = encoded.select("doc_id", "ids", "ends", F.posexplode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 7), (3, 4), (2, 60), (5, 5), (-4, 2), (900, 1000), (None, 3))))).alias("k", "s"))
+    got = bpe.decode_spans(asked.select("doc_id", "ids", "ends", F.col("s.a").alias("start"), F.col("s.b").alias("stop")), PATH).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    assert len(got) == 7 * len(rows)
+    assert all(bytes(r["decoded"]) == (b"" if r["start"] is None else raw[r["doc_id"]][max(0, r["start"]) : max(0, r["stop"])]) for r in got)

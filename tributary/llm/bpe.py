@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, keep_only, kept
 
 # The codepoints of Unicode's White_Space property.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -34,6 +34,10 @@ LETTER, DIGIT, OTHER, SPACE, ALONE, WHITE, SHORT, LONG = range(8)
 CLOSED, LETTERS, DIGITS, OTHERS, WHITES, PREFIXED, TWO, ONE = range(8)
 
 CACHED_PIECES = 400_000
+#: Longer slices are merged one by one, by way of a heap, and not kept.
+SHORT_PIECE = 64
+#: Bytes of text whose slices are merged together.
+MERGED_BYTES = 4 << 20
 SEGMENT = 64
 
 
@@ -167,20 +171,74 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-class _Merged(dict):
-    """Ids of slices, as bytes of little-endian 32-bit numbers."""
+class Merger:
+    """Merges many slices side by side: slices of one length are a matrix of tokens, and every step merges each row's pair of lowest rank, the first of equals."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-
-    def __missing__(self, piece: bytes) -> bytes:
-        got = np.array(merge(piece, self.ranks), "<i4").tobytes()
-        if len(self) < CACHED_PIECES and len(piece) <= 64:
-            self[piece] = got
-        return got
-
-
-_caches: dict[str, _Merged] = {}
+        self.size = max(ranks.values()) + 1
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = {ranks[t[:k]] * self.size + ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        #: Ids of slices, as bytes of little-endian 32-bit numbers.
+        self.known: dict[bytes, bytes] = {}
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair merges into; size where there is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], self.size)
+
+    def _rows(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of slices of one length."""
+        n = len(pieces)
+        tokens = self.bytes[np.frombuffer(b"".join(pieces), np.uint8).reshape(n, -1)]
+        best = self._pairs(tokens[:, :-1], tokens[:, 1:])
+        out: list[bytes] = [b""] * n
+        row = np.arange(n)
+        while len(row):
+            at = best.argmin(axis=1) if best.shape[1] else np.zeros(len(row), np.int64)
+            going = best[np.arange(len(row)), at] < self.size if best.shape[1] else np.zeros(len(row), bool)
+            if not going.all():
+                ended, width = tokens[~going].astype("<i4").tobytes(), 4 * tokens.shape[1]
+                for k, r in enumerate(row[~going].tolist()):
+                    out[r] = ended[k * width : (k + 1) * width]
+                row, at, tokens, best = row[going], at[going], tokens[going], best[going]
+                if not len(row):
+                    break
+            each, last = np.arange(len(row)), tokens.shape[1] - 2
+            tokens[each, at] = best[each, at]
+            place = np.arange(last + 1)
+            tokens = np.take_along_axis(tokens, place + (place > at[:, None]), 1)
+            best = np.take_along_axis(best, place[:-1] + (place[:-1] >= at[:, None]), 1)
+            for k, good in ((at, at < last), (at - 1, at > 0)):
+                best[each[good], k[good]] = self._pairs(tokens[each[good], k[good]], tokens[each[good], k[good] + 1])
+        return out
+
+    def merge(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct slices."""
+        out = {p: np.array([self.ranks[p]], "<i4").tobytes() for p in pieces if p in self.ranks}
+        by_length: dict[int, list[bytes]] = {}
+        for p in pieces:
+            if len(p) > SHORT_PIECE:
+                out[p] = np.array(merge(p, self.ranks), "<i4").tobytes()
+            elif p not in out:
+                by_length.setdefault(len(p), []).append(p)
+        for same in by_length.values():
+            out |= zip(same, self._rows(same), strict=True)
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        known = self.known
+        new = self.merge(list(set(pieces) - known.keys()))
+        if len(known) + len(new) <= CACHED_PIECES:
+            known |= {p: ids for p, ids in new.items() if len(p) <= SHORT_PIECE}
+            new = {p: ids for p, ids in new.items() if len(p) > SHORT_PIECE}
+        return [known[p] if p in known else new[p] for p in pieces] if new else [known[p] for p in pieces]
+
+
+_mergers: dict[str, Merger] = kept.setdefault("bpe", {})
 _vocabularies: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -206,15 +264,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_column: str = "doc_id"
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_path not in _caches:
-            _caches[ranks_path] = _Merged(load_ranks(ranks_path))
-        cache = _caches[ranks_path]
+        keep_only("bpe")
+        if ranks_path not in _mergers:
+            _mergers[ranks_path] = Merger(load_ranks(ranks_path))
         lengths = np.diff(_vocabulary(ranks_path)[1])
         for batch in batches:
-            for first, last, data, starts in chunks(batch.column(1)):
+            for first, last, data, starts in chunks(batch.column(1), MERGED_BYTES):
                 begins = boundaries(data, starts)
                 raw, cuts = data.tobytes(), begins.tolist()
-                pieces = [cache[raw[a:b]] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if cuts else []
+                pieces = _mergers[ranks_path].encode([raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if cuts else [])
                 ids = np.frombuffer(b"".join(pieces), "<i4")
                 of_piece = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)])
                 before = of_piece[np.searchsorted(begins, starts)]
@@ -226,8 +284,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_column: str = "doc_id"
     return narrow.mapInArrow(encode, "doc_id long, ids array<int>, ends array<int>")
 
 
+def _decoded(ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of all rows' ids, looked up all at once, and where each row's begin (one more for the end)."""
+    lengths = places[ids + 1] - places[ids]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return tokens[np.repeat(places[ids] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes(), ends[np.concatenate([[0], np.cumsum(counts)])]
+
+
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded (doc_id, ids) with decoded (binary): each row's ids, looked up all at once in the vocabulary's bytes. Null ids are empty."""
+    """doc_id, ids and decoded (binary) of encoded (doc_id, ids). Null ids are empty."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, places = _vocabulary(ranks_path)
@@ -236,11 +301,32 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 part = batch.slice(first, 256)
                 ids = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 counts = part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                lengths = places[ids + 1] - places[ids]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                decoded = tokens[np.repeat(places[ids] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
-                cuts = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
-                out = pa.array([decoded[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                decoded, cuts = _decoded(ids, counts, tokens, places)
+                out = pa.array([decoded[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
+
+
+def decode_spans(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, start, stop and decoded (binary) of encoded (doc_id, ids, ends, start, stop): the bytes [start, stop) of each text.
+
+    The retained offsets say which tokens hold them, so only those are decoded. What lies outside the text is left out; nulls give no bytes.
+    """
+    ends, start, stop = F.col("ends"), F.when(F.col("start") < 0, 0).otherwise(F.col("start")).cast("long"), F.col("stop").cast("long")
+    first = F.size(F.filter(ends, lambda e: e <= start))
+    number = F.size(F.filter(ends, lambda e: e < stop)) + 1 - first
+    covered = F.when(stop > start, F.slice("ids", first + 1, F.greatest(number, F.lit(0))))
+    before = F.when(first > 0, F.try_element_at(ends, first)).otherwise(F.lit(0))
+    wanted = encoded.select(F.col("doc_id"), F.coalesce(covered, F.array().cast("array<int>")).alias("ids"), F.struct("start", "stop", (start - before).alias("skip"), (stop - start).alias("length")).alias("span"))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, places = _vocabulary(ranks_path)
+        for batch in batches:
+            ids = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            decoded, cuts = _decoded(ids, batch.column(1).value_lengths().to_numpy(zero_copy_only=False), tokens, places)
+            spans = batch.column(2).to_pylist()
+            out = [decoded[a:b][s["skip"] or 0 :][: max(0, s["length"] or 0)] for a, b, s in zip(cuts.tolist(), cuts[1:].tolist(), spans, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s["start"] for s in spans], pa.int64()), pa.array([s["stop"] for s in spans], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "start", "stop", "decoded"])
+
+    return wanted.mapInArrow(decode, "doc_id long, start long, stop long, decoded binary")
