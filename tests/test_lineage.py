@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import diff, edges, graph, health
+from tributary.operators import diff, edges, graph, health, loops
 from tributary.plans import recompute
 from tributary.sources import catalog as cat
 from tributary.sources import derived, snapshots
@@ -133,3 +133,25 @@ def test_plan(spark):
     assert [r["step"] for r in plan] == list(range(1, 11)) and plan[3]["rule"]["expression"] == "sum(net)" and plan[0]["status"] == "no formula"
     steps = [r.asDict(recursive=True) for r in plan if r["status"] == "run"]
     assert [[s["column"] for s in g] for g in recompute.fuse_updates(steps)][:2] == [["net"], ["taxed"]]
+
+
+def test_rules_that_read_what_another_sets_stay_apart(spark):
+    rule = lambda column, source, expression, condition=None: {"object": "T", "column": column, "formula": None, "rule": {"source": source, "key": "up", "expression": expression, "condition": condition}}
+    groups = lambda *steps: [[s["column"] for s in g] for g in recompute.fuse_updates(steps)]
+    assert groups(rule("a", "T", "sum(x)"), rule("b", "T", "sum(a)")) == [["a"], ["b"]]
+    assert groups(rule("a", "T", "sum(x)"), rule("b", "T", "sum(y)", "a > 1")) == [["a"], ["b"]]
+    assert groups(rule("a", "T", "sum(x)"), rule("b", "T", "sum(y)")) == [["a", "b"]]
+    assert groups(rule("a", "S", "sum(x)"), rule("b", "S", "sum(a)")) == [["a", "b"]]
+
+
+@pytest.mark.parametrize("last", [0, 10_000])
+def test_levels_with_and_without_the_last_task(spark, monkeypatch, last):
+    monkeypatch.setattr(loops, "LAST_EDGES", last)
+    edges_ = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("s", "s")], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdxyzsq"], "id string")
+    levels, rest = loops.peel(nodes, edges_)
+    assert {r["id"]: r["level"] for r in levels.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "q": 0} and {r["id"] for r in rest.collect()} == set("xyzs")
+    roots = spark.createDataFrame([("a",), ("q",), ("x",)], "id string")
+    assert {r["id"]: r["level"] for r in loops.bfs(edges_, roots).collect()} == {"a": 0, "q": 0, "x": 0, "b": 1, "c": 1, "y": 1, "d": 2, "z": 2}
+    assert {r["id"]: r["level"] for r in loops.bfs(edges_, roots, 1, reverse=True).collect()} == {"a": 0, "q": 0, "x": 0, "y": 1}
+    assert {(r["id"], r["component"]) for r in graph.cycles(edges_).collect()} == {("x", "x"), ("y", "x"), ("s", "s")}

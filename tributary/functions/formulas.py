@@ -28,9 +28,9 @@ def extract_sequence(formula: Column) -> Column:
     """
     bare = F.regexp_replace(F.regexp_replace(formula, "'[^']*'", " "), "[^A-Za-z0-9_.]", " ")
     words = F.transform(F.split(F.trim(bare), r"\s+"), lambda w: F.when(w.endswith("."), w).otherwise(F.substring_index(w, ".", -1)))
-    words = F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~F.lower(w).isin(STOP_WORDS))
+    words = F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~w.rlike(f"^(?i:{'|'.join(STOP_WORDS)})$"))
     camel = lambda w: w.rlike("^[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*$")
-    plain = lambda w: w.rlike("^[a-z][a-z0-9]+$") & ~w.isin(COMMON_WORDS)
+    plain = lambda w: w.rlike("^[a-z][a-z0-9]+$") & ~w.rlike(f"^(?:{'|'.join(COMMON_WORDS)})$")
     named = F.transform(words, lambda w: F.when(w.contains("_"), snake_to_camel(w)).when(camel(w) | plain(w), w).otherwise(""))
     return F.coalesce(F.array_distinct(F.filter(named, lambda w: w != "")), F.array().cast("array<string>"))
 

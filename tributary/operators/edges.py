@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import names, rules
 from ..functions.formulas import contains_run, extract_sequence
 from ..sources.catalog import Catalog, canonical, sequences, write_backs
+from .loops import checkpoint
 
 COLUMNS = ("src_object", "src_field", "dst_object", "dst_field", "src", "dst", "rel")
 
@@ -24,7 +25,11 @@ def _edges(frame: DataFrame, src_object: str, src_field: str, dst_object: str, d
 
 def intra_edges(fields: DataFrame) -> DataFrame:
     """From each field in a formula to the formula's field, on one object; the source need not be in the catalog."""
-    used = sequences(fields).select("object_type", "field", F.explode("seq").alias("used")).where("used <> field")
+    return _intra(sequences(fields))
+
+
+def _intra(seqs: DataFrame) -> DataFrame:
+    used = seqs.select("object_type", "field", F.explode("seq").alias("used")).where("used <> field")
     return _edges(used, "object_type", "used", "object_type", "field", "intra").distinct()
 
 
@@ -33,7 +38,10 @@ def alias_edges(fields: DataFrame) -> DataFrame:
 
     Candidates meet on the run's first field, so only fields that use it are compared.
     """
-    seqs = sequences(fields)
+    return _alias(sequences(fields))
+
+
+def _alias(seqs: DataFrame) -> DataFrame:
     runs = seqs.where(F.size("trigger_seq") > 0).select("object_type", F.col("field").alias("source"), F.col("trigger_seq").alias("run"), F.col("trigger_seq")[0].alias("first")).distinct()
     using = seqs.select("object_type", "field", "seq", F.explode("seq").alias("first"))
     met = runs.join(using, ["object_type", "first"]).where((F.col("source") != F.col("field")) & contains_run(F.col("seq"), F.col("run")))
@@ -114,7 +122,9 @@ def view_dependency_stats(view: DataFrame) -> DataFrame:
 
 
 def downstream_edges(catalog: Catalog, texts: DataFrame | None = None) -> DataFrame:
-    out = intra_edges(catalog.fields).union(alias_edges(catalog.fields)).union(write_back_edges(catalog))
+    # Formulas are tokenised once; the lists of their fields, written, serve both kinds of edges.
+    seqs = checkpoint(sequences(catalog.fields).select("object_type", "field", "seq", "trigger_seq"))
+    out = _intra(seqs).union(_alias(seqs)).union(write_back_edges(catalog))
     return (out if texts is None else out.union(view_edges(texts))).distinct()
 
 

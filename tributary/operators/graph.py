@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, rules
 from ..sources.catalog import Catalog, canonical, filter_apps_fuzzy, scan_fields
 from .edges import attach_meta, rel_filter
-from .loops import bfs, checkpoint, peel, scc, walked
+from .loops import bfs, checkpoint, closed_edges, peel, scc, walked
 
 REL_ORDER = ("intra", "writeBack", "view")
 
@@ -18,14 +18,14 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 3, rel: int = 0) ->
 
     For several roots this is the union of their graphs: a node's least level is under depth exactly when its level from some root is.
     """
-    wanted = checkpoint(rel_filter(edges, rel))
+    wanted = rel_filter(edges, rel)
     visited = bfs(wanted, roots, depth)
     return visited, walked(wanted, visited, depth)
 
 
 def trace(edges: DataFrame, roots: DataFrame, depth: int = 3, rel: int = 0) -> tuple[DataFrame, DataFrame]:
     """The same upstream, over upstream_edges; edges still point from source to target."""
-    wanted = checkpoint(rel_filter(edges, rel))
+    wanted = rel_filter(edges, rel)
     visited = bfs(wanted, roots, depth, reverse=True)
     return visited, walked(wanted, visited, depth, reverse=True)
 
@@ -104,26 +104,37 @@ def deep_chains(edges: DataFrame, threshold: int = 10) -> DataFrame:
 
     Edges inside a cycle don't count, so lengths are exact. Of equal chains the one through the least ids is told.
     """
-    component = cycles(edges)
-    inside = (
-        edges.join(component.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src")
-        .join(component.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
-    )
-    free = checkpoint(edges.select("src", "dst").distinct().join(inside, ["src", "dst"], "left_anti"))
-    heights, _ = peel(_ends(edges), free.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = checkpoint(edges.select("src", "dst").distinct())
+    turned = lambda some: some.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    heights, before_cycles = peel(_ends(pairs), turned(pairs))
+    free = pairs
+    if not before_cycles.isEmpty():
+        component = cycles(closed_edges(pairs, before_cycles))
+        inside = (
+            pairs.join(component.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src")
+            .join(component.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
+        )
+        free = checkpoint(pairs.join(inside, ["src", "dst"], "left_anti"))
+        heights, _ = peel(_ends(pairs), turned(free))
     heights = checkpoint(heights.withColumnRenamed("level", "height"))
     next_ = (
         free.join(heights.select(F.col("id").alias("src"), "height"), "src").join(heights.select(F.col("id").alias("dst"), F.col("height").alias("below")), "dst")
         .where("below = height - 1").groupBy("src").agg(F.min("dst").alias("next"))
     )
-    next_ = checkpoint(next_)
     targets = free.select(F.col("dst").alias("id")).distinct()
-    chains = checkpoint(heights.where(F.col("height") >= threshold).join(targets, "id", "left_anti").select(F.col("id").alias("root"), F.col("height").alias("length"), F.array("id").alias("path"), F.col("id").alias("at")))
+    chains = checkpoint(heights.where(F.col("height") >= threshold).join(targets, "id", "left_anti").select(F.col("id").alias("root"), F.col("height").alias("length")))
     longest = chains.agg(F.max("length")).head()[0] or 0
-    for _ in range(longest):
-        step = chains.join(next_.withColumnRenamed("src", "at"), "at", "left")
-        chains = checkpoint(step.select("root", "length", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.coalesce("next", "at").alias("at")))
-    return chains.select("root", "length", F.array_join("path", " -> ").alias("path"))
+    # Steps of 1, 2, 4, .. edges; a place on a chain is reached by the steps of its binary digits, the largest first.
+    steps = [checkpoint(next_)]
+    while 2 ** len(steps) <= longest:
+        onward = steps[-1].select(F.col("src").alias("next"), F.col("next").alias("further"))
+        steps.append(checkpoint(steps[-1].join(onward, "next").select("src", F.col("further").alias("next"))))
+    places = chains.select("root", F.lit(0).alias("place"), F.col("root").alias("at"))
+    for k in reversed(range(len(steps))):
+        moved = places.join(steps[k].withColumnRenamed("src", "at"), "at").select("root", (F.col("place") + 2**k).alias("place"), F.col("next").alias("at"))
+        places = checkpoint(places.union(moved))
+    path = places.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("nodes")).select("root", F.array_join("nodes.at", " -> ").alias("path"))
+    return chains.join(path, "root").select("root", "length", "path")
 
 
 def trigger_fields(edges: DataFrame, fields: DataFrame, object_type: str | None = None, field: str | None = None) -> DataFrame:

@@ -1,37 +1,107 @@
 """Loops over a table of edges: breadth-first search, peeling by degree, strongly connected components.
 
 Frontiers stay in Spark and are written to the folder of spark.checkpoint.dir each round, so that plans don't grow and a lost
-executor costs one round. The driver only learns whether a frontier is empty. No side is broadcast by hint: adaptive
-execution broadcasts a frontier whose size it has measured.
+executor costs one round. The driver only learns how many rows were written. No side is broadcast by hint: adaptive
+execution broadcasts a frontier whose size it has measured. What is left of a graph when it has at most LAST_EDGES edges, counted, is finished in
+one task instead of one round for each level; the result is the same.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: So many edges, counted, and fewer are walked in one task.
+LAST_EDGES = 10_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where neither context nor session names one, a temporary one is set on a local master, as in tests, and a cluster, whose machines share no such folder, gets an error."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or tempfile.mkdtemp(prefix="spark-")
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder; only without one in context and session, as in tests, a temporary one is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    """df, written to the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """df, written, and how many rows it has, or for how many `what` holds, counted as they are written."""
+    seen = Observation()
+    written = checkpoint(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")))
+    return written, seen.get["n"]
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, list[str]], list[str]]:
+    """Of rows (near, far): whom each near end leads to, and the near ends without a far one."""
+    to, alone = defaultdict(list), []
+    for batch in batches:
+        for near, far in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if far is None:
+                alone.append(near)
+            else:
+                to[near].append(far)
+    return to, alone
+
+
+def _last_search(depth: int | None):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, frontier = _adjacent(batches)
+        level = dict.fromkeys(frontier, 0)
+        while frontier and (depth is None or level[frontier[0]] < depth):
+            reached = dict.fromkeys(far for near in frontier for far in to[near] if far not in level)
+            level |= dict.fromkeys(reached, level[frontier[0]] + 1)
+            frontier = list(reached)
+        yield pa.RecordBatch.from_arrays([pa.array(level.keys(), pa.string()), pa.array(level.values(), pa.int32())], ["id", "level"])
+
+    return search
+
+
+def _last_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, level) of the far ends: the longest path that ends there, null in or behind a cycle."""
+    to, _ = _adjacent(batches)
+    missing: dict[str, int] = defaultdict(int)
+    for fars in to.values():
+        for far in fars:
+            missing[far] += 1
+    level = {near: 0 for near in to if near not in missing}
+    free = list(level)
+    for near in free:  # grows as nodes become free
+        for far in to.get(near, ()):
+            level[far] = max(level.get(far, 0), level[near] + 1)
+            missing[far] -= 1
+            if not missing[far]:
+                free.append(far)
+    ids = list(missing)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([None if missing[i] else level[i] for i in ids], pa.int32())], ["id", "level"])
+
+
 def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None, reverse: bool = False) -> DataFrame:
     """(id, level): every node that roots (id) reach over edges (src, dst), at its least distance; up to depth if given. Roots are there even if no edge knows them."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = checkpoint(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct())
-    visited = frontier = checkpoint(roots.select("id").distinct().withColumn("level", F.lit(0)))
-    level = 0
+    steps, n_steps = counted(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct())
+    visited, n_roots = counted(roots.select("id").distinct().withColumn("level", F.lit(0)))
+    if n_steps + n_roots <= LAST_EDGES:
+        rows = steps.union(visited.select("id", F.lit(None).cast("string")))
+        return checkpoint(rows.repartition(1).mapInArrow(_last_search(depth), "id string, level int"))
+    frontier, level = visited, 0
     while depth is None or level < depth:
         level += 1
         reached = steps.join(frontier.select(F.col("id").alias("near")), "near", "left_semi").select(F.col("far").alias("id")).distinct()
-        frontier = checkpoint(reached.join(visited, "id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
+        frontier, n = counted(reached.join(visited, "id", "left_anti").withColumn("level", F.lit(level)))
+        if not n:
             break
         visited = _gathered(visited.union(frontier), level)
     return visited
@@ -55,24 +125,36 @@ def walked(edges: DataFrame, visited: DataFrame, depth: int | None = None, rever
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(levels, rest). A node's level is the longest path that ends in it; rest are the nodes in a cycle or behind one.
 
-    Each round the nodes without an edge from another remaining node leave. Edges from or to unknown nodes don't count, self-loops keep a node.
+    Each round the edges whose source has no incoming edge leave, so a node's level is the number of rounds that it still has one. If
+    none leaves, those that are left begin in or behind cycles. Edges from or to unknown nodes don't count, self-loops keep a node.
     """
-    rest = checkpoint(nodes.select("id").distinct())
+    known = checkpoint(nodes.select("id").distinct())
     live = edges.select("src", "dst").distinct()
-    live = checkpoint(live.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    levels, level = None, 0
-    while True:
-        targets = live.select(F.col("dst").alias("id")).distinct()
-        free = checkpoint(rest.join(targets, "id", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            return (free if levels is None else levels), rest
-        levels = free if levels is None else _gathered(levels.union(free), level)
-        rest = checkpoint(rest.join(free, "id", "left_anti"))
-        live = checkpoint(live.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        level += 1
+    live, n = counted(live.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    of_round = lambda level: live.select(F.col("dst").alias("id"), F.lit(level).alias("level"))
+    found, turn = of_round(0).limit(0), 0
+    rest = known.limit(0)
+    while n:
+        if n <= LAST_EDGES:
+            last = checkpoint(live.select("src", "dst").repartition(1).mapInArrow(_last_levels, "id string, level int"))
+            found = found.union(last.where("level IS NOT NULL").select("id", (F.col("level") + turn).alias("level")))
+            rest = last.where("level IS NULL").select("id")
+            break
+        left, n_left = counted(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        if n_left == n:
+            rest = checkpoint(live.select(F.col("dst").alias("id")).distinct())
+            break
+        found = found.union(of_round(turn + 1))
+        turn += 1
+        if turn % GATHER == 0:
+            found = checkpoint(found.groupBy("id").agg(F.max("level").alias("level")))
+        live, n = left, n_left
+    longest = found.groupBy("id").agg(F.max("level").alias("level"))
+    levels = known.join(rest, "id", "left_anti").join(longest, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+    return levels, rest
 
 
-def _closed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def closed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
@@ -90,16 +172,17 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for reverse in (False, True):
             live = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges
             _, rest = peel(rest, live)
-            edges = checkpoint(_closed(edges, rest))
+            edges = checkpoint(closed_edges(edges, rest))
         if rest.isEmpty():
             break
-        colours = rest.withColumn("colour", F.col("id"))
-        while True:
+        colours, changed = rest.withColumn("colour", F.col("id")), 1
+        while changed:
             incoming = edges.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("theirs")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("theirs").alias("theirs"))
-            new = checkpoint(colours.join(incoming, "id", "left").select("id", F.least("colour", F.coalesce("theirs", "colour")).alias("colour"), F.col("colour").alias("before")))
+            # What reaches the origin of a node's colour reaches the node, so paths are walked in steps that double.
+            further = colours.select(F.col("id").alias("colour"), F.col("colour").alias("origins"))
+            met = colours.join(incoming, "id", "left").join(further, "colour", "left")
+            new, changed = counted(met.select("id", F.least("colour", "theirs", "origins").alias("colour"), F.col("colour").alias("before")), F.col("colour") != F.col("before"))
             colours = new.select("id", "colour")
-            if new.where("colour <> before").isEmpty():
-                break
         inside = (
             edges.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("of_src")), "src")
             .join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("of_dst")), "dst").where("of_src = of_dst")
@@ -108,7 +191,7 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         component = checkpoint(component)
         found = component if found is None else checkpoint(found.union(component))
         rest = checkpoint(rest.join(component, "id", "left_anti"))
-        edges = checkpoint(_closed(edges, rest))
+        edges = checkpoint(closed_edges(edges, rest))
     if found is None:
         return nodes.select("id", F.col("id").alias("component")).limit(0)
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")

@@ -43,9 +43,9 @@ _UP = f"up_edges AS ({_INTRA} UNION {_BACK} UNION {_VIEW})"
 _EDGES = f"{BASE}, {_PAIRS}, {_VIEW_ROWS}, {_DOWN}, {_UP}"
 
 
-def _roots(every: int, place: int) -> str:
+def _roots(place: int) -> str:
     # Rows without a formula are those at place 0 of their block; sums are at place 2.
-    return f"roots AS (SELECT {_node('k', 'ok')} AS id FROM base WHERE k % {every} = 0 AND r % 4 = {place})"
+    return f"roots AS (SELECT {_node('k', 'ok')} AS id FROM base WHERE r % 4 = {place})"
 
 
 def _walk(edges: str, depth: int, reverse: bool = False, name: str = "walk", start: str = "roots") -> str:
@@ -87,11 +87,31 @@ def _list(value: str, condition: str) -> str:
 
 
 def _longest(edges: str, start: str) -> str:
-    """All lengths of paths from the start; the greatest counts."""
-    return f"""long_all(id, level) AS (SELECT id, 0 FROM {start} UNION SELECT e.dst, w.level + 1 FROM long_all w JOIN {edges} e ON e.src = w.id WHERE w.level < {_FAR}),
+    """All lengths of paths from the start, but for those that come back to it; the greatest counts."""
+    return f"""onward AS (SELECT DISTINCT src, dst FROM {edges} WHERE dst NOT IN (SELECT id FROM {start})),
+long_all(id, level) AS (SELECT id, 0 FROM {start} UNION SELECT e.dst, w.level + 1 FROM long_all w JOIN onward e ON e.src = w.id WHERE w.level < {_FAR}),
 longest AS (SELECT id, CAST(max(level) AS INTEGER) AS depth FROM long_all GROUP BY id)"""
 
 
+def _paths(edges: str, depth: int) -> str:
+    """paths (root, id, level, path, reasons): of the shortest ones those through the least (parent, rel)."""
+    return f"""walk_all(root, id, level) AS (SELECT id, id, 0 FROM roots UNION SELECT w.root, e.dst, w.level + 1 FROM walk_all w JOIN {edges} e ON e.src = w.id WHERE w.level < {depth}),
+best AS (SELECT root, id, CAST(min(level) AS INTEGER) AS level FROM walk_all GROUP BY root, id),
+told AS (
+  SELECT {_node('k', 'ok')} AS dst, coalesce(f.trigger_expr, f.expression, f.virtual_expr) AS formula, 'written back from Obj' || (k - 1) || ' as sum(' || {_name('s')} || ')' AS back
+  FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
+parents AS (
+  SELECT b.root, b.id, p.id AS parent, e.rel, row_number() OVER (PARTITION BY b.root, b.id ORDER BY p.id, e.rel) AS place
+  FROM best b JOIN {edges} e ON e.dst = b.id JOIN best p ON p.root = b.root AND p.id = e.src AND p.level = b.level - 1),
+paths(root, id, level, path, reasons) AS (
+  SELECT id, id, 0, '', '' FROM roots
+  UNION ALL SELECT c.root, p.id, c.level + 1, c.path || CASE WHEN c.level > 0 THEN ' → ' ELSE '' END || c.id || ' --[' || p.rel || ']--> ' || p.id,
+    c.reasons || CASE WHEN c.level > 0 THEN '; ' ELSE '' END
+      || CASE p.rel WHEN 'intra' THEN 'computed as ' || t.formula || ', contains ' || split_part(c.id, '.', 2) WHEN 'writeBack' THEN t.back ELSE c.id || ' -> ' || p.id END
+  FROM paths c JOIN parents p ON p.root = c.root AND p.parent = c.id AND p.place = 1 LEFT JOIN told t ON t.dst = p.id)"""
+
+
+_STEP = "CAST(row_number() OVER (ORDER BY coalesce(level, 2147483647), role = 'WRITE_BACK', node) AS BIGINT) AS step"
 _TYPES = "types AS (SELECT dst AS id, string_agg(DISTINCT rel, ',' ORDER BY rel) AS types FROM edges GROUP BY dst)"
 _ENDS = "ends AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
 _CHANGED = f"""
@@ -110,27 +130,41 @@ ORACLE_SQL: dict[str, str] = {
   SELECT o_custkey, max(o_totalprice) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) AS t ON o_custkey = c_custkey""",
     "changed_rows": "SELECT l_orderkey, l_linenumber, CAST(25 AS DOUBLE) AS new_value FROM lineitem WHERE l_quantity > 25",
     "parent_lookup": "SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
-    "recompute_plan": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, own_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_longest('own_edges', 'roots')}, {_TYPES},
-known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, {_TRIGGER} AS trig, {_VIRTUAL} AS virt FROM base)
-SELECT l.id AS node, depth AS level, CASE WHEN depth = 0 THEN 'ROOT(manual)' WHEN types LIKE '%intra%' THEN 'INTRA' ELSE 'WRITE_BACK' END AS role,
-  CASE WHEN k.id IS NULL THEN 'unknown field' WHEN back OR trig THEN 'run' WHEN virt THEN 'virtual, no column' ELSE 'no formula' END AS status
-FROM longest l LEFT JOIN types t ON t.id = l.id LEFT JOIN known k ON k.id = l.id""",
-    "recompute_plan_batch": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 2)}, down_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_walk('down_edges', 2)},
-sources AS (SELECT * FROM up_edges WHERE rel <> 'view'), {_walk('sources', _FAR, True, 'back', 'walk')},
+    "recompute_plan": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(0)}, own_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_longest('own_edges', 'roots')}, {_TYPES},
+known AS (
+  SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, {_TRIGGER} AS trig, {_VIRTUAL} AS virt, f.name AS "column", coalesce(f.trigger_expr, f.expression) AS formula, CASE WHEN {_HAS_BACK} THEN 'Obj' || (k - 1) END AS rule_source,
+    CASE WHEN {_HAS_BACK} THEN 'parent_id' END AS rule_key, CASE WHEN {_HAS_BACK} THEN 'sum(' || {_name('s')} || ')' END AS rule_expression, CASE WHEN {_HAS_BACK} THEN 'srcItemObjectType=''Obj' || (k - 2) || '''' END AS rule_condition
+  FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
+steps AS (
+  SELECT l.id AS node, depth AS level, CASE WHEN depth = 0 THEN 'ROOT(manual)' WHEN types LIKE '%intra%' THEN 'INTRA' ELSE 'WRITE_BACK' END AS role,
+    CASE WHEN k.id IS NULL THEN 'unknown field' WHEN back OR trig THEN 'run' WHEN virt THEN 'virtual, no column' ELSE 'no formula' END AS status, "column", formula, rule_source, rule_key, rule_expression, rule_condition
+  FROM longest l LEFT JOIN types t ON t.id = l.id LEFT JOIN known k ON k.id = l.id)
+SELECT {_STEP}, * FROM steps""",
+    # The latest definitions give every 97th field another trigger: its old one's edges go, it is computed from changedA, and such fields of one object trigger each other.
+    "recompute_plan_batch": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(2)},
+new_direct AS (SELECT {_node('d.k', 'd.a')} AS src, {_node('d.k', 'd.b')} AS dst FROM direct d JOIN base b ON b.ok = d.b WHERE NOT (d.b % 97 = 2 AND b.r % 4 IN (1, 2))
+  UNION SELECT 'Obj' || k || '.changedA', {_node('k', 'ok')} FROM base WHERE ok % 97 = 2),
+new_alias AS (SELECT {_node('k', 'a')} AS src, {_node('k', 'b')} AS dst FROM same_run WHERE a % 97 <> 2
+  UNION SELECT {_node('x.k', 'x.ok')}, {_node('y.k', 'y.ok')} FROM base x JOIN base y ON x.k = y.k AND x.ok <> y.ok WHERE x.ok % 97 = 2 AND y.ok % 97 = 2),
+down_edges AS (SELECT src, dst, 'intra' AS rel FROM new_direct UNION SELECT src, dst, 'intra' FROM new_alias UNION {_BACK} UNION {_BACK_2}), {_walk('down_edges', 2)},
+sources AS (SELECT src, dst, 'intra' AS rel FROM new_direct UNION {_BACK}), {_walk('sources', _FAR, True, 'back', 'walk')},
 graph AS (
   SELECT e.src, e.dst, e.rel FROM down_edges e JOIN walk w ON w.id = e.src AND w.level < 2
   UNION SELECT e.src, e.dst, e.rel FROM sources e JOIN back b ON b.id = e.dst),
-firsts AS (SELECT id FROM back WHERE id NOT IN (SELECT dst FROM graph)),
-long_all(id, level) AS (SELECT id, 0 FROM firsts UNION SELECT g.dst, l.level + 1 FROM long_all l JOIN graph g ON g.src = l.id WHERE l.level < {_FAR}),
+pairs AS (SELECT DISTINCT src, dst FROM graph),
+-- A path of _FAR edges goes through a cycle.
+long_all(id, level) AS (SELECT id, 0 FROM back UNION SELECT g.dst, l.level + 1 FROM long_all l JOIN pairs g ON g.src = l.id WHERE l.level < {_FAR}),
 levels AS (SELECT id, CAST(max(level) AS INTEGER) AS level FROM long_all GROUP BY id),
 types AS (SELECT dst AS id, string_agg(DISTINCT rel, ',') AS types FROM graph GROUP BY dst),
 {_walk('sources', _FAR, False, 'dirty')},
-known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, {_TRIGGER} AS trig FROM base)
-SELECT l.id AS node, l.level AS level,
-  CASE WHEN r.id IS NOT NULL AND k.back THEN 'ROOT(write-back)' WHEN r.id IS NOT NULL AND k.trig THEN 'ROOT(trigger)' WHEN r.id IS NOT NULL THEN 'ROOT(manual)' WHEN types LIKE '%intra%' THEN 'INTRA' ELSE 'WRITE_BACK' END AS role,
-  d.id IS NOT NULL AS active, false AS in_cycle
-FROM levels l LEFT JOIN roots r ON r.id = l.id LEFT JOIN types t ON t.id = l.id LEFT JOIN dirty d ON d.id = l.id LEFT JOIN known k ON k.id = l.id
-WHERE r.id IS NOT NULL OR types IS NOT NULL""",
+known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, CASE WHEN ok % 97 = 2 THEN 'changed_a + 1' ELSE coalesce(f.trigger_expr, f.expression) END AS formula FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
+steps AS (
+  SELECT l.id AS node, CASE WHEN l.level < {_FAR} THEN l.level END AS level,
+    CASE WHEN r.id IS NOT NULL AND k.back THEN 'ROOT(write-back)' WHEN r.id IS NOT NULL AND formula IS NOT NULL THEN 'ROOT(trigger)' WHEN r.id IS NOT NULL THEN 'ROOT(manual)' WHEN types LIKE '%intra%' THEN 'INTRA' ELSE 'WRITE_BACK' END AS role,
+    d.id IS NOT NULL AS active, l.level >= {_FAR} AS in_cycle, formula
+  FROM levels l LEFT JOIN roots r ON r.id = l.id LEFT JOIN types t ON t.id = l.id LEFT JOIN dirty d ON d.id = l.id LEFT JOIN known k ON k.id = l.id
+  WHERE r.id IS NOT NULL OR types IS NOT NULL)
+SELECT {_STEP}, * FROM steps""",
     "field_names": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, {_camel('ok')} AS field, {_name('ok')} AS column_name, {_APP} || '_obj' || k AS table_name, 'Obj' || k AS object_name, 'Obj' || k || '.' || {_name('ok')} AS key FROM base""",
     "formula_fields": f"""WITH {BASE}, {_SEQ} SELECT CAST(ok AS STRING) AS id, in_order, array_to_string(list_sort(string_split(in_order, ',')), ',') AS sorted FROM seqs""",
     "formula_columns": f"""WITH {BASE}, {_FIELDS} SELECT 'Obj' || k || '.' || {_camel('ok')} AS node, coalesce(f.trigger_expr, f.expression) AS formula,
@@ -185,7 +219,7 @@ SELECT 'Obj' || k AS object_type, 'amount' AS kind, n AS name, CAST(max(CASE WHE
 UNION ALL SELECT 'Obj' || k, 'quantity', n, CAST(max(CASE WHEN n = 'baseQty' AND ok % 13 = 1 THEN 1 ELSE 0 END) AS INTEGER)
   FROM t CROSS JOIN (SELECT unnest(['quantity', 'transAuxQty', 'baseQty', 'auxQty']) AS n) AS q GROUP BY k, n
 UNION ALL SELECT 'Obj' || k, 'coverage', f, CAST(back AS INTEGER) FROM t WHERE (amt OR qty) AND (back OR NOT trig)""",
-    "change_scope": f"""WITH {BASE}, {_PAIRS}, asked AS (SELECT k, ok, {_camel('ok')} AS f, {_HAS_BACK} AS back FROM base WHERE r = 0 AND k % 2 = 1)
+    "change_scope": f"""WITH {BASE}, {_PAIRS}, asked AS (SELECT k, ok, {_camel('ok')} AS f, {_HAS_BACK} AS back FROM base WHERE r = 0)
 SELECT 'Obj' || k AS target_object, f AS requested, CASE WHEN back THEN 'ADD_WRITE_BACK_SOURCE' ELSE 'ADD_WRITE_BACK_DEFINITION' END AS action, 'Obj' || k || '.' || f AS affected FROM asked
 UNION SELECT 'Obj' || a.k, a.f, 'CHECK_TRIGGER', {_node('d.k', 'd.b')} FROM asked a JOIN direct d ON d.a = a.ok
 UNION SELECT 'Obj' || a.k, a.f, 'CHECK_TRIGGER', {_node('b.k', 'b.ok')} FROM asked a JOIN backs b ON b.k = a.k + 1
@@ -195,20 +229,18 @@ SELECT 'Obj' || b.k AS object_type, 'Obj' || (b.k - 1) AS source_object, {_camel
 FROM backs b LEFT JOIN used u ON u.a = b.ok GROUP BY b.k, b.ok""",
     "lineage_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM edges",
     "upstream_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM up_edges",
-    "impact_nodes": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, {_walk('edges', 3)}, known AS (SELECT {_node('k', 'ok')} AS id, CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title FROM base)
+    "impact_nodes": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, {_walk('edges', 3)}, known AS (SELECT {_node('k', 'ok')} AS id, CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title FROM base)
 SELECT w.id, w.level, split_part(w.id, '.', 1) AS object, split_part(w.id, '.', 2) AS field, title FROM walk w LEFT JOIN known k ON k.id = w.id""",
-    "impact_edges": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, some_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_walk('some_edges', 3)}
+    "impact_edges": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, some_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_walk('some_edges', 3)}
 SELECT e.src, e.dst, e.rel FROM some_edges e JOIN walk w ON w.id = e.src WHERE w.level < 3""",
-    "trace_nodes": f"WITH RECURSIVE {_EDGES}, {_roots(3, 2)}, {_walk('up_edges', 5, True)} SELECT id, level FROM walk",
-    "closed_graph": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 2)}, down_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_walk('down_edges', 2)},
+    "trace_nodes": f"WITH RECURSIVE {_EDGES}, {_roots(2)}, {_walk('up_edges', 5, True)} SELECT id, level FROM walk",
+    "closed_graph": f"""WITH RECURSIVE {_EDGES}, {_roots(2)}, down_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_walk('down_edges', 2)},
 sources AS (SELECT * FROM up_edges WHERE rel <> 'view'), {_walk('sources', _FAR, True, 'back', 'walk')}
 SELECT e.src, e.dst, e.rel FROM down_edges e JOIN walk w ON w.id = e.src WHERE w.level < 2
 UNION SELECT e.src, e.dst, e.rel FROM sources e JOIN back b ON b.id = e.dst""",
-    "explain_paths": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)},
-walk_all(root, id, level) AS (SELECT id, id, 0 FROM roots UNION SELECT w.root, e.dst, w.level + 1 FROM walk_all w JOIN edges e ON e.src = w.id WHERE w.level < 4),
-best AS (SELECT root, id, CAST(min(level) AS INTEGER) AS path_len FROM walk_all GROUP BY root, id)
-SELECT root, id, path_len, path_len AS steps, id || ' is affected by ' || root || ', path length ' || path_len AS summary FROM best WHERE path_len > 0""",
-    "object_graph": f"""WITH RECURSIVE {_EDGES}, {_roots(3, 2)}, {_walk('up_edges', 3, True)}
+    "explain_paths": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(0)}, {_paths('edges', 4)}
+SELECT root, id, split_part(id, '.', 1) AS object, split_part(id, '.', 2) AS field, level AS path_len, path, reasons, id || ' is affected by ' || root || ', path length ' || level AS summary FROM paths WHERE level > 0""",
+    "object_graph": f"""WITH RECURSIVE {_EDGES}, {_roots(2)}, {_walk('up_edges', 3, True)}
 SELECT split_part(e.src, '.', 1) AS src_object, e.rel, split_part(e.dst, '.', 1) AS dst_object, count(*) AS edges FROM up_edges e JOIN walk w ON w.id = e.dst WHERE w.level < 3 GROUP BY 1, 2, 3""",
     "global_graph": f"WITH {_EDGES}, starts AS (SELECT {_node('k', 'ok')} AS id FROM base WHERE k % 4 IN (0, 2)) SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT id FROM starts)",
     "graph_stats": f"""WITH {_EDGES}, pairs AS (SELECT DISTINCT src, dst FROM edges), {_ENDS}
@@ -226,17 +258,19 @@ SELECT id, depth AS level, 0 AS in_cycle FROM longest""",
     "deep_chains": f"""WITH RECURSIVE {_EDGES}, {_ENDS}, firsts AS (SELECT id FROM ends WHERE id NOT IN (SELECT dst FROM edges)),
 chain(root, id, level) AS (SELECT id, id, 0 FROM firsts UNION SELECT c.root, e.dst, c.level + 1 FROM chain c JOIN edges e ON e.src = c.id WHERE c.level < {_FAR})
 SELECT root, CAST(max(level) AS INTEGER) AS length FROM chain GROUP BY root HAVING max(level) >= 10""",
-    "longest_depths": f"WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, {_longest('edges', 'roots')} SELECT id, depth FROM longest",
-    "fix_steps": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, {_walk('edges', _FAR)}, {_TYPES}
+    "longest_depths": f"WITH RECURSIVE {_EDGES}, {_roots(0)}, {_longest('edges', 'roots')} SELECT id, depth FROM longest",
+    "fix_steps": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, {_walk('edges', _FAR)}, {_TYPES}
 SELECT split_part(w.id, '.', 1) AS object, split_part(w.id, '.', 2) AS field, level AS depth, types FROM walk w JOIN types t ON t.id = w.id WHERE level > 0""",
-    "dirty_fields": f"WITH RECURSIVE {_EDGES}, {_roots(16, 2)}, sources AS (SELECT * FROM up_edges WHERE rel <> 'view'), {_walk('sources', _FAR)} SELECT id FROM walk",
-    "impact_report": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, {_walk('edges', 2)},
+    "dirty_fields": f"WITH RECURSIVE {_EDGES}, {_roots(2)}, sources AS (SELECT * FROM up_edges WHERE rel <> 'view'), {_walk('sources', _FAR)} SELECT id FROM walk",
+    "impact_report": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(0)}, {_walk('edges', 2)},
 some_edges AS (SELECT e.src, e.dst, e.rel FROM edges e JOIN walk w ON w.id = e.src WHERE w.level < 2 AND e.rel <> 'view'),
-nodes AS (SELECT src AS id FROM some_edges UNION SELECT dst FROM some_edges UNION SELECT id FROM roots), {_walk('some_edges', 2, False, 'near')},
-types AS (SELECT dst AS id, string_agg(DISTINCT rel, ', ' ORDER BY rel) AS types FROM some_edges GROUP BY dst),
-known AS (SELECT {_node('k', 'ok')} AS id, CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title FROM base)
-SELECT split_part(n.id, '.', 1) AS object, split_part(n.id, '.', 2) AS field, title, CASE WHEN r.id IS NOT NULL THEN 'root' WHEN a.level > 0 THEN 'affected' ELSE 'related' END AS role, coalesce(types, '') AS relations
-FROM nodes n LEFT JOIN roots r ON r.id = n.id LEFT JOIN near a ON a.id = n.id LEFT JOIN types t ON t.id = n.id LEFT JOIN known k ON k.id = n.id""",
+nodes AS (SELECT src AS id FROM some_edges UNION SELECT dst FROM some_edges UNION SELECT id FROM roots), {_paths('some_edges', 2).replace('walk_all', 'ways')},
+near AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY level, root) AS place FROM paths WHERE level > 0),
+labels AS (SELECT dst AS id, string_agg(DISTINCT rel, ', ' ORDER BY rel) AS types FROM some_edges GROUP BY dst),
+known AS (SELECT {_node('k', 'ok')} AS id, f.title, f.trigger_expr, f.expression, f.virtual_expr FROM base JOIN fields f ON f.id = CAST(ok AS STRING))
+SELECT split_part(n.id, '.', 1) AS object, split_part(n.id, '.', 2) AS field, title, CASE WHEN r.id IS NOT NULL THEN 'root' WHEN a.id IS NOT NULL THEN 'affected' ELSE 'related' END AS role, coalesce(types, '') AS relations,
+  coalesce(path, '') AS path, trigger_expr, expression, virtual_expr
+FROM nodes n LEFT JOIN roots r ON r.id = n.id LEFT JOIN near a ON a.id = n.id AND a.place = 1 LEFT JOIN labels t ON t.id = n.id LEFT JOIN known k ON k.id = n.id""",
     "graph_ids": f"WITH {_EDGES} SELECT src, dst, rel FROM ({_INTRA}) AS i",
     "catalog_diff": f"""WITH {BASE}, {_FIELDS}, {_CHANGED}, a AS (SELECT *, object_type || '.' || name AS key FROM fields), b AS (SELECT *, object_type || '.' || name AS key FROM changed)
 SELECT 'added' AS kind, object_type, name, CAST(NULL AS STRING) AS property, CAST(NULL AS STRING) AS old_value, CAST(NULL AS STRING) AS new_value FROM b WHERE key NOT IN (SELECT key FROM a)
@@ -250,7 +284,7 @@ FROM fields f LEFT JOIN changed c ON c.id = f.id AND (CAST(c.id AS BIGINT) % 97
 SELECT {_node('k', 'a')} AS src, CAST(b AS STRING) AS id, {_name('b')} AS name FROM used""",
     "direct_upstream": f"WITH {BASE}, {_PAIRS} SELECT {_node('k', 'ok')} AS dst, CAST(1 AS BIGINT) AS sources FROM backs",
     "normalised_roots": f"WITH {BASE} SELECT 'Obj' || k AS object, {_name('ok')} AS field, {_node('k', 'ok')} AS id FROM base",
-    "excluded_relations": f"""WITH RECURSIVE {_EDGES}, {_roots(16, 0)}, {_walk('edges', 3)},
+    "excluded_relations": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, {_walk('edges', 3)},
 kept AS (SELECT e.src, e.dst FROM edges e JOIN walk w ON w.id = e.src WHERE w.level < 3 AND e.rel <> 'intra')
 SELECT id, level FROM walk WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",
     "thread_chain": f"""WITH {BASE}, having_it AS (SELECT DISTINCT k FROM base WHERE lower({_camel('ok')}) = 'fld28')
@@ -264,7 +298,7 @@ UNION SELECT 'Obj' || k, 'Obj' || (k - 1), 'REFERS_TO', {_camel('ok')} FROM base
 UNION SELECT 'Obj' || k, 'Other', 'REFERS_TO', {_camel('ok')} FROM base WHERE ok % 6 = 0""",
     "reference_paths": f"""WITH RECURSIVE {BASE}, refers AS (SELECT DISTINCT 'Obj' || k AS a, 'Obj' || (k - 1) AS b FROM base WHERE ok % 6 = 0 UNION SELECT DISTINCT 'Obj' || k, 'Other' FROM base WHERE ok % 6 = 0),
 walk(start, id, hops) AS (
-  SELECT DISTINCT 'Obj' || k, 'Obj' || k, 0 FROM base WHERE k % 8 = 0 AND k % 10 <> 9
+  SELECT DISTINCT 'Obj' || k, 'Obj' || k, 0 FROM base WHERE k % 10 <> 9
   UNION SELECT w.start, r.b, w.hops + 1 FROM walk w JOIN refers r ON r.a = w.id WHERE w.hops < 3)
 SELECT start, id AS target, CAST(min(hops) AS INTEGER) AS hops FROM walk WHERE id <> start GROUP BY start, id""",
 }

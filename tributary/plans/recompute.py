@@ -16,30 +16,46 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import names, rules
-from ..functions.formulas import formula_to_columns
+from ..functions.formulas import extract_sequence, formula_to_columns
 from ..operators.edges import downstream_edges, overlay_definitions, rel_filter, upstream_edges
 from ..operators.graph import closed_graph, dirty_set, incoming_types, longest_depth, normalise_roots, topological_order
-from ..operators.loops import bfs, checkpoint, walked
+from ..operators.loops import checkpoint
 from ..sources.catalog import Catalog, canonical
 
+#: Steps that the driver turns into one chain of transformations.
+MOST_STEPS = 2_000
 AGGREGATES = ("sum", "min", "max", "avg", "count")
 PLAN_COLUMNS = ("step", "node", "object", "field", "level", "role", "active", "in_cycle", "status", "column", "formula", "rule")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with own_names and source_names: of the fields that a row's formula, and its rule's texts, hold, the catalog's names, as maps.
+
+    Fields are looked up one by one, so a row's maps are as large as its texts, however many fields its object has. Rows: object_type, field, id, formula, rule.
+    """
+    named = rows.groupBy("object_type", "field").agg(F.min_by("name", "id").alias("name"))
+    held = lambda of, object_type, *texts: F.transform(F.array_distinct(F.concat(*map(extract_sequence, texts))), lambda used: F.struct(F.lit(of).alias("of"), object_type.alias("object"), used.alias("used")))
+    rule = F.col("rule")
+    both = F.concat(held("own", F.col("object_type"), F.col("formula")), held("source", rule["srcObjectType"], rule["idField"], rule["expression"], rule["condition"]))
+    used = rows.where("formula IS NOT NULL OR rule IS NOT NULL").select("object_type", "field", "id", F.explode(both).alias("u")).select("object_type", "field", "id", "u.*")
+    known = named.select(F.col("object_type").alias("object"), F.col("field").alias("used"), F.coalesce("name", "field").alias("name"))
+    of = lambda which: F.map_from_entries(F.collect_set(F.when(F.col("of") == which, F.struct("used", "name"))))
+    maps = used.join(known, ["object", "used"]).groupBy("object_type", "field", "id").agg(of("own").alias("own_names"), of("source").alias("source_names"))
+    return rows.join(maps, ["object_type", "field", "id"], "left")
+
+
 def definitions(catalog: Catalog) -> DataFrame:
     """node, object, field, column, formula (over columns) and rule (struct, its texts over columns of its source) of each catalog field."""
-    rows = catalog.fields.withColumn("field", canonical()).where("field IS NOT NULL")
-    named = rows.groupBy("object_type", "field").agg(F.min_by("name", "id").alias("name"))
-    known = named.groupBy("object_type").agg(F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("name", "field")))).alias("names"))
     rule = rules.parse_write_back(F.col("write_back_expr"))
-    own = rows.join(known, "object_type").withColumns({"rule": rule, "formula": F.coalesce(names.blank_to_null(F.col("trigger_expr")), names.blank_to_null(F.col("expression")))})
-    sources = known.select(F.col("object_type").alias("source"), F.col("names").alias("source_names"))
-    own = own.withColumn("source", F.col("rule.srcObjectType")).join(sources, "source", "left")
-    texts = lambda c: F.when(F.col("source_names").isNull(), F.col(f"rule.{c}")).otherwise(formula_to_columns(F.col(f"rule.{c}"), F.col("source_names")))
+    formula = F.coalesce(names.blank_to_null(F.col("trigger_expr")), names.blank_to_null(F.col("expression")))
+    rows = catalog.fields.withColumns({"field": canonical(), "rule": rule, "formula": formula}).where("field IS NOT NULL")
+    own = _named(rows)
+    over = lambda text, map_: F.coalesce(formula_to_columns(text, map_), text)
+    texts = lambda c: over(F.col(f"rule.{c}"), F.col("source_names"))
     compiled = F.when(F.col("rule").isNotNull(), F.struct(F.col("rule.srcObjectType").alias("source"), texts("idField").alias("key"), texts("expression").alias("expression"), texts("condition").alias("condition")))
     return own.select(
         names.node_id(F.col("object_type"), F.col("field")).alias("node"), F.col("object_type").alias("object"), "field", names.field_to_column(F.col("field"), F.col("name")).alias("column"),
-        formula_to_columns(F.col("formula"), F.col("names")).alias("formula"), compiled.alias("rule"), F.lit(True).alias("known"), rules.has_text(F.col("virtual_expr")).alias("virtual"), rules.has_text(F.col("write_back_expr")).alias("has_rule"),
+        over(F.col("formula"), F.col("own_names")).alias("formula"), compiled.alias("rule"), F.lit(True).alias("known"), rules.has_text(F.col("virtual_expr")).alias("virtual"), rules.has_text(F.col("write_back_expr")).alias("has_rule"),
     )
 
 
@@ -63,8 +79,7 @@ def recompute_plan(catalog: Catalog, roots: DataFrame, latest: DataFrame | None
     catalog = enriched(catalog, latest)
     edges = checkpoint(downstream_edges(catalog))
     ids = checkpoint(normalise_roots(roots, catalog.fields).select("id").distinct())
-    visited = bfs(edges, ids)
-    depths = longest_depth(walked(edges, visited), ids).withColumnRenamed("id", "node").withColumnRenamed("depth", "level")
+    depths = longest_depth(edges, ids).withColumnRenamed("id", "node").withColumnRenamed("depth", "level")
     types = incoming_types(edges).withColumnRenamed("id", "node")
     found = depths.join(types, "node", "left").join(definitions(catalog), "node", "left")
     role = F.when(F.col("level") == 0, "ROOT(manual)").when(F.array_contains("types", "intra"), "INTRA").otherwise("WRITE_BACK")
@@ -94,14 +109,16 @@ def recompute_plan_batch(catalog: Catalog, roots: DataFrame, depth: int = 3, rel
 
 
 def _numbered(found: DataFrame) -> DataFrame:
-    """step: the place by level, intra first, then node. Levels are numbered apart and moved by what the levels before hold, so no task sorts the whole plan."""
+    """step: the place by level, intra first, then node. Ranges of the order are numbered apart and moved by what the ranges before hold, so no task sorts a whole level."""
     object_type, field = names.split_node_id(F.col("node"))
-    rank = F.coalesce("level", F.lit(2**31 - 1))
-    rows = checkpoint(found.withColumns({"object": object_type, "field": field, "rank": rank, "status": step_status()}))
-    before = rows.groupBy("rank").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.orderBy("rank")) - F.col("n")).select("rank", "before")  # a row for each level
-    within = F.row_number().over(Window.partitionBy("rank").orderBy(F.col("role") == "WRITE_BACK", "node"))
-    return rows.withColumn("place", within).join(before, "rank").withColumn("step", F.col("before") + F.col("place")).select(*PLAN_COLUMNS)
+    rows = checkpoint(found.withColumns({"object": object_type, "field": field, "rank": F.coalesce("level", F.lit(2**31 - 1)), "late": F.col("role") == "WRITE_BACK", "status": step_status()}))
+    order = ("rank", "late", "node")
+    # The number of a row: its partition's number in the upper bits, its place in the partition in the lower 33.
+    placed = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"part": F.shiftright("number", 33), "place": F.col("number").bitwiseAND(F.lit(2**33 - 1))})
+    before = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row for each partition
+    return placed.join(before, "part").withColumn("step", F.col("before") + F.col("place") + 1).select(*PLAN_COLUMNS)
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -187,7 +204,10 @@ def apply_write_backs(target: DataFrame, target_id: str, source: DataFrame, spec
 
 
 def fuse_updates(steps: Sequence[Mapping]) -> list[list[Mapping]]:
-    """Consecutive steps on one table that can be one pass: all triggers or all write-backs of one source and key, none reading or writing a column that another one sets."""
+    """Consecutive steps on one table that can be one pass: all triggers or all write-backs of one source and key, none reading or writing a column that another one sets.
+
+    The columns that a rule reads count only where its source is the table itself; those of another table aren't set here.
+    """
     groups: list[list[Mapping]] = []
     for step in steps:
         group = groups[-1] if groups else None
@@ -195,9 +215,11 @@ def fuse_updates(steps: Sequence[Mapping]) -> list[list[Mapping]]:
         if same and step["rule"] is not None:
             same = all(group[0]["rule"][k] == step["rule"][k] for k in ("source", "key"))
         if same:
-            text = " ".join(filter(None, [step["formula"] if step["rule"] is None else None])).lower()
+            texts = [step["formula"]] if step["rule"] is None else [step["rule"][k] for k in ("key", "expression", "condition")]
+            text = " ".join(filter(None, texts)).lower()
             earlier = [g["column"].lower() for g in group]
-            same = step["column"].lower() not in earlier and not any(re.search(rf"\b{re.escape(c)}\b", text) for c in earlier)
+            own = step["rule"] is None or step["rule"]["source"].lower() == step["object"].lower()
+            same = step["column"].lower() not in earlier and not (own and any(re.search(rf"\b{re.escape(c)}\b", text) for c in earlier))
         if same:
             group.append(step)
         else:
@@ -208,11 +230,14 @@ def fuse_updates(steps: Sequence[Mapping]) -> list[list[Mapping]]:
 def run_plan(plan: DataFrame, tables: Mapping[str, DataFrame], ids: Mapping[str, str], functions: Mapping[str, Callable[..., Column]] | None = None) -> dict[str, DataFrame]:
     """The tables (by object) after all active steps that can run, in plan order. ids: each object's key column. A step with a rule is a roll-up, else a trigger.
 
-    Nothing is computed until a table is read. Steps on objects without a table are left out.
+    Nothing is computed until a table is read. Steps on objects without a table are left out. A plan of more than MOST_STEPS such steps is an error: it is to be run in parts.
     """
     out = dict(tables)
-    steps = [r.asDict(recursive=True) for r in plan.where("active AND NOT in_cycle AND status = 'run'").orderBy("step").collect()]
-    for group in fuse_updates([s for s in steps if s["object"] in out]):
+    runnable = plan.where("active AND NOT in_cycle AND status = 'run'").where(F.col("object").isin(list(out)))
+    steps = [r.asDict(recursive=True) for r in runnable.orderBy("step").limit(MOST_STEPS + 1).collect()]
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"more than {MOST_STEPS} steps in one plan")
+    for group in fuse_updates(steps):
         name = group[0]["object"]
         if group[0]["rule"] is None:
             out[name] = apply_triggers(out[name], {s["column"]: s["formula"] for s in group}, functions)

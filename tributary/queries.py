@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import formulas, mappings, names, rules
 from .operators import diff, edges, graph, health, references
@@ -34,11 +35,10 @@ def _up(c: Catalog) -> DataFrame:
     return checkpoint(edges.upstream_edges(c, _texts(c)))
 
 
-def _roots(c: Catalog, every: int = 16, place: int = 0) -> DataFrame:
-    """Fields of every so many objects whose catalog row has a place in its block: 0 those written back or plain, 2 the sums."""
-    number = F.substr("object_type", F.lit(4)).cast("long")
+def _roots(c: Catalog, place: int = 0) -> DataFrame:
+    """All fields whose catalog row has a place in its block: 0 those written back or plain, 2 the sums."""
     kind = {0: F.coalesce("trigger_expr", "expression", "virtual_expr").isNull(), 2: F.col("trigger_expr").contains(" + ")}[place]
-    return c.fields.where((number % every == 0) & kind).select(names.node_id(F.col("object_type"), cat.canonical()).alias("id"))
+    return c.fields.where(kind).select(names.node_id(F.col("object_type"), cat.canonical()).alias("id"))
 
 
 def _joined(column: str) -> Column:
@@ -99,19 +99,19 @@ def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recompute_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan behind every 16th object's first fields."""
+    """The plan behind all fields without formulas."""
     c = _catalog(spark, sf_dir)
     object_type, field = names.split_node_id(F.col("id"))
     roots = _roots(c).select(object_type.alias("object"), field.alias("field"))
-    return recompute.recompute_plan(c, roots).select("node", "level", "role", "status")
+    return recompute.recompute_plan(c, roots).select("step", "node", "level", "role", "status", "column", "formula", *(F.col(f"rule.{k}").alias(f"rule_{k}") for k in ("source", "key", "expression", "condition")))
 
 
 def recompute_plan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several roots, two levels down, with what is upstream of them."""
+    """All sums, two levels down, with what is upstream of them."""
     c = _catalog(spark, sf_dir)
     object_type, field = names.split_node_id(F.col("id"))
-    roots = _roots(c, 16, 2).select(object_type.alias("object"), field.alias("field"))
-    return recompute.recompute_plan_batch(c, roots, 2).select("node", "level", "role", "active", "in_cycle")
+    roots = _roots(c, 2).select(object_type.alias("object"), field.alias("field"))
+    return recompute.recompute_plan_batch(c, roots, 2, latest=_changed(c)).select("step", "node", "level", "role", "active", "in_cycle", "formula")
 
 
 # Names, formulas, rules
@@ -269,9 +269,9 @@ def pattern_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new source for every object with an odd number, for its first field."""
+    """A new source for every object, for its first field."""
     c = _catalog(spark, sf_dir)
-    first = c.fields.groupBy("object_type").agg(F.min_by(cat.canonical(), F.col("id").cast("long")).alias("field")).where(F.substr("object_type", F.lit(4)).cast("long") % 2 == 1)
+    first = c.fields.groupBy("object_type").agg(F.min_by(cat.canonical(), F.col("id").cast("long")).alias("field"))
     requests = first.select(F.col("object_type").alias("target_object"), F.lit("New").alias("new_source"), "field")
     return health.change_scope(c, edges.intra_edges(c.fields), requests)
 
@@ -302,7 +302,7 @@ def upstream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What first fields of every 16th object affect, three levels deep."""
+    """What fields without formulas affect, three levels deep."""
     c = _catalog(spark, sf_dir)
     nodes, _ = graph.impact(_down(c), _roots(c), 3)
     return edges.attach_meta(nodes, c.fields).select("id", "level", "object", "field", "title")
@@ -317,26 +317,26 @@ def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2."""
     c = _catalog(spark, sf_dir)
-    return graph.trace(_up(c), _roots(c, 3, 2), 5)[0]
+    return graph.trace(_up(c), _roots(c, 2), 5)[0]
 
 
 def closed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4, U2."""
     c = _catalog(spark, sf_dir)
-    return _plain(graph.closed_graph(_down(c), _up(c), _roots(c, 16, 2), 2)[1])
+    return _plain(graph.closed_graph(_down(c), _up(c), _roots(c, 2), 2)[1])
 
 
 def explain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path lengths and last reasons."""
+    """Shortest paths from fields without formulas, with each step's reason."""
     c = _catalog(spark, sf_dir)
     found = graph.explain(_down(c), _roots(c), c.fields, 4)
-    return found.select("root", "id", "path_len", F.size("steps").alias("steps"), "summary")
+    return found.select("root", "id", "object", "field", "path_len", "path", F.array_join("steps.reason", "; ").alias("reasons"), "summary")
 
 
 def object_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between objects upstream of the sums of every third object."""
+    """Edges between objects upstream of the sums."""
     c = _catalog(spark, sf_dir)
-    return graph.object_graph(*graph.trace(_up(c), _roots(c, 3, 2), 3))[1]
+    return graph.object_graph(*graph.trace(_up(c), _roots(c, 2), 3))[1]
 
 
 def global_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,9 +354,9 @@ def _with_cycles(c: Catalog) -> DataFrame:
     """The edges, and one back from the end of every fourth object's second block to the start of the object three before."""
     down = _down(c).select("src", "dst")
     numbered = c.fields.select(F.substr("object_type", F.lit(4)).cast("long").alias("k"), F.col("id").cast("long").alias("ok"), names.node_id(F.col("object_type"), cat.canonical()).alias("node"))
-    ordered = numbered.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ok", "node"))).alias("nodes"))
-    ends = ordered.where((F.col("k") % 16 == 3) & (F.size("nodes") >= 8)).select((F.col("k") - 3).alias("k"), F.col("nodes")[7]["node"].alias("src"))
-    starts = ordered.where(F.size("nodes") >= 5).select("k", F.col("nodes")[4]["node"].alias("dst"))
+    placed = numbered.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("ok"))).where("place <= 8")
+    ends = placed.where((F.col("k") % 16 == 3) & (F.col("place") == 8)).select((F.col("k") - 3).alias("k"), F.col("node").alias("src"))
+    starts = placed.where("place = 5").select("k", F.col("node").alias("dst"))
     return checkpoint(down.union(ends.join(starts, "k").select("src", "dst")).distinct())
 
 
@@ -393,7 +393,7 @@ def fix_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G15."""
     c = _catalog(spark, sf_dir)
-    return graph.dirty_set(_up(c), _roots(c, 16, 2))
+    return graph.dirty_set(_up(c), _roots(c, 2))
 
 
 def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +403,7 @@ def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, walked = graph.impact(_down(c), roots, 2)
     walked = walked.where("rel <> 'view'")
     report = graph.impact_report(graph.explain(walked, roots, c.fields, 2), walked, c.fields, roots)
-    return report.select("object", "field", "title", "role", "relations")
+    return report.select("object", "field", "title", "role", "relations", "path", "trigger_expr", "expression", "virtual_expr")
 
 
 def graph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,9 +456,9 @@ def metadata_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: what every eighth object refers to within three steps."""
+    """D3: what every bill refers to within three steps."""
     c = _catalog(spark, sf_dir)
-    starts = c.objects.where("type = 'bill' AND name NOT LIKE '%View'").where(F.substr("name", F.lit(4)).cast("long") % 8 == 0).select(F.col("name").alias("id"))
+    starts = c.objects.where("type = 'bill' AND name NOT LIKE '%View'").select(F.col("name").alias("id"))
     return references.reference_paths(references.metadata_graph(c), starts, 3).select("start", "target", "hops")
 
 
