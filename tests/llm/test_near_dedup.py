@@ -70,6 +70,10 @@ def test_second_round_finds_what_the_middle_misses(documents, monkeypatch):
     rows = [(k, " ".join(edited(left if k % 2 else right, 2))) for k in range(60)]
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
     assert run(documents(rows)) == brute(rows)
+    monkeypatch.setattr(near_dedup, "MANY_BLOCKS", 0)  # by rare shingles
+    for few in (0, 25, 1000):
+        monkeypatch.setattr(near_dedup, "FEW_CANDIDATES", few)
+        assert run(documents(rows)) == brute(rows)
     bridge = edited(base, 3)  # in reach of some of either
     rows += [(60 + k, " ".join(edited(bridge, k % 3))) for k in range(5)]
     assert run(documents(rows)) == brute(rows)
@@ -121,3 +125,18 @@ def test_components(spark, monkeypatch, edges, last):
             if a != b:
                 want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def test_recall_at_the_threshold(documents):
+    """Pairs of a similarity from 0.75 to 0.80, each of its own words: all are found."""
+    random.seed(31)
+    rows, close = [], 0
+    while close < 300:
+        base = make(random.randint(60, 120))
+        other = edited(base, random.randint(1, 4))
+        x, y = sets_of(" ".join(base)), sets_of(" ".join(other))
+        if 75 * len(x | y) <= 100 * len(x & y) <= 80 * len(x | y):
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+            close += 1
+    got = run(documents(rows))
+    assert all(component == i - i % 2 for i, _, component, _ in got)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from tributary.llm import substring_dedup as sd
 
 
@@ -57,3 +59,26 @@ def test_one_group_of_copies(documents):
 def test_empty(documents):
     assert run(documents([])) == []
     assert run(documents([(1, None)])) == [(1, 0, 0, "")]
+
+
+def test_words_that_cancel_out_in_sums(documents):
+    """The Thue-Morse word and its swap have equal polynomial hashes modulo powers of two, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    before = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{before} {one}"), (2, f"{before} {one.translate(str.maketrans('ab', 'ba'))}")]
+    assert run(documents(rows)) == brute(rows) and [r[2] for r in run(documents(rows))] == [0, 0]
+
+
+def test_windows_are_confirmed_on_their_words(documents, monkeypatch):
+    monkeypatch.setattr(sd, "window_hashes", lambda hashes, width: np.zeros(max(0, len(hashes) - width + 1), np.uint64))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text.upper()), (3, "x " + text[: len(text) // 2] + " and 40 more " + "y " * 30)]
+    got = {r[0]: r[2] for r in run(documents(rows))}
+    assert got == {r[0]: r[2] for r in brute(rows)}
+
+
+def test_buckets_by_size(documents, monkeypatch):
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 1)
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, text) for i in range(20)] + [(None, text), (None, text), (30, None)]
+    assert run(documents(rows)) == brute(rows)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.loops import checkpoint, shared_folder
+
+__all__ = ["checkpoint", "shared_folder"]
 
 #: Bytes of text that a Python task looks at in one go.
 CHUNK_BYTES = 1 << 20
@@ -24,24 +29,38 @@ def keep_only(operator: str) -> None:
             cache.clear()
 
 
-#: Odd multipliers of the polynomial hashes (fixed, so that results are the same on every run).
-_BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
-_WORD_MULTIPLIER = 0xD1342543DE82EF95
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front of those that are taken, in any case; for columns of an operator's own beside a user's."""
+    known = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir, which all executors share.
+#: Keys of more rows than a part of LISTED of all, and than LEAST_OFTEN, are joined by broadcast: there are at most LISTED of them.
+LISTED, LEAST_OFTEN = 65_536, 1 << 20
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with table (keys, n: how many rows each key has, and more), without the n. No task gets a key that many rows have.
 
-    Only where neither the context nor the session names a folder, as in tests, a temporary one is set.
+    Frequent keys' rows stay where they are; the bound on their number bounds the broadcast, and with it what one key brings to a task of the other join.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+    total = table.agg(F.sum("n")).head()[0] or 0
+    often = F.col("n") > max(LEAST_OFTEN, total // LISTED)
+    if table.where(often).isEmpty():
+        return rows.join(table.drop("n"), keys)
+    listed = F.broadcast(table.where(often).drop("n"))
+    rest = rows.join(listed.select(keys), keys, "left_anti").join(table.where(~often).drop("n"), keys)
+    return rows.join(listed, keys).unionByName(rest)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -81,25 +100,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, or of base's inverse."""
-    got = _powers.get((base, inverse))
-    if got is None or len(got) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        got = np.full(size, pow(base, -1, 1 << 64) if inverse else base, np.uint64)
-        got[0] = 1
-        _powers[base, inverse] = got = np.multiply.accumulate(got)
-    return got[:n]
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], from one prefix sum over all values."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(base, len(values) + 1, inverse=True)[starts] + mix((ends - starts).astype(np.uint64) + np.uint64(1)))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair, in this order. Mixing between any two steps keeps structure in the values, such as words made of few letters, from cancelling out."""
+    return mix(a * np.uint64(0xD1342543DE82EF95) + b)
 
 
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,21 +123,40 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begins, ends, np.searchsorted(begins, starts)
 
 
-#: A random 64-bit value for each byte.
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BYTE_MULTIPLIER))
+#: By number of bytes, what a block of eight keeps.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hashes(_BYTE_VALUES[data], begins, ends, _BYTE_MULTIPLIER)
+    """A 64-bit hash of each word's length and bytes, eight at a time."""
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    size = ends - begins
+    out = joined(size.astype(np.uint64), eights[begins] & _MASKS[np.minimum(size, 8)])
+    for done in range(8, LONG_WORD, 8):
+        more = np.flatnonzero((size > done) & (size <= LONG_WORD))
+        if not len(more):
+            break
+        out[more] = joined(out[more], eights[begins[more] + done] & _MASKS[np.minimum(size[more] - done, 8)])
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[begins[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each `width` consecutive word hashes, at the place of the first; fewer words, no windows."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return run_hashes(hashes, at, at + width, _WORD_MULTIPLIER)
+    """A hash of each `width` consecutive word hashes, at the place of the first; fewer words, no windows. Runs of 1, 2, 4, .. words are put together."""
+    run, size, out, have = hashes, 1, None, 0
+    while width:
+        n = len(hashes) - have - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        if width & 1:
+            out, have = run if out is None else joined(out[:n], run[have : have + n]), have + size
+        width >>= 1
+        if width:
+            run, size = joined(run[:-size], run[size:]), 2 * size
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

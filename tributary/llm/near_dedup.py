@@ -8,8 +8,8 @@ grows with M as well, and the tables (i, 1) .. (i, M) are formed where the docum
 Documents with equal shingle sets are one class, and only classes are compared. A table's small groups give all their pairs. In a large
 group every class is compared with the one most like the group's majority. No task holds a group that grows with the input: classes of frequent first
 pairs are dealt out by table instead, and in frequent groups even of those only counts, sums of bits and the middle travel. Large groups that overlap are a family; whoever isn't in its family's
-largest component after that is counted against all its members in a second round, in blocks of bounded size that give links, not
-candidates. All links are confirmed on full shingle sets.
+largest component after that is met with its other members in a second round: through its rarest shingles where the family has many such members, else
+in blocks of bounded size. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpoint, chunks, keep_only, lowered, mix, partitions, run_hashes, word_hashes, words
+from .common import checkpoint, chunks, joined, keep_only, lowered, mix, partitions, word_hashes, words
 from .components import connected_components
 from .exchange import blocks, bucket_count, bucket_of, entries
 
@@ -38,10 +39,12 @@ LARGE = 2048
 LISTED = 65_536
 #: Classes whose places in all groups are made in one go.
 CHUNK_CLASSES = 2048
-#: Of the 64 one-bit minhashes, equal sets share 64, sets of similarity 0.75 share 56 on average; below this, one in a million does.
-LEAST_BITS = 43
+#: Of the 64 one-bit minhashes, equal sets share 64, sets of similarity 0.75 share 56 on average; fewer than this, one pair in 13 million of them does.
+LEAST_BITS = 40
 #: Classes of a family that a task of the second round holds on either side.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
+#: Families with more blocks of open members are looked up by rare shingles, as far as that gives a member few candidates: so many, or one of its family's blocks.
+MANY_BLOCKS, FEW_CANDIDATES = 16, 1000
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -51,10 +54,17 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> t
     begins, ends, of_text = words(data, starts)
     hashed = word_hashes(data, begins, ends)
     counts = np.diff(of_text)
-    per_text = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
-    text = np.repeat(np.arange(len(counts)), per_text)
-    first = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(per_text)[:-1]]), per_text) + of_text[text]
-    hashes = run_hashes(hashed, first, np.minimum(first + size, of_text[text + 1]), 0xD1342543DE82EF95) if len(text) else np.zeros(0, np.uint64)
+    run, found = hashed, []
+    for n in range(1, size + 1):
+        if n > 1:
+            run = joined(run[:-1], hashed[n - 1 :])
+        if n < size:
+            text = np.flatnonzero(counts == n)
+            found.append((text, run[of_text[text]]))
+    whole = np.maximum(counts - size + 1, 0)
+    text = np.repeat(np.arange(len(counts)), whole)
+    found.append((text, run[of_text[text] + np.arange(len(text)) - np.repeat(np.cumsum(whole) - whole, whole)]))
+    text, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((hashes, text))
     text, hashes = text[order], hashes[order]
     new = np.ones(len(text), bool)
@@ -286,16 +296,8 @@ def _candidate_pairs(classes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b, star) with `linked`, whether the full shingle sets are similar enough; and the sets (id, shingles) of their documents."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("near_dedup")
-        for batch in batches:
-            for first, last, data, starts in chunks(batch.column(1)):
-                hashes, places = shingle_sets(lowered(data), starts)
-                sets = pa.array([hashes[a:b].tobytes() for a, b in zip(places, places[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), sets], ["id", "shingles"])
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, star) with `linked`, whether the full shingle sets (id, shingles) are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("near_dedup")
@@ -307,24 +309,76 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], ["a", "b", "star", "linked"])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    sets = checkpoint(texts.mapInArrow(collect, "id long, shingles binary"))
     # A middle is in as many pairs as its group has members: they are dealt by both ends, and its set goes along once for each part.
-    parts = max(32, partitions(docs.sparkSession))
+    parts = max(32, partitions(pairs.sparkSession))
     part = lambda c: F.when(F.col("star"), F.pmod(F.xxhash64(c), F.lit(parts))).otherwise(0).cast("int")
     joined = pairs.withColumns({"part_a": part("b"), "part_b": part("a")})
     for end in ("a", "b"):
         wanted = joined.select(end, f"part_{end}").distinct()
         joined = joined.join(wanted.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")), end), [end, f"part_{end}"])
-    return joined.select("a", "b", "star", "of_a", "of_b").mapInArrow(compare, "a long, b long, star boolean, linked boolean"), sets
+    return joined.select("a", "b", "star", "of_a", "of_b").mapInArrow(compare, "a long, b long, star boolean, linked boolean")
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, star) with `linked`; and the shingle sets (id, shingles) of their documents."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
+        for batch in batches:
+            for first, last, data, starts in chunks(batch.column(1)):
+                hashes, places = shingle_sets(lowered(data), starts)
+                sets = pa.array([hashes[a:b].tobytes() for a, b in zip(places, places[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), sets], ["id", "shingles"])
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    sets = checkpoint(texts.mapInArrow(collect, "id long, shingles binary"))
+    return _compared(pairs, sets, percent), sets
+
+
+def _tokens(members: DataFrame) -> DataFrame:
+    """(family, id, component, size, token): a row for each shingle of each member."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                held = [np.frombuffer(b, np.int64) for b in part.column(3).to_pylist()]
+                size = np.array([len(h) for h in held], np.int64)
+                columns = [np.repeat(part.column(k).to_numpy(), size) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.repeat(size, size)), pa.array(np.concatenate(held))], ["family", "id", "component", "size", "token"])
+
+    return members.select("family", "id", "component", "shingles").mapInArrow(spread, "family long, id long, component long, size long, token long")
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links of open members, found through their rarest shingles; the open members for which that would make too many candidates).
+
+    A set that is similar enough to one of n shingles shares ceil(n * percent / 100) of them with it, so at least one of any n - ceil(n * percent / 100) + 1. Of each open
+    member those that fewest members of its family have are looked up among all members' shingles; each of those that is met is compared in full.
+    """
+    tokens = _tokens(members)
+    own = _tokens(members.where("is_open"))
+    often = tokens.join(own.select("family", "token").distinct(), ["family", "token"], "left_semi").groupBy("family", "token").agg(F.count("*").alias("n_having"))
+    rarest = F.row_number().over(Window.partitionBy("id").orderBy("n_having", "token"))
+    enough = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    looked_up = own.join(often, ["family", "token"]).withColumn("place", rarest).where(F.col("place") <= enough)
+    cost = looked_up.groupBy("id", "family").agg(F.sum("n_having").alias("cost")).join(members.select("id", "n"), "id")
+    few = checkpoint(cost.select("id", (F.col("cost") <= F.greatest(F.lit(FEW_CANDIDATES), F.col("n") / BLOCK_ROWS)).alias("few")))
+    wanted = looked_up.join(few.where("few"), "id", "left_semi").select("family", "token", F.col("id").alias("open_id"), F.col("component").alias("open_component"))
+    met = tokens.join(wanted, ["family", "token"]).where(F.col("component") != F.col("open_component"))
+    pairs = met.select(F.least("id", "open_id").alias("a"), F.greatest("id", "open_id").alias("b"), F.lit(True).alias("star")).distinct()
+    links = _compared(checkpoint(pairs), sets, percent).where("linked").select("a", "b")
+    return links, few.where("NOT few").select("id")
 
 
 def _second_round(star: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between members of families that aren't in their family's largest component and all its members; None if all are.
 
     star: the pairs of large groups with their middles; found: components of the links so far. Of a class's links to one
-    component one is enough. A family's members and its open ones are dealt into blocks, and each pair of blocks is one task.
+    component one is enough. In families with many open members these are looked up by their rarest shingles. The others, and those whose shingles are
+    all frequent, are compared in blocks: a family's members and its open ones are dealt into blocks, and each pair of blocks is one task.
     """
     families = connected_components(star).withColumnRenamed("component", "family")
     members = checkpoint(families.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -333,11 +387,22 @@ def _second_round(star: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     counts = checkpoint(counts)
     if counts.isEmpty():
         return None
-    within = members.join(counts, "family").join(sets, "id")
+    many = F.col("n_open") > MANY_BLOCKS * BLOCK_ROWS
+    if counts.where(many).isEmpty():
+        return _in_blocks(members.join(counts, "family").withColumn("is_open", F.col("component") != F.col("largest")).join(sets, "id"), percent)
+    within = checkpoint(members.join(counts, "family").withColumn("is_open", F.col("component") != F.col("largest")).join(sets, "id"))
+    links, dense = _by_rare_shingles(within.where(many), sets, percent)
+    left = within.join(dense.withColumn("dense", F.lit(True)), "id", "left").withColumn("is_open", F.col("is_open") & (~many | F.col("dense").isNotNull()))
+    left = left.drop("n_open").join(left.groupBy("family").agg(F.count_if("is_open").alias("n_open")).where("n_open > 0"), "family")
+    return checkpoint(links).union(_in_blocks(left, percent))
+
+
+def _in_blocks(within: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the open ones of members (family, id, component, is_open, n, n_open, shingles) and all of their family."""
     deal = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_ROWS).cast("int") - 1))
     left = within.select("family", "id", "component", "shingles", deal("n").alias("block"), each("n_open").alias("open_block"))
-    right = within.where("component <> largest").select(
+    right = within.where("is_open").select(
         F.col("family").alias("of"), F.col("id").alias("open_id"), F.col("component").alias("open_component"), F.col("shingles").alias("open_shingles"), each("n").alias("b1"), deal("n_open").alias("b2")
     )
 
