@@ -1,5 +1,7 @@
 import re
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tributary.llm import surrogates as sg
@@ -83,12 +85,12 @@ def test_secrets_of_other_characters(documents):
 
 
 def test_more_addresses_than_their_range_has_free(spark):
-    one = lambda norm, attempt: spark.range(1).select(sg.surrogate(F.lit("ip"), F.lit(norm), KEY, attempt)).first()[0]
+    one = lambda norm, attempt: spark.range(1).select(sg.surrogate(F.lit("ip"), F.lit(norm), F.lit("any"), KEY, attempt)).first()[0]
     assert one("192.168.3.4", 3).startswith("192.168.") and one("192.168.3.4", 4).startswith("10.") and one("10.2.3.4", 11).startswith("10.")
     assert all(re.fullmatch(r"\d+(\.\d+){3}", one(ip, attempt)) for ip in ("192.168.3.4", "10.2.3.4", "8.2.3.4") for attempt in (0, 4, 12, 19))
     assert re.fullmatch("fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", one("10.2.3.4", 20))
     n = 40_000
-    found = spark.range(n).select(F.lit("ip").alias("kind"), F.concat(F.lit("192.168."), (F.col("id") / 250).cast("int").cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("norm"))
+    found = spark.range(n).select(F.lit("ip").alias("kind"), F.concat(F.lit("192.168."), (F.col("id") / 250).cast("int").cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("norm"), F.lit(None).cast("string").alias("gender"))
     table = sg.surrogate_table(found, KEY).collect()
     new = {r["surrogate"] for r in table}
     assert len(table) == len(new) == n and not new & {r["norm"] for r in table}
@@ -100,3 +102,130 @@ def test_columns_and_empty(documents):
     assert out.columns == [*docs.columns, "n_entities"]
     assert all(r["text"] != "a@bb.com" and len(r["text"]) == r["n_chars"] for r in out.collect())
     assert sg.replace_entities(documents([]), KEY).collect() == []
+
+
+TEXTS = [
+    "Mrs Anna Schmidt came. Anna Schmidt left, ANNA too; Schmidt's dog, Schmidtchen.", "Dr Anna Schmidt and Frau Anna Schmidt", "+49 30 1234567, +44 20 7946 0958; 06 12 34 56 78; 030/1234567, 020 7946 0958",
+    "анна@почта.рф, user@пример.рф", "2001:db8::1 and 2001:0DB8:0:0:0:0:0:1, std::vector at 12:30:45", "3782 822463 10005, 378282246310005", "Mr. van der Berg met M. Dupont, Mr. O'Brien and Dr J. Smith-Jones; O'Brien and Dupont",
+    'password="hunter2 with space" and token=abc; pwd: a1 secret: be kind, then hunter2 with space', '{"password": "", "user": "bob", "api_key": "x y z"}', "AccessToken=abcdef12 Mr Abel; abcdef12", "Señora de la Cruz, de la Cruz", "", None, "nothing", "Frau Müller Montag",
+    "token=a\\Eb\\Qcdef then a\\Eb\\Qcdef (twice) [a\\Eb\\Qcdef]",
+]
+
+
+def test_other_mentions_and_forms(documents):
+    rows = run(documents(list(enumerate(TEXTS))))
+    t = {r["doc_id"]: r["text"] for r in rows}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. (\w+) (\w+) left, (\w+) too; (\w+)'s dog, Schmidtchen\.", t[0])
+    assert m[1] == m[3] == m[5].capitalize() and m[5].isupper() and m[2] == m[4] == m[6] and m[1] in sg.GIVEN["latin", "female"]
+    assert t[1] == f"Dr {m[1]} {m[2]} and Frau {m[1]} {m[2]}"
+    assert re.fullmatch(r"\+4\d \d\d \d{7}, \+4\d \d\d \d{4} \d{4}; 0\d( \d\d){4}; 0\d\d/\d{7}, 0\d\d \d{4} \d{4}", t[2]) and not any(x in t[2] for x in ("1234567", "7946 0958", "12 34 56"))
+    assert re.fullmatch(r"[а-я]{4}@[а-я]{5}\.рф, [a-z]{4}@[а-я]{6}\.рф", t[3]) and "анна" not in t[3] and "user" not in t[3]
+    m = re.fullmatch(r"(fd[0-9a-f:]{37}) and (fd[0-9a-f:]{37}), std::vector at 12:30:45", t[4])
+    assert m[1] == m[2]
+    m = re.fullmatch(r"(3\d{3} \d{6} \d{5}), (3\d{14})", t[5])
+    assert m[1].replace(" ", "") == m[2] != "378282246310005"
+    m = re.fullmatch(r"Mr\. van der (\w+) met M\. (\w+), Mr\. (\w+) and Dr J\. (\w+); (\w+) and (\w+)", t[6])
+    assert m[3] == m[5] and m[2] == m[6] and "Berg" not in t[6] and "Brien" not in t[6]
+    m = re.fullmatch(r'password="(.+)" and token=(\w{3}); pwd: ([0-9a-f]{2}) secret: be kind, then (.+)', t[7])
+    assert m[1] == m[4] and len(m[1].split()) == 3 and "hunter" not in t[7] and m[2] != "abc"
+    assert re.fullmatch(r'\{"password": "", "user": "bob", "api_key": "\w \w \w"\}', t[8]) and t[13] == "nothing"
+    assert not any(x in t[k] for k, x in ((9, "abcdef12"), (9, "Abel"), (10, "Cruz"), (14, "Müller"), (15, "Qcdef")))
+    assert t[15].count(t[15][6:].split(" ")[0]) == 3
+
+
+def brute(docs, key):
+    """The texts by plain Python, entity by entity, with the table of surrogates."""
+    table = {(r["kind"], r["norm"]): r["surrogate"] for r in sg.surrogate_table(sg.mentions(docs), key).collect()}
+    entity, bare = regex.compile("(?a)" + sg.ENTITY), regex.compile("(?a)" + sg.ENTITY + sg.BARE_NAME)
+    kinds = {k: regex.compile(f"(?a)(?:{p})") for k, p in sg.PATTERNS.items()}
+    name = regex.compile(f"(?a)({sg.ADDRESS})(?:({sg.NAME})([ \xa0]))?((?:(?:{sg.PARTICLES})[ \xa0]){{0,3}})({sg.NAME})")
+    secret = regex.compile(f"(?as)({sg.SECRET_LEAD}[\"']?)(.*?)([\"']?)")
+    cap = lambda token: " ".join(w[:1].upper() + w[1:].lower() for w in token.split(" "))
+
+    def form(token, new):
+        return new.upper() if len(token) > 1 and token.upper() == token else new
+
+    def spread(surface, new, wanted):
+        new = list(new)
+        return "".join(new.pop(0) if regex.fullmatch(wanted, c) else c for c in surface) + "".join(new)
+
+    def one(s, names, secrets):
+        if s in secrets:
+            return [("secret", s, table["secret", s])]
+        if s.lower() in names:
+            return [(*names[s.lower()], form(s, table[names[s.lower()]]))]
+        if kinds["email"].fullmatch(s):
+            return [("email", s.lower(), table["email", s.lower()])]
+        if m := secret.fullmatch(s):
+            return [("secret", m[2], m[1] + table["secret", m[2]] + m[3])]
+        for kind in ("access_key", "iban", "ip6", "card", "phone", "national_id", "ip"):
+            if kinds[kind].fullmatch(s):
+                norm = regex.sub(r"(?a)\D", "", s) if kind in sg.DIGITS else s.replace(" ", "") if kind == "iban" else s
+                if kind == "ip6":
+                    import ipaddress
+
+                    norm = ipaddress.ip_address(s).exploded
+                new = table[kind, norm]
+                return [(kind, norm, spread(s, new, "[A-Z0-9]" if kind == "iban" else "[0-9]") if kind in (*sg.DIGITS, "iban") else new)]
+        if m := name.fullmatch(s):
+            given = [("given", cap(m[2]), m[1] + form(m[2], table["given", cap(m[2])]))] if m[2] else []
+            return [*given, ("family", cap(m[5]), (m[3] if m[2] else m[1]) + m[4] + form(m[5], table["family", cap(m[5])]))]
+        return []
+
+    out = []
+    for row in docs.collect():
+        text, found = row["text"], []
+        if text is not None:
+            first = [one(m[0], {}, ()) for m in entity.finditer(text)]
+            flat = [p for ps in first for p in ps]
+            tokens = [(m[2], m[5]) for s in entity.findall(text) if (m := name.fullmatch(s)) and not kinds["email"].fullmatch(s)]
+            names = {t.lower(): (k, cap(t)) for pair in tokens for k, t in zip(("given", "family"), pair, strict=True) if t}
+            secrets = {p[1] for p in flat if p[0] == "secret" and len(p[1]) >= sg.BARE_SECRET}
+            pattern = bare if names else entity
+            if secrets:
+                pattern = regex.compile(pattern.pattern + "".join("|" + regex.escape(s) for s in sorted(secrets, key=lambda s: (-len(s), s))))
+            pieces, at = [], 0
+            for m in pattern.finditer(text):
+                parts = one(m[0], names, secrets)
+                pieces += [text[at : m.start()], "".join(p[2] for p in parts) if parts else m[0]]
+                found += [p[:2] for p in parts]
+                at = m.end()
+            text = "".join(pieces) + text[at:]
+        out.append((row["doc_id"], text, found))
+    return out
+
+
+@pytest.mark.parametrize("source", ["texts", "table"])
+def test_as_plain_python_and_nothing_survives(spark, documents, source):
+    docs = documents(list(enumerate(TEXTS))) if source == "texts" else spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute(docs, KEY)
+    got = {r["doc_id"]: r["text"] for r in sg.replace_entities(docs, KEY).collect()}
+    assert got == {i: t for i, t, _ in want} and sum(len(found) for *_, found in want) >= 10
+    for i, _, found in want:
+        plain = got[i] and re.sub(r"(?<=\d)[ ()./-]+(?=\d)", "", got[i])
+        for kind, norm in found:
+            assert kind == "secret" and len(norm) < sg.BARE_SECRET or norm not in plain and (kind != "email" or norm not in plain.lower()), (i, kind, norm)
+
+
+def test_gender_by_most_mentions(documents):
+    rows = run(documents([(1, "Mr Kim Lee"), (2, "Mrs Kim Fox"), (3, "Ms Kim Ox"), (4, "Dr Kim Ash"), (5, "Dr Toni Ash")]))
+    given = [r["text"].split(" ")[1] for r in rows]
+    assert len(set(given[:4])) == 1 and given[0] in sg.GIVEN["latin", "female"] and given[4] in sg.GIVEN["latin", "any"]
+
+
+def test_forms_get_longer_when_they_run_out(spark):
+    taken = spark.range(10**4).select(F.lit("phone").alias("kind"), F.format_string("5%04d", "id").alias("norm"), F.lit(None).cast("string").alias("gender"))
+    table = sg.surrogate_table(taken, KEY).collect()
+    assert len(table) == len({r["surrogate"] for r in table}) == 10**4 and all(re.fullmatch(r"5\d{5,}", r["surrogate"]) for r in table)
+    filled = spark.range(1).select(sg._filled(F.lit("(55) 55-5"), F.lit("phone"), F.lit("1234567"))).first()[0]
+    assert filled == "(12) 34-567"
+
+
+def test_any_names_of_columns(documents):
+    names = ("score", "__text", "__doc", "__digest", "__new", "__keep", "__kept", "__lines", "row", "doc", "digest", "new", "extra", "unchanged", "found", "pos", "kind", "a.b", "Norm")
+    docs = documents([(1, "a@bb.com"), (2, None)])
+    for n in names:
+        docs = docs.withColumn(n, F.lit(7))
+    out = sg.replace_entities(docs, KEY)
+    assert out.columns == [*docs.columns, "n_entities"]
+    assert all(tuple(r)[5:-1] == (7,) * len(names) for r in out.collect())

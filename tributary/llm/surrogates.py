@@ -1,10 +1,11 @@
 """Surrogates for personal data and secrets; DataFrame functions only.
 
-One regular expression finds entities. Each distinct entity (its kind and its normal form, so that spellings of one phone number are one
-entity) gets a replacement derived from a secret key: same kind, same format, given names of the same gender and script. Replacements
-that two entities would share, or that are entities of the texts themselves, are derived anew with a higher attempt
-number until none is left, so different entities stay different and equal ones stay equal throughout the corpus. Then
-each text's pieces between entities and its replacements are joined in turn.
+One regular expression finds entities. Where it finds names or secrets, the same text is searched again for their other mentions: names without a form
+of address, secrets without their key word. Each distinct entity (its kind and its normal form, so that spellings of one phone number are one
+entity) gets a replacement derived from a secret key: same kind, same format, given names of the same script and of the gender that most forms of address
+before them tell. Replacements that two entities would share, or that are entities of the texts themselves, are derived anew with a higher attempt
+number until none is left, so different entities stay different and equal ones stay equal throughout the corpus. Forms that run out of
+alternatives get longer. Then each text's pieces between entities and its replacements are joined in turn.
 """
 
 from __future__ import annotations
@@ -12,31 +13,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_counted
 
-# Forms of address by gender.
+# Forms of address by gender, and particles of family names.
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа|κυρία"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин|κύριος"
 NEUTRAL = "Dr|Prof"
-
-SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+PARTICLES = "van|von|vom|der|den|de|del|della|di|da|dos|das|la|le|du|ter|ten|zu|zur|bin|ibn|al|el"
+
+#: A part of a name: capital, letters, and further parts behind an apostrophe or hyphen.
+NAME = r"(?:\p{Lu}\p{L}{1,30}+|\p{Lu}(?=['’]\p{Lu}))(?:['’-]\p{Lu}\p{L}{1,30}+){0,3}"
+ADDRESS = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?|M\.)[ \xa0](?:\p{{Lu}}\.[ \xa0]?){{0,2}}"
+SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+#: Up to the closing quote, else up to a blank, quote, comma or semicolon; without quote and equals sign short words of letters are prose.
+SECRET_VALUE = r"(?:\"(?!\")[^\n]+?(?<!\\)\"|'(?!')[^\n]+?(?<!\\)'|[\"']?(?:(?<==\s{0,3}[\"']?)|(?=[^\s\"',;]{6})|(?=[^\s\"',;]{0,5}\d))[^\s\"',;]++)"
+OCTET, HEX = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)", "[0-9A-Fa-f]{1,4}"
 #: By kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": SECRET_LEAD + r"[^\s\"',;]{6,}+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{M}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}",
+    "secret": SECRET_LEAD + SECRET_VALUE,
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}(?!\d)|\+\d{9,15}(?!\d)",
+    "ip6": rf"(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,38}}\d)(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![:\p{{L}}\p{{N}}])",
+    "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)|3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}(?!\d)|\+\d{9,15}(?!\d)|\+(?=(?:[ ./()-]{0,2}\d){8,15}(?!\d))\d{1,4}(?:[ ./()-]{1,2}\d{1,8}){1,6}(?!\d)"
+    r"|0\d(?:[ .-]\d\d){4}(?!\d)|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?!\d)",
     "national_id": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "ip": rf"(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
-    "name": rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.?[ \xa0]\p{{Lu}}[\p{{L}}'’-]{{1,30}}(?:[ \xa0]\p{{Lu}}[\p{{L}}'’-]{{1,30}})?",
+    "name": rf"{ADDRESS}(?:{NAME}[ \xa0])?(?:(?:{PARTICLES})[ \xa0]){{0,3}}{NAME}",
 }
 #: Entities begin where no letter, digit or underscore is before; secrets do anywhere, as their key words end longer names (client_secret, accessToken).
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")|" + PATTERNS["secret"]
+#: What may be a name's other mention, and isn't the key of a secret.
+BARE_NAME = rf"|(?<![\p{{L}}\p{{N}}_]){NAME}(?![\p{{L}}\p{{N}}_]|[\"']?\s{{0,3}}[=:])"
+#: Secrets of so many characters are looked for without their key word.
+BARE_SECRET = 6
 #: Kinds whose entity is its digits; a mention keeps its own blanks, brackets and dashes.
 DIGITS = ("card", "phone", "national_id")
+#: From this attempt on forms get longer by a digit with each one; after the last there is an error.
+LONGER, LAST_ATTEMPT = 6, 64
 
 # Given names by script and gender, and syllables of family names by script.
 GIVEN = {
@@ -74,7 +89,7 @@ def _byte(digest: Column, at: Column | int) -> Column:
 
 
 def _pick(options: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), number % len(options) + 1)
+    return F.element_at(F.split(F.lit(" ".join(options)), " "), number % len(options) + 1)
 
 
 def _sign(c: Column, n: Column) -> Column:
@@ -87,46 +102,59 @@ def _sign(c: Column, n: Column) -> Column:
     return out.otherwise(of(SIGNS))
 
 
-def _alike(text: Column, digest: Column, hexadecimal: Column | None = None) -> Column:
-    """Digits become digits, letters letters of the same case; other characters stay. With `hexadecimal`, for secrets, no character stays as it is but by chance, and in hexadecimal texts they become hexadecimal digits."""
+#: For _alike: letters of other scripts are replaced too, signs stay.
+LETTERS_ONLY = "letters"
+
+
+def _alike(text: Column, digest: Column, secret: Column | str | None = None) -> Column:
+    """Digits become digits, A-Z and a-z letters of the same case; other characters stay, other letters not with LETTERS_ONLY.
+
+    Of secrets only blanks stay as they are but by chance; there `secret` says whether the text is hexadecimal, whose characters become hexadecimal digits.
+    """
 
     def one(c: Column, i: Column) -> Column:
         n = _byte(digest, i)
-        digit = F.when(c.between("0", "9"), (n % 10).cast("string"))
-        other = digit.when(c.between("a", "z"), F.char(97 + n % 26)).when(c.between("A", "Z"), F.char(65 + n % 26)).otherwise(c if hexadecimal is None else _sign(c, n))
-        return other if hexadecimal is None else F.when(hexadecimal, F.lower(F.hex(n % 16))).otherwise(other)
+        plain = F.when(c.between("0", "9"), (n % 10).cast("string")).when(c.between("a", "z"), F.char(97 + n % 26)).when(c.between("A", "Z"), F.char(65 + n % 26))
+        if secret is None:
+            return plain.otherwise(c)
+        if isinstance(secret, str):
+            return plain.when(c.rlike(r"^\p{L}$"), _sign(c, n)).otherwise(c)
+        return F.when(secret, F.lower(F.hex(n % 16))).otherwise(plain.when(c.rlike(r"^\s$"), c).otherwise(_sign(c, n)))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def _luhn(digits: Column) -> Column:
-    """The sum over digits of the Luhn check, every second one from the last but one doubled, modulo 10; 16 digits."""
-    values = F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
+    """The sum over digits of the Luhn check, every second one from the last but one doubled, modulo 10."""
+    doubled = lambda i: (F.length(digits) - i) % 2 == 0
+    values = F.transform(F.split(digits, ""), lambda c, i: F.when(doubled(i), c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
-    """The replacement of a normal form: a function of the key, the kind, the form and the attempt."""
+def surrogate(kind: Column, norm: Column, gender: Column, key: str, attempt: int) -> Column:
+    """The replacement of a normal form: a function of the key, the kind, the form, a given name's gender (female, male or any) and the attempt."""
     seed = lambda what: F.sha2(F.concat(F.lit(f"{key}\x00{attempt}\x00"), kind, F.lit("\x00"), what), 512)
     digest = seed(norm)
     more = "" if attempt < 3 else f"{attempt}"  # short forms run out of alternatives
+    longer = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(attempt - LONGER + 1)), lambda i: (_byte(digest, i + 30) % 10).cast("string")), "") if attempt >= LONGER else F.lit("")
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     hosts = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_alike(local, digest), F.lit(more), F.lit("@"), _alike(hosts, F.sha2(F.concat(F.lit(f"{key}\x00domain\x00"), domain), 512)), top)
+    email = F.concat(_alike(local, digest, LETTERS_ONLY), F.lit(more), F.lit("@"), _alike(hosts, F.sha2(F.concat(F.lit(f"{key}\x00domain\x00"), domain), 512), LETTERS_ONLY), top)
     # Phones keep their leading digit, cards their network; groups of digits hold no kept digit otherwise.
     body = lambda from_: F.concat(F.substr(norm, F.lit(1), F.lit(from_)), _alike(F.substr(norm, F.lit(from_ + 1)), digest))
     card = body(1)
-    unchecked = F.concat(F.substr(card, F.lit(1), F.lit(15)), F.lit("0"))
-    valid = F.concat(F.substr(card, F.lit(1), F.lit(15)), ((10 - _luhn(unchecked)) % 10).cast("string"))
-    card = F.when(_luhn(norm) == 0, valid).otherwise(card)
+    unchecked = F.substr(card, F.lit(1), F.length(card) - 1)
+    valid = F.concat(unchecked, ((10 - _luhn(F.concat(unchecked, F.lit("0")))) % 10).cast("string"))
+    card = F.concat(F.when(_luhn(norm) == 0, valid).otherwise(card), longer)
     private = F.regexp_extract(norm, r"^(10\.|192\.168\.)", 1)
     # Ranges of addresses run out: private ones go on in 10., then all in any range, at last in local addresses of the sixth version, of which there are 2 ** 120.
     if attempt >= 4:
         private = F.when((private == "") | F.lit(attempt >= 12), "").otherwise("10.")
     n_octets = F.when(private == "", 4).when(private == "10.", 3).otherwise(2)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), n_octets - 1), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
-    ip = F.concat(private, octets) if attempt < 20 else F.concat(F.lit("fd"), F.regexp_replace(F.substr(digest, F.lit(1), F.lit(30)), "^(..)" + "(....)" * 7 + "$", "$1:$2:$3:$4:$5:$6:$7:$8"))
+    ip6 = F.concat(F.lit("fd"), F.regexp_replace(F.substr(digest, F.lit(1), F.lit(30)), "^(..)" + "(....)" * 7 + "$", "$1:$2:$3:$4:$5:$6:$7:$8"))
+    ip = F.concat(private, octets) if attempt < 20 else ip6
     access = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _pick(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _byte(digest, i))), ""))
     hexadecimal = norm.rlike("^[0-9a-f]+$")
     script = F.when(norm.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
@@ -136,39 +164,44 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
         family = F.when(script == which, made) if family is None else family.when(script == which, made)
     # Given names are few: from the third attempt on they get syllables.
     extras = {w: F.concat(F.lit(""), *(_pick(SYLLABLES[w], _byte(digest, i + 2)) for i in range(attempt - 2))) for w in SYLLABLES}
-    for (which, gender), names in GIVEN.items():
+    for (which, of), names in GIVEN.items():
         made = F.concat(_pick(names, _byte(digest, 0) * 256 + _byte(digest, 1)), extras[which])
-        fits = (kind == f"given_{gender}") & (script == which)
+        fits = (gender == of) & (script == which)
         given = F.when(fits, made) if given is None else given.when(fits, made)
     return (
-        F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", body(1)).when(kind == "national_id", F.concat(F.lit("9"), _alike(F.substr(norm, F.lit(2)), digest)))
-        .when(kind == "ip", ip).when(kind == "access_key", access).when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _alike(F.substr(norm, F.lit(3)), digest)))
+        F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", F.concat(body(1), longer)).when(kind == "national_id", F.concat(F.lit("9"), _alike(F.substr(norm, F.lit(2)), digest), longer))
+        .when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "access_key", access).when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _alike(F.substr(norm, F.lit(3)), digest), longer))
         .when(kind == "secret", F.concat(_alike(norm, digest, hexadecimal), F.lit(more))).when(kind == "family", family).otherwise(given)
     )
 
 
+def _part(kind: Column, norm: Column, lead: Column, form: Column, gender: Column | None = None) -> Column:
+    return F.struct(kind.alias("kind"), norm.alias("norm"), lead.alias("lead"), form.alias("form"), (F.lit(None).cast("string") if gender is None else gender).alias("gender"))
+
+
 def _parts(surface: Column) -> Column:
-    """An entity's parts as (kind, norm, lead, form): names have one or two, the rest one. lead stays before the replacement, form is filled with it."""
-    part = lambda kind, norm, lead, form: F.struct(kind.alias("kind"), norm.alias("norm"), lead.alias("lead"), form.alias("form"))
+    """An entity's parts as (kind, norm, lead, form, gender): names have one or two, the rest one. lead stays before the replacement, form is filled with it."""
     empty, digits = F.lit(""), F.regexp_replace(surface, r"\D", "")
     is_ = lambda kind: surface.rlike("^(?:" + PATTERNS[kind] + ")$")
-    lead = F.regexp_extract(surface, "^" + SECRET_LEAD, 0)
-    tokens = F.split(surface, "[ \xa0]")
-    title = F.concat(tokens[0], F.lit(" "))
-    gender = F.when(surface.rlike(rf"^(?:{FEMALE})\b"), "given_female").when(surface.rlike(rf"^(?:{MALE})\b"), "given_male").otherwise("given_any")
-    last = tokens[F.size(tokens) - 1]
-    names = F.when(F.size(tokens) == 3, F.array(part(gender, F.initcap(tokens[1]), title, tokens[1]), part(F.lit("family"), F.initcap(last), F.lit(" "), last)))
-    names = names.otherwise(F.array(part(F.lit("family"), F.initcap(last), title, last)))
-    out = F.when(is_("email"), F.array(part(F.lit("email"), F.lower(surface), empty, empty)))
-    out = out.when(lead != "", F.array(part(F.lit("secret"), F.substr(surface, F.length(lead) + 1), lead, empty)))
-    for kind in ("access_key", "iban", "card", "phone", "national_id", "ip"):
-        norm = digits if kind in DIGITS else F.replace(surface, F.lit(" ")) if kind == "iban" else surface
-        out = out.when(is_(kind), F.array(part(F.lit(kind), norm, empty, surface if kind in (*DIGITS, "iban") else empty)))
+    of_secret = lambda n: F.regexp_extract(surface, rf"(?s)^({SECRET_LEAD}[\"']?)(.*?)([\"']?)$", n)
+    of_name = lambda n: F.regexp_extract(surface, rf"^({ADDRESS})(?:({NAME})[ \xa0])?((?:(?:{PARTICLES})[ \xa0]){{0,3}})({NAME})$", n)
+    gender = F.when(surface.rlike(rf"^(?:{FEMALE})\b"), "female").when(surface.rlike(rf"^(?:{MALE}|M\.)(?!\p{{L}})"), "male")
+    address, first, last = of_name(1), of_name(2), of_name(4)
+    between = F.substr(surface, F.length(address) + F.length(first) + 1, F.length(surface) - F.length(address) - F.length(first) - F.length(last))
+    family = lambda lead: _part(F.lit("family"), F.initcap(last), lead, last)
+    names = F.when(first != "", F.array(_part(F.lit("given"), F.initcap(first), address, first, gender), family(between))).otherwise(F.array(family(F.concat(address, between))))
+    left, right = F.split(F.lower(surface), "::")[0], F.when(surface.contains("::"), F.substring_index(F.lower(surface), "::", -1))
+    groups = F.concat(F.split(left, ":"), F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(F.split(left, ":")) - F.coalesce(F.size(F.split(right, ":")), F.lit(0)))), F.coalesce(F.split(right, ":"), F.array().cast("array<string>")))
+    norms = {"iban": F.replace(surface, F.lit(" ")), "ip6": F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")} | dict.fromkeys(DIGITS, digits)
+    out = F.when(is_("email"), F.array(_part(F.lit("email"), F.lower(surface), empty, empty)))
+    out = out.when(of_secret(1) != "", F.array(_part(F.lit("secret"), of_secret(2), of_secret(1), of_secret(3))))
+    for kind in ("access_key", "iban", "ip6", "card", "phone", "national_id", "ip"):
+        out = out.when(is_(kind), F.array(_part(F.lit(kind), norms.get(kind, surface), empty, surface if kind in (*DIGITS, "iban") else empty)))
     return out.otherwise(names)
 
 
 def _filled(form: Column, kind: Column, new: Column) -> Column:
-    """The mention's own format with the replacement in it: digits into its digits' places, capitals for capitals."""
+    """The mention's own format with the replacement in it: digits into its digits' places and more behind them, capitals for capitals, a secret's closing quote."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     wanted = F.when(kind == "iban", "[A-Z0-9]").otherwise("[0-9]")
 
@@ -176,54 +209,84 @@ def _filled(form: Column, kind: Column, new: Column) -> Column:
         takes = F.regexp_like(c, wanted)
         return F.struct(F.concat(a["out"], F.when(takes, F.substr(new, a["at"] + 1, F.lit(1))).otherwise(c)).alias("out"), (a["at"] + F.when(takes, 1).otherwise(0)).alias("at"))
 
-    spread = F.aggregate(F.split(form, ""), start, step)["out"]
+    spread = F.aggregate(F.split(form, ""), start, step, lambda a: F.concat(a["out"], F.substr(new, a["at"] + 1)))
     capitals = (F.length(form) > 1) & (F.upper(form) == form)
-    return F.when(kind.isin(*DIGITS, "iban"), spread).when((kind == "family") | kind.startswith("given"), F.when(capitals, F.upper(new)).otherwise(new)).otherwise(new)
+    return F.when(kind.isin(*DIGITS, "iban"), spread).when(kind == "secret", F.concat(new, form)).when(kind.isin("family", "given"), F.when(capitals, F.upper(new)).otherwise(new)).otherwise(new)
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__digest": F.xxhash64("text")})
+def _identified(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc (null ids count as the smallest), digest and text: what tells texts apart, repeated ids or not."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"), *more)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """A row for each part of each entity: __doc, __digest, pos (number of the entity in its text), part, kind, norm, lead, form. Null texts have none."""
-    found = _identified(docs.select("doc_id", "text")).select("__doc", "__digest", F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("pos", "surface"))
-    return found.select("__doc", "__digest", "pos", F.posexplode(_parts(F.col("surface"))).alias("part", "p")).select("__doc", "__digest", "pos", "part", "p.*")
+    """A row for each part of each entity: doc, digest, pos (number of the match in its text), part, kind, norm, lead, form, gender. Null texts have none.
+
+    A text's first row also has extra, what is searched for there besides ENTITY, and unchanged, the matches (pos, part, text) that turned out to be no entity.
+    """
+    first = _identified(docs).withColumn("found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).where(F.size("found") > 0)
+    told = first.withColumn("parts", F.transform("found", _parts)).withColumn("flat", F.flatten("parts"))
+    names = F.array_distinct(F.transform(F.filter("flat", lambda p: p["kind"].isin("given", "family")), lambda p: F.struct(F.lower(p["form"]).alias("term"), p["kind"].alias("kind"), p["norm"].alias("norm"))))
+    secrets = F.array_distinct(F.transform(F.filter("flat", lambda p: (p["kind"] == "secret") & (F.length(p["norm"]) >= BARE_SECRET)), lambda p: p["norm"]))
+    told = told.withColumns({"names": names, "secrets": secrets})
+    longest_first = F.reverse(F.array_sort(F.transform("secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
+    quoted = F.transform(longest_first, lambda s: F.concat(F.lit(r"|\Q"), F.replace(s["s"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    extra = F.concat(F.when(F.size("names") > 0, BARE_NAME).otherwise(""), F.array_join(quoted, ""))
+    told = told.withColumn("extra", extra)
+    again = F.when(F.col("extra") == "", F.col("found")).when(F.size("secrets") == 0, F.regexp_extract_all("text", F.lit(ENTITY + BARE_NAME), F.lit(0))).otherwise(F.regexp_extract_all("text", F.concat(F.lit(ENTITY), "extra"), F.lit(0)))
+
+    def read(surface: Column) -> Column:
+        known = F.filter("names", lambda n: n["term"] == F.lower(surface))
+        bare = F.array(_part(known[0]["kind"], known[0]["norm"], F.lit(""), surface))
+        secret = F.array(_part(F.lit("secret"), surface, F.lit(""), F.lit("")))
+        no_entity = surface.rlike(f"^(?:{NAME})$") & ~surface.rlike("^" + PATTERNS["access_key"])
+        return F.when(F.array_contains("secrets", surface), secret).when(F.size(known) > 0, bare).when(no_entity, F.slice(secret, 1, 0)).otherwise(_parts(surface))
+
+    told = told.withColumn("found", again).withColumn("parts", F.when(F.col("extra") == "", F.col("parts")).otherwise(F.transform("found", read)))
+    unchanged = F.filter(F.transform("found", lambda s, i: F.struct(i.alias("pos"), F.lit(0).alias("part"), s.alias("text"))), lambda s: F.size(F.col("parts")[s["pos"]]) == 0)
+    listed = F.flatten(F.transform("parts", lambda ps, i: F.transform(ps, lambda p, k: F.struct(i.alias("pos"), k.alias("part"), p.alias("p")))))
+    rows = told.select("doc", "digest", "extra", unchanged.alias("unchanged"), F.posexplode(listed).alias("place", "m"))
+    only_first = lambda c: F.when(F.col("place") == 0, F.col(c)).alias(c)
+    return rows.select("doc", "digest", "m.pos", "m.part", "m.p.*", only_first("extra"), only_first("unchanged"))
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
-    """kind, norm and surrogate for each distinct entity; within a kind no two surrogates are equal and none is an entity found. No secret is part of its surrogate."""
-    entities = checkpoint(found.select("kind", "norm").distinct())
-    pending, done, attempt = entities, None, 0
-    while True:
-        made = pending.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), key, attempt).alias("surrogate"))
+    """kind, norm, surrogate and n (mentions) for each distinct entity; within a kind no two surrogates are equal and none is an entity found. No secret is part of its surrogate."""
+    women, men = (F.count_if(F.col("gender") == g) for g in ("female", "male"))
+    gender = F.when(women > men, "female").when(men > women, "male").otherwise("any")
+    entities = checkpoint(found.groupBy("kind", "norm").agg(gender.alias("gender"), F.count("*").alias("n")))
+    pending, done = entities, None
+    for attempt in range(LAST_ATTEMPT):
+        made = pending.select("kind", "norm", "n", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), key, attempt).alias("surrogate"))
         made = made.where((F.col("kind") != "secret") | ~F.col("surrogate").contains(F.col("norm")))
-        winners = made.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
+        winners = made.groupBy("kind", "surrogate").agg(F.min(F.struct("norm", "n")).alias("w")).select("kind", "surrogate", "w.*")
         good = winners.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             good = good.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        good = checkpoint(good.select("kind", "norm", "surrogate"))
+        good = checkpoint(good.select("kind", "norm", "surrogate", "n"))
         done = good if done is None else checkpoint(done.union(good))
         pending = checkpoint(pending.join(good, ["kind", "norm"], "left_anti"))
         if pending.isEmpty():
             return done
-        attempt += 1
+    raise RuntimeError(f"entities without surrogates after {LAST_ATTEMPT} attempts")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
-    """docs with surrogates in text, n_chars set anew where docs has it, and n_entities. Other columns stay; one named n_entities is replaced.
+    """docs with surrogates in text, n_chars set anew where docs has it, and n_entities. Other columns stay, whatever their names; one named n_entities is replaced.
 
     Null texts stay null; texts without entities, empty ones too, stay as they are. Rows that repeat come back as often.
     """
     found = checkpoint(mentions(docs))
-    replaced = found.join(surrogate_table(found, key), ["kind", "norm"])
+    replaced = join_counted(found, surrogate_table(found, key), ["kind", "norm"])
     text = F.concat("lead", _filled(F.col("form"), F.col("kind"), F.col("surrogate")))
-    lists = replaced.groupBy("__doc", "__digest").agg(F.array_sort(F.collect_set(F.struct("pos", "part", text.alias("text")))).alias("__new"))
-    joined = _identified(docs).join(lists, ["__doc", "__digest"], "left")
-    between = F.split("text", ENTITY)
-    pieces = F.transform("__new", lambda s: F.concat(F.when(s["part"] == 0, between[s["pos"]]).otherwise(""), s["text"]))
-    new = F.when(F.col("__new").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.element_at(between, -1)))
-    out = joined.withColumns({"text": new, "n_entities": F.coalesce(F.size(F.filter("__new", lambda s: s["part"] == 0)), F.lit(0))})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.drop("__doc", "__digest", "__new")
+    lists = replaced.groupBy("doc", "digest").agg(
+        F.collect_set(F.struct("pos", "part", text.alias("text"))).alias("new"), F.max("extra").alias("extra"), F.flatten(F.collect_set("unchanged")).alias("unchanged")
+    )
+    joined = _identified(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(lists, ["doc", "digest"], "left")
+    between = F.when(F.col("extra") == "", F.split("text", ENTITY)).when(F.col("extra") == BARE_NAME, F.split("text", ENTITY + BARE_NAME)).otherwise(F.split("text", F.concat(F.lit(ENTITY), "extra")))
+    pieces = F.concat(F.transform(between, lambda b, i: F.struct(i.alias("pos"), F.lit(-1).alias("part"), b.alias("text"))), "new", F.array_distinct("unchanged"))
+    new = F.when(F.col("new").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(pieces), lambda p: p["text"]), ""))
+    done = joined.select("row", new.alias("text"), F.coalesce(F.size(F.filter("new", lambda s: s["part"] == 0)), F.lit(0)).alias("n_entities"))
+    set_anew = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    kept = [set_anew.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns if c != "n_entities"]
+    return done.select(*kept, "n_entities")
