@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tributary.llm import line_dedup
+from tributary.llm import common, line_dedup
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -59,3 +59,22 @@ def test_ids_and_columns(spark, documents):
 
 def test_empty(documents):
     assert run(documents([])) == []
+
+
+def test_any_names_of_columns(documents):
+    line = "a line of more than twenty letters"
+    docs = documents([(1, line), (2, line), (3, line), (4, None)])
+    names = ("score", "__text", "__doc", "__digest", "__new", "__keep", "__kept", "__lines", "row", "doc", "digest", "keep", "kept", "h1", "h2", "pos", "first", "n", "a.b")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(7))
+    out = line_dedup.deduplicate_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    rows = out.collect()
+    assert len(rows) == 4 and all(tuple(r)[5:-2] == (7,) * len(names) for r in rows) and {r["doc_id"]: r["n_dropped"] for r in rows} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_frequent_lines_by_broadcast(documents, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_OFTEN", 5)
+    monkeypatch.setattr(common, "LISTED", 20)
+    rows = [(i, f"this very line is in every document\nand this one in some of them {i % 40}\nand this in one document only {i}") for i in range(120)]
+    assert run(documents(rows)) == brute(rows)
