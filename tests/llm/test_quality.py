@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import quality
 
@@ -14,6 +17,8 @@ def brute_indicators(text):
         lower, upper = sum(97 <= b <= 122 for b in w), sum(65 <= b <= 90 for b in w)
         shapes.append((kind(w[0]), kind(w[-1]), upper > 1 and not lower, w == before, upper == 1 and lower > 0))
         found.add(("word", w))
+        if before is not None:
+            found.add(("pair", before, w))
         before = w
     for n in range(1, 5):
         found |= {tuple(shapes[i : i + n]) for i in range(len(shapes) - n + 1)}
@@ -76,3 +81,42 @@ def test_no_labels(spark, documents):
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [r["score"] for r in quality.score_documents(docs, model).collect()] == [0.5, 0.5]
     assert quality.score_documents(documents([]), model).collect() == []
+
+
+def test_scores_as_plain_python(spark, documents):
+    """Counts, ratios, the fit's margin and the score by dictionaries of named indicators; only the weights come from the model."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["good", "Fine", "bad!", "x1", "12", "ABC"] if i % 2 else ["meh", "no", "bad!", "Q"]) for _ in range(rng.randint(1, 30)))) for i in range(90)]
+    marks = [(i, i % 2, 0) for i in range(90)]
+    docs = documents(rows)
+    model = quality.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    raw = {i: t.encode() for i, t in rows}
+    features = {i: quality.indicators(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[1].tolist() for i, r in raw.items()}
+    learnt = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    count = {which: {} for which in (0, 1)}
+    for i in learnt:
+        for f in features[i]:
+            count[i % 2][f] = count[i % 2].get(f, 0) + 1
+    total = {which: sum(count[which].values()) + 2**quality.BITS for which in (0, 1)}
+    ratio = {f: math.log((count[1].get(f, 0) + 1) / total[1]) - math.log((count[0].get(f, 0) + 1) / total[0]) for f in {*count[0], *count[1]} if count[1].get(f, 0) + count[0].get(f, 0) > 1}
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    for i in raw:
+        x = {f: ratio.get(f, 0.0) for f in features[i]}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        margin = sum(v * model.weights[f] for f, v in x.items()) / max(size, 1e-9) + model.bias
+        assert abs(got[i] - 1 / (1 + math.exp(-3 * margin))) < 1e-5
+
+
+def test_any_names_of_columns_and_bounds(spark, documents):
+    docs = documents([(i, "good word" if i % 2 else "bad thing") for i in range(40)] + [(3, "another text")])
+    for n in ("score", "__text", "doc", "label", "hash", "features", "a.b"):
+        docs = docs.withColumn(n, F.lit(7))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert np.array_equal(model.weights, quality.train(docs.repartition(3), labels).weights)
+    out = quality.score_documents(docs, model, keep=tuple(docs.columns), score_column="_score")
+    assert out.columns == [*docs.columns, "_score"] and all(tuple(r)[5:-1] == (7,) * 7 for r in out.collect())
+    with pytest.raises(ValueError):
+        quality.score_documents(docs, model, keep=("score",))
+    few = quality.train(docs, labels, features_per_class=1)  # one document of each class
+    assert np.count_nonzero(few.weights) <= 20

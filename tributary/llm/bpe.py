@@ -33,11 +33,9 @@ LETTER, DIGIT, OTHER, SPACE, ALONE, WHITE, SHORT, LONG = range(8)
 # States: what the pre-token so far is. PREFIXED: one space, which takes in the run behind it. TWO, ONE: letters that a contraction still needs.
 CLOSED, LETTERS, DIGITS, OTHERS, WHITES, PREFIXED, TWO, ONE = range(8)
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
 #: Longer slices are merged one by one, by way of a heap, and not kept.
 SHORT_PIECE = 64
-#: Bytes of text whose slices are merged together.
-MERGED_BYTES = 4 << 20
 SEGMENT = 64
 
 
@@ -269,7 +267,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_column: str = "doc_id"
             _mergers[ranks_path] = Merger(load_ranks(ranks_path))
         lengths = np.diff(_vocabulary(ranks_path)[1])
         for batch in batches:
-            for first, last, data, starts in chunks(batch.column(1), MERGED_BYTES):
+            for first, last, data, starts in chunks(batch.column(1)):
                 begins = boundaries(data, starts)
                 raw, cuts = data.tobytes(), begins.tolist()
                 pieces = _mergers[ranks_path].encode([raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)] if cuts else [])

@@ -1,6 +1,6 @@
 """Quality classifier: a linear hinge-loss model over n-gram indicators scaled by naive Bayes log-count ratios.
 
-Indicators are hashed: words, and runs of one to four word shapes (how a word begins and ends, whether it is in capitals,
+Indicators are hashed: words, pairs of neighbouring words, and runs of one to four word shapes (how a word begins and ends, whether it is in capitals,
 whether it repeats the word before). Each is multiplied by the logarithm of its smoothed count in one class over that
 in the other; dual coordinate descent then fits the weights. The model is an array of fixed size.
 """
@@ -14,12 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import chunks, keep_only, mix, word_hashes, words
+from .common import checkpoint, chunks, joined, keep_only, mix, word_hashes, words
 
 BITS = 18
 #: The classifier is fitted on at most so many labelled rows of each class, those whose hashed id is smallest.
 ROWS_PER_CLASS = 3000
+#: And on no more of them than have so many indicators together in a class: what comes to the driver.
+FEATURES_PER_CLASS = 20_000_000
 LONGEST_RUN = 4
 
 
@@ -44,6 +48,8 @@ def indicators(data: np.ndarray, starts: np.ndarray, bits: int = BITS) -> tuple[
     shape = kind(data[begins]) | (kind(data[ends - 1]) << np.uint64(8)) | (((upper > 1) & (lower == 0)).astype(np.uint64) << np.uint64(16))
     shape = mix(shape | (repeats.astype(np.uint64) << np.uint64(17)) | (((upper == 1) & (lower > 0)).astype(np.uint64) << np.uint64(18)) | np.uint64(1 << 20))
     found = [(text << bits) | (spelt >> np.uint64(64 - bits)).astype(np.int64)]
+    neighbours = same_text[1:]
+    found.append((text[1:][neighbours] << bits) | (joined(spelt[:-1], spelt[1:])[neighbours] >> np.uint64(64 - bits)).astype(np.int64))
     run = shape
     for n in range(1, LONGEST_RUN + 1):
         if n > 1:
@@ -107,10 +113,10 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.col(id_column).cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = ROWS_PER_CLASS, bits: int = BITS) -> Model:
-    """The model for labels.<label>, from labelled rows that aren't held out; at most rows_per_class of each class, whole texts.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = ROWS_PER_CLASS, bits: int = BITS, features_per_class: int = FEATURES_PER_CLASS) -> Model:
+    """The model for labels.<label>, from labelled rows that aren't held out; at most rows_per_class of each class, whole texts, and no more once these have features_per_class indicators.
 
-    An id labelled more than once counts with its smallest label. Null labels and ids are left out.
+    An id labelled more than once counts with its smallest label; of texts repeated under one id that with the smallest hash counts. Null labels and ids are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"))
     sample = None
@@ -118,34 +124,43 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_c
         some = known.where(F.col("label") == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         sample = some if sample is None else sample.unionByName(some)
     # At most 2 * rows_per_class ids and labels: the bound of this broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, starts in chunks(batch.column(1)):
                 text, feature = indicators(data, starts, bits)
                 places = pa.array(np.searchsorted(text, np.arange(last - first + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.ListArray.from_arrays(places, pa.array(feature, pa.int32()))], ["doc_id", "label", "features"])
-
-    got = texts.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(features, "doc_id long, label int, features array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.ListArray.from_arrays(places, pa.array(feature, pa.int32()))], ["doc_id", "label", "hash", "features"])
+
+    found = texts.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int"), F.xxhash64("text").alias("hash")).mapInArrow(features, "doc_id long, label int, hash long, features array<int>")
+    found = checkpoint(found.groupBy("doc_id").agg(F.min_by(F.struct("label", "features"), "hash").alias("f")).select("doc_id", "f.*"))
+    # A row for each of the sample's documents, at most rows_per_class to a class.
+    sizes = found.select("doc_id", "label", F.size("features").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n")
+    taken = sizes.withColumn("before", before).where(F.col("before") < features_per_class).select("doc_id")
+    got = found.join(F.broadcast(taken), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     column = got["features"].combine_chunks()
     flat, places = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
     return fit([flat[a:b].astype(np.int64) for a, b in zip(places, places[1:], strict=False)], got["label"].to_numpy() == 1, bits)
 
 
-def score_documents(docs: DataFrame, model: Model, bits: int = BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns of docs and score (0 to 1). Null and empty texts have the score of no features at all."""
+def score_documents(docs: DataFrame, model: Model, bits: int = BITS, keep: tuple[str, ...] = ("doc_id",), score_column: str = "score") -> DataFrame:
+    """The `keep` columns of docs, whatever their names, and score_column (0 to 1), which must be none of them. Null and empty texts have the score of no features at all."""
+    if score_column.lower() in [k.lower() for k in keep]:
+        raise ValueError(f"{score_column} is a column that is to be kept")
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.scale.astype(np.float32), model.weights.astype(np.float32), model.bias))
+    own_names = [f"c{k}" for k in range(len(keep))]  # a frame's columns come to Python by names without dots
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("quality")
         for batch in batches:
-            for first, last, data, starts in chunks(batch.column("__text")):
+            for first, last, data, starts in chunks(batch.column(len(keep))):
                 text, feature = indicators(data, starts, bits)
                 margin = shared.value.margins(text, feature, last - first)
                 own = [batch.column(k).slice(first, last - first) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-3 * margin)))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-3 * margin)))], [*own_names, "score"])
 
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*keep).schema)
-    return narrow.mapInArrow(score, f"{fields}, score double")
+    narrow = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, own_names, strict=True)], F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(score, T.StructType([*narrow.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*keep, score_column)
