@@ -24,10 +24,13 @@ def test_kernel(shift):
     rows = np.floor(64 * (centres[rng.integers(0, 6, 7000)] + rng.normal(0, 0.2, (7000, 24)))).astype(np.int64)
     rows[100:200] = rows[0]
     ids = np.arange(7000) * 3
+    shard = topk.Shard(np.ascontiguousarray(rows.T), ids)
     for q in range(0, 7000, 501):
         scores = rows @ rows[q]
         order = [i for i in np.lexsort((ids, -scores)) if i != q][:5]
-        assert topk.max_score(np.ascontiguousarray(rows.T), ids, rows[q], int(ids[q]), 5) == [(int(scores[i]), int(ids[i])) for i in order]
+        want = [(int(scores[i]), int(ids[i])) for i in order]
+        assert topk.max_score(shard, rows[q], int(ids[q]), 5) == topk.max_score(shard, rows[q], int(ids[q]), 5, want[-1][0]) == want
+        assert [x for x in topk.max_score(shard, rows[q], int(ids[q]), 5, want[2][0]) if x[0] >= want[2][0]] == [x for x in want if x[0] >= want[2][0]]
 
 
 def test_top_k(spark, monkeypatch):
@@ -47,3 +50,10 @@ def test_few_and_none(spark):
     assert len(topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()) == 4
     assert topk.top_k(df.limit(0), df.limit(0), 5).collect() == []
     assert topk.top_k(df, df.limit(0), 5).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e8]), (1, [1e8])], "vec_id long, embedding array<double>")
+    assert topk.top_k(df, df.where("vec_id = 0"), 5, scale=1).collect()[0]["score"] == 10**16
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(df, df.where("vec_id = 0"), 5, scale=256).collect()

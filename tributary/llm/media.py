@@ -58,7 +58,7 @@ def _header(data: bytes, numbers: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6; 16-bit samples are big-endian. Bitmaps give 0 for black and 255 for white."""
+    """P1 to P6; 16-bit samples are big-endian. Bitmaps give 0 for black and 255 for white. Samples are scaled from the image's own largest value to 255, or to 65,535 where it is over 255."""
     kind = data[:2]
     if kind in (b"P1", b"P4"):
         (width, height), at = _header(data, 2)
@@ -76,24 +76,46 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         samples = np.array(data[at - 1 :].split()[:n], np.int64)
     else:
         samples = np.frombuffer(data, np.uint8 if largest < 256 else ">u2", n, at)
-    image = samples.reshape((height, width, 3) if channels == 3 else (height, width))
-    return image.astype(np.uint8 if largest < 256 else np.uint16)
+    if len(samples) < n or not 0 < largest < 65_536:
+        raise ValueError("too few samples, or a largest value out of range")
+    kind, full = (np.uint8, 255) if largest < 256 else (np.uint16, 65_535)
+    if largest != full:
+        samples = (np.minimum(samples, largest).astype(np.int64) * full + largest // 2) // largest
+    return samples.reshape((height, width, 3) if channels == 3 else (height, width)).astype(kind)
+
+
+def _expanded(samples: np.ndarray, mask: int) -> np.ndarray:
+    """The masked bits of 16- or 32-bit pixels, scaled to 8 bits."""
+    shift = (mask & -mask).bit_length() - 1
+    most = mask >> shift
+    return (((samples & np.uint32(mask)) >> np.uint32(shift)).astype(np.int64) * 255 + most // 2) // most
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP with 8 (palette), 24 or 32 bits a pixel; alpha is dropped."""
+    """Uncompressed BMP with 1, 4 or 8 (palette), 16, 24 or 32 bits a pixel, headers of 12 bytes too, bit masks or not; alpha is dropped."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
-    at, size, width, height, _, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
-    if packed or bits not in (8, 24, 32):
+    at, size = struct.unpack_from("<II", data, 10)
+    packed = 0
+    if size == 12:
+        width, height, _, bits = struct.unpack_from("<HHHH", data, 18)
+    else:
+        width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+    if bits not in (1, 4, 8, 16, 24, 32) or packed not in ((0, 3) if bits in (16, 32) else (0,)):
         raise ValueError(f"BMP of {bits} bits a pixel, compression {packed}, isn't read")
     stride = (bits * width + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), at).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
-    if bits == 8:
-        colours = struct.unpack_from("<I", data, 46)[0] or 256
-        palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + size).reshape(-1, 4)
-        return palette[rows[:, :width]][:, :, 2::-1]
+    if bits <= 8:
+        entry = 3 if size == 12 else 4
+        colours = (0 if size == 12 else struct.unpack_from("<I", data, 46)[0]) or 1 << bits
+        palette = np.frombuffer(data, np.uint8, entry * colours, 14 + size).reshape(-1, entry)
+        places = rows if bits == 8 else (np.unpackbits(rows, axis=1) if bits == 1 else np.stack([rows >> 4, rows & 15], axis=2).reshape(len(rows), -1))
+        return palette[places[:, :width]][:, :, 2::-1]
+    if bits == 16 or packed == 3:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        pixels = rows[:, : width * bits // 8].copy().view(f"<u{bits // 8}").astype(np.uint32)
+        return np.stack([_expanded(pixels, m) for m in masks], axis=2).astype(np.uint8)
     return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
 
 
@@ -101,24 +123,39 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, parts of pixels by their share, from one integral image; float64."""
-    grey = image.astype(np.float64)
-    if grey.ndim == 3:
-        grey = grey.mean(axis=2)
-    h, w = grey.shape
-    integral = np.zeros((h + 1, w + 1))
-    integral[1:, 1:] = grey.cumsum(0).cumsum(1)
+#: Rows of an image whose integral is in memory at once.
+STRIP = 4096
 
-    def along(a: np.ndarray, size: int, cells: int) -> np.ndarray:  # a at the cells' edges; the integral is linear between pixels
-        edge = np.arange(cells + 1) * (size / cells)
-        low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low)[:, None]
-        return a[low] * (1 - part) + a[low + 1] * part
 
-    at = along(along(integral, h, height).T, w, width).T
-    area = (h / height) * (w / width)
-    return (at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]) / area
+def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's area, parts of pixels by their share, from one integral image; float64.
+
+    Of the integral image only the rows at the cells' edges are kept; it is made in strips, so memory doesn't grow with the image.
+    """
+    h, w = image.shape[:2]
+    edge = np.arange(height + 1) * (h / height)
+    low = np.minimum(edge.astype(np.int64), h - 1)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    kept = np.zeros((len(wanted), w + 1))
+    above = np.zeros(w + 1)
+    for first in range(0, h, STRIP):
+        grey = image[first : first + STRIP].astype(np.float64)
+        if grey.ndim == 3:
+            grey = grey.mean(axis=2)
+        strip = np.zeros((len(grey) + 1, w + 1))
+        strip[1:, 1:] = grey.cumsum(0).cumsum(1)
+        strip += above
+        here = (wanted >= first) & (wanted <= first + len(grey))
+        kept[here] = strip[wanted[here] - first]
+        above = strip[-1]
+    row = dict(zip(wanted.tolist(), range(len(wanted)), strict=True))
+    part = (edge - low)[:, None]
+    rows = kept[[row[k] for k in low.tolist()]] * (1 - part) + kept[[row[k + 1] for k in low.tolist()]] * part
+    across = np.arange(width + 1) * (w / width)
+    left = np.minimum(across.astype(np.int64), w - 1)
+    share = across - left
+    at = rows[:, left] * (1 - share) + rows[:, left + 1] * share
+    return (at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]) / ((h / height) * (w / width))
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -128,9 +165,10 @@ def difference_hash(image: np.ndarray) -> str:
 
 
 def tile(image: np.ndarray, side: int = TILE) -> bytes:
-    """NPY bytes of the image as side x side grey samples."""
+    """NPY bytes of the image as side x side grey samples of 8 bits."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize_area(image, side, side)), 0, 255).astype(np.uint8))
+    scale = 257 if image.dtype == np.uint16 else 1
+    np.save(out, np.clip(np.rint(np.round(resize_area(image, side, side) / scale, 6)), 0, 255).astype(np.uint8, order="C"))
     return out.getvalue()
 
 
