@@ -20,18 +20,27 @@ COMMON_WORDS = (
 ).split()
 
 
+def _words(formula: Column) -> Column:
+    """The words of a formula that aren't quoted, of dotted names the last part, without stop words."""
+    bare = F.regexp_replace(F.regexp_replace(formula, "'[^']*'", " "), "[^A-Za-z0-9_.]", " ")
+    words = F.transform(F.split(F.trim(bare), r"\s+"), lambda w: F.when(w.endswith("."), w).otherwise(F.substring_index(w, ".", -1)))
+    return F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~w.rlike(f"^(?i:{'|'.join(STOP_WORDS)})$"))
+
+
+def _field_of(word: Column) -> Column:
+    """The field that a word stands for in camel case; empty for none."""
+    camel = lambda w: w.rlike("^[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*$")
+    plain = lambda w: w.rlike("^[a-z][a-z0-9]+$") & ~w.rlike(f"^(?:{'|'.join(COMMON_WORDS)})$")
+    return F.when(word.contains("_"), snake_to_camel(word)).when(camel(word) | plain(word), word).otherwise("")
+
+
 def extract_sequence(formula: Column) -> Column:
     """The fields in a formula in camel case, each at its first place; an empty array for null.
 
     Quoted texts don't count. Of a dotted name the last part counts. Words in snake case are converted; camel-case words and lower-case
     words of two letters and more stay; stop words, single letters and words that begin with a capital are dropped.
     """
-    bare = F.regexp_replace(F.regexp_replace(formula, "'[^']*'", " "), "[^A-Za-z0-9_.]", " ")
-    words = F.transform(F.split(F.trim(bare), r"\s+"), lambda w: F.when(w.endswith("."), w).otherwise(F.substring_index(w, ".", -1)))
-    words = F.filter(words, lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~w.rlike(f"^(?i:{'|'.join(STOP_WORDS)})$"))
-    camel = lambda w: w.rlike("^[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*$")
-    plain = lambda w: w.rlike("^[a-z][a-z0-9]+$") & ~w.rlike(f"^(?:{'|'.join(COMMON_WORDS)})$")
-    named = F.transform(words, lambda w: F.when(w.contains("_"), snake_to_camel(w)).when(camel(w) | plain(w), w).otherwise(""))
+    named = F.transform(_words(formula), _field_of)
     return F.coalesce(F.array_distinct(F.filter(named, lambda w: w != "")), F.array().cast("array<string>"))
 
 
@@ -40,6 +49,12 @@ def extract_fields(formula: Column) -> Column:
     return F.array_sort(extract_sequence(formula))
 
 
+def formula_refs(formula: Column) -> Column:
+    """The set of names of the fields in a formula, as they are spelt there and in camel case, sorted."""
+    words = F.filter(_words(formula), lambda w: _field_of(w) != "")
+    return F.coalesce(F.array_sort(F.array_distinct(F.concat(words, F.transform(words, _field_of)))), F.array().cast("array<string>"))
+
+
 def extract_words(formula: Column) -> Column:
     """All runs of letters, digits and underscores."""
     return F.regexp_extract_all(formula, F.lit("[a-zA-Z0-9_]+"), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, rules
 from ..sources.catalog import Catalog, canonical, filter_apps_fuzzy, scan_fields
 from .edges import attach_meta, rel_filter
-from .loops import bfs, checkpoint, closed_edges, peel, scc, walked
+from .loops import bfs, checkpoint, closed_edges, numbered, peel, scc, walked
 
 REL_ORDER = ("intra", "writeBack", "view")
 
@@ -77,6 +77,12 @@ def object_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return objects, between
 
 
+def cross_object_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges between different objects with their row number, by number of edges, most first, then by names."""
+    between = object_graph(nodes, edges)[1].where("src_object <> dst_object").withColumn("fewer", -F.col("edges"))
+    return numbered(between, ("fewer", "src_object", "rel", "dst_object"), "row").drop("fewer")
+
+
 def object_edge_details(edges: DataFrame, src_object: str, dst_object: str, rel: str | None = None) -> DataFrame:
     found = edges.where((F.col("src_object") == src_object) & (F.col("dst_object") == dst_object))
     return found if rel is None else found.where(F.col("rel") == rel)
@@ -100,7 +106,7 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def deep_chains(edges: DataFrame, threshold: int = 10) -> DataFrame:
-    """root, length and path of the longest chain from each node without incoming edges, if it has threshold edges or more.
+    """root, length and path of the longest chain from each node without incoming edges, if it has threshold edges or more; longest first, then by path.
 
     Edges inside a cycle don't count, so lengths are exact. Of equal chains the one through the least ids is told.
     """
@@ -134,7 +140,7 @@ def deep_chains(edges: DataFrame, threshold: int = 10) -> DataFrame:
         moved = places.join(steps[k].withColumnRenamed("src", "at"), "at").select("root", (F.col("place") + 2**k).alias("place"), F.col("next").alias("at"))
         places = checkpoint(places.union(moved))
     path = places.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("nodes")).select("root", F.array_join("nodes.at", " -> ").alias("path"))
-    return chains.join(path, "root").select("root", "length", "path")
+    return chains.join(path, "root").select("root", "length", "path").orderBy(F.desc("length"), "path")
 
 
 def trigger_fields(edges: DataFrame, fields: DataFrame, object_type: str | None = None, field: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, rules
 from ..sources.catalog import Catalog, canonical, fields_from_source, object_titles, scan_fields, sequences, targets_by_source
+from .graph import impact
 
 
 def object_health(fields: DataFrame) -> DataFrame:
@@ -122,7 +123,10 @@ def why_no_relation(catalog: Catalog, object_type: str, field: str) -> DataFrame
     return rows.select(told.alias("check"), "id")
 
 
-def catalog_probe(catalog: Catalog, object_type: str, field: str) -> DataFrame:
-    """One row: fields and objects in the catalog, fields of the object, and whether the field is there."""
+def catalog_probe(catalog: Catalog, edges: DataFrame, object_type: str, field: str) -> DataFrame:
+    """One row: fields and objects in the catalog, fields of the object, whether the field is there, and how many nodes and edges it reaches in two steps."""
+    root = catalog.objects.sparkSession.createDataFrame([(f"{object_type}.{field}",)], "id string")
+    nodes, walked = impact(edges, root, 2)
+    sizes = nodes.agg(F.count("*").alias("nodes")).join(walked.agg(F.count("*").alias("edges")), F.lit(True))
     own = F.col("object_type") == object_type
-    return catalog.fields.agg(F.count("*").alias("fields"), F.countDistinct("object_type").alias("objects"), F.count_if(own).alias("object_fields"), F.coalesce(F.bool_or(own & (canonical() == field)), F.lit(False)).alias("found"))
+    return catalog.fields.agg(F.count("*").alias("fields"), F.countDistinct("object_type").alias("objects"), F.count_if(own).alias("object_fields"), F.coalesce(F.bool_or(own & (canonical() == field)), F.lit(False)).alias("found")).join(sizes, F.lit(True))

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import tempfile
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: So many edges, counted, and fewer are walked in one task.
 LAST_EDGES = 10_000
@@ -115,6 +116,16 @@ def _gathered(parts: DataFrame, turn: int) -> DataFrame:
     return checkpoint(parts) if turn % GATHER == 0 else parts
 
 
+def numbered(df: DataFrame, order: Sequence[str], column: str) -> DataFrame:
+    """df with the place of each row in an order (from 1). Ranges of the order are numbered apart and moved by what the ranges before hold, so no task sorts them all."""
+    # A row's number has its partition's number in the upper bits, its place in the partition in the lower 33.
+    placed = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(column, F.monotonically_increasing_id()))
+    part = F.shiftright(column, 33)
+    before = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    return placed.join(before, part == before["part"]).select(*df.columns, (F.col("before") + F.col(column).bitwiseAND(F.lit(2**33 - 1)) + 1).alias(column))
+
+
 def walked(edges: DataFrame, visited: DataFrame, depth: int | None = None, reverse: bool = False) -> DataFrame:
     """The edges that a search walks: those at whose near end a node of level < depth was."""
     near = "dst" if reverse else "src"

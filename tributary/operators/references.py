@@ -38,6 +38,20 @@ def reference_paths(graph: DataFrame, starts: DataFrame, hops: int = 3) -> DataF
     return reached.where("hops > 0").select("start", "target", "hops", "path")
 
 
+# Words that say nothing about which object is meant.
+CORE_WORDS = ("行", "明细", "信息")
+
+
+def match_objects(catalog: Catalog, keyword: str, limit: int = 10) -> DataFrame:
+    """(name, title, score) of the objects that a keyword may mean, best first: 1.0 for its title or name, 0.8 where one holds the other, 0.6 where that is so without words such as details."""
+    bare = lambda c: F.regexp_replace(c, "|".join(CORE_WORDS), "")
+    word, title, name = F.lower(F.lit(keyword)), F.lower("title"), F.lower("name")
+    holds = lambda a, b: (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    score = F.when((title == word) | (name == word), 1.0).when(holds(title, word) | holds(name, word), 0.8).when(holds(bare(title), bare(word)), 0.6)
+    best = catalog.objects.groupBy("name").agg(F.min("title").alias("title")).withColumn("score", score).where("score IS NOT NULL")
+    return best.orderBy(F.desc("score"), "name").limit(limit)
+
+
 def for_tenant(df: DataFrame, tenant: str, column: str = "tenant") -> DataFrame:
     """Rows of a tenant and those of none."""
     return df.where((F.col(column) == tenant) | F.col(column).isNull())

@@ -111,6 +111,8 @@ paths(root, id, level, path, reasons) AS (
   FROM paths c JOIN parents p ON p.root = c.root AND p.parent = c.id AND p.place = 1 LEFT JOIN told t ON t.dst = p.id)"""
 
 
+#: Formulas over columns: a sum's second field is spelt in camel case in the catalog.
+_COMPILED = f"CASE WHEN r % 4 = 2 THEN {_name('p1')} || ' + ' || {_name('p2')} ELSE coalesce(f.trigger_expr, f.expression) END"
 _STEP = "CAST(row_number() OVER (ORDER BY coalesce(level, 2147483647), role = 'WRITE_BACK', node) AS BIGINT) AS step"
 _TYPES = "types AS (SELECT dst AS id, string_agg(DISTINCT rel, ',' ORDER BY rel) AS types FROM edges GROUP BY dst)"
 _ENDS = "ends AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
@@ -132,7 +134,7 @@ ORACLE_SQL: dict[str, str] = {
     "parent_lookup": "SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "recompute_plan": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(0)}, own_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_longest('own_edges', 'roots')}, {_TYPES},
 known AS (
-  SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, {_TRIGGER} AS trig, {_VIRTUAL} AS virt, f.name AS "column", coalesce(f.trigger_expr, f.expression) AS formula, CASE WHEN {_HAS_BACK} THEN 'Obj' || (k - 1) END AS rule_source,
+  SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, {_TRIGGER} AS trig, {_VIRTUAL} AS virt, f.name AS "column", {_COMPILED} AS formula, CASE WHEN {_HAS_BACK} THEN 'Obj' || (k - 1) END AS rule_source,
     CASE WHEN {_HAS_BACK} THEN 'parent_id' END AS rule_key, CASE WHEN {_HAS_BACK} THEN 'sum(' || {_name('s')} || ')' END AS rule_expression, CASE WHEN {_HAS_BACK} THEN 'srcItemObjectType=''Obj' || (k - 2) || '''' END AS rule_condition
   FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
 steps AS (
@@ -157,7 +159,7 @@ long_all(id, level) AS (SELECT id, 0 FROM back UNION SELECT g.dst, l.level + 1 F
 levels AS (SELECT id, CAST(max(level) AS INTEGER) AS level FROM long_all GROUP BY id),
 types AS (SELECT dst AS id, string_agg(DISTINCT rel, ',') AS types FROM graph GROUP BY dst),
 {_walk('sources', _FAR, False, 'dirty')},
-known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, CASE WHEN ok % 97 = 2 THEN 'changed_a + 1' ELSE coalesce(f.trigger_expr, f.expression) END AS formula FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
+known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, CASE WHEN ok % 97 = 2 THEN 'changed_a + 1' ELSE {_COMPILED} END AS formula FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
 steps AS (
   SELECT l.id AS node, CASE WHEN l.level < {_FAR} THEN l.level END AS level,
     CASE WHEN r.id IS NOT NULL AND k.back THEN 'ROOT(write-back)' WHEN r.id IS NOT NULL AND formula IS NOT NULL THEN 'ROOT(trigger)' WHEN r.id IS NOT NULL THEN 'ROOT(manual)' WHEN types LIKE '%intra%' THEN 'INTRA' ELSE 'WRITE_BACK' END AS role,
@@ -167,7 +169,7 @@ steps AS (
 SELECT {_STEP}, * FROM steps""",
     "field_names": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, {_camel('ok')} AS field, {_name('ok')} AS column_name, {_APP} || '_obj' || k AS table_name, 'Obj' || k AS object_name, 'Obj' || k || '.' || {_name('ok')} AS key FROM base""",
     "formula_fields": f"""WITH {BASE}, {_SEQ} SELECT CAST(ok AS STRING) AS id, in_order, array_to_string(list_sort(string_split(in_order, ',')), ',') AS sorted FROM seqs""",
-    "formula_columns": f"""WITH {BASE}, {_FIELDS} SELECT 'Obj' || k || '.' || {_camel('ok')} AS node, coalesce(f.trigger_expr, f.expression) AS formula,
+    "formula_columns": f"""WITH {BASE}, {_FIELDS} SELECT 'Obj' || k || '.' || {_camel('ok')} AS node, {_COMPILED} AS formula,
   CASE WHEN {_HAS_BACK} THEN 'sum(' || {_name('s')} || ')' END AS rule_expression
 FROM base JOIN fields f ON f.id = CAST(ok AS STRING) WHERE {_HAS_BACK} OR {_TRIGGER}""",
     "write_back_rules": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, 'Obj' || (k - 1) AS source, 'sum(' || {_name('s')} || ')' AS expression,
@@ -301,4 +303,41 @@ walk(start, id, hops) AS (
   SELECT DISTINCT 'Obj' || k, 'Obj' || k, 0 FROM base WHERE k % 10 <> 9
   UNION SELECT w.start, r.b, w.hops + 1 FROM walk w JOIN refers r ON r.a = w.id WHERE w.hops < 3)
 SELECT start, id AS target, CAST(min(hops) AS INTEGER) AS hops FROM walk WHERE id <> start GROUP BY start, id""",
+    "write_back_candidates": f"WITH {BASE} SELECT CAST(ok AS STRING) AS id, 'Obj' || k AS object_type, {_APP} AS app_name FROM base WHERE {_HAS_BACK}",
+    "app_of_object": "SELECT 'finance' AS app_name",
+    "snapshot_rows": f"""WITH {BASE}, {_FIELDS}, {_CHANGED} SELECT 'snapshot_20240101_000100.json' AS snapshot_id, id, name, app_name
+FROM changed JOIN (SELECT CAST(ok AS STRING) AS id, {_APP} AS app_name FROM base) AS a USING (id)""",
+    "verify_mappings": "SELECT event_id AS id, event_type AS verify_system_id, props AS mappings FROM events WHERE event_type IN ('signup', 'error')",
+    "field_information": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, 'Obj1' AS object_type, {_APP} AS app_name, {_name('ok')} AS name FROM base WHERE k = 1 ORDER BY {_camel('ok')} LIMIT 1""",
+    "object_fields": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, {_camel('ok')} AS field, CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title, {_APP} AS app_name FROM base WHERE k = 1""",
+    "exact_apps": f"WITH {BASE} SELECT CAST(ok AS STRING) AS id, {_APP} AS app_name FROM base WHERE k % 4 IN (0, 2) AND k % 10 <> 9",
+    "formula_references": f"""WITH {BASE}, {_SEQ}, used AS (SELECT ok, unnest(string_split(in_order, ',')) AS field FROM seqs WHERE in_order <> ''),
+spelt AS (
+  SELECT ok, {_name('p1')} AS n FROM base WHERE r % 4 IN (1, 2) OR (r % 4 = 3 AND ok % 2 = 1) UNION SELECT ok, {_name('p2')} FROM base WHERE r % 4 = 3 AND ok % 2 = 0
+  UNION SELECT ok, {_name('p3')} FROM base WHERE r % 4 = 3 AND ok % 2 = 0 UNION SELECT ok, field FROM used)
+SELECT CAST(b.ok AS STRING) AS id, coalesce(string_agg(n, ',' ORDER BY n), '') AS names FROM base b LEFT JOIN spelt s ON s.ok = b.ok GROUP BY b.ok""",
+    "object_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM up_edges WHERE rel = 'writeBack' AND src LIKE 'Obj1.%' AND dst LIKE 'Obj2.%'",
+    "cross_objects": f"""WITH RECURSIVE {_EDGES}, {_roots(2)}, {_walk('up_edges', 3, True)}, between_ AS (
+  SELECT split_part(e.src, '.', 1) AS src_object, e.rel, split_part(e.dst, '.', 1) AS dst_object, count(*) AS edges FROM up_edges e JOIN walk w ON w.id = e.dst WHERE w.level < 3 GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (ORDER BY edges DESC, src_object, rel, dst_object) AS row FROM between_ WHERE src_object <> dst_object""",
+    "object_nodes": f"WITH RECURSIVE {_EDGES}, {_roots(2)}, {_walk('up_edges', 3, True)} SELECT split_part(id, '.', 1) AS object, count(*) AS fields FROM walk GROUP BY 1",
+    "closed_nodes": f"""WITH RECURSIVE {_EDGES}, {_roots(2)}, down_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_walk('down_edges', 2)},
+sources AS (SELECT * FROM up_edges WHERE rel <> 'view'), {_walk('sources', _FAR, True, 'back', 'walk')} SELECT b.id AS id, w.level AS level FROM back b LEFT JOIN walk w ON w.id = b.id""",
+    "catalog_probe": f"""WITH RECURSIVE {_EDGES}, roots AS (SELECT {_node('k', 'ok')} AS id FROM base WHERE k = 1 ORDER BY {_camel('ok')} LIMIT 1), {_walk('edges', 2)}
+SELECT (SELECT count(*) FROM base) AS fields, (SELECT count(DISTINCT k) FROM base) AS objects, (SELECT count(*) FROM base WHERE k = 1) AS object_fields, CAST(1 AS INTEGER) AS found,
+  (SELECT count(*) FROM walk) AS nodes, (SELECT count(*) FROM edges e JOIN walk w ON w.id = e.src WHERE w.level < 2) AS edges""",
+    "matching_objects": f"""WITH {BASE}, {_OBJECTS}, named AS (SELECT name, min(title) AS title FROM objects_c GROUP BY name),
+scored AS (
+  SELECT name, title, CASE WHEN lower(title) = 'object 11' THEN CAST(1.0 AS DOUBLE)
+    WHEN contains(lower(title), 'object 11') OR contains('object 11', lower(title)) OR contains(lower(name), 'object 11') OR contains('object 11', lower(name)) THEN 0.8 END AS score FROM named)
+SELECT name, title, CAST(score AS DOUBLE) AS score FROM scored WHERE score IS NOT NULL ORDER BY score DESC, name LIMIT 10""",
+    "tenant_objects": f"WITH {BASE}, {_OBJECTS} SELECT name, app_name FROM objects_c WHERE app_name = 'sales'",
+    "chains_by_length": f"""WITH RECURSIVE {_EDGES}, {_ENDS}, pairs AS (SELECT DISTINCT src, dst FROM edges), lasts AS (SELECT id FROM ends WHERE id NOT IN (SELECT src FROM pairs)),
+height_all(id, level) AS (SELECT id, 0 FROM lasts UNION SELECT p.src, h.level + 1 FROM height_all h JOIN pairs p ON p.dst = h.id WHERE h.level < {_FAR}),
+heights AS (SELECT id, CAST(max(level) AS INTEGER) AS level FROM height_all GROUP BY id),
+onward AS (SELECT p.src, min(p.dst) AS next FROM pairs p JOIN heights a ON a.id = p.src JOIN heights b ON b.id = p.dst AND b.level = a.level - 1 GROUP BY p.src),
+chain(root, length, here, path, nodes) AS (
+  SELECT id, level, id, id, 1 FROM heights WHERE level >= 10 AND id NOT IN (SELECT dst FROM pairs)
+  UNION ALL SELECT c.root, c.length, o.next, c.path || ' -> ' || o.next, c.nodes + 1 FROM chain c JOIN onward o ON o.src = c.here)
+SELECT row_number() OVER (ORDER BY length DESC, path) AS place, root, length, path, nodes FROM chain WHERE nodes = length + 1""",
 }

@@ -13,13 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import names, rules
 from ..functions.formulas import extract_sequence, formula_to_columns
 from ..operators.edges import downstream_edges, overlay_definitions, rel_filter, upstream_edges
 from ..operators.graph import closed_graph, dirty_set, incoming_types, longest_depth, normalise_roots, topological_order
-from ..operators.loops import checkpoint
+from ..operators.loops import checkpoint, numbered
 from ..sources.catalog import Catalog, canonical
 
 #: Steps that the driver turns into one chain of transformations.
@@ -109,16 +108,10 @@ def recompute_plan_batch(catalog: Catalog, roots: DataFrame, depth: int = 3, rel
 
 
 def _numbered(found: DataFrame) -> DataFrame:
-    """step: the place by level, intra first, then node. Ranges of the order are numbered apart and moved by what the ranges before hold, so no task sorts a whole level."""
+    """step: the place by level, intra first, then node."""
     object_type, field = names.split_node_id(F.col("node"))
     rows = checkpoint(found.withColumns({"object": object_type, "field": field, "rank": F.coalesce("level", F.lit(2**31 - 1)), "late": F.col("role") == "WRITE_BACK", "status": step_status()}))
-    order = ("rank", "late", "node")
-    # The number of a row: its partition's number in the upper bits, its place in the partition in the lower 33.
-    placed = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()))
-    placed = placed.withColumns({"part": F.shiftright("number", 33), "place": F.col("number").bitwiseAND(F.lit(2**33 - 1))})
-    before = placed.groupBy("part").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row for each partition
-    return placed.join(before, "part").withColumn("step", F.col("before") + F.col("place") + 1).select(*PLAN_COLUMNS)
+    return numbered(rows, ("rank", "late", "node"), "step").select(*PLAN_COLUMNS)
 
 
 # ---------------------------------------------------------------------------------------------------------------------

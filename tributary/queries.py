@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,10 @@ from pyspark.sql.window import Window
 
 from .functions import formulas, mappings, names, rules
 from .operators import diff, edges, graph, health, references
-from .operators.loops import checkpoint
+from .operators.loops import checkpoint, numbered, shared_folder
 from .plans import recompute
 from .sources import catalog as cat
-from .sources import derived
+from .sources import derived, snapshots
 from .sources.catalog import Catalog
 
 APPS = ("sales", "finance", "stock", "hr")
@@ -41,7 +43,7 @@ def _roots(c: Catalog, place: int = 0) -> DataFrame:
     return c.fields.where(kind).select(names.node_id(F.col("object_type"), cat.canonical()).alias("id"))
 
 
-def _joined(column: str) -> Column:
+def _joined(column: str | Column) -> Column:
     return F.array_join(column, ",")
 
 
@@ -486,6 +488,101 @@ def latest_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edges.overlay_definitions(c.fields, _changed(c))
     return out.select("id", "trigger_expr", "title", F.col("from_latest").cast("int").alias("from_latest"))
 
+# Scans, lookups and tables that other queries don't show
+
+
+def write_back_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2."""
+    return cat.scan_write_back_candidates(_catalog(spark, sf_dir)).select("id", "object_type", "app_name")
+
+
+def app_of_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The app of one object."""
+    return cat.app_name_of(_catalog(spark, sf_dir), "Obj1")
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog and its changed form are written as snapshots; the newest one is listed and read."""
+    c = _catalog(spark, sf_dir)
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    for minute, fields in enumerate((c.fields, _changed(c))):
+        snapshots.write_snapshot(Catalog(fields, c.objects), path, datetime(2024, 1, 1, 0, minute))
+    newest = snapshots.list_snapshots(spark, path).head()[0]
+    return snapshots.load_snapshot(spark, path, newest).select("snapshot_id", "id", "name", "app_name")
+
+
+def verify_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as mappings of two systems."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("verify_system_id"), F.col("props").alias("mappings"))
+    return cat.scan_verify_mappings(events, ["signup", "error"])
+
+
+def field_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog row of an object's first field."""
+    c = _catalog(spark, sf_dir)
+    return cat.field_info(c, "Obj1", cat.fields_of(c, "Obj1").head()[0]).select("id", "object_type", "app_name", "name")
+
+
+def object_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of one object."""
+    return cat.field_details_of(_catalog(spark, sf_dir), "Obj1").select("id", "field", "title", "app_name")
+
+
+def exact_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of bills of exactly two apps."""
+    return cat.filter_apps_exact(_catalog(spark, sf_dir), ["sales", "Stock"]).select("id", "app_name")
+
+
+def formula_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names in formulas, as they are spelt and in camel case."""
+    text = formulas.all_formulas(F.col("trigger_expr"), F.col("expression"), F.col("virtual_expr"))
+    return _catalog(spark, sf_dir).fields.select("id", _joined(formulas.formula_refs(text)).alias("names"))
+
+
+def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges between two objects."""
+    return _plain(graph.object_edge_details(_up(_catalog(spark, sf_dir)), "Obj1", "Obj2", "writeBack"))
+
+
+def cross_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered edges between different objects upstream of the sums."""
+    c = _catalog(spark, sf_dir)
+    return graph.cross_object_table(*graph.trace(_up(c), _roots(c, 2), 3))
+
+
+def object_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: objects of a graph with their number of fields."""
+    c = _catalog(spark, sf_dir)
+    return graph.object_graph(*graph.trace(_up(c), _roots(c, 2), 3))[0]
+
+
+def closed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a closed graph, with the level of those that are affected."""
+    c = _catalog(spark, sf_dir)
+    return graph.closed_graph(_down(c), _up(c), _roots(c, 2), 2)[0]
+
+
+def chains_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains with their paths, numbered from the longest."""
+    found = graph.deep_chains(_down(_catalog(spark, sf_dir)), 10).withColumn("shorter", -F.col("length"))
+    return numbered(found, ("shorter", "path"), "place").select("place", "root", "length", "path", F.size(F.split("path", " -> ")).alias("nodes"))
+
+
+def catalog_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts around one field."""
+    c = _catalog(spark, sf_dir)
+    return health.catalog_probe(c, _down(c), "Obj1", cat.fields_of(c, "Obj1").head()[0]).withColumn("found", F.col("found").cast("int"))
+
+
+def matching_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best objects for a keyword."""
+    return references.match_objects(_catalog(spark, sf_dir), "Object 11")
+
+
+def tenant_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of one app."""
+    return references.for_tenant(_catalog(spark, sf_dir).objects, "sales", "app_name").select("name", "app_name")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -497,5 +594,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lineage_edges, upstream_edges, impact_nodes, impact_edges, trace_nodes, closed_graph, explain_paths, object_graph, global_graph, graph_stats,
         lineage_cycles, topological_order, deep_chains, longest_depths, fix_steps, dirty_fields, impact_report, graph_ids, catalog_diff, latest_definitions,
         trigger_fields, direct_upstream, normalised_roots, excluded_relations, thread_chain, why_no_relation, metadata_graph, reference_paths,
+        write_back_candidates, app_of_object, snapshot_rows, verify_mappings, field_information, object_fields, exact_apps, formula_references, object_edges, cross_objects, object_nodes, closed_nodes,
+        chains_by_length, catalog_probe, matching_objects, tenant_objects,
     )
 }

@@ -72,7 +72,7 @@ SELECT CAST(ok AS STRING) AS id, 'Obj' || k AS object_type, {_name('ok')} AS nam
   CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title, 'decimal' AS type,
   CASE ok % 7 WHEN 0 THEN 'Currency' WHEN 1 THEN 'Order Quantity' WHEN 2 THEN 'text' END AS biz_type,
   CASE WHEN r % 4 = 3 AND ok % 2 = 0 THEN '(' || {_name('p2')} || ' + ' || {_name('p3')} || ') * ''fld_9''' END AS expression,
-  CASE r % 4 WHEN 1 THEN 'abs(t.' || {_name('p1')} || ') * 2' WHEN 2 THEN {_name('p1')} || ' + ' || {_name('p2')} END AS trigger_expr,
+  CASE r % 4 WHEN 1 THEN 'case when abs(t.' || {_name('p1')} || ') > 0 then ''fld_7'' else null end' WHEN 2 THEN {_name('p1')} || ' + ' || {_camel('p2')} END AS trigger_expr,
   CASE WHEN r % 4 = 3 AND ok % 2 = 1 THEN {_name('p1')} || ' * 2' END AS virtual_expr,
   CASE WHEN r % 4 = 0 AND k % 4 > 0 AND s IS NOT NULL THEN
     CASE WHEN k % 8 = 5 THEN '[{{"expression":"q"}},' ELSE '' END || '{{"srcObjectType":"Obj' || (k - 1) || '","idField":"parent_id","expression":"sum(' || {_name('s')} || ')","condition":"srcItemObjectType=''Obj' || (k - 2) || '''"}}'
