@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import sharding
 
@@ -43,3 +44,14 @@ def test_assign(spark):
     assert all(r["shard"] == "pqr"[table[r["slot"]]] for r in rows)
     assert len({r["shard"] for r in rows if r["k"] == 1}) == 1
     assert sharding.assign_shards(df.limit(0), ["k"], ["p"], 7).collect() == []
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.range(3000, numPartitions=6).select((F.col("id") % 7).alias("k"), F.lit("same").alias("files"))
+    placed = sharding.assign_shards(df, ["k"], ("a", "b", "c"), 101)
+    sharding.write_shards(placed, f"{tmp_path}/s", rows_per_file=200)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(map(tuple, back.select("k", "files", "slot", "shard").collect())) == sorted(map(tuple, placed.select("k", "files", "slot", "shard").collect()))
+    for shard in ("a", "b", "c"):
+        rows = placed.where(F.col("shard") == shard).count()
+        assert len(list((tmp_path / "s" / f"shard={shard}").glob("part-*"))) >= rows / 200 if rows else True

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Prime number of slots; a hundred slots or more for each shard keep the shares within one percent.
 SLOTS = 65_537
 
@@ -62,7 +64,16 @@ def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slo
     return out.select(*kept, slot_column, shard_column)
 
 
-def write_shards(df: DataFrame, path: str, shard_column: str = "shard", files: int = 8) -> None:
-    """One folder for each shard; a shard's rows are dealt out over up to `files` tasks, so that no task gets a shard whole."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files))
-    df.repartition(F.col(f"`{shard_column}`"), salt).write.partitionBy(shard_column).parquet(path)
+def write_shards(df: DataFrame, path: str, shard_column: str = "shard", rows_per_file: int = 1_000_000) -> None:
+    """One folder for each shard, in files of about rows_per_file rows.
+
+    A shard's rows, counted first, are dealt out over as many tasks as it gets files, by the partitions that they come from, so that neither a shard nor a
+    row that is there very often goes to one task whole. An empty df writes no shard.
+    """
+    shard, files, place = unused(df.columns, "shard_of_files", "files", "place")
+    sizes = df.groupBy(shard_column).agg(F.count("*").alias("n"))
+    parts = sizes.select(F.col(shard_column).alias(shard), F.ceil(F.col("n") / rows_per_file).cast("long").alias(files))  # a row for each shard
+    joined = df.withColumn(place, F.spark_partition_id()).join(F.broadcast(parts), F.col(f"`{shard_column}`").eqNullSafe(F.col(shard)))
+    dealt = joined.withColumn(place, F.pmod(F.col(place), F.col(files)))
+    tasks = max(1, parts.agg(F.sum(files)).head()[0] or 1)
+    dealt.repartition(tasks, F.col(f"`{shard_column}`"), F.col(place)).drop(shard, files, place).write.option("maxRecordsPerFile", rows_per_file).partitionBy(shard_column).parquet(path)
