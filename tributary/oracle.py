@@ -142,7 +142,7 @@ steps AS (
     CASE WHEN k.id IS NULL THEN 'unknown field' WHEN back OR trig THEN 'run' WHEN virt THEN 'virtual, no column' ELSE 'no formula' END AS status, "column", formula, rule_source, rule_key, rule_expression, rule_condition
   FROM longest l LEFT JOIN types t ON t.id = l.id LEFT JOIN known k ON k.id = l.id)
 SELECT {_STEP}, * FROM steps""",
-    # The latest definitions give every 97th field another trigger: its old one's edges go, it is computed from changedA, and such fields of one object trigger each other.
+    # The latest definitions rename some fields, found by their API names, and give every 97th field another trigger: its old one's edges go, it is computed from changedA, and such fields of one object trigger each other.
     "recompute_plan_batch": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(2)},
 new_direct AS (SELECT {_node('d.k', 'd.a')} AS src, {_node('d.k', 'd.b')} AS dst FROM direct d JOIN base b ON b.ok = d.b WHERE NOT (d.b % 97 = 2 AND b.r % 4 IN (1, 2))
   UNION SELECT 'Obj' || k || '.changedA', {_node('k', 'ok')} FROM base WHERE ok % 97 = 2),
@@ -159,7 +159,7 @@ long_all(id, level) AS (SELECT id, 0 FROM back UNION SELECT g.dst, l.level + 1 F
 levels AS (SELECT id, CAST(max(level) AS INTEGER) AS level FROM long_all GROUP BY id),
 types AS (SELECT dst AS id, string_agg(DISTINCT rel, ',') AS types FROM graph GROUP BY dst),
 {_walk('sources', _FAR, False, 'dirty')},
-known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, CASE WHEN ok % 97 = 2 THEN 'changed_a + 1' ELSE {_COMPILED} END AS formula FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
+known AS (SELECT {_node('k', 'ok')} AS id, {_HAS_BACK} AS back, CASE WHEN ok % 97 = 2 THEN 'changed_a + 1' WHEN r % 4 = 2 AND p2 % 97 = 1 AND p2 % 5 = 0 THEN {_COMPILED} || '_new' ELSE {_COMPILED} END AS formula FROM base JOIN fields f ON f.id = CAST(ok AS STRING)),
 steps AS (
   SELECT l.id AS node, CASE WHEN l.level < {_FAR} THEN l.level END AS level,
     CASE WHEN r.id IS NOT NULL AND k.back THEN 'ROOT(write-back)' WHEN r.id IS NOT NULL AND formula IS NOT NULL THEN 'ROOT(trigger)' WHEN r.id IS NOT NULL THEN 'ROOT(manual)' WHEN types LIKE '%intra%' THEN 'INTRA' ELSE 'WRITE_BACK' END AS role,
@@ -332,10 +332,10 @@ scored AS (
     WHEN contains(lower(title), 'object 11') OR contains('object 11', lower(title)) OR contains(lower(name), 'object 11') OR contains('object 11', lower(name)) THEN 0.8 END AS score FROM named)
 SELECT name, title, CAST(score AS DOUBLE) AS score FROM scored WHERE score IS NOT NULL ORDER BY score DESC, name LIMIT 10""",
     "tenant_objects": f"WITH {BASE}, {_OBJECTS} SELECT name, app_name FROM objects_c WHERE app_name = 'sales'",
-    "chains_by_length": f"""WITH RECURSIVE {_EDGES}, {_ENDS}, pairs AS (SELECT DISTINCT src, dst FROM edges), lasts AS (SELECT id FROM ends WHERE id NOT IN (SELECT src FROM pairs)),
+    "chains_by_length": f"""WITH RECURSIVE {_EDGES}, {_ENDS}, pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), lasts AS (SELECT id FROM ends WHERE id NOT IN (SELECT src FROM pairs)),
 height_all(id, level) AS (SELECT id, 0 FROM lasts UNION SELECT p.src, h.level + 1 FROM height_all h JOIN pairs p ON p.dst = h.id WHERE h.level < {_FAR}),
-heights AS (SELECT id, CAST(max(level) AS INTEGER) AS level FROM height_all GROUP BY id),
-onward AS (SELECT p.src, min(p.dst) AS next FROM pairs p JOIN heights a ON a.id = p.src JOIN heights b ON b.id = p.dst AND b.level = a.level - 1 GROUP BY p.src),
+heights AS MATERIALIZED (SELECT id, CAST(max(level) AS INTEGER) AS level FROM height_all GROUP BY id),
+onward AS MATERIALIZED (SELECT p.src, min(p.dst) AS next FROM pairs p JOIN heights a ON a.id = p.src JOIN heights b ON b.id = p.dst AND b.level = a.level - 1 GROUP BY p.src),
 chain(root, length, here, path, nodes) AS (
   SELECT id, level, id, id, 1 FROM heights WHERE level >= 10 AND id NOT IN (SELECT dst FROM pairs)
   UNION ALL SELECT c.root, c.length, o.next, c.path || ' -> ' || o.next, c.nodes + 1 FROM chain c JOIN onward o ON o.src = c.here)
