@@ -25,12 +25,12 @@ def _edges(frame: DataFrame, src_object: str, src_field: str, dst_object: str, d
 
 def intra_edges(fields: DataFrame) -> DataFrame:
     """From each field in a formula to the formula's field, on one object; the source need not be in the catalog."""
-    return _intra(sequences(fields))
+    return _intra(sequences(fields)).distinct()
 
 
 def _intra(seqs: DataFrame) -> DataFrame:
     used = seqs.select("object_type", "field", F.explode("seq").alias("used")).where("used <> field")
-    return _edges(used, "object_type", "used", "object_type", "field", "intra").distinct()
+    return _edges(used, "object_type", "used", "object_type", "field", "intra")
 
 
 def alias_edges(fields: DataFrame) -> DataFrame:
@@ -38,21 +38,25 @@ def alias_edges(fields: DataFrame) -> DataFrame:
 
     Candidates meet on the run's first field, so only fields that use it are compared.
     """
-    return _alias(sequences(fields))
+    return _alias(sequences(fields)).distinct()
 
 
 def _alias(seqs: DataFrame) -> DataFrame:
     runs = seqs.where(F.size("trigger_seq") > 0).select("object_type", F.col("field").alias("source"), F.col("trigger_seq").alias("run"), F.col("trigger_seq")[0].alias("first")).distinct()
     using = seqs.select("object_type", "field", "seq", F.explode("seq").alias("first"))
     met = runs.join(using, ["object_type", "first"]).where((F.col("source") != F.col("field")) & contains_run(F.col("seq"), F.col("run")))
-    return _edges(met, "object_type", "source", "object_type", "field", "intra").distinct()
+    return _edges(met, "object_type", "source", "object_type", "field", "intra")
 
 
 def write_back_edges(catalog: Catalog) -> DataFrame:
     """Downstream: from the fields in a rule's expression, on its source object and on those that its condition names, to the field; other objects only."""
+    return _write_back(catalog).distinct()
+
+
+def _write_back(catalog: Catalog) -> DataFrame:
     rows = write_backs(catalog).where("field IS NOT NULL").withColumn("src_object", F.explode(rules.write_back_objects(F.col("rule"))))
     used = rows.withColumn("src_field", F.explode(extract_sequence(F.col("rule.expression")))).where("src_object <> object_type")
-    return _edges(used, "src_object", "src_field", "object_type", "field", "writeBack").distinct()
+    return _edges(used, "src_object", "src_field", "object_type", "field", "writeBack")
 
 
 def write_back_sources(catalog: Catalog) -> DataFrame:
@@ -124,13 +128,13 @@ def view_dependency_stats(view: DataFrame) -> DataFrame:
 def downstream_edges(catalog: Catalog, texts: DataFrame | None = None) -> DataFrame:
     # Formulas are tokenised once; the lists of their fields, written, serve both kinds of edges.
     seqs = checkpoint(sequences(catalog.fields).select("object_type", "field", "seq", "trigger_seq"))
-    out = _intra(seqs).union(_alias(seqs)).union(write_back_edges(catalog))
+    out = _intra(seqs).union(_alias(seqs)).union(_write_back(catalog))
     return (out if texts is None else out.union(view_edges(texts))).distinct()
 
 
 def upstream_edges(catalog: Catalog, texts: DataFrame | None = None) -> DataFrame:
     """What a search against the edges' direction walks: no alias rule, sources of rules only."""
-    out = intra_edges(catalog.fields).union(write_back_sources(catalog))
+    out = _intra(sequences(catalog.fields)).union(write_back_sources(catalog))
     return (out if texts is None else out.union(view_edges(texts))).distinct()
 
 
