@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_counted
 
 #: So many edges, counted, and fewer are closed in one task; more are contracted further.
 LAST_EDGES = 10_000
@@ -58,5 +58,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = checkpoint(from_a.join(chosen.withColumnRenamed("rep", "b"), "b").select("a", F.col("to").alias("b")).where("a <> b").distinct())
         turn += 1
     nodes = checkpoint(nodes)
-    least = nodes.groupBy("rep").agg(F.min("id").alias("component"))
-    return checkpoint(nodes.join(least, "rep").select("id", "component"))
+    # Written, as a join with the aggregate itself would take its partitioning over and bring a large component to one task.
+    least = checkpoint(nodes.groupBy("rep").agg(F.min("id").alias("component"), F.count("*").alias("n")))
+    return checkpoint(join_counted(nodes, least, ["rep"]).select("id", "component"))
