@@ -136,10 +136,10 @@ def test_other_mentions_and_forms(documents):
 def brute(docs, key):
     """The texts by plain Python, entity by entity, with the table of surrogates."""
     table = {(r["kind"], r["norm"]): r["surrogate"] for r in sg.surrogate_table(sg.mentions(docs), key).collect()}
-    entity, bare = regex.compile("(?a)" + sg.ENTITY), regex.compile("(?a)" + sg.ENTITY + sg.BARE_NAME)
-    kinds = {k: regex.compile(f"(?a)(?:{p})") for k, p in sg.PATTERNS.items()}
-    name = regex.compile(f"(?a)({sg.ADDRESS})(?:({sg.NAME})([ \xa0]))?((?:(?:{sg.PARTICLES})[ \xa0]){{0,3}})({sg.NAME})")
-    secret = regex.compile(f"(?as)({sg.SECRET_LEAD}[\"']?)(.*?)([\"']?)")
+    entity, bare = regex.compile(sg.ENTITY), regex.compile(sg.ENTITY + sg.BARE_NAME)
+    kinds = {k: regex.compile(f"(?:{p})") for k, p in sg.PATTERNS.items()}
+    name = regex.compile(f"({sg.ADDRESS})(?:({sg.NAME})([ \xa0]))?((?:(?:{sg.PARTICLES})[ \xa0]){{0,3}})({sg.NAME})")
+    secret = regex.compile(f"(?s)({sg.SECRET_LEAD}[\"']?)(.*?)([\"']?)")
     cap = lambda token: " ".join(w[:1].upper() + w[1:].lower() for w in token.split(" "))
 
     def form(token, new):
@@ -160,7 +160,7 @@ def brute(docs, key):
             return [("secret", m[2], m[1] + table["secret", m[2]] + m[3])]
         for kind in ("access_key", "iban", "ip6", "card", "phone", "national_id", "ip"):
             if kinds[kind].fullmatch(s):
-                norm = regex.sub(r"(?a)\D", "", s) if kind in sg.DIGITS else s.replace(" ", "") if kind == "iban" else s
+                norm = regex.sub(r"\D", "", s) if kind in sg.DIGITS else s.replace(" ", "") if kind == "iban" else s
                 if kind == "ip6":
                     import ipaddress
 
@@ -204,7 +204,7 @@ def test_as_plain_python_and_nothing_survives(spark, documents, source):
     for i, _, found in want:
         plain = got[i] and re.sub(r"(?<=\d)[ ()./-]+(?=\d)", "", got[i])
         for kind, norm in found:
-            assert kind == "secret" and len(norm) < sg.BARE_SECRET or norm not in plain and (kind != "email" or norm not in plain.lower()), (i, kind, norm)
+            assert kind == "secret" and len(norm) < sg.BARE_SECRET or not re.search(rf"(?<!\w){re.escape(norm)}(?!\w)", plain), (i, kind, norm)
 
 
 def test_gender_by_most_mentions(documents):

@@ -23,7 +23,7 @@ BITS = 18
 #: The classifier is fitted on at most so many labelled rows of each class, those whose hashed id is smallest.
 ROWS_PER_CLASS = 3000
 #: And on no more of them than have so many indicators together in a class: what comes to the driver.
-FEATURES_PER_CLASS = 20_000_000
+FEATURES_PER_CLASS = 8_000_000
 LONGEST_RUN = 4
 
 
@@ -80,11 +80,17 @@ def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, cost: float
     size = 1 << bits
     if good.all() or not good.any():
         return Model(np.zeros(size), np.zeros(size), 0.0 if not len(good) else 1.0 if good.all() else -1.0)
-    counts = [np.bincount(np.concatenate([r for r, g in zip(rows, good, strict=True) if g == which]), minlength=size) + smoothing for which in (True, False)]
+    counts = [np.full(size, float(smoothing)) for _ in range(2)]
+    for count, which in zip(counts, (True, False), strict=True):
+        own = [r for r, g in zip(rows, good, strict=True) if g == which]
+        for k in range(0, len(own), 200):
+            count += np.bincount(np.concatenate(own[k : k + 200]), minlength=size)
     scale = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
     scale[(counts[0] + counts[1]) <= 2 * smoothing + 1] = 0  # seen once or never
-    values = [scale[r] for r in rows]
-    values = [v / max(1e-9, np.sqrt(v @ v)) for v in values]
+    values = []
+    for r in rows:
+        v = scale[r]
+        values.append((v / max(1e-9, np.sqrt(v @ v))).astype(np.float32))
     weights, bias = np.zeros(size), 0.0
     dual = np.zeros(len(rows))
     sign = np.where(good, 1.0, -1.0)
@@ -140,10 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_c
     sizes = found.select("doc_id", "label", F.size("features").alias("n"))
     before = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n")
     taken = sizes.withColumn("before", before).where(F.col("before") < features_per_class).select("doc_id")
-    got = found.join(F.broadcast(taken), "doc_id", "left_semi").toArrow().sort_by("doc_id")
-    column = got["features"].combine_chunks()
-    flat, places = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-    return fit([flat[a:b].astype(np.int64) for a, b in zip(places, places[1:], strict=False)], got["label"].to_numpy() == 1, bits)
+    got = found.join(F.broadcast(taken), "doc_id", "left_semi").toArrow()
+    lists = [row for chunk in got["features"].chunks for row in _views(chunk)]
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    return fit([lists[i] for i in order], got["label"].to_numpy()[order] == 1, bits)
+
+
+def _views(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists as arrays, without copies."""
+    flat, places = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(places, places[1:], strict=False))
 
 
 def score_documents(docs: DataFrame, model: Model, bits: int = BITS, keep: tuple[str, ...] = ("doc_id",), score_column: str = "score") -> DataFrame:
