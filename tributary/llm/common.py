@@ -105,24 +105,40 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD1342543DE82EF95) + b)
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than 0x20 and 0x09-0x0D: each word's first byte, its end, and where each text's words begin."""
-    inside = np.ones(len(data) + 2, bool)
-    inside[0] = inside[-1] = False
-    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
-    edges = inside[1:] != inside[:-1]
+def runs(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that are inside (one flag for each byte): each run's first byte, its end, and where each text's runs begin. A run ends with its text."""
+    within = np.zeros(len(inside) + 2, bool)
+    within[1:-1] = inside
+    edges = within[1:] != within[:-1]
     # A text's last word ends with the text, even if the next text begins with a word.
-    begins = np.flatnonzero(edges & inside[1:])
-    ends = np.flatnonzero(edges & inside[:-1])
+    begins = np.flatnonzero(edges & within[1:])
+    ends = np.flatnonzero(edges & within[:-1])
     cuts = starts[1:-1]
-    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
-    cuts = cuts[inside[cuts] & inside[cuts + 1]]
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(inside))])
+    cuts = cuts[within[cuts] & within[cuts + 1]]
     if len(cuts):
         begins = np.sort(np.concatenate([begins, cuts]))
         ends = np.sort(np.concatenate([ends, cuts]))
     return begins, ends, np.searchsorted(begins, starts)
 
 
+def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than 0x20 and 0x09-0x0D: each word's first byte, its end, and where each text's words begin."""
+    return runs((data != 32) & ((data < 9) | (data > 13)), starts)
+
+
+#: Bytes of terms: digits, letters, and all of longer UTF-8 sequences.
+TERM_BYTES = np.zeros(256, bool)
+TERM_BYTES[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]] = True
+
+
+def terms(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, where each text's begin) of the terms of texts: runs of digits, letters and characters beyond ASCII, with A-Z lower-cased."""
+    data = lowered(data)
+    begins, ends, of_text = runs(TERM_BYTES[data], starts)
+    return word_hashes(data, begins, ends), of_text
+
+
 #: By number of bytes, what a block of eight keeps.
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Longer words are hashed one by one.

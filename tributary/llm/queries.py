@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, near_dedup, packing, quality, sharding, substring_dedup, surrogates, topk
+from . import bpe, decontamination, lexical, line_dedup, media, near_dedup, packing, quality, sharding, substring_dedup, surrogates, topk, trie
 from .common import table
 
 #: Of the registered queries; a run on private data takes its own.
@@ -74,6 +74,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spaced, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words within windows of benchmark items, and the items."""
+    found, _ = decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.filter(F.col("matches")["item_id"], lambda i: i.isNotNull())))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -85,8 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_decontamination": op11_decontamination,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
+#: A text's terms in SQL: A-Z are lower-cased first.
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 #: Words of a text in SQL.
 _WORDS = "regexp_extract_all({text}, '[^' || chr(32) || chr(9) || '-' || chr(13) || ']+')"
 
@@ -154,5 +176,68 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN stays THEN 0 ELSE 1 END)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_decontamination": f"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+items AS (SELECT item_id, {_TERMS} AS ws FROM benchmark),
+item_starts AS (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM item_starts),
+doc_starts AS (
+  SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM windows) AS lengths WHERE len(ws) >= n),
+met AS (
+  SELECT d.doc_id, d.p, d.n, v.item_id FROM (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS w FROM doc_starts) AS d JOIN windows v ON v.n = d.n AND v.w = d.w),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM met) AS t GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM met) AS t GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+""",
+    "op12_lexical_search": f"""
+WITH docs AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+items AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM docs GROUP BY doc_id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM docs WHERE term IN (SELECT term FROM items) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, totals GROUP BY term, all_docs),
+parts AS (
+  SELECT p.doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))) AS part
+  FROM postings p JOIN weights ON weights.term = p.term JOIN sizes ON sizes.doc_id = p.doc_id, totals),
+scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM items JOIN parts ON parts.term = items.term GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    # CRC-32 comes from its table of 256 steps, a digit of the id at a time.
+    "op13_prefix_trie": """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) AS t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+steps AS (SELECT i, v FROM bits WHERE k = 8),
+convs AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS digits FROM conversations),
+crcs(conv_id, digits, place, crc) AS (
+  SELECT conv_id, digits, 1, CAST(4294967295 AS BIGINT) FROM convs
+  UNION ALL SELECT c.conv_id, c.digits, c.place + 1, xor(s.v, c.crc >> 8) FROM crcs c JOIN steps s ON s.i = xor(c.crc, ascii(substr(c.digits, c.place, 1))::BIGINT) & 255 WHERE c.place <= length(c.digits)),
+taken AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM crcs WHERE place = length(digits) + 1),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations),
+rebuilt AS (
+  SELECT t.conv_id, 0 AS half, b.pos, b.role, b.text FROM taken t JOIN turns b ON b.conv_id = t.base AND b.pos <= t.h
+  UNION ALL SELECT t.conv_id, 1, o.pos, o.role, o.text FROM taken t JOIN turns o ON o.conv_id = t.conv_id AND o.pos > t.h),
+placed AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY half, pos) AS depth FROM rebuilt),
+spelt AS (SELECT conv_id, depth, length(text) AS n, length(role) || ':' || length(text) || ':' || role || text AS turn FROM placed),
+paths AS (SELECT conv_id, depth, n, sha256(string_agg(turn, '' ) OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM spelt UNION ALL SELECT conv_id, 0, 0, '' FROM taken),
+nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n FROM paths GROUP BY depth, path),
+last AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+ends AS (SELECT p.depth, p.path, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM paths p JOIN last l ON l.conv_id = p.conv_id AND l.depth = p.depth GROUP BY 1, 2),
+above AS (
+  SELECT v.depth, v.path, u.depth AS up_depth, u.path AS up_path, w.conv_id AS up_conv, v.n, v.n_convs
+  FROM nodes v JOIN paths u ON u.conv_id = v.conv_id AND u.depth <= v.depth JOIN nodes w ON w.depth = u.depth AND w.path = u.path),
+children AS (SELECT up_depth AS depth, up_path AS path, count(*) AS n_children FROM above WHERE up_depth = depth - 1 GROUP BY 1, 2),
+below AS (
+  SELECT a.up_depth AS depth, a.up_path AS path, sum(CASE WHEN c.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((a.n_convs - 1) * a.n) AS saved
+  FROM above a LEFT JOIN children c ON c.depth = a.depth AND c.path = a.path GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, p.up_conv AS parent_conv_id, v.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes v JOIN below b ON b.depth = v.depth AND b.path = v.path LEFT JOIN children c ON c.depth = v.depth AND c.path = v.path
+  LEFT JOIN ends e ON e.depth = v.depth AND e.path = v.path LEFT JOIN above p ON p.depth = v.depth AND p.path = v.path AND p.up_depth = v.depth - 1
 """,
 }
