@@ -100,5 +100,6 @@ def test_affected_documents_go(documents, benchmark, spark):
 
 def test_empty(documents, benchmark):
     assert run(documents([]), benchmark([(1, "a b")])) == []
+    assert run(documents([(1, "a b")]), benchmark([(1, "c d")])) == [(1, 2, 0, [], set())]
     assert run(documents([(1, "a b")]), benchmark([])) == [(1, 2, 0, [], set())]
     assert run(documents([(1, None)]), benchmark([(1, None)])) == [(1, 0, 0, [], set())]

@@ -127,7 +127,7 @@ class Items:
             suffix, low, high = self.search(padded, order, wanted)
             counts = high - low
             cuts = np.searchsorted(np.cumsum(counts), np.arange(PLACES, counts.sum() + PLACES, PLACES)) + 1
-            for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            for a, b in zip(np.append(0, cuts), cuts, strict=False):
                 n = counts[a:b]
                 which = np.repeat(np.arange(a, min(b, len(counts))), n)
                 place = order[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())] + begin
