@@ -55,6 +55,9 @@ def test_runs_and_words(spark):
     ('{"srcObjectType":"A","expression":"sum(x_y)"}', ("A", None, "sum(x_y)", None, None)),
     ('[{"expression":"q"},{"srcObjectType":"B","expression":"p"}]', ("B", None, "p", None, None)),
     ("{'srcObjectType':'C','expression':'e',}", ("C", None, "e", None, None)),
+    ('{"SRCOBJECTTYPE":"A","Expression":"e","idfield":"i"}', ("A", "i", "e", None, None)),
+    ('[{"srcobjecttype":null,"expression":"q"},{"SrcObjectType":"B","EXPRESSION":"p","expression":"last","n":{"a":1},"CONDITION":7}]', ("B", None, "last", "7", None)),
+    ("/* first */ [{'SRCOBJECTTYPE':'C','EXPRESSION':'e',},]", ("C", None, "e", None, None)), ("[]", None), ("[1]", None), ("null", None), ('"text"', None),
     ('{"srcObjectType":"A"}', None), (" ", None), ("oops", None), (None, None),
     ('{srcObjectType:"A", /* why */ "expression":"e","idField":"i","condition":"c","other":1}', ("A", "i", "e", "c", None)),
 ])

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .names import blank_to_null, capitalize
 
 RULE_KEYS = ("srcObjectType", "idField", "expression", "condition", "executingMoment")
-_RULE = "array<struct<" + ",".join(f"{k}:string" for k in RULE_KEYS) + ">>"
 _LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true"}
 
 # Names and business types of amounts and quantities.
@@ -18,9 +17,18 @@ AMOUNT_TYPES, QUANTITY_TYPES = ("amount", "currency", "money"), ("qty", "quantit
 
 
 def parse_write_back(text: Column) -> Column:
-    """The rule in a lenient JSON text: of an object or an array the first element with srcObjectType and expression, else null."""
-    clean = F.regexp_replace(blank_to_null(text), r",\s*([}\]])", "$1")
-    parse = lambda t: F.filter(F.from_json(t, _RULE, _LENIENT), lambda r: r["srcObjectType"].isNotNull() & r["expression"].isNotNull())
+    """The rule in a lenient JSON text: of an object or an array the first element with srcObjectType and expression, else null. Keys may be in any case; of equal ones the last counts."""
+    clean = F.regexp_replace(F.regexp_replace(blank_to_null(text), r",\s*([}\]])", "$1"), r"(?s)^(\s*/\*.*?\*/)+", "")
+
+    def value(rule: Column, key: str) -> Column:
+        found = F.filter(F.map_entries(rule), lambda e: F.lower(e["key"]) == key.lower())
+        return F.try_element_at(found, F.lit(-1))["value"]
+
+    def parse(t: Column) -> Column:
+        as_array = F.when(F.ltrim(t).startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]")))
+        found = F.transform(F.from_json(as_array, "array<map<string,string>>", _LENIENT), lambda r: F.struct(*(value(r, k).alias(k) for k in RULE_KEYS)))
+        return F.filter(found, lambda r: r["srcObjectType"].isNotNull() & r["expression"].isNotNull())
+
     first = lambda a: F.when(F.size(a) > 0, a[0])
     return F.coalesce(first(parse(clean)), first(parse(F.translate(clean, "'", '"'))))
 

@@ -13,6 +13,7 @@ from ..functions import names, rules
 from ..functions.formulas import contains_run, extract_sequence
 from ..sources.catalog import Catalog, canonical, sequences, write_backs
 from .loops import checkpoint
+from .views import view_column_lineage
 
 COLUMNS = ("src_object", "src_field", "dst_object", "dst_field", "src", "dst", "rel")
 
@@ -66,51 +67,6 @@ def write_back_sources(catalog: Catalog) -> DataFrame:
     return _edges(used, "src_object", "src_field", "object_type", "field", "writeBack").distinct()
 
 
-_IDENTIFIER = r"[\"`]?[A-Za-z_][\w.\"`]*"
-_UNQUOTED = r"[\"`]"
-
-
-def view_column_lineage(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lineage, rejects) of view SQL texts (view_name, sql) of the plain kind `SELECT items FROM a [JOIN b ON ..] ..`.
-
-    lineage: view_name, output, table, column. An item's output is its alias, else its column's name; items that are neither are left out, and so are
-    stars. A qualifier is an alias or stays as the table's name; a column without one belongs to the only table, else to UNKNOWN.
-    """
-    clean = F.trim(F.regexp_replace(F.regexp_replace("sql", r"\$\{SystemFields\}\s*,?", ""), r"\s+", " "))
-    parts = texts.withColumn("text", clean).withColumn("select_list", F.regexp_extract("text", r"(?i)^select (?:distinct )?(.+?) from ", 1)).withColumn("rest", F.regexp_extract("text", r"(?i)^select .+? (from .+)$", 1))
-    plain = (F.col("select_list") != "") & ~F.col("text").rlike(r"(?i)\bunion\b|\(\s*select\b")
-    rejects = texts.withColumn("text", clean).join(parts.where(plain).select("view_name", "sql"), ["view_name", "sql"], "left_anti")
-    reason = F.when(F.col("text").rlike(r"(?i)\bunion\b"), "union").when(F.col("text").rlike(r"(?i)\(\s*select\b"), "subquery").otherwise("not a select")
-    tables = F.regexp_extract_all("rest", F.lit(rf"(?i)(?:\bfrom|\bjoin|,) ?({_IDENTIFIER}(?: (?:as )?(?!on\b|left\b|right\b|inner\b|full\b|cross\b|join\b|where\b|group\b|order\b|limit\b|having\b)[A-Za-z_]\w*)?)"), F.lit(1))
-    from_only = F.regexp_extract("rest", r"(?i)^(.*?)(?: where | group by | order by | limit |$)", 1)
-    good = parts.where(plain).withColumn("rest", from_only).withColumn("tables", tables)
-    entry = lambda t: F.struct(F.regexp_replace(F.split(t, " ")[0], _UNQUOTED, "").alias("table"), F.element_at(F.split(t, " "), -1).alias("alias"))
-    good = good.withColumn("tables", F.transform("tables", entry))
-    # Commas inside brackets don't part items: they are hidden before the split.
-    hidden = F.regexp_replace("select_list", r"\([^()]*\)", "()")
-    items = good.withColumn("item", F.explode(F.transform(F.split(hidden, ","), lambda t: F.trim(t)))).where(~F.col("item").endswith("*"))
-    item, column_pattern = F.col("item"), r"^([A-Za-z_\"`][\w.\"`]*)(?: (?:[aA][sS] )?([A-Za-z_\"`][\w\"`]*))?$"
-    path = F.regexp_replace(F.regexp_extract(item, column_pattern, 1), _UNQUOTED, "")
-    alias = F.regexp_replace(F.regexp_extract(item, column_pattern, 2), _UNQUOTED, "")
-    column = F.substring_index(path, ".", -1)
-    qualifier = F.when(path.contains("."), F.substr(path, F.lit(1), F.length(path) - F.length(column) - 1))
-    of_alias = F.filter("tables", lambda t: F.lower(t["alias"]) == F.lower(qualifier))
-    table = F.when(qualifier.isNull(), F.when(F.size("tables") == 1, F.col("tables")[0]["table"]).otherwise("UNKNOWN")).when(F.size(of_alias) > 0, of_alias[0]["table"]).otherwise(qualifier)
-    lineage = items.where(path != "").select("view_name", F.when(alias != "", alias).otherwise(column).alias("output"), table.alias("table"), column.alias("column")).distinct()
-    return lineage, rejects.select("view_name", "sql", reason.alias("reason"))
-
-
-def sql_dependencies(texts: DataFrame) -> DataFrame:
-    """view_name, table, column: every qualified column anywhere in a text, subqueries too, by the text's aliases; tables without columns have null."""
-    clean = F.regexp_replace(F.regexp_replace("sql", r"'[^']*'", "''"), r"\s+", " ")
-    found = F.regexp_extract_all(clean, F.lit(rf"(?i)(?:\bfrom|\bjoin) ({_IDENTIFIER}(?: (?:as )?(?!on\b|left\b|right\b|inner\b|full\b|cross\b|join\b|where\b|group\b|order\b|limit\b|having\b|union\b)[A-Za-z_]\w*)?)"), F.lit(1))
-    entry = lambda t: F.struct(F.lower(F.element_at(F.split(t, " "), -1)).alias("alias"), F.regexp_replace(F.split(t, " ")[0], _UNQUOTED, "").alias("table"))
-    tables = texts.select("view_name", F.transform(found, entry).alias("tables"), F.array_distinct(F.regexp_extract_all(clean, F.lit(r"\b([A-Za-z_]\w*\.[A-Za-z_]\w*)\b"), F.lit(1))).alias("paths"))
-    known = tables.select("view_name", F.explode("tables").alias("t")).select("view_name", "t.alias", "t.table").distinct()
-    used = tables.select("view_name", F.explode("paths").alias("p")).select("view_name", F.lower(F.substring_index("p", ".", 1)).alias("alias"), F.substring_index("p", ".", -1).alias("column"))
-    return known.join(used, ["view_name", "alias"], "left").select("view_name", "table", "column").distinct()
-
-
 def view_edges(texts: DataFrame) -> DataFrame:
     """From the source table's object and column to the view's output column."""
     lineage, _ = view_column_lineage(texts)
@@ -120,11 +76,6 @@ def view_edges(texts: DataFrame) -> DataFrame:
     return _edges(named.where("sf <> '' AND df <> ''"), "so", "sf", "do", "df", "view").distinct()
 
 
-def view_dependency_stats(view: DataFrame) -> DataFrame:
-    """Per source how many view fields depend on it, and which."""
-    return view.groupBy("src").agg(F.count("dst").alias("targets"), F.array_sort(F.collect_set("dst")).alias("view_fields"))
-
-
 def downstream_edges(catalog: Catalog, texts: DataFrame | None = None) -> DataFrame:
     # Formulas are tokenised once; the lists of their fields, written, serve both kinds of edges.
     seqs = checkpoint(sequences(catalog.fields).select("object_type", "field", "seq", "trigger_seq"))

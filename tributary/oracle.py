@@ -5,6 +5,7 @@ Lineage edges are written here from how the derived catalog is made, not by read
 
 from __future__ import annotations
 
+from .queries import SUBQUERY_FORMULAS
 from .sources.derived import BASE, FIELDS, METADATA, OBJECTS, _camel, _name
 
 
@@ -36,8 +37,19 @@ _INTRA = f"SELECT {_node('k', 'a')} AS src, {_node('k', 'b')} AS dst, 'intra' AS
 _ALIAS = f"SELECT {_node('k', 'a')} AS src, {_node('k', 'b')} AS dst, 'intra' AS rel FROM same_run"
 _BACK = f"SELECT {_node('(k - 1)', 's')} AS src, {_node('k', 'ok')} AS dst, 'writeBack' AS rel FROM backs"
 _BACK_2 = f"SELECT {_node('(k - 2)', 's')} AS src, {_node('k', 'ok')} AS dst, 'writeBack' AS rel FROM backs"
-_VIEW = f"""SELECT {_node('k', 'a')} AS src, 'Obj' || k || 'View.v' || a AS dst, 'view' AS rel FROM shown
-  UNION SELECT {_node('(k + 1)', 'b')}, 'Obj' || k || 'View.w' || b, 'view' FROM shown"""
+#: What each view shows: output, and the object (0 the view's own, 1 the next one) and column that it comes from.
+_SHOWN = f"""
+  SELECT k, 'v_' || a AS output, 'v' || a AS field, k AS o, {_name('a')} AS column_name, {_camel('a')} AS source FROM shown
+  UNION ALL SELECT k, 'w_' || b, 'w' || b, k + 1, {_name('b')}, {_camel('b')} FROM shown
+  UNION ALL SELECT k, 'c_' || b, 'c' || b, k + 1, {_name('b')}, {_camel('b')} FROM shown
+  UNION ALL SELECT k, 'k_' || a, 'k' || a, k, {_name('a')}, {_camel('a')} FROM shown
+  UNION ALL SELECT k, 'k_' || a, 'k' || a, k + 1, {_name('b')}, {_camel('b')} FROM shown
+  UNION ALL SELECT k, 's_' || b, 's' || b, k + 1, {_name('b')}, {_camel('b')} FROM shown
+  UNION ALL SELECT k, 's_' || b, 's' || b, k + 1, 'id', 'id' FROM shown
+  UNION ALL SELECT k, 's_' || b, 's' || b, k, 'id', 'id' FROM shown
+  UNION ALL SELECT k, 'q ' || a, 'q ' || a, k, {_name('a')}, {_camel('a')} FROM shown
+  UNION ALL SELECT k, 'd_' || a, 'd' || a, k, {_name('a')}, {_camel('a')} FROM shown"""
+_VIEW = f"SELECT 'Obj' || o || '.' || source AS src, 'Obj' || k || 'View.' || field AS dst, 'view' AS rel FROM ({_SHOWN}) AS all_shown"
 _DOWN = f"edges AS ({_INTRA} UNION {_ALIAS} UNION {_BACK} UNION {_BACK_2} UNION {_VIEW})"
 _UP = f"up_edges AS ({_INTRA} UNION {_BACK} UNION {_VIEW})"
 _EDGES = f"{BASE}, {_PAIRS}, {_VIEW_ROWS}, {_DOWN}, {_UP}"
@@ -57,22 +69,21 @@ def _walk(edges: str, depth: int, reverse: bool = False, name: str = "walk", sta
 #: Longer than any path in the derived catalog.
 _FAR = 24
 
-_NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(38, 6))"
-_TAXED = "CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(38, 6))"
-_ROLLUP = f"""WITH per_order AS (
-  SELECT l_orderkey, sum({_NET}) AS item_total, sum({_TAXED}) AS taxed_total, count(l_linenumber) AS item_count
+#: Sums of doubles with what each step rounds off added back.
+_ROLLUP = """WITH per_order AS (
+  SELECT l_orderkey, fsum(l_extendedprice * (1 - l_discount)) AS item_total, fsum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS taxed_total, count(l_linenumber) AS item_count
   FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey),
 per_customer AS (
-  SELECT o_custkey, coalesce(sum(item_total), 0) AS order_total FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey GROUP BY o_custkey),
+  SELECT o_custkey, coalesce(fsum(item_total), 0) AS order_total FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey GROUP BY o_custkey),
 customers AS (SELECT c.*, order_total, order_total - c_acctbal AS gap FROM customer c LEFT JOIN per_customer ON o_custkey = c_custkey),
 nations AS (
   SELECT n_nationkey, n_regionkey, cust_total, gap_total FROM nation LEFT JOIN (
-    SELECT c_nationkey, coalesce(sum(order_total), 0) AS cust_total, coalesce(sum(CAST(gap AS DECIMAL(38, 6))), 0) AS gap_total FROM customers GROUP BY c_nationkey) AS t ON c_nationkey = n_nationkey)
+    SELECT c_nationkey, coalesce(fsum(order_total), 0) AS cust_total, coalesce(fsum(gap), 0) AS gap_total FROM customers GROUP BY c_nationkey) AS t ON c_nationkey = n_nationkey)
 """
 
 
-def _double(column: str) -> str:
-    return f"CAST({column} AS DOUBLE) AS {column}"
+def _double(column: str, digits: int = 4) -> str:
+    return f"round({column}, {digits}) AS {column}"
 
 
 _HAS_BACK = "(r % 4 = 0 AND k % 4 > 0 AND s IS NOT NULL)"
@@ -124,12 +135,18 @@ changed AS (
 
 ORACLE_SQL: dict[str, str] = {
     "rollup_regions": f"""{_ROLLUP} SELECT r_regionkey, r_name, {_double('nation_total')} FROM region LEFT JOIN (
-  SELECT n_regionkey, coalesce(sum(cust_total), 0) AS nation_total FROM nations GROUP BY n_regionkey) AS t ON n_regionkey = r_regionkey""",
+  SELECT n_regionkey, coalesce(fsum(cust_total), 0) AS nation_total FROM nations GROUP BY n_regionkey) AS t ON n_regionkey = r_regionkey""",
     "rollup_nations": f"{_ROLLUP} SELECT n_nationkey, {_double('cust_total')}, {_double('gap_total')} FROM nations",
     "rollup_customers": f"{_ROLLUP} SELECT c_custkey, {_double('order_total')}, {_double('gap')} FROM customers",
-    "rollup_orders": f"{_ROLLUP} SELECT o_orderkey, {_double('item_total')}, {_double('taxed_total')}, coalesce(item_count, 0) AS item_count FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey",
-    "write_back_keeps_old": """SELECT c_custkey, coalesce(m, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (
+    "rollup_orders": f"{_ROLLUP} SELECT o_orderkey, {_double('item_total')}, {_double('taxed_total', 6)}, coalesce(item_count, 0) AS item_count FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey",
+    "write_back_keeps_old": """SELECT c_custkey, round(coalesce(m, c_acctbal), 4) AS c_acctbal FROM customer LEFT JOIN (
   SELECT o_custkey, max(o_totalprice) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) AS t ON o_custkey = c_custkey""",
+    "exact_sums": """SELECT o_orderkey, round(tiny, 2) AS tiny, round(huge, 2) AS huge, CAST(rate AS VARCHAR) AS rate, round(mean, 6) AS mean, round(spread, 2) AS spread, round("both", 4) AS "both" FROM orders LEFT JOIN (
+  SELECT l_orderkey, fsum(l_extendedprice * 1e-15) * 1e15 AS tiny, fsum(l_extendedprice * 1e30) / 1e30 AS huge, sum(CAST(CAST(l_discount AS DECIMAL(20, 10)) * 0.001 AS DECIMAL(38, 14))) AS rate, fsum(l_quantity) / count(*) AS mean,
+    max(l_extendedprice) - min(l_extendedprice) AS spread, fsum(l_quantity) - fsum(l_tax) * count(*) AS "both"
+  FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_orderkey) AS t ON l_orderkey = o_orderkey""",
+    "formula_lookups": f"""SELECT o_orderkey, round({SUBQUERY_FORMULAS['orders']['segment_price']}, 2) AS segment_price, {SUBQUERY_FORMULAS['orders']['returned']} AS returned, {SUBQUERY_FORMULAS['orders']['lines']} AS lines FROM orders""",
+    "formula_aggregates": f"SELECT c_custkey, round({SUBQUERY_FORMULAS['customer']['open_orders']}, 2) AS open_orders FROM customer",
     "changed_rows": "SELECT l_orderkey, l_linenumber, CAST(25 AS DOUBLE) AS new_value FROM lineitem WHERE l_quantity > 25",
     "parent_lookup": "SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "recompute_plan": f"""WITH RECURSIVE {_EDGES}, {_FIELDS}, {_roots(0)}, own_edges AS (SELECT * FROM edges WHERE rel <> 'view'), {_longest('own_edges', 'roots')}, {_TYPES},
@@ -184,10 +201,9 @@ SELECT event_id, '${ret}.originDeclaredAmount' AS memo, n, '${ret}.midCurrencyId
     "catalog_scan": f"WITH {BASE}, {_FIELDS}, {_OBJECTS} SELECT f.id, f.object_type, o.app_name, f.title FROM fields f LEFT JOIN objects_c o ON o.name = f.object_type",
     "view_definitions": f"""WITH {BASE}, metadata_c AS ({METADATA}) SELECT name AS view_name, json_extract_string(content, '$.viewDef[0].objectName') AS object_name, json_extract_string(content, '$.viewDef[0].sql') AS sql
 FROM metadata_c WHERE NOT is_deleted""",
-    "view_lineage": f"""WITH {BASE}, {_VIEW_ROWS} SELECT 'Obj' || k || 'View' AS view_name, 'v_' || a AS output, 'app_obj' || k AS table_name, {_name('a')} AS column_name FROM shown
-UNION SELECT 'Obj' || k || 'View', 'w_' || b, 'app_obj' || (k + 1), {_name('b')} FROM shown""",
-    "view_sql_dependencies": f"""WITH {BASE}, {_VIEW_ROWS} SELECT 'Obj' || k || 'View' AS view_name, 'app_obj' || k AS table_name, CAST(3 AS BIGINT) AS columns FROM shown
-UNION ALL SELECT 'Obj' || k || 'View', 'app_obj' || (k + 1), 2 FROM shown""",
+    "view_lineage": f"""WITH {BASE}, {_VIEW_ROWS} SELECT 'Obj' || k || 'View' AS view_name, output, 'app_obj' || o AS table_name, column_name FROM ({_SHOWN}) AS all_shown""",
+    "view_sql_dependencies": f"""WITH {BASE}, {_VIEW_ROWS}, used AS (SELECT k, o, column_name FROM ({_SHOWN}) AS all_shown UNION SELECT k, k, 'is_deleted' FROM shown UNION SELECT k, k + 1, 'parent_id' FROM shown)
+SELECT 'Obj' || k || 'View' AS view_name, 'app_obj' || o AS table_name, count(*) AS columns FROM used GROUP BY k, o""",
     "view_stats": f"WITH {BASE}, {_VIEW_ROWS}, v AS ({_VIEW}) SELECT src, count(*) AS targets, string_agg(dst, ',' ORDER BY dst) AS view_fields FROM v GROUP BY src",
     "object_details": f"WITH {BASE} SELECT DISTINCT 'Obj' || k AS name, CASE WHEN k % 5 > 0 THEN 'Object ' || k ELSE 'Obj' || k END AS title FROM base WHERE k % 10 <> 9",
     "fields_by_app": f"WITH {BASE} SELECT {_APP} AS app_name, count(*) AS fields FROM base WHERE k % 4 IN (1, 2) GROUP BY 1",

@@ -7,14 +7,15 @@ driver; the tables themselves are only ever transformed.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import names, rules
+from ..functions import names, rules, sums, texts
 from ..functions.formulas import extract_sequence, formula_to_columns
 from ..operators.edges import downstream_edges, overlay_definitions, rel_filter, upstream_edges
 from ..operators.graph import closed_graph, dirty_set, incoming_types, longest_depth, normalise_roots, topological_order
@@ -23,7 +24,6 @@ from ..sources.catalog import Catalog, canonical
 
 #: Steps that the driver turns into one chain of transformations.
 MOST_STEPS = 2_000
-AGGREGATES = ("sum", "min", "max", "avg", "count")
 PLAN_COLUMNS = ("step", "node", "object", "field", "level", "role", "active", "in_cycle", "status", "column", "formula", "rule")
 
 
@@ -121,9 +121,10 @@ def _numbered(found: DataFrame) -> DataFrame:
 def compile_formula(formula: str, schema: T.StructType, functions: Mapping[str, Callable[..., Column]] | None = None) -> Column:
     """A formula over columns as a Spark expression.
 
-    Texts 't' and 'f' compared with boolean columns become true and false, a quotient of two integer columns is an integer one, and JSON array
+    Qualifiers go, as all columns are those of one row. Texts 't' and 'f' compared with boolean columns become true and false, a quotient of two integer columns is an integer one, and JSON array
     literals become arrays. A call of one of `functions` as the whole formula is passed on with its arguments.
     """
+    formula = texts.unqualified(formula, schema.names)
     for name in (f.name for f in schema if isinstance(f.dataType, T.BooleanType)):
         formula = re.sub(rf"\b{name}\s*(=|<>|!=)\s*'([tf])'", lambda m, n=name: f"{n} {m[1]} {'true' if m[2] == 't' else 'false'}", formula)
     whole = "|".join(f.name for f in schema if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)))
@@ -132,24 +133,148 @@ def compile_formula(formula: str, schema: T.StructType, functions: Mapping[str,
     formula = re.sub(r"'(\[[^']*\])'::JSONB", r"from_json('\1', 'array<string>')", formula, flags=re.I)
     call = re.fullmatch(r"\s*(\w+)\s*\((.*)\)\s*", formula, re.S)
     if call and functions and call[1] in functions:
-        arguments, depth, at = [], 0, 0
-        for i, c in enumerate(call[2]):
-            depth += (c == "(") - (c == ")")
-            if c == "," and not depth:
-                arguments.append(call[2][at:i])
-                at = i + 1
-        return functions[call[1]](*(F.expr(a) for a in [*arguments, call[2][at:]]))
+        return functions[call[1]](*(F.expr(a) for a in texts.split_at(call[2], ",")))
     return F.expr(formula)
 
 
-def apply_trigger(df: DataFrame, column: str, formula: str, functions: Mapping[str, Callable[..., Column]] | None = None) -> DataFrame:
+def _rolled(source: DataFrame, keys: Mapping[str, str], calls: Mapping[str, tuple[str, Column]], hits: Mapping[str, Column]) -> DataFrame:
+    """A row for each key (new name: source's column) that has no null: each call (function, value) by name, and for each hit whether it holds for any row.
+
+    Sums and averages of doubles are exact (see functions/sums.py): each row's numbers are added up by window first, in the same pass as all the rest, and the windows of a key are put together.
+    """
+    known = source.where(reduce(Column.__and__, (F.col(f"`{c}`").isNotNull() for c in keys.values())))
+    inputs = known.select(*(F.col(f"`{c}`").alias(n) for n, c in keys.items()), *(v.alias(n) for n, (_, v) in calls.items()), *(h.alias(n) for n, h in hits.items()))
+    kind = {n: inputs.schema[n].dataType for n in calls}
+    for n, (function, _) in calls.items():
+        if function in ("sum", "avg") and not isinstance(kind[n], T.NumericType):
+            raise TypeError(f"{kind[n].simpleString()} can't be added up")
+    doubles = [n for n, (function, _) in calls.items() if function in ("sum", "avg") and isinstance(kind[n], (T.DoubleType, T.FloatType))]
+    plain = {n: getattr(F, function)(n) for n, (function, _) in calls.items() if n not in doubles} | {n: F.coalesce(F.bool_or(n), F.lit(False)) for n in hits}
+    if not doubles:
+        return inputs.groupBy(*keys).agg(*(c.alias(n) for n, c in plain.items()))
+    which, number, window, units, special, n_rows, entry = texts.unused(inputs.columns, "which", "number", "window", "units", "special", "n_rows", "entry")
+    one = lambda i, v: F.struct(F.lit(i).alias(which), v.cast("double").alias(number))
+    entries = F.filter(F.array(one(-1, F.lit(0.0)), *(one(i, F.col(n)) for i, n in enumerate(doubles))), lambda e: e[number].isNotNull())
+    rest = [n for n in inputs.columns if n not in keys and n not in doubles]
+    spread = inputs.select(*keys, *rest, F.explode(entries).alias(entry)).select(*keys, f"{entry}.*", *(F.when(F.col(f"{entry}.{which}") == -1, F.col(n)).alias(n) for n in rest))
+    spread = spread.withColumn(window, sums.window_of(F.col(number)))
+    added = spread.groupBy(*keys, which, window).agg(
+        *(c.alias(n) for n, c in plain.items()), F.sum(sums.units_of(F.col(number), F.col(window))).alias(units), F.sum(F.when(F.col(window).isNull(), F.col(number))).alias(special), F.count(F.lit(1)).alias(n_rows)
+    )
+    own = lambda i, c: F.when(F.col(which) == i, c)
+
+    def total(i: int, function: str) -> Column:
+        windows = F.collect_list(F.when((F.col(which) == i) & F.col(window).isNotNull(), F.struct(F.col(window).alias("window"), F.col(units).alias("units"))))
+        other, n = F.sum(own(i, F.col(special))), F.sum(own(i, F.col(n_rows)))
+        out = F.when(F.isnan(other) | (F.abs(other) == float("inf")), other).otherwise(sums.put_together(windows))
+        return F.when(n > 0, out / n if function == "avg" else out)
+
+    single = {n: F.first(own(-1, F.col(n)), ignorenulls=True) for n in plain}
+    return added.groupBy(*keys).agg(*(c.alias(n) for n, c in single.items()), *(total(i, calls[n][0]).alias(n) for i, n in enumerate(doubles)))
+
+
+def _call(function: str, argument: str, schema: T.StructType, holds: Column | None) -> tuple[str, Column]:
+    value = F.lit(1) if argument == "*" else compile_formula(argument, schema)
+    return function, value if holds is None else F.when(holds, value)
+
+
+@dataclass(frozen=True)
+class Subquery:
+    """A correlated scalar subquery of a formula: what it tells, of which table, for which equal columns (own, the table's), under which further condition."""
+
+    tells: str
+    table: str
+    keys: tuple[tuple[str, str], ...]
+    condition: str | None
+
+
+def read_subquery(text: str, columns: Sequence[str], columns_of: Callable[[str], Sequence[str]]) -> Subquery:
+    """`select value from table [alias] where own.column = table.column [and condition]`. An unqualified side is the subquery's table's column if that has one of this name."""
+    parts = re.fullmatch(r"\s*select\s(.*)", text, re.I | re.S)
+    value, *rest = texts.split_at(parts[1], r"\bfrom\b")
+    source, *where = texts.split_at(" ".join(rest), r"\bwhere\b")
+    named = re.fullmatch(r"([\w.]+)(?:\s+(?:as\s+)?(\w+))?", source, re.I)
+    if len(rest) != 1 or len(where) != 1 or not named or re.search(r"\(\s*select\b", text, re.I):
+        raise ValueError(f"{text} isn't a value from one table for one row")
+    table = named[1].split(".")[-1]
+    inside = {n.lower() for n in (table, named[2]) if n}
+    there, here = {c.lower() for c in columns_of(table)}, {c.lower() for c in columns}
+
+    def side(path: str) -> tuple[bool, str]:
+        *qualifier, column = path.split(".")
+        return (qualifier[-1].lower() in inside if qualifier else column.lower() in there), column
+
+    keys, conditions = [], []
+    for part in texts.split_at(where[0], r"\band\b"):
+        equal = re.fullmatch(r"([\w.]+)\s*=\s*([\w.]+)", part)
+        sides = [side(equal[k]) for k in (1, 2)] if equal else []
+        if len(sides) == 2 and sides[0][0] != sides[1][0]:
+            own, theirs = sorted(sides)
+            if own[1].lower() in here and theirs[1].lower() in there:
+                keys.append((own[1], theirs[1]))
+                continue
+        conditions.append(part)
+    outside = [m[0] for c in conditions for m in re.finditer(r"'(?:[^']|'')*'|\b[A-Za-z_]\w*\.\w+", c) if not m[0].startswith("'") and m[0].split(".")[0].lower() not in inside]
+    if not keys or outside:
+        raise ValueError(f"{text}: its table is met by equal columns only")
+    return Subquery(value, table, tuple(keys), " and ".join(conditions) or None)
+
+
+def join_subqueries(df: DataFrame, formulas: Mapping[str, str], tables: Callable[[str], DataFrame]) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """(df with columns for what the formulas' subqueries tell, the formulas over these, the columns added).
+
+    Subqueries on one table with one key and condition share an aggregation and a join: aggregates are rolled up by the key, single values are looked up by it, and two different rows for a value that is asked for are an error, as in
+    SQL. Expressions around aggregates are worked out after the join, so that rows without any match have the value of an empty group.
+    """
+    split = {c: texts.split_subqueries(f) for c, f in formulas.items()}
+    read = {c: [read_subquery(q, df.columns, lambda t: tables(t).columns) for q in inner] for c, (_, inner) in split.items()}
+    groups: dict[tuple, dict[str, tuple[str, str]]] = {}
+    told: dict[Subquery, str] = {}
+    taken = list(df.columns)
+    for query in dict.fromkeys(q for qs in read.values() for q in qs):
+        calls = groups.setdefault((query.table.lower(), query.keys, query.condition), {})
+        outer, found = texts.split_aggregates(query.tells, taken)
+        if not found:
+            (name,) = texts.unused(taken, "looked_up")
+            outer, found = name, {name: ("", query.tells)}
+        for name, call in found.items():
+            same = next((n for n, c in calls.items() if c == call), None)
+            outer = re.sub(rf"\b{name}\b", same, outer) if same else outer
+            if not same:
+                calls[name] = call
+                taken.append(name)
+        told[query] = f"({outer})"
+    added = taken[len(df.columns) :]
+    for (table, keys, condition), calls in groups.items():
+        source = tables(table)
+        source = source.where(compile_formula(condition, source.schema)) if condition else source
+        own = dict(zip(texts.unused(taken, *(f"key{i}" for i in range(len(keys)))), (theirs for _, theirs in keys), strict=True))
+        (rows,) = texts.unused([*taken, *own], "rows")
+        looked_up = [n for n, (function, _) in calls.items() if not function]
+        wanted = {n: _call(function or "max", argument, source.schema, None) for n, (function, argument) in calls.items()}
+        rolled = _rolled(source, own, wanted | {rows: ("count", F.lit(1))}, {})
+        on = reduce(Column.__and__, (df[f"`{mine}`"] == F.col(k) for (mine, _), k in zip(keys, own, strict=True)))
+        df = df.join(rolled, on, "left")
+        single = F.when(F.col(rows) > 1, F.raise_error(F.lit(f"more than one row of {table} for a subquery")))
+        none = [n for n, (function, _) in calls.items() if function == "count"]
+        df = df.withColumns({n: single.otherwise(F.col(n)) for n in looked_up} | {n: F.coalesce(n, F.lit(0)) for n in none}).drop(*own, rows)
+    out = {c: "".join(a + (told[q] if q else "") for a, q in zip(around, [*read[c], None], strict=True)) for c, (around, _) in split.items()}
+    return df, out, added
+
+
+def apply_trigger(df: DataFrame, column: str, formula: str, functions: Mapping[str, Callable[..., Column]] | None = None, tables: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """column = formula on every row; null results are written too."""
-    return df.withColumn(column, compile_formula(formula, df.schema, functions))
+    return apply_triggers(df, {column: formula}, functions, tables)
 
 
-def apply_triggers(df: DataFrame, formulas: Mapping[str, str], functions: Mapping[str, Callable[..., Column]] | None = None) -> DataFrame:
-    """Several at once; all of them read the old row."""
-    return df.withColumns({c: compile_formula(f, df.schema, functions) for c, f in formulas.items()})
+def apply_triggers(df: DataFrame, formulas: Mapping[str, str], functions: Mapping[str, Callable[..., Column]] | None = None, tables: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Several at once; all of them read the old row. tables: the frame of a table's name, for formulas with subqueries."""
+    added: list[str] = []
+    if any(texts.split_subqueries(f)[1] for f in formulas.values()):
+        if tables is None:
+            raise ValueError("a formula reads another table, and no tables are given")
+        df, formulas, added = join_subqueries(df, formulas, tables)
+    return df.withColumns({c: compile_formula(f, df.schema, functions) for c, f in formulas.items()}).drop(*added)
 
 
 def changed_only(df: DataFrame, column: str, formula: str) -> DataFrame:
@@ -160,40 +285,41 @@ def changed_only(df: DataFrame, column: str, formula: str) -> DataFrame:
 @dataclass(frozen=True)
 class WriteBack:
     column: str
-    expression: str  # sum(..), min(..), max(..), avg(..) or count(..) over the source's columns
+    expression: str  # over sum(..), min(..), max(..), avg(..) and count(..) of the source's columns
     key: str  # the source's column with the target's id
     condition: str | None = None
 
 
 def apply_write_backs(target: DataFrame, target_id: str, source: DataFrame, specs: Sequence[WriteBack]) -> DataFrame:
-    """Each column becomes its aggregate over the source rows of its target that fulfil the condition; targets without any keep the old value.
+    """Each column becomes its expression over the source rows of its target that fulfil the condition; targets without any keep the old value, as it is.
 
-    All specs have one key, so that one aggregation and one join serve them. Sums over nothing but nulls are 0. A target without the column has
-    null there before. Sums are exact: doubles are added as decimals.
+    All specs have one key, so that one aggregation and one join serve them. Sums over nothing but nulls are 0. A target without the column has null there before; else the new value is cast to the column's own type.
+    Sums and averages of doubles are exact up to the last rounding, whatever the order of rows; NaN and infinities add up as in arithmetic. Sums of decimals keep their scale, and those of over 38 digits are an error.
     """
     (key,) = {s.key for s in specs}
-    aggregates = {}
-    for i, s in enumerate(specs):
-        call = re.fullmatch(r"\s*(\w+)\s*\((.*)\)\s*", s.expression, re.S)
-        if not call or call[1].lower() not in AGGREGATES:
-            raise ValueError(f"{s.expression} isn't an aggregate of {', '.join(AGGREGATES)}")
-        name, value = call[1].lower(), compile_formula(call[2], source.schema) if call[2].strip() != "*" else F.lit(1)
-        kind = source.select(value.alias("v")).schema["v"].dataType
-        if name in ("sum", "avg") and not isinstance(kind, T.NumericType):
-            raise TypeError(f"{s.expression}: {kind.simpleString()} can't be added up")
-        if name == "sum":
-            value = value.cast("decimal(38,6)") if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else value
+    calls: dict[str, tuple[str, Column]] = {}
+    hits, outer, taken = {}, [], [*source.columns, *target.columns]
+    for s in specs:
         holds = F.coalesce(compile_formula(s.condition, source.schema), F.lit(False)) if s.condition else F.lit(True)
-        result = getattr(F, name)(F.when(holds, value))
-        aggregates[f"__new{i}"] = F.coalesce(result, F.lit(0).cast("decimal(38,6)") if name == "sum" else result)
-        aggregates[f"__hit{i}"] = F.bool_or(holds)
-    rolled = source.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(target_id)).agg(*(c.alias(n) for n, c in aggregates.items()))
-    joined = target.join(rolled, target_id, "left")
-    new = {}
-    for i, s in enumerate(specs):
-        old = F.col(s.column) if s.column in target.columns else F.lit(None).cast(rolled.schema[f"__new{i}"].dataType)
-        new[s.column] = F.when(F.coalesce(f"__hit{i}", F.lit(False)), F.col(f"__new{i}")).otherwise(old)
-    return joined.withColumns(new).drop(*aggregates).select(*target.columns, *(c for c in new if c not in target.columns))
+        around, found = texts.split_aggregates(s.expression, [*taken, *calls, *hits])
+        if not found:
+            raise ValueError(f"{s.expression} holds no aggregate of {', '.join(texts.AGGREGATES)}")
+        calls |= {n: _call(*call, source.schema, holds) for n, call in found.items()}
+        (hit,) = texts.unused([*taken, *calls, *hits], "hit")
+        hits[hit] = holds
+        outer.append((s.column, around, hit))
+    (id_,) = texts.unused([*taken, *calls, *hits], "id")
+    rolled = _rolled(source, {id_: key}, calls, hits)
+    rolled = rolled.withColumns({n: F.coalesce(n, F.lit(0).cast(rolled.schema[n].dataType)) for n, (function, _) in calls.items() if function == "sum"})
+    new = dict(zip(texts.unused([*taken, *rolled.columns], *(f"new{i}" for i in range(len(outer)))), outer, strict=True))
+    rolled = rolled.select(id_, *hits, *(compile_formula(around, rolled.schema).alias(n) for n, (_, around, _) in new.items()))
+    joined = target.join(rolled, target[f"`{target_id}`"] == F.col(id_), "left")
+    out = {}
+    for n, (column, _, hit) in new.items():
+        kind = target.schema[column].dataType if column in target.columns else rolled.schema[n].dataType
+        old = F.col(f"`{column}`") if column in target.columns else F.lit(None).cast(kind)
+        out[column] = F.when(F.coalesce(hit, F.lit(False)), F.col(n).cast(kind)).otherwise(old)
+    return joined.withColumns(out).drop(id_, *hits, *new).select(*(F.col(f"`{c}`") for c in target.columns), *(c for c in out if c not in target.columns))
 
 
 def fuse_updates(steps: Sequence[Mapping]) -> list[list[Mapping]]:
@@ -220,6 +346,15 @@ def fuse_updates(steps: Sequence[Mapping]) -> list[list[Mapping]]:
     return groups
 
 
+def object_of(table: str, objects: Iterable[str]) -> str:
+    """The object whose table this is: its name in snake case, with or without an app's in front; of several such objects the one with the longest name."""
+    snake = {re.sub(r"(?<!^)(?=[A-Z])", "_", o).lower(): o for o in objects}
+    found = [s for s in snake if f"_{table.lower()}".endswith(f"_{s}")]
+    if not found:
+        raise ValueError(f"{table} is no object's table")
+    return snake[max(found, key=len)]
+
+
 def run_plan(plan: DataFrame, tables: Mapping[str, DataFrame], ids: Mapping[str, str], functions: Mapping[str, Callable[..., Column]] | None = None) -> dict[str, DataFrame]:
     """The tables (by object) after all active steps that can run, in plan order. ids: each object's key column. A step with a rule is a roll-up, else a trigger.
 
@@ -233,7 +368,7 @@ def run_plan(plan: DataFrame, tables: Mapping[str, DataFrame], ids: Mapping[str,
     for group in fuse_updates(steps):
         name = group[0]["object"]
         if group[0]["rule"] is None:
-            out[name] = apply_triggers(out[name], {s["column"]: s["formula"] for s in group}, functions)
+            out[name] = apply_triggers(out[name], {s["column"]: s["formula"] for s in group}, functions, lambda table: out[object_of(table, out)])
         elif group[0]["rule"]["source"] in out:
             specs = [WriteBack(s["column"], s["rule"]["expression"], s["rule"]["key"], s["rule"]["condition"]) for s in group]
             out[name] = apply_write_backs(out[name], ids[name], out[group[0]["rule"]["source"]], specs)

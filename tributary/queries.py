@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import formulas, mappings, names, rules
-from .operators import diff, edges, graph, health, references
+from .operators import diff, edges, graph, health, references, views
 from .operators.loops import checkpoint, numbered, shared_folder
 from .plans import recompute
 from .sources import catalog as cat
@@ -58,8 +58,9 @@ def _recomputed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return recompute.run_plan(plan.where("role <> 'ROOT(manual)'"), frames, {o: k for o, (_, k) in derived.TABLES.items()})
 
 
-def _money(column: str) -> Column:
-    return F.col(column).cast("double").alias(column)
+def _money(column: str, digits: int = 4) -> Column:
+    """To the digits that prices and rates give; sums have more, and where SQL rounds them depends on its order."""
+    return F.round(F.col(column).cast("double"), digits).alias(column)
 
 
 def rollup_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def rollup_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rollup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three roll-ups in one pass; orders without a matching line keep null."""
-    return _recomputed(spark, sf_dir)["Orders"].select("o_orderkey", _money("item_total"), _money("taxed_total"), F.coalesce("item_count", F.lit(0)).alias("item_count"))
+    return _recomputed(spark, sf_dir)["Orders"].select("o_orderkey", _money("item_total"), _money("taxed_total", 6), F.coalesce("item_count", F.lit(0)).alias("item_count"))
 
 
 def write_back_keeps_old(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,45 @@ def write_back_keeps_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompute.apply_write_backs(t["Customer"], "c_custkey", t["Orders"], [spec]).select("c_custkey", _money("c_acctbal"))
 
 
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very small and very large numbers, decimals, averages and expressions over several aggregates, rolled up to orders."""
+    t = derived.tables(spark, sf_dir)
+    lines = t["Lineitem"].withColumn("rate", (F.col("l_discount").cast("decimal(20,10)") / 1000).cast("decimal(28,14)"))
+    rules = {
+        "tiny": "sum(l_extendedprice * 1e-15)", "huge": "sum(l_extendedprice * 1e30)", "rate": "sum(t.rate)", "mean": "avg(l_quantity)", "spread": "max(l_extendedprice) - min(l_extendedprice)",
+        "both": "coalesce(sum(l_quantity), 0) - sum(l_tax) * count(*)",
+    }
+    out = recompute.apply_write_backs(t["Orders"].select("o_orderkey"), "o_orderkey", lines, [recompute.WriteBack(c, e, "l_orderkey", "l_returnflag <> 'A'") for c, e in rules.items()])
+    scaled = {"tiny": F.round(F.col("tiny") * 1e15, 2), "huge": F.round(F.col("huge") / 1e30, 2), "rate": F.col("rate").cast("string"), "mean": F.round("mean", 6), "spread": F.round("spread", 2), "both": F.round("both", 4)}
+    return out.select("o_orderkey", *(c.alias(n) for n, c in scaled.items()))
+
+
+#: Formulas that read other tables, as both engines read them: a value looked up, and aggregates of the rows of a key.
+SUBQUERY_FORMULAS = {
+    "orders": {
+        "segment_price": "CASE WHEN 'BUILDING' = ( SELECT c_mktsegment FROM customer WHERE orders.o_custkey = customer.c_custkey ) THEN o_totalprice WHEN o_orderstatus = 'F' and ( SELECT c_acctbal FROM customer WHERE orders.o_custkey = customer.C_CUSTKEY ) > 0 THEN abs(o_totalprice) * 2 ELSE 0 END",
+        "returned": "case when coalesce((select abs(sum(lineitem.l_quantity)) from lineitem where orders.o_orderkey=lineitem.l_orderkey and lineitem.l_returnflag='R'),0) >= 40 then 'many' when coalesce((select sum(lineitem.l_quantity) from lineitem where orders.o_orderkey=lineitem.l_orderkey and lineitem.l_returnflag='R'),0) =0 then 'none' else 'some' end",
+        "lines": "(select count(*) from lineitem l where l.l_orderkey = o_orderkey and l_tax > 0.02)",
+    },
+    "customer": {"open_orders": "(select coalesce(max(o_totalprice), 0) - min(o_totalprice) from orders where o_custkey = c_custkey and o_orderstatus in ('O', 'P'))"},
+}
+
+
+def _with_subqueries(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return recompute.apply_triggers(read(table), SUBQUERY_FORMULAS[table], tables=read)
+
+
+def formula_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of orders that look customers up and add lines up."""
+    return _with_subqueries(spark, sf_dir, "orders").select("o_orderkey", F.round("segment_price", 2).alias("segment_price"), "returned", "lines")
+
+
+def formula_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula of customers over two aggregates of their orders."""
+    return _with_subqueries(spark, sf_dir, "customer").select("c_custkey", F.round("open_orders", 2).alias("open_orders"))
+
+
 def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose quantity a formula would change."""
     lines = derived.tables(spark, sf_dir)["Lineitem"].select("l_orderkey", "l_linenumber", "l_quantity")
@@ -185,19 +225,19 @@ def view_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1."""
-    lineage, _ = edges.view_column_lineage(_texts(_catalog(spark, sf_dir)))
+    lineage, _ = views.view_column_lineage(_texts(_catalog(spark, sf_dir)))
     return lineage.select("view_name", "output", F.col("table").alias("table_name"), F.col("column").alias("column_name"))
 
 
 def view_sql_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: tables and columns anywhere in the texts."""
-    found = edges.sql_dependencies(_texts(_catalog(spark, sf_dir)))
+    found = views.sql_dependencies(_texts(_catalog(spark, sf_dir)))
     return found.groupBy("view_name", F.col("table").alias("table_name")).agg(F.count("column").alias("columns"))
 
 
 def view_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3."""
-    return edges.view_dependency_stats(edges.view_edges(_texts(_catalog(spark, sf_dir)))).select("src", "targets", _joined("view_fields").alias("view_fields"))
+    return views.view_dependency_stats(edges.view_edges(_texts(_catalog(spark, sf_dir)))).select("src", "targets", _joined("view_fields").alias("view_fields"))
 
 
 def object_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -587,7 +627,7 @@ def tenant_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        rollup_regions, rollup_nations, rollup_customers, rollup_orders, write_back_keeps_old, changed_rows, parent_lookup, recompute_plan, recompute_plan_batch,
+        rollup_regions, rollup_nations, rollup_customers, rollup_orders, write_back_keeps_old, exact_sums, formula_lookups, formula_aggregates, changed_rows, parent_lookup, recompute_plan, recompute_plan_batch,
         field_names, formula_fields, formula_columns, write_back_rules, field_kinds, mapping_rewrite, mapping_direction,
         catalog_scan, view_definitions, view_lineage, view_sql_dependencies, view_stats, object_details, fields_by_app, compare_catalog, field_search, object_search,
         fields_per_object, write_back_targets, write_back_sources, incoming_references, category_counts, object_health, object_profile, pattern_check, change_scope, trigger_summary,

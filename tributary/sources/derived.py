@@ -75,7 +75,8 @@ SELECT CAST(ok AS STRING) AS id, 'Obj' || k AS object_type, {_name('ok')} AS nam
   CASE r % 4 WHEN 1 THEN 'case when abs(t.' || {_name('p1')} || ') > 0 then ''fld_7'' else null end' WHEN 2 THEN {_name('p1')} || ' + ' || {_camel('p2')} END AS trigger_expr,
   CASE WHEN r % 4 = 3 AND ok % 2 = 1 THEN {_name('p1')} || ' * 2' END AS virtual_expr,
   CASE WHEN r % 4 = 0 AND k % 4 > 0 AND s IS NOT NULL THEN
-    CASE WHEN k % 8 = 5 THEN '[{{"expression":"q"}},' ELSE '' END || '{{"srcObjectType":"Obj' || (k - 1) || '","idField":"parent_id","expression":"sum(' || {_name('s')} || ')","condition":"srcItemObjectType=''Obj' || (k - 2) || '''"}}'
+    CASE WHEN k % 8 = 5 THEN '[{{"expression":"q"}},' ELSE '' END || CASE WHEN k % 8 = 3 THEN '{{"SRCOBJECTTYPE":"Obj' ELSE '{{"srcObjectType":"Obj' END || (k - 1)
+    || CASE WHEN k % 8 = 3 THEN '","IdField":"parent_id","Expression":"sum(' ELSE '","idField":"parent_id","expression":"sum(' END || {_name('s')} || ')","condition":"srcItemObjectType=''Obj' || (k - 2) || '''"}}'
     || CASE WHEN k % 8 = 5 THEN ']' ELSE '' END END AS write_back_expr,
   CASE WHEN ok % 6 = 0 THEN '{{"referEntities":[{{"referEntityName":"Obj' || (k - 1) || '"}},{{"referEntityName":"Other"}}]}}' END AS refer_info
 FROM base
@@ -88,10 +89,23 @@ FROM (SELECT DISTINCT k FROM base) AS keys
 UNION ALL SELECT 'Obj' || k || 'View', 'View ' || k, 'bill', {_APP} FROM (SELECT DISTINCT k FROM base WHERE k % 8 = 0) AS views
 """
 
+def _view_sql() -> str:
+    """A view's text: plain and computed columns, a subselect with the alias of a table outside, and a quoted name; every other one without SELECT."""
+    a, b, quote = _name("a.ok"), _name("b.ok"), "chr(92) || chr(34)"
+    items = (
+        f"CASE WHEN a.k % 16 = 0 THEN 'SELECT ' ELSE '' END || 'a.' || {a} || ' AS v_' || a.ok || ', b.' || {b} || ' w_' || b.ok || ', a.*'",
+        f"', coalesce(b.' || {b} || ', 0) * 2 AS c_' || b.ok",
+        f"', case when a.' || {a} || ' = 1 then abs(a.' || {a} || ') else b.' || {b} || ' end k_' || a.ok",
+        f"', (select sum(s.' || {b} || ') total from app_obj' || b.k || ' s where s.id = a.id) s_' || b.ok",
+        f"', a.' || {a} || ' - 1 AS ' || {quote} || 'q ' || a.ok || {quote} || ', count(*), cast(a.' || {a} || ' as decimal(10, 2)) d_' || a.ok",
+        "' FROM app_obj' || a.k || ' a LEFT JOIN app_obj' || b.k || ' AS b ON a.id = b.parent_id WHERE a.is_deleted = false'",
+    )
+    return " || ".join(items)
+
+
 METADATA = f"""
 SELECT 'Obj' || a.k || 'View' AS name,
-  '{{"name":"Obj' || a.k || 'View","fields":[{{"name":"v_' || a.ok || '","type":"decimal"}}],"viewDef":[{{"objectName":"Obj' || a.k || '","sql":"SELECT a.' || {_name('a.ok')} || ' AS v_' || a.ok
-  || ', b.' || {_name('b.ok')} || ' w_' || b.ok || ', a.* FROM app_obj' || a.k || ' a LEFT JOIN app_obj' || b.k || ' AS b ON a.id = b.parent_id WHERE a.is_deleted = false"}}]}}' AS content,
+  '{{"name":"Obj' || a.k || 'View","fields":[{{"name":"v_' || a.ok || '","type":"decimal"}}],"viewDef":[{{"objectName":"Obj' || a.k || '","sql":"' || {_view_sql()} || '"}}]}}' AS content,
   a.k % 24 = 16 AS is_deleted, 'MetaType.entity' AS type_id
 FROM base a JOIN base b ON b.k = a.k + 1 AND a.r = 0 AND b.r = 0 WHERE a.k % 8 = 0
 """
