@@ -31,6 +31,28 @@ def brute(rows):
     return sorted((i, len(sets_of(t)), root(i), root(i) == i) for i, t in rows)
 
 
+def brute_kept(rows):
+    """Of the texts that links connect the one of the least (id, digest); blank texts, and those without id, stay."""
+    texts = sorted({r for r in rows if r[0] is not None and sets_of(r[1])})
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [sets_of(t) for _, t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    groups = {}
+    for k, r in enumerate(texts):
+        groups.setdefault(root(k), []).append(r)
+    return list(groups.values())
+
+
 def run(docs):
     return sorted(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
 
@@ -114,6 +136,34 @@ def test_hot_copies_and_nulls(documents):
     assert run(documents([])) == []
 
 
+def test_repeated_ids(documents):
+    random.seed(3)
+    a, b, c = (" ".join(make(30)) for _ in range(3))
+    assert run(documents([(3, a), (5, a), (5, b)])) == [(3, 26, 3, True), (5, 26, 3, False), (5, 26, 3, False)]
+    assert {r[2] for r in run(documents([(9, a), (9, b), (7, b), (7, c), (4, c), (9, "")]))} == {4}
+    texts = [a, b, c, "", "one two", "One  two", *(" ".join(make(25)) for _ in range(6))]
+    texts += [" ".join(edited(t.split(), 1)) for t in texts[:3] + texts[6:]]
+    rows = [(random.randint(0, 25), random.choice(texts)) for _ in range(70)]
+    assert run(documents(rows)) == brute(rows)
+    assert len({i for i, *_ in rows}) < len(set(rows))
+
+
+def test_one_of_each(documents):
+    random.seed(4)
+    texts = ["", None, "one two", "One  two", *(" ".join(make(25)) for _ in range(8))]
+    texts += [" ".join(edited(t.split(), 1)) for t in texts[4:]]
+    rows = [(random.choice([None, *range(20)]), random.choice(texts)) for _ in range(60)]
+    docs = documents(rows)
+    digest = {r["text"]: r["d"] for r in docs.select("text", near_dedup.text_digest().alias("d")).collect()}
+    stay = {min(group, key=lambda r: (r[0], digest[r[1]])) for group in brute_kept(rows)}
+    want = [r for r in rows if r[0] is None or not sets_of(r[1]) or r in stay]
+    out = near_dedup.one_of_each(docs.withColumnRenamed("lang", "digest").withColumnRenamed("source", "doc"))
+    assert out.columns == ["doc_id", "text", "digest", "doc", "n_chars"]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    a, b = (" ".join(make(30)) for _ in range(2))
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(documents([(3, a), (5, a), (5, b)])).collect()) == sorted([(3, a), (5, b)])
+
+
 @pytest.mark.parametrize("last", [0, 10_000])
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(100, 101), (101, 102), (103, 100)], [(9, 9), (7, 8)]])
 def test_components(spark, monkeypatch, edges, last):

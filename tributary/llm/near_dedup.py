@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, chunks, joined, keep_only, lowered, mix, partitions, word_hashes, words
+from .common import checkpoint, chunks, join_counted, joined, keep_only, lowered, mix, partitions, unused, word_hashes, words
 from .components import connected_components
 from .exchange import blocks, bucket_count, bucket_of, entries
 
@@ -82,8 +82,19 @@ def minhashes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fingerprints(hashes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each whole set."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)]) for h in (mix(hashes), mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
+    return [(s[places[1:]] - s[places[:-1]]).view(np.int64) for s in sums]
+
+
+def text_digest() -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, the minhashes (two collections of M pairs, each pair as one number) and 64 one-bit minhashes."""
+    """doc_id, digest (of the text), n_shingles, two hashes of the whole set, the minhashes (two collections of M pairs, each pair as one number) and 64 one-bit minhashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("near_dedup")
@@ -91,18 +102,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             for first, last, data, starts in chunks(batch.column(1)):
                 hashes, places = shingle_sets(lowered(data), starts)
                 counts = np.diff(places)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)]) for h in (mix(hashes), mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-                fp = [(s[places[1:]] - s[places[:-1]]).view(np.int64) for s in sums]
+                fp = _fingerprints(hashes, places)
                 low = minhashes(hashes, places)
                 pairs = mix(low[:, 0::2] * np.uint64(0x9E3779B97F4A7C15) ^ mix(low[:, 1::2] + np.arange(2 * M, dtype=np.uint64)))
                 bits = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8), axis=1)
                 signed = np.zeros(last - first, np.int64)
                 signed[counts > 0] = np.arange(len(low))
                 column = lambda rows: pa.array([rows[k].tobytes() if n else None for k, n in zip(signed.tolist(), counts.tolist(), strict=True)], pa.binary())  # noqa: E731,B023
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(counts, pa.int64()), pa.array(fp[0]), pa.array(fp[1]), column(pairs), column(bits)], ["doc_id", "n_shingles", "fp1", "fp2", "pairs", "bits"])
+                own = [batch.column(k).slice(first, last - first) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(fp[0]), pa.array(fp[1]), column(pairs), column(bits)], ["doc_id", "digest", "n_shingles", "fp1", "fp2", "pairs", "bits"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, pairs binary, bits binary")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_digest().alias("digest"))
+    return narrow.mapInArrow(sign, "doc_id long, digest long, n_shingles long, fp1 long, fp2 long, pairs binary, bits binary")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,8 +330,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "star", "of_a", "of_b").mapInArrow(compare, "a long, b long, star boolean, linked boolean")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b, star) with `linked`; and the shingle sets (id, shingles) of their documents."""
+def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, star) with `linked`; and the shingle sets (id, shingles) of their documents. nodes: where ids are repeated, (id, doc_id, fp1, fp2) of each class; else its id is its document's."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("near_dedup")
@@ -328,11 +339,18 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame
             for first, last, data, starts in chunks(batch.column(1)):
                 hashes, places = shingle_sets(lowered(data), starts)
                 sets = pa.array([hashes[a:b].tobytes() for a, b in zip(places, places[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), sets], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *map(pa.array, _fingerprints(hashes, places)), sets], ["id", "fp1", "fp2", "shingles"])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    sets = checkpoint(texts.mapInArrow(collect, "id long, shingles binary"))
+    wanted = ids if nodes is None else nodes.join(ids, "id", "left_semi")
+    of_docs = ids if nodes is None else wanted.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(of_docs, "id", "left_semi")
+    sets = texts.mapInArrow(collect, "id long, fp1 long, fp2 long, shingles binary")
+    if nodes is None:
+        sets = sets.select("id", "shingles")
+    else:
+        sets = sets.withColumnRenamed("id", "doc_id").join(wanted, ["doc_id", "fp1", "fp2"]).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = checkpoint(sets)
     return _compared(pairs, sets, percent), sets
 
 
@@ -432,28 +450,90 @@ def _in_blocks(within: DataFrame, percent: int) -> DataFrame:
     return checkpoint(left.groupBy("family", "block", "open_block").cogroup(right.groupBy("of", "b1", "b2")).applyInArrow(link, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row.
+#: A class whose documents are all rows of ids that other texts have too gets a number from here on, beyond usual ids.
+NUMBERED = 1 << 62
 
-    Documents are linked where 100 * |intersection| >= percent * |union| of their sets of five-word shingles, and a component is all that
-    links connect; component_id is its smallest doc_id and kept marks that document. Null and blank texts have no set and are alone. Rows
-    repeated under one id are one node of the graph. Rows with a null id are linked with nothing and kept.
+
+def _repeated(signed: DataFrame) -> DataFrame:
+    """doc_id and n (rows) of ids that rows of different sets have, with the least of these sets; sets without shingles come last."""
+    of_row = F.struct((F.col("n_shingles") == 0).alias("blank"), "fp1", "fp2")
+    rows = signed.groupBy("doc_id").agg(F.min(of_row).alias("least"), F.max(of_row).alias("most"), F.count("*").alias("n"))
+    return checkpoint(rows.where("least <> most").select("doc_id", "n", F.col("least.fp1").alias("least1"), F.col("least.fp2").alias("least2")))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id, and of_text: the component of the row's text alone, without what other texts of its id are linked with, and text_id, the smallest doc_id there. Rows without doc_id are left out.
+
+    A class of equal sets is a node by its smallest id. An id with several sets is that of the least one; its other sets get numbers, and links to the first for component_id.
     """
     known = docs.where(F.col("doc_id").isNotNull())
     signed = checkpoint(signatures(known))
-    classes = checkpoint(
-        signed.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.first("pairs").alias("pairs"), F.first("bits").alias("bits"))
-    )
-    confirmed, sets = _confirm(known, checkpoint(_candidate_pairs(classes)), percent)
+    repeated = _repeated(signed)
+    several = not repeated.isEmpty()
+    keys, nodes = ["fp1", "fp2", "n_shingles"], None
+    full = signed.where("n_shingles > 0").withColumn("node", F.col("doc_id"))
+    if several:
+        first = (F.col("fp1") == F.col("least1")) & (F.col("fp2") == F.col("least2"))
+        number = F.xxhash64("doc_id", "fp1", "fp2").bitwiseAND(F.lit(NUMBERED - 1)) + F.lit(NUMBERED)
+        met = join_counted(full, repeated, ["doc_id"]).withColumn("node", F.when(first, F.col("doc_id")).otherwise(number))
+        full = checkpoint(full.join(repeated, "doc_id", "left_anti").unionByName(met.select(full.columns)))
+    least = F.min_by(F.struct(F.col("node").alias("id"), "doc_id"), "node")
+    classes = checkpoint(full.groupBy(*keys).agg(least.alias("least"), F.first("pairs").alias("pairs"), F.first("bits").alias("bits")).select(*keys, "least.id", "least.doc_id", "pairs", "bits"))
+    if several:
+        nodes = classes.select("id", "doc_id", "fp1", "fp2")
+    confirmed, sets = _confirm(known, checkpoint(_candidate_pairs(classes)), percent, nodes)
     confirmed = checkpoint(confirmed)
     links = confirmed.where("linked").select("a", "b")
     found = connected_components(links)
     more = _second_round(confirmed.where("star").select("a", "b"), found, sets, percent)
     if more is not None:
-        found = connected_components(links.union(more))
-    of_class = checkpoint(classes.select("fp1", "fp2", "n_shingles", "id").join(found, "id", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        links = links.union(more)
+        found = connected_components(links)
+    of_class = checkpoint(classes.select(*keys, "id").join(found, "id", "left").select(*keys, "id", F.coalesce("component", "id").alias("of_text")))
+    rows = signed.select("doc_id", "digest", *keys)
+    if not several:
+        out = rows.join(of_class.drop("id"), keys, "left")
+        component = F.coalesce("of_text", "doc_id")
+        return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), component.alias("of_text"), component.alias("text_id"))
+    # Components of texts and of ids have the smallest of their documents' ids, not of their nodes' numbers.
+    rows = checkpoint(rows.join(of_class, keys, "left"))
+    ties = rows.where("id IS NOT NULL").join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "id").agg(F.first("of_text").alias("of_text"))
+    ties = ties.join(ties.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
+    by_id = connected_components(links.union(checkpoint(ties)))
+    rows = checkpoint(rows.join(by_id, "id", "left").withColumn("of_id", F.coalesce("component", "id")).drop("component"))
+    for column, least_id in (("of_text", "text_id"), ("of_id", "component_id")):
+        smallest = checkpoint(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("doc_id").alias(least_id), F.count("*").alias("n")))
+        rows = join_counted(rows, smallest, [column]).unionByName(rows.where(F.col(column).isNull()).withColumn(least_id, F.lit(None).cast("long")))
+        rows = checkpoint(rows)
+    # A blank text goes with its id's other ones.
+    of_ids = checkpoint(rows.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_doc"), F.count("*").alias("n")))
+    single = rows.join(of_ids, "doc_id", "left_anti").withColumn("of_doc", F.lit(None).cast("long"))
+    rows = join_counted(rows, of_ids, ["doc_id"]).unionByName(single)
+    return rows.select("doc_id", "digest", "n_shingles", F.coalesce("of_doc", "component_id", "doc_id").alias("component_id"), F.coalesce("of_text", "doc_id").alias("of_text"), F.coalesce("text_id", "doc_id").alias("text_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row.
+
+    Documents are linked where 100 * |intersection| >= percent * |union| of their sets of five-word shingles, and a component is all that
+    links connect; component_id is its smallest doc_id and kept marks that document. Null and blank texts have no set and are alone. Rows
+    repeated under one id, with one text or several, are one node of the graph. Rows with a null id are linked with nothing and kept.
+    """
+    out = _grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
     alone = signatures(docs.where(F.col("doc_id").isNull())).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs, in all their columns, without near copies: of the texts that links connect the one of the smallest id stays, of several texts of that id the one with the smallest digest.
+
+    An id with several texts may lose some and keep others. Rows without id or without words stay; so do rows that repeat both id and text of one that stays.
+    """
+    rows = _grouped(docs, percent)
+    kept = rows.where("n_shingles > 0 AND doc_id = text_id").groupBy("of_text").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
+    blank = rows.where("n_shingles = 0").select("doc_id", "digest")
+    (doc, digest) = unused(docs.columns, "doc", "digest")
+    stays = kept.union(blank).distinct().select(F.col("doc_id").alias(doc), F.col("digest").alias(digest))
+    known = docs.where(F.col("doc_id").isNotNull())
+    left = known.join(stays, (known["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(known["text"].cast("string")) == F.col(digest)), "left_semi")
+    return left.unionByName(docs.where(F.col("doc_id").isNull()))
