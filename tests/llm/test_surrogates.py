@@ -133,6 +133,47 @@ def test_other_mentions_and_forms(documents):
     assert t[15].count(t[15][6:].split(" ")[0]) == 3
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (2 - i % 2 if len(digits) % 2 == 0 else 1 + i % 2), 10)) for i, c in enumerate(digits)) % 10 == 0
+
+
+#: Text, what must not be left of it, and its form: # for a replacement. Written apart from the module's patterns.
+LEAKS = [
+    ("password:     hunter22xyz end", ["hunter", "22xyz"], "password:     # end"), ("password\t=\t\t\t\thunter22", ["hunter"], "password\t=\t\t\t\t#"), ("password=\n\n\n\nx1y2z3 end", ["x1y2"], "password=\n\n\n\n# end"),
+    ("password: pass, then", ["pass,"], "password: #, then"), ("pwd: !@#$% end", ["!@#"], "pwd: # end"), ('secret: "line\nnext', ["line"], 'secret: "#\nnext'), ("secret: be kind", [], "secret: be kind"), ("token: to", [], "token: to"),
+    ('token=abc"def ghi" end', ["abc", "def", "ghi"], 'token=#" end'), ("token=ab'cd ef'gh; end", ["ab'c", "cd ef", "f'gh"], "token=#; end"), ('<a href="x?token=abc123" class="y">', ["abc123"], '<a href="x?token=#" class="y">'), ('{"a":"token=abc123","b":1}', ["abc123"], '{"a":"token=#","b":1}'),
+    ('token=ab"cd end', ["cd end"], "token=# end"), ('{"password": null, "token": true}', [], '{"password": null, "token": true}'), ("passphrase: correct horse", ["correct"], "passphrase: # horse"),
+    ("_john.doe@example.com end", ["john", "doe"], "#@#.com end"), ("mail o'brien@x.ie, 'bob@mail.example.org' end", ["brien", "bob"], "mail #@#.ie, '#@#.org' end"), (f"{'a.b' * 40}@mail.example.org", ["a.ba.b"], "#@#.org"), ("..eve+1@mail.example.org", ["eve"], "..#@#.org"),
+    ("iban de89 3704 0044 0532 0130 00 or gb29 nwbk 6016 1331 9268 19.", ["3704", "nwbk", "6016"], "iban # or #."), ("4222222222222 and 4222222222223", ["4222222222222 "], "# and 4222222222223"),
+    ("30569309025904, 3056 930902 5904; 6304219447607087665", ["3056", "93090", "6304219"], "#, #; #"), ("Authorization: Bearer abcDEF.ghi-jkl end", ["abcDEF"], "Authorization: Bearer # end"), ("bearer eyJ0eXAi1.payload_2 end", ["eyJ0", "payload"], "bearer # end"), ("bearer certificates", [], "bearer certificates"),
+    ("-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nABC123==\n-----END RSA PRIVATE KEY----- end", ["MIIEow", "ABC123"], "-----BEGIN RSA PRIVATE KEY-----#-----END RSA PRIVATE KEY----- end"), ("-----BEGIN PRIVATE KEY-----\nMIIEow", ["MIIE"], "-----BEGIN PRIVATE KEY-----#"),
+    ("tel: 5551234567, id 5551234567", ["tel: 5551234567"], "tel: #, id 5551234567"), ("ssn 123 45 6789.", ["123 45", "6789"], "ssn #."), ("a phone call at 17000000000", [], "a phone call at 17000000000"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(LEAKS)))
+def test_leaks(case, leaked):
+    text, gone, form = LEAKS[case]
+    new = leaked[case]
+    assert not any(x in new for x in gone), new
+    assert regex.fullmatch("(?s)" + ".+?".join(regex.escape(p) for p in form.split("#")) if form != text else regex.escape(text), new), new
+
+
+@pytest.fixture(scope="module")
+def leaked(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(LEAKS)], "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in sg.replace_entities(rows, KEY).collect()}
+
+
+def test_long_texts_take_linear_time(documents):
+    """Runs that look like the beginnings of entities, of many thousand characters, and secrets as long."""
+    n = 40_000
+    texts = ["a." * n, "o'" * n, "token=" + "ab\"c" * n, "password=" + " " * n + "x1", "'" * n, "1 " * n, "ab12 " * n, "-----BEGIN PRIVATE KEY-----" + "x" * n, "-----BEGIN PRIVATE KEY-----\n" * 200]
+    rows = run(documents(list(enumerate(texts))))
+    assert [r["n_entities"] for r in rows] == [0, 0, 1, 1, 0, 0, 0, 1, 1]
+    assert 'ab"cab' not in rows[2]["text"] and "x1" not in rows[3]["text"]
+
+
 def brute(docs, key):
     """The texts by plain Python, entity by entity, with the table of surrogates."""
     table = {(r["kind"], r["norm"]): r["surrogate"] for r in sg.surrogate_table(sg.mentions(docs), key).collect()}
@@ -156,17 +197,22 @@ def brute(docs, key):
             return [(*names[s.lower()], form(s, table[names[s.lower()]]))]
         if kinds["email"].fullmatch(s):
             return [("email", s.lower(), table["email", s.lower()])]
+        if m := regex.match(sg.KEY_LEAD, s):
+            return [("secret", s[m.end() :], m[0] + table["secret", s[m.end() :]])]
         if m := secret.fullmatch(s):
             return [("secret", m[2], m[1] + table["secret", m[2]] + m[3])]
         for kind in ("access_key", "iban", "ip6", "card", "phone", "national_id", "ip"):
-            if kinds[kind].fullmatch(s):
-                norm = regex.sub(r"\D", "", s) if kind in sg.DIGITS else s.replace(" ", "") if kind == "iban" else s
+            if kinds[kind].fullmatch(s) or kind == "phone" and regex.fullmatch("[0-9]{10}", s):
+                if kind == "card" and len(regex.sub(r"\D", "", s)) in (13, 14, 19) and not luhn(regex.sub(r"\D", "", s)):
+                    return []
+                norm = regex.sub(r"\D", "", s) if kind in sg.DIGITS else s.replace(" ", "").upper() if kind == "iban" else s
                 if kind == "ip6":
                     import ipaddress
 
                     norm = ipaddress.ip_address(s).exploded
                 new = table[kind, norm]
-                return [(kind, norm, spread(s, new, "[A-Z0-9]" if kind == "iban" else "[0-9]") if kind in (*sg.DIGITS, "iban") else new)]
+                new = new.lower() if kind == "iban" and s == s.lower() else new
+                return [(kind, norm, spread(s, new, "[A-Za-z0-9]" if kind == "iban" else "[0-9]") if kind in (*sg.DIGITS, "iban") else new)]
         if m := name.fullmatch(s):
             given = [("given", cap(m[2]), m[1] + form(m[2], table["given", cap(m[2])]))] if m[2] else []
             return [*given, ("family", cap(m[5]), (m[3] if m[2] else m[1]) + m[4] + form(m[5], table["family", cap(m[5])]))]

@@ -24,28 +24,40 @@ PARTICLES = "van|von|vom|der|den|de|del|della|di|da|dos|das|la|le|du|ter|ten|zu|
 #: A part of a name: capital, letters, and further parts behind an apostrophe or hyphen.
 NAME = r"(?:\p{Lu}\p{L}{1,30}+|\p{Lu}(?=['’]\p{Lu}))(?:['’-]\p{Lu}\p{L}{1,30}+){0,3}"
 ADDRESS = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?|M\.)[ \xa0](?:\p{{Lu}}\.[ \xa0]?){{0,2}}"
-SECRET_LEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
-#: Up to the closing quote, else up to a blank, quote, comma or semicolon; without quote and equals sign short words of letters are prose.
-SECRET_VALUE = r"(?:\"(?!\")[^\n]+?(?<!\\)\"|'(?!')[^\n]+?(?<!\\)'|[\"']?(?:(?<==\s{0,3}[\"']?)|(?=[^\s\"',;]{6})|(?=[^\s\"',;]{0,5}\d))[^\s\"',;]++)"
+#: Key words of secrets; whatever stands behind the second kind's colon is taken, behind the first kind's no short word of letters, which may be prose.
+SECRET_WORD, PASS_WORD = r"secret|token|api[_-]?key", r"password|passwd|pwd|passphrase|passcode"
+#: Blanks of any number, as in aligned settings.
+_LEAD = r"[\"']?\s*+"
+SECRET_LEAD = rf"(?:(?i:{PASS_WORD}){_LEAD}[=:]\s*+(?!(?:null|true|false)(?![\p{{L}}\p{{N}}_]))|(?i:{SECRET_WORD}){_LEAD}(?:=\s*+|:\s*+(?![\p{{L}}]{{1,5}}+(?![^\s,;.)}}\]])))|(?i:authorization){_LEAD}[=:]\s*+[\"']?(?i:basic|bearer|digest|token)[ \t]++|(?i:bearer)[ \t]++(?=[A-Za-z._~+/=-]*+\d)(?=[^\s\"',;]{{8}}))"
+_QUOTED = r"\"(?!\")[^\n]+?(?<!\\)\"|'(?!')[^\n]+?(?<!\\)'"
+#: Up to the closing quote, else up to a blank, comma or semicolon. A quote inside begins a quoted part unless what ends a value is behind it; one that isn't closed is a sign like others.
+_PLAIN = r"(?:[^\s\"',;]|\"(?=[^\s\"',;:)}\]>/])(?:[^\"\n]*+\")?|'(?=[^\s\"',;:)}\]>/])(?:[^'\n]*+')?)++"
+SECRET_VALUE = rf"(?:{_QUOTED}|[\"']?{_PLAIN})"
+#: All of a private key between its first and its last line, to the end of the text where that is missing.
+KEY_LEAD, KEY_END = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----", r"-----END "
+KEY_BLOCK = rf"{KEY_LEAD}(?:(?!{KEY_END})[\s\S])++"
 OCTET, HEX = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)", "[0-9A-Fa-f]{1,4}"
+#: Characters of a mail's local part, which is read from its first letter, digit or underscore on, from no place further on.
+_LOCAL = r"\p{L}\p{M}\p{N}._%+'-"
 #: By kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{M}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}",
+    "email": rf"(?:(?<![{_LOCAL}])|(?<=(?<![{_LOCAL}])[.%+'-]{{1,3}}))[\p{{L}}\p{{N}}_][{_LOCAL}]*+@(?:[\p{{L}}\p{{M}}\p{{N}}-]{{1,63}}+\.){{1,8}}(?:xn--[a-z0-9-]{{2,59}}|\p{{L}}{{2,24}})",
+    "key_block": KEY_BLOCK,
     "secret": SECRET_LEAD + SECRET_VALUE,
     "access_key": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|[a-z]{2}\d{2}(?: ?[a-z]{4})?(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![A-Za-z0-9])",
     "ip6": rf"(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,38}}\d)(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![:\p{{L}}\p{{N}}])",
-    "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)|3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?!\d)",
+    "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)|\d{19}(?!\d)|3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?!\d)|3[0689]\d\d[ -]?\d{6}[ -]?\d{4}(?!\d)|4\d{12}(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}(?!\d)|\+\d{9,15}(?!\d)|\+(?=(?:[ ./()-]{0,2}\d){8,15}(?!\d))\d{1,4}(?:[ ./()-]{1,2}\d{1,8}){1,6}(?!\d)"
-    r"|0\d(?:[ .-]\d\d){4}(?!\d)|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?!\d)",
-    "national_id": r"\d{3}-\d{2}-\d{4}(?!\d)",
+    r"|0\d(?:[ .-]\d\d){4}(?!\d)|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?!\d)|(?<=(?i:tel|phone|mobile|cell|fax|call)[.:]{0,2} {0,3})[2-9]\d{9}(?!\d)",
+    "national_id": r"\d{3}-\d{2}-\d{4}(?!\d)|\d{3} \d{2} \d{4}(?!\d)",
     "ip": rf"(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "name": rf"{ADDRESS}(?:{NAME}[ \xa0])?(?:(?:{PARTICLES})[ \xa0]){{0,3}}{NAME}",
 }
 #: Entities begin where no letter, digit or underscore is before; secrets do anywhere, as their key words end longer names (client_secret, accessToken).
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")|" + PATTERNS["secret"]
 #: What may be a name's other mention, and isn't the key of a secret.
-BARE_NAME = rf"|(?<![\p{{L}}\p{{N}}_]){NAME}(?![\p{{L}}\p{{N}}_]|[\"']?\s{{0,3}}[=:])"
+BARE_NAME = rf"|(?<![\p{{L}}\p{{N}}_]){NAME}(?![\p{{L}}\p{{N}}_]|[\"']?\s*+[=:])"
 #: Secrets of so many characters are looked for without their key word.
 BARE_SECRET = 6
 #: Kinds whose entity is its digits; a mention keeps its own blanks, brackets and dashes.
@@ -112,16 +124,21 @@ def _alike(text: Column, digest: Column, secret: Column | str | None = None) ->
     Of secrets only blanks stay as they are but by chance; there `secret` says whether the text is hexadecimal, whose characters become hexadecimal digits.
     """
 
-    def one(c: Column, i: Column) -> Column:
-        n = _byte(digest, i)
-        plain = F.when(c.between("0", "9"), (n % 10).cast("string")).when(c.between("a", "z"), F.char(97 + n % 26)).when(c.between("A", "Z"), F.char(65 + n % 26))
-        if secret is None:
-            return plain.otherwise(c)
-        if isinstance(secret, str):
-            return plain.when(c.rlike(r"^\p{L}$"), _sign(c, n)).otherwise(c)
-        return F.when(secret, F.lower(F.hex(n % 16))).otherwise(plain.when(c.rlike(r"^\s$"), c).otherwise(_sign(c, n)))
+    def whole(given: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            n = _byte(given["digest"], i)
+            plain = F.when(c.between("0", "9"), (n % 10).cast("string")).when(c.between("a", "z"), F.char(97 + n % 26)).when(c.between("A", "Z"), F.char(65 + n % 26))
+            if secret is None:
+                return plain.otherwise(c)
+            if isinstance(secret, str):
+                return plain.when(c.rlike(r"^\p{L}$"), _sign(c, n)).otherwise(c)
+            return F.when(given["hexadecimal"], F.lower(F.hex(n % 16))).otherwise(plain.when(c.rlike(r"^\s$"), c).otherwise(_sign(c, n)))
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+        return F.array_join(F.transform(F.split(text, ""), one), "")
+
+    # Bound once, as what stands in a lambda is worked out for each character.
+    hexadecimal = secret if isinstance(secret, Column) else F.lit(False)
+    return F.transform(F.array(F.struct(digest.alias("digest"), hexadecimal.alias("hexadecimal"))), whole)[0]
 
 
 def _luhn(digits: Column) -> Column:
@@ -182,7 +199,7 @@ def _part(kind: Column, norm: Column, lead: Column, form: Column, gender: Column
 def _parts(surface: Column) -> Column:
     """An entity's parts as (kind, norm, lead, form, gender): names have one or two, the rest one. lead stays before the replacement, form is filled with it."""
     empty, digits = F.lit(""), F.regexp_replace(surface, r"\D", "")
-    is_ = lambda kind: surface.rlike("^(?:" + PATTERNS[kind] + ")$")
+    is_ = lambda kind: surface.rlike("^(?:" + PATTERNS[kind] + ")$") | (surface.rlike(r"^\d{10}$") if kind == "phone" else F.lit(False))
     of_secret = lambda n: F.regexp_extract(surface, rf"(?s)^({SECRET_LEAD}[\"']?)(.*?)([\"']?)$", n)
     of_name = lambda n: F.regexp_extract(surface, rf"^({ADDRESS})(?:({NAME})[ \xa0])?((?:(?:{PARTICLES})[ \xa0]){{0,3}})({NAME})$", n)
     gender = F.when(surface.rlike(rf"^(?:{FEMALE})\b"), "female").when(surface.rlike(rf"^(?:{MALE}|M\.)(?!\p{{L}})"), "male")
@@ -192,9 +209,13 @@ def _parts(surface: Column) -> Column:
     names = F.when(first != "", F.array(_part(F.lit("given"), F.initcap(first), address, first, gender), family(between))).otherwise(F.array(family(F.concat(address, between))))
     left, right = F.split(F.lower(surface), "::")[0], F.when(surface.contains("::"), F.substring_index(F.lower(surface), "::", -1))
     groups = F.concat(F.split(left, ":"), F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(F.split(left, ":")) - F.coalesce(F.size(F.split(right, ":")), F.lit(0)))), F.coalesce(F.split(right, ":"), F.array().cast("array<string>")))
-    norms = {"iban": F.replace(surface, F.lit(" ")), "ip6": F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")} | dict.fromkeys(DIGITS, digits)
+    norms = {"iban": F.upper(F.replace(surface, F.lit(" "))), "ip6": F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")} | dict.fromkeys(DIGITS, digits)
     out = F.when(is_("email"), F.array(_part(F.lit("email"), F.lower(surface), empty, empty)))
+    block = F.regexp_extract(surface, rf"^{KEY_LEAD}", 0)
+    out = out.when(block != "", F.array(_part(F.lit("secret"), F.substr(surface, F.length(block) + 1), block, empty)))
     out = out.when(of_secret(1) != "", F.array(_part(F.lit("secret"), of_secret(2), of_secret(1), of_secret(3))))
+    # Rarer lengths of card numbers are other numbers unless their check digit is right.
+    out = out.when(is_("card") & F.length(digits).isin(13, 14, 19) & (_luhn(digits) != 0), F.slice(F.array(_part(F.lit("card"), digits, empty, empty)), 1, 0))
     for kind in ("access_key", "iban", "ip6", "card", "phone", "national_id", "ip"):
         out = out.when(is_(kind), F.array(_part(F.lit(kind), norms.get(kind, surface), empty, surface if kind in (*DIGITS, "iban") else empty)))
     return out.otherwise(names)
@@ -203,7 +224,8 @@ def _parts(surface: Column) -> Column:
 def _filled(form: Column, kind: Column, new: Column) -> Column:
     """The mention's own format with the replacement in it: digits into its digits' places and more behind them, capitals for capitals, a secret's closing quote."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    wanted = F.when(kind == "iban", "[A-Z0-9]").otherwise("[0-9]")
+    wanted = F.when(kind == "iban", "[A-Za-z0-9]").otherwise("[0-9]")
+    new = F.when((kind == "iban") & (F.lower(form) == form), F.lower(new)).otherwise(new)
 
     def step(a: Column, c: Column) -> Column:
         takes = F.regexp_like(c, wanted)
