@@ -109,3 +109,54 @@ def test_explain(spark):
     assert got["O.d"]["path"] == "O.a --[intra]--> O.c → O.c --[intra]--> O.d"
     back = {r["id"]: r["path_len"] for r in graph.explain(edges, ids(spark, "O.d"), fields, 3, reverse=True).collect()}
     assert back == {"O.c": 1, "O.b": 2, "O.a": 2}
+
+
+def jobs_of(spark, run):
+    """What run gives, and how many jobs it took."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    out = run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A long path, short ones beside it, a branch off it, a ring and what is behind it, and a chain into a cycle."""
+    monkeypatch.setattr(loops, "LAST_EDGES", 20)
+    path = [(f"p{k}", f"p{k + 1}") for k in range(3000)]
+    short = [(f"s{k}", f"t{k}") for k in range(200)]
+    branch = [("p1000", "b0"), *((f"b{k}", f"b{k + 1}") for k in range(2500)), ("b2500", "p2000")]
+    ring = [(f"r{k}", f"r{(k + 1) % 40}") for k in range(40)]
+    cycle = [(f"c{k}", f"c{k + 1}") for k in range(30)] + [("c30", "c10"), ("c20", "d0"), ("d0", "d1"), ("d1", "d2")]
+    all_edges = path + short + branch + ring + cycle
+    edges = frame(spark, all_edges)
+    nodes = ids(spark, *{x for e in all_edges for x in e})
+    (found, rest), n = jobs_of(spark, lambda: tuple(x.collect() for x in loops.peel(nodes, edges)))
+    want = {f"p{k}": k if k < 2000 else k + 1502 for k in range(3001)} | {f"b{k}": 1001 + k for k in range(2501)} | {f"s{k}": 0 for k in range(200)} | {f"t{k}": 1 for k in range(200)} | {f"c{k}": k for k in range(10)}
+    assert {r["id"]: r["level"] for r in found} == want
+    assert {r["id"] for r in rest} == {f"r{k}" for k in range(40)} | {f"c{k}" for k in range(10, 31)} | {"d0", "d1", "d2"}
+    # One round would take a job for each of 4,500 levels; adaptive execution counts each of a round's exchanges as a job.
+    assert n < 400
+
+
+def test_random_levels_with_chains(spark, monkeypatch):
+    monkeypatch.setattr(loops, "LAST_EDGES", 5)
+    random.seed(11)
+    edges = set()
+    for _ in range(12):
+        at = random.randrange(25)
+        for _ in range(random.randint(1, 6)):
+            on = random.randrange(200)
+            edges.add((at, on))
+            at = on
+    # Mostly from small to large numbers, a few back.
+    edges = {(min(e), max(e)) if random.random() < 0.97 else e for e in edges}
+    names_ = [(f"n{a}", f"n{b}") for a, b in edges]
+    nodes = {x for e in names_ for x in e}
+    want, rest = {}, set(nodes)
+    while free := {x for x in rest if all(a not in rest for a, b in names_ if b == x)}:
+        want |= {x: max([want[a] + 1 for a, b in names_ if b == x], default=0) for x in free}
+        rest -= free
+    found, left = loops.peel(ids(spark, *nodes), frame(spark, names_))
+    assert {r["id"]: r["level"] for r in found.collect()} == want and {r["id"] for r in left.collect()} == rest

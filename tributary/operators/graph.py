@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, rules
 from ..sources.catalog import Catalog, canonical, filter_apps_fuzzy, scan_fields
 from .edges import attach_meta, rel_filter
-from .loops import bfs, checkpoint, closed_edges, numbered, peel, scc, walked
+from .loops import bfs, checkpoint, closed_edges, numbered, peel, scc, small_depths, walked
 
 REL_ORDER = ("intra", "writeBack", "view")
 
@@ -160,6 +160,9 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def longest_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, depth): the longest path from the roots to each node that they reach; nodes in or behind a cycle are left out."""
+    small = small_depths(edges, roots)
+    if small is not None:
+        return small
     reached = bfs(edges, roots)
     inner = edges.join(reached.select(F.col("id").alias("src")), "src", "left_semi").join(roots.select(F.col("id").alias("dst")), "dst", "left_anti")
     levels, _ = peel(reached, inner)

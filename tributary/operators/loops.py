@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: So many edges, counted, and fewer are walked in one task.
-LAST_EDGES = 10_000
+LAST_EDGES = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,24 +71,94 @@ def _last_search(depth: int | None):
 
 
 def _last_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, level) of the far ends: the longest path that ends there, null in or behind a cycle."""
-    to, _ = _adjacent(batches)
-    missing: dict[str, int] = defaultdict(int)
-    for fars in to.values():
-        for far in fars:
-            missing[far] += 1
-    level = {near: 0 for near in to if near not in missing}
+    """Of rows (src, dst, far), and (src, null, level) for levels known so far: (id, level) of the far ends, the longest path that ends there, null in or behind a cycle."""
+    to, missing, known = defaultdict(list), defaultdict(int), {}
+    for batch in batches:
+        for src, dst, far in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if dst is None:
+                known[src] = max(known.get(src, 0), far)
+            else:
+                to[src].append((dst, far))
+                missing[dst] += 1
+    level = {near: known.get(near, 0) for near in to if near not in missing}
     free = list(level)
     for near in free:  # grows as nodes become free
-        for far in to.get(near, ()):
-            level[far] = max(level.get(far, 0), level[near] + 1)
-            missing[far] -= 1
-            if not missing[far]:
-                free.append(far)
+        for dst, far in to.get(near, ()):
+            level[dst] = max(level.get(dst, known.get(dst, 0)), level[near] + far)
+            missing[dst] -= 1
+            if not missing[dst]:
+                free.append(dst)
     ids = list(missing)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([None if missing[i] else level[i] for i in ids], pa.int32())], ["id", "level"])
 
 
+def _last_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, depth) of the near ends without a far one and of what they reach: the longest path from them, without nodes in or behind a cycle."""
+    to, roots = _adjacent(batches)
+    reached, first = list(dict.fromkeys(roots)), set(roots)
+    seen, missing = set(reached), defaultdict(int)
+    for near in reached:  # grows as nodes are reached
+        for far in to.get(near, ()):
+            if far not in seen:
+                seen.add(far)
+                reached.append(far)
+            missing[far] += far not in first
+    depth = {near: 0 for near in reached if not missing[near]}
+    free = list(depth)
+    for near in free:
+        for far in to.get(near, ()):
+            if far not in first:
+                depth[far] = max(depth.get(far, 0), depth[near] + 1)
+                missing[far] -= 1
+                if not missing[far]:
+                    free.append(far)
+    yield pa.RecordBatch.from_arrays([pa.array(free, pa.string()), pa.array([depth[i] for i in free], pa.int32())], ["id", "depth"])
+
+
+def _last_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of the nodes in strongly connected components of two and more: what is found forwards and backwards from a node, by two searches in depth."""
+    to, _ = _adjacent(batches)
+    back = defaultdict(list)
+    for near, fars in to.items():
+        for far in fars:
+            back[far].append(near)
+    done, seen = [], set()
+    for start in list(to):
+        if start in seen:
+            continue
+        seen.add(start)
+        path = [(start, iter(to[start]))]
+        while path:
+            node, fars = path[-1]
+            far = next((f for f in fars if f not in seen), None)
+            if far is None:
+                done.append(node)
+                path.pop()
+            else:
+                seen.add(far)
+                path.append((far, iter(to.get(far, ()))))
+    ids, components, left = [], [], seen
+    for start in reversed(done):
+        if start in left:
+            left.discard(start)
+            members = [start]
+            for node in members:  # grows as members are found
+                nears = [n for n in dict.fromkeys(back.get(node, ())) if n in left]
+                left.difference_update(nears)
+                members += nears
+            if len(members) > 1:
+                ids += members
+                components += [min(members)] * len(members)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(components, pa.string())], ["id", "component"])
+
+
+def small_depths(edges: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(id, depth): the longest paths from roots (id), in one task, if edges (src, dst) and roots are LAST_EDGES and fewer, counted; else None."""
+    rows = edges.select("src", "dst").union(roots.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"))).distinct()
+    rows, n = counted(rows)
+    return checkpoint(rows.repartition(1).mapInArrow(_last_depths, "id string, depth int")) if n <= LAST_EDGES else None
+
+
 def bfs(edges: DataFrame, roots: DataFrame, depth: int | None = None, reverse: bool = False) -> DataFrame:
     """(id, level): every node that roots (id) reach over edges (src, dst), at its least distance; up to depth if given. Roots are there even if no edge knows them."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
@@ -116,8 +186,10 @@ def _gathered(parts: DataFrame, turn: int) -> DataFrame:
     return checkpoint(parts) if turn % GATHER == 0 else parts
 
 
-def numbered(df: DataFrame, order: Sequence[str], column: str) -> DataFrame:
-    """df with the place of each row in an order (from 1). Ranges of the order are numbered apart and moved by what the ranges before hold, so no task sorts them all."""
+def numbered(df: DataFrame, order: Sequence[str], column: str, n: int | None = None) -> DataFrame:
+    """df with the place of each row in an order (from 1). Ranges of the order are numbered apart and moved by what the ranges before hold, so no task sorts them all; n, where known, says that they are few."""
+    if n is not None and n <= LAST_EDGES:
+        return df.withColumn(column, F.row_number().over(Window.orderBy(*order)).cast("long"))
     # A row's number has its partition's number in the upper bits, its place in the partition in the lower 33.
     placed = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(column, F.monotonically_increasing_id()))
     part = F.shiftright(column, 33)
@@ -133,36 +205,70 @@ def walked(edges: DataFrame, visited: DataFrame, depth: int | None = None, rever
     return edges.join(inner.select(F.col("id").alias(near)), near, "left_semi").select(edges.columns)
 
 
+def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges without inner nodes, inner nodes, nodes of rings). Inner nodes have one edge in and one out; each comes with head, the node that its chain begins at, and far, its distance from there.
+
+    Chains are followed in steps that double, so one of any length takes as many rounds as its length has binary digits; those that go on longer are rings. edges: src, dst, far.
+    """
+    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"), F.min("src").alias("head"), F.max("far").alias("far"))
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
+    inner, n_inner = counted(into.join(out, "id").where("n_in = 1 AND n_out = 1 AND head <> id").select("id", "head", "far"))
+    inner, n_open, turn = inner.withColumn("going", F.lit(True)), n_inner, 0
+    while n_open and turn <= n.bit_length():
+        ahead = inner.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        met = inner.join(ahead, "head", "left")
+        inner, n_open = counted(met.select("id", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("going")), F.col("going"))
+        turn += 1
+    rings = inner.where("going").select("id")
+    inner = inner.where("NOT going").drop("going")
+    ids = inner.select(F.col("id").alias("dst")).union(rings.select(F.col("id").alias("dst")))
+    of_src = inner.select(F.col("id").alias("src"), "head", F.col("far").alias("before"))
+    left = edges.join(ids, "dst", "left_anti").join(of_src, "src", "left").select(F.coalesce("head", "src").alias("src"), "dst", (F.col("far") + F.coalesce("before", F.lit(0))).alias("far"))
+    return left.groupBy("src", "dst").agg(F.max("far").alias("far")), inner, rings
+
+
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(levels, rest). A node's level is the longest path that ends in it; rest are the nodes in a cycle or behind one.
 
-    Each round the edges whose source has no incoming edge leave, so a node's level is the number of rounds that it still has one. If
-    none leaves, those that are left begin in or behind cycles. Edges from or to unknown nodes don't count, self-loops keep a node.
+    Chains become single edges first. Then each round the edges whose source has no incoming edge leave, and tell their targets how far these are at least. If
+    none leaves, those that are left begin in or behind cycles. LAST_EDGES and fewer, counted, are done in one task. Edges from or to unknown nodes don't count, self-loops keep a node.
     """
     known = checkpoint(nodes.select("id").distinct())
-    live = edges.select("src", "dst").distinct()
+    live = edges.select("src", "dst").distinct().withColumn("far", F.lit(1))
     live, n = counted(live.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    of_round = lambda level: live.select(F.col("dst").alias("id"), F.lit(level).alias("level"))
-    found, turn = of_round(0).limit(0), 0
-    rest = known.limit(0)
+    inner = None
+    if n > LAST_EDGES:
+        live, inner, rings = _contracted(live, n)
+        live, n = counted(live)
+    found = known.limit(0).withColumn("level", F.lit(0))
+    rest, turn = known.limit(0), 0
     while n:
+        levels = found.groupBy("id").agg(F.max("level").alias("level"))
         if n <= LAST_EDGES:
-            last = checkpoint(live.select("src", "dst").repartition(1).mapInArrow(_last_levels, "id string, level int"))
-            found = found.union(last.where("level IS NOT NULL").select("id", (F.col("level") + turn).alias("level")))
+            near = live.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            told = levels.join(near, "id", "left_semi").select("id", F.lit(None).cast("string"), "level")
+            last = checkpoint(live.select("src", "dst", "far").union(told).repartition(1).mapInArrow(_last_levels, "id string, level int"))
+            found = found.union(last.where("level IS NOT NULL"))
             rest = last.where("level IS NULL").select("id")
             break
-        left, n_left = counted(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        if n_left == n:
+        has_in = live.select(F.col("dst").alias("src"), F.lit(True).alias("has_in")).distinct()
+        marked = live.join(has_in, "src", "left").join(levels.withColumnRenamed("id", "src"), "src", "left")
+        marked, n_free = counted(marked.select("src", "dst", "far", F.coalesce("level", F.lit(0)).alias("level"), F.col("has_in").isNull().alias("free")), F.col("free"))
+        if not n_free:
             rest = checkpoint(live.select(F.col("dst").alias("id")).distinct())
             break
-        found = found.union(of_round(turn + 1))
+        found = found.union(marked.where("free").select(F.col("dst").alias("id"), (F.col("level") + F.col("far")).alias("level")))
         turn += 1
         if turn % GATHER == 0:
             found = checkpoint(found.groupBy("id").agg(F.max("level").alias("level")))
-        live, n = left, n_left
+        live, n = marked.where("NOT free").select("src", "dst", "far"), n - n_free
     longest = found.groupBy("id").agg(F.max("level").alias("level"))
     levels = known.join(rest, "id", "left_anti").join(longest, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
-    return levels, rest
+    if inner is None:
+        return levels, rest
+    outer = checkpoint(levels.join(inner, "id", "left_anti").join(rings, "id", "left_anti"))
+    placed = checkpoint(inner.join(outer.withColumnRenamed("id", "head"), "head", "left").select("id", (F.col("level") + F.col("far")).cast("int").alias("level")))
+    return outer.union(placed.where("level IS NOT NULL")), rest.union(rings).union(placed.where("level IS NULL").select("id"))
 
 
 def closed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,11 +279,13 @@ def closed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes in strongly connected components of two nodes and more; component is the least id.
 
-    Nodes outside cycles are peeled off at both ends. Then colours spread: each node takes the least id that reaches it, and the
+    A graph of LAST_EDGES edges and fewer, counted, is done in one task. Else nodes outside cycles are peeled off at both ends. Then colours spread: each node takes the least id that reaches it, and the
     nodes of a colour that reach its origin are a component; they leave and the rest starts anew.
     """
-    edges = edges.where("src <> dst").select("src", "dst").distinct()
     rest = nodes.select("id").distinct()
+    edges, n = counted(closed_edges(edges.where("src <> dst"), rest).distinct())
+    if n <= LAST_EDGES:
+        return checkpoint(edges.repartition(1).mapInArrow(_last_components, "id string, component string"))
     found = None
     while True:
         for reverse in (False, True):

@@ -186,6 +186,11 @@ steps AS (
 SELECT {_STEP}, * FROM steps""",
     "field_names": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, {_camel('ok')} AS field, {_name('ok')} AS column_name, {_APP} || '_obj' || k AS table_name, 'Obj' || k AS object_name, 'Obj' || k || '.' || {_name('ok')} AS key FROM base""",
     "formula_fields": f"""WITH {BASE}, {_SEQ} SELECT CAST(ok AS STRING) AS id, in_order, array_to_string(list_sort(string_split(in_order, ',')), ',') AS sorted FROM seqs""",
+    "formula_words": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, CASE r % 4 WHEN 1 THEN 'case,when,abs,t,' || {_name('p1')} || ',0,then,fld_7,else,null,end' ELSE {_name('p1')} || ',' || {_camel('p2')} END AS words,
+  CASE r % 4 WHEN 1 THEN 1 ELSE 0 END AS has_word FROM base WHERE r % 4 IN (1, 2)""",
+    "referred_entities": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, CASE WHEN ok % 6 = 0 THEN 'Obj' || (k - 1) || ',Other' END AS entities, CASE WHEN ok % 6 = 0 THEN 'Obj' || (k - 1) END AS first FROM base""",
+    "spelt_names": f"""WITH {BASE} SELECT CAST(ok AS STRING) AS id, CASE WHEN ok % 5 = 0 THEN {_camel('ok')} ELSE {_name('ok')} END AS shown, 'F' || substr({_name('ok')}, 2) AS capital FROM base""",
+    "hooked_formula": "SELECT l_orderkey, l_linenumber, round(l_quantity * 3 + coalesce(l_tax, 0) * 2, 4) AS shifted FROM lineitem",
     "formula_columns": f"""WITH {BASE}, {_FIELDS} SELECT 'Obj' || k || '.' || {_camel('ok')} AS node, {_COMPILED} AS formula,
   CASE WHEN {_HAS_BACK} THEN 'sum(' || {_name('s')} || ')' END AS rule_expression
 FROM base JOIN fields f ON f.id = CAST(ok AS STRING) WHERE {_HAS_BACK} OR {_TRIGGER}""",

@@ -19,7 +19,7 @@ from ..functions import names, rules, sums, texts
 from ..functions.formulas import extract_sequence, formula_to_columns
 from ..operators.edges import downstream_edges, overlay_definitions, rel_filter, upstream_edges
 from ..operators.graph import closed_graph, dirty_set, incoming_types, longest_depth, normalise_roots, topological_order
-from ..operators.loops import checkpoint, numbered
+from ..operators.loops import checkpoint, counted, numbered
 from ..sources.catalog import Catalog, canonical
 
 #: Steps that the driver turns into one chain of transformations.
@@ -110,8 +110,8 @@ def recompute_plan_batch(catalog: Catalog, roots: DataFrame, depth: int = 3, rel
 def _numbered(found: DataFrame) -> DataFrame:
     """step: the place by level, intra first, then node."""
     object_type, field = names.split_node_id(F.col("node"))
-    rows = checkpoint(found.withColumns({"object": object_type, "field": field, "rank": F.coalesce("level", F.lit(2**31 - 1)), "late": F.col("role") == "WRITE_BACK", "status": step_status()}))
-    return numbered(rows, ("rank", "late", "node"), "step").select(*PLAN_COLUMNS)
+    rows, n = counted(found.withColumns({"object": object_type, "field": field, "rank": F.coalesce("level", F.lit(2**31 - 1)), "late": F.col("role") == "WRITE_BACK", "status": step_status()}))
+    return numbered(rows, ("rank", "late", "node"), "step", n).select(*PLAN_COLUMNS)
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -174,6 +174,30 @@ def formula_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", _joined("s").alias("in_order"), _joined("f").alias("sorted"))
 
 
+def formula_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """all words of triggers, and whether one of them is fld_7, in any case."""
+    text = F.col("trigger_expr")
+    return _catalog(spark, sf_dir).fields.where(text.isNotNull()).select("id", _joined(formulas.extract_words(text)).alias("words"), formulas.contains_word(text, F.lit("FLD_7")).cast("int").alias("has_word"))
+
+
+def referred_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the entities that fields refer to, and the first one."""
+    info = F.col("refer_info")
+    return _catalog(spark, sf_dir).fields.select("id", _joined(rules.refer_entities(info)).alias("entities"), rules.first_refer_entity(info).alias("first"))
+
+
+def spelt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field's API name or else its name, and its name with a capital."""
+    return _catalog(spark, sf_dir).fields.select("id", names.first_non_empty(F.col("api_name"), F.col("name")).alias("shown"), names.capitalize(F.col("name")).alias("capital"))
+
+
+def hooked_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-hook: a formula that is a call of a user's function, with expressions as arguments."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    out = recompute.apply_trigger(lines, "shifted", "shifted(l.l_quantity, coalesce(l_tax, 0) * 2)", {"shifted": lambda value, by: value * 3 + by})
+    return out.select("l_orderkey", "l_linenumber", F.round("shifted", 4).alias("shifted"))
+
+
 def formula_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """formulas over columns, and rules over columns of their source."""
     return recompute.definitions(_catalog(spark, sf_dir)).where("formula IS NOT NULL OR rule IS NOT NULL").select("node", "formula", F.col("rule.expression").alias("rule_expression"))
@@ -628,7 +652,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rollup_regions, rollup_nations, rollup_customers, rollup_orders, write_back_keeps_old, exact_sums, formula_lookups, formula_aggregates, changed_rows, parent_lookup, recompute_plan, recompute_plan_batch,
-        field_names, formula_fields, formula_columns, write_back_rules, field_kinds, mapping_rewrite, mapping_direction,
+        field_names, formula_fields, formula_words, referred_entities, spelt_names, hooked_formula, formula_columns, write_back_rules, field_kinds, mapping_rewrite, mapping_direction,
         catalog_scan, view_definitions, view_lineage, view_sql_dependencies, view_stats, object_details, fields_by_app, compare_catalog, field_search, object_search,
         fields_per_object, write_back_targets, write_back_sources, incoming_references, category_counts, object_health, object_profile, pattern_check, change_scope, trigger_summary,
         lineage_edges, upstream_edges, impact_nodes, impact_edges, trace_nodes, closed_graph, explain_paths, object_graph, global_graph, graph_stats,
