@@ -74,8 +74,9 @@ def components(nodes, edges):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, seed):
+@pytest.mark.parametrize("seed,last", [(1, 100_000), (2, 2)])
+def test_random_graphs(spark, monkeypatch, seed, last):
+    monkeypatch.setattr(loops, "LAST_EDGES", last)
     random.seed(seed)
     names = [f"n{i:02d}" for i in range(24)]
     edges = list({(random.choice(names), random.choice(names)) for _ in range(30)})
@@ -160,3 +161,17 @@ def test_random_levels_with_chains(spark, monkeypatch):
         rest -= free
     found, left = loops.peel(ids(spark, *nodes), frame(spark, names_))
     assert {r["id"]: r["level"] for r in found.collect()} == want and {r["id"] for r in left.collect()} == rest
+
+
+def test_long_rings_take_few_rounds(spark, monkeypatch):
+    """A ring, a cycle whose arcs are long chains, and a chain from one to the other, which is in no component."""
+    monkeypatch.setattr(loops, "LAST_EDGES", 20)
+    chain = lambda a, name, n, b: list(zip([a, *(f"{name}{k}" for k in range(n))], [*(f"{name}{k}" for k in range(n)), b], strict=True))
+    ring = chain("r", "ring", 2000, "r")
+    both = chain("u", "up", 900, "v") + chain("v", "down", 700, "u") + chain("u", "side", 300, "u")
+    loose = chain("v", "loose", 500, "w") + chain("w", "x", 3, "y") + [("y", "w")]
+    edges = frame(spark, ring + both + loose)
+    found, n = jobs_of(spark, lambda: {r["id"]: r["component"] for r in graph.cycles(edges).collect()})
+    want = {x: "r" for e in ring for x in e} | {x: "down0" for e in both for x in e} | {x: "w" for x in ("w", "x0", "x1", "x2", "y")}
+    assert found == want
+    assert n < 700

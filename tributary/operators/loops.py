@@ -206,21 +206,21 @@ def walked(edges: DataFrame, visited: DataFrame, depth: int | None = None, rever
 
 
 def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges without inner nodes, inner nodes, nodes of rings). Inner nodes have one edge in and one out; each comes with head, the node that its chain begins at, and far, its distance from there.
+    """(edges without inner nodes, inner nodes, nodes of rings). Inner nodes have one edge in and one out; each comes with head, the node that its chain begins at, and far, its distance from there; a ring's with least, its smallest id.
 
     Chains are followed in steps that double, so one of any length takes as many rounds as its length has binary digits; those that go on longer are rings. edges: src, dst, far.
     """
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"), F.min("src").alias("head"), F.max("far").alias("far"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_out"))
     inner, n_inner = counted(into.join(out, "id").where("n_in = 1 AND n_out = 1 AND head <> id").select("id", "head", "far"))
-    inner, n_open, turn = inner.withColumn("going", F.lit(True)), n_inner, 0
+    inner, n_open, turn = inner.withColumns({"least": F.least("id", "head"), "going": F.lit(True)}), n_inner, 0
     while n_open and turn <= n.bit_length():
-        ahead = inner.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        ahead = inner.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"), F.col("least").alias("less"))
         met = inner.join(ahead, "head", "left")
-        inner, n_open = counted(met.select("id", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("going")), F.col("going"))
+        inner, n_open = counted(met.select("id", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.least("least", "less").alias("least"), F.col("next").isNotNull().alias("going")), F.col("going"))
         turn += 1
-    rings = inner.where("going").select("id")
-    inner = inner.where("NOT going").drop("going")
+    rings = inner.where("going").select("id", "least")
+    inner = inner.where("NOT going").select("id", "head", "far")
     ids = inner.select(F.col("id").alias("dst")).union(rings.select(F.col("id").alias("dst")))
     of_src = inner.select(F.col("id").alias("src"), "head", F.col("far").alias("before"))
     left = edges.join(ids, "dst", "left_anti").join(of_src, "src", "left").select(F.coalesce("head", "src").alias("src"), "dst", (F.col("far") + F.coalesce("before", F.lit(0))).alias("far"))
@@ -268,7 +268,7 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         return levels, rest
     outer = checkpoint(levels.join(inner, "id", "left_anti").join(rings, "id", "left_anti"))
     placed = checkpoint(inner.join(outer.withColumnRenamed("id", "head"), "head", "left").select("id", (F.col("level") + F.col("far")).cast("int").alias("level")))
-    return outer.union(placed.where("level IS NOT NULL")), rest.union(rings).union(placed.where("level IS NULL").select("id"))
+    return outer.union(placed.where("level IS NOT NULL")), rest.union(rings.select("id")).union(placed.where("level IS NULL").select("id"))
 
 
 def closed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -279,21 +279,53 @@ def closed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes in strongly connected components of two nodes and more; component is the least id.
 
-    A graph of LAST_EDGES edges and fewer, counted, is done in one task. Else nodes outside cycles are peeled off at both ends. Then colours spread: each node takes the least id that reaches it, and the
-    nodes of a colour that reach its origin are a component; they leave and the rest starts anew.
+    Nodes outside cycles are peeled off at both ends, and chains become single edges: a chain is in a component if its two ends are, and a ring is one. Graphs of LAST_EDGES edges and fewer, counted, are done
+    in one task, larger ones by colours.
     """
     rest = nodes.select("id").distinct()
     edges, n = counted(closed_edges(edges.where("src <> dst"), rest).distinct())
+    if n > LAST_EDGES:
+        rest, edges, n = _without_ends(rest, edges)
     if n <= LAST_EDGES:
-        return checkpoint(edges.repartition(1).mapInArrow(_last_components, "id string, component string"))
-    found = None
+        return _small_components(edges)
+    core, inner, rings = _contracted(edges.withColumn("far", F.lit(1)), n)
+    _, back, _ = _contracted(_turned(edges).withColumn("far", F.lit(1)), n)
+    core, n = counted(core.where("src <> dst").select("src", "dst"))
+    outer = checkpoint(rest.join(inner, "id", "left_anti").join(rings, "id", "left_anti"))
+    found = _small_components(core) if n <= LAST_EDGES else _coloured(outer, core)
+    labels = checkpoint(outer.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    of_end = lambda end, name: labels.select(F.col("id").alias(end), F.col("component").alias(name))
+    chains = inner.select("id", "head").join(back.select("id", F.col("head").alias("tail")), "id").join(of_end("head", "component"), "head").join(of_end("tail", "of_tail"), "tail")
+    every = checkpoint(labels.union(chains.where("component = of_tail").select("id", "component")).union(rings.select("id", F.col("least").alias("component"))))
+    least = every.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return every.join(least, "component").select("id", F.col("least").alias("component"))
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _without_ends(rest: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes and edges without those before and behind all cycles, and the number of edges left."""
+    n = 0
+    for reverse in (False, True):
+        _, rest = peel(rest, _turned(edges) if reverse else edges)
+        edges, n = counted(closed_edges(edges, rest))
+    return rest, edges, n
+
+
+def _small_components(edges: DataFrame) -> DataFrame:
+    return checkpoint(edges.repartition(1).mapInArrow(_last_components, "id string, component string"))
+
+
+def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of components of two nodes and more, by colours: each node takes the least id that reaches it, and the nodes of a colour that reach its origin are a component; they leave and the rest starts anew, until it is small."""
+    rest, found = nodes, None
     while True:
-        for reverse in (False, True):
-            live = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges
-            _, rest = peel(rest, live)
-            edges = checkpoint(closed_edges(edges, rest))
-        if rest.isEmpty():
-            break
+        rest, edges, n = _without_ends(rest, edges)
+        if n <= LAST_EDGES:
+            last = _small_components(edges)
+            return last if found is None else found.union(last)
         colours, changed = rest.withColumn("colour", F.col("id")), 1
         while changed:
             incoming = edges.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("theirs")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("theirs").alias("theirs"))
@@ -308,10 +340,8 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         component = bfs(inside, colours.where("id = colour").select("id"), reverse=True).select("id").join(colours, "id").select("id", F.col("colour").alias("component"))
         component = checkpoint(component)
-        found = component if found is None else checkpoint(found.union(component))
+        several = component.join(component.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("id", "component")
+        several = checkpoint(several)
+        found = several if found is None else checkpoint(found.union(several))
         rest = checkpoint(rest.join(component, "id", "left_anti"))
         edges = checkpoint(closed_edges(edges, rest))
-    if found is None:
-        return nodes.select("id", F.col("id").alias("component")).limit(0)
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return found.join(sizes, "component", "left_semi").select("id", "component")
