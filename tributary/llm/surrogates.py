@@ -26,9 +26,9 @@ NAME = r"(?:\p{Lu}\p{L}{1,30}+|\p{Lu}(?=['’]\p{Lu}))(?:['’-]\p{Lu}\p{L}{1,30
 ADDRESS = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?|M\.)[ \xa0](?:\p{{Lu}}\.[ \xa0]?){{0,2}}"
 #: Key words of secrets; whatever stands behind the second kind's colon is taken, behind the first kind's no short word of letters, which may be prose.
 SECRET_WORD, PASS_WORD = r"secret|token|api[_-]?key", r"password|passwd|pwd|passphrase|passcode"
-#: Blanks of any number, as in aligned settings.
+#: Blanks of any number, as in aligned settings. The first two letters of all key words are tried first, as secrets are looked for at every place.
 _LEAD = r"[\"']?\s*+"
-SECRET_LEAD = rf"(?:(?i:{PASS_WORD}){_LEAD}[=:]\s*+(?!(?:null|true|false)(?![\p{{L}}\p{{N}}_]))|(?i:{SECRET_WORD}){_LEAD}(?:=\s*+|:\s*+(?![\p{{L}}]{{1,5}}+(?![^\s,;.)}}\]])))|(?i:authorization){_LEAD}[=:]\s*+[\"']?(?i:basic|bearer|digest|token)[ \t]++|(?i:bearer)[ \t]++(?=[A-Za-z._~+/=-]*+\d)(?=[^\s\"',;]{{8}}))"
+SECRET_LEAD = rf"(?=[Pp][AaWw]|[Ss][Ee]|[Tt][Oo]|[Aa][PpUu]|[Bb][Ee])(?:(?i:{PASS_WORD}){_LEAD}[=:]\s*+(?!(?:null|true|false)(?![\p{{L}}\p{{N}}_]))|(?i:{SECRET_WORD}){_LEAD}(?:=\s*+|:\s*+(?![\p{{L}}]{{1,5}}+(?![^\s,;.)}}\]])))|(?i:authorization){_LEAD}[=:]\s*+[\"']?(?i:basic|bearer|digest|token)[ \t]++|(?i:bearer)[ \t]++(?=[A-Za-z._~+/=-]*+\d)(?=[^\s\"',;]{{8}}))"
 _QUOTED = r"\"(?!\")[^\n]+?(?<!\\)\"|'(?!')[^\n]+?(?<!\\)'"
 #: Up to the closing quote, else up to a blank, comma or semicolon. A quote inside begins a quoted part unless what ends a value is behind it; one that isn't closed is a sign like others.
 _PLAIN = r"(?:[^\s\"',;]|\"(?=[^\s\"',;:)}\]>/])(?:[^\"\n]*+\")?|'(?=[^\s\"',;:)}\]>/])(?:[^'\n]*+')?)++"
@@ -49,7 +49,7 @@ PATTERNS = {
     "ip6": rf"(?:(?:{HEX}:){{7}}{HEX}|(?=[0-9A-Fa-f:]{{0,38}}\d)(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![:\p{{L}}\p{{N}}])",
     "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)|\d{19}(?!\d)|3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?!\d)|3[0689]\d\d[ -]?\d{6}[ -]?\d{4}(?!\d)|4\d{12}(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}(?!\d)|\+\d{9,15}(?!\d)|\+(?=(?:[ ./()-]{0,2}\d){8,15}(?!\d))\d{1,4}(?:[ ./()-]{1,2}\d{1,8}){1,6}(?!\d)"
-    r"|0\d(?:[ .-]\d\d){4}(?!\d)|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?!\d)|(?<=(?i:tel|phone|mobile|cell|fax|call)[.:]{0,2} {0,3})[2-9]\d{9}(?!\d)",
+    r"|0\d(?:[ .-]\d\d){4}(?!\d)|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}(?!\d)|[2-9](?=\d{9}(?!\d))(?<=(?i:tel|phone|mobile|cell|fax|call)[.:]{0,2} {0,3}\d)\d{9}",
     "national_id": r"\d{3}-\d{2}-\d{4}(?!\d)|\d{3} \d{2} \d{4}(?!\d)",
     "ip": rf"(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "name": rf"{ADDRESS}(?:{NAME}[ \xa0])?(?:(?:{PARTICLES})[ \xa0]){{0,3}}{NAME}",
