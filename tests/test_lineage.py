@@ -91,6 +91,27 @@ def test_snapshots(catalog, spark, tmp_path):
     assert snapshots.load_snapshot(spark, path, first).count() == 12
     with pytest.raises(ValueError):
         snapshots.load_snapshot(spark, path, "none")
+    # Listing opens no data file, loading no other snapshot's.
+    for file in tmp_path.glob(f"s/snapshot_id={first}/*.parquet"):
+        file.write_bytes(b"broken")
+    assert snapshots.list_snapshots(spark, path).count() == 2 and snapshots.load_snapshot(spark, path, second).count() == 12
+    assert snapshots.list_snapshots(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_large_reports_are_split(spark, tmp_path):
+    report = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "Big").when(F.col("id") % 40 == 0, None).otherwise("Small").alias("object"), F.col("id").cast("string").alias("field"))
+    snapshots.write_impact_report(report, f"{tmp_path}/r", "parquet", rows=500)
+    files = [(p.parent.name, spark.read.parquet(str(p)).count()) for p in tmp_path.glob("r/*/*.parquet")]
+    assert sum(n for _, n in files) == 4000 and max(n for _, n in files) <= 1000 and sum(o == "object=Big" for o, _ in files) >= 3
+
+
+def test_runs_meet_on_their_rarest_field(spark):
+    """Runs that share a first field, which all formulas use: candidates are those that use the rarer second one."""
+    rows = [field(k, "O", f"t_{k}", trigger_expr=f"all_x + own_{k % 30}") for k in range(120)] + [field(1000 + k, "O", f"u_{k}", expression=f"(all_x + own_{k}) * all_x") for k in range(30)]
+    fields = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["src"], r["dst"]) for r in edges.alias_edges(fields).collect()}
+    same = {(f"O.t{a}", f"O.t{b}") for a in range(120) for b in range(120) if a != b and a % 30 == b % 30}
+    assert got == same | {(f"O.t{k}", f"O.u{k % 30}") for k in range(120)}
 
 
 def test_report(catalog, spark, tmp_path):

@@ -37,15 +37,19 @@ def _intra(seqs: DataFrame) -> DataFrame:
 def alias_edges(fields: DataFrame) -> DataFrame:
     """From a triggered field to each other field of its object whose formulas hold the trigger's fields as one run.
 
-    Candidates meet on the run's first field, so only fields that use it are compared.
+    Candidates meet on the run's rarest field in the object, so only fields that use it are compared.
     """
     return _alias(sequences(fields)).distinct()
 
 
 def _alias(seqs: DataFrame) -> DataFrame:
-    runs = seqs.where(F.size("trigger_seq") > 0).select("object_type", F.col("field").alias("source"), F.col("trigger_seq").alias("run"), F.col("trigger_seq")[0].alias("first")).distinct()
-    using = seqs.select("object_type", "field", "seq", F.explode("seq").alias("first"))
-    met = runs.join(using, ["object_type", "first"]).where((F.col("source") != F.col("field")) & contains_run(F.col("seq"), F.col("run")))
+    runs = seqs.where(F.size("trigger_seq") > 0).select("object_type", F.col("field").alias("source"), F.col("trigger_seq").alias("run")).distinct()
+    using = seqs.select("object_type", "field", "seq", F.explode("seq").alias("token"))
+    often = using.groupBy("object_type", "token").agg(F.count("*").alias("n"))
+    # A trigger's own formulas hold its run, so each of its fields is counted; of equal ones the first by name is met on.
+    met_on = runs.select("object_type", "source", "run", F.explode("run").alias("token")).join(often, ["object_type", "token"])
+    met_on = met_on.groupBy("object_type", "source", "run").agg(F.min(F.struct("n", "token")).alias("rarest")).select("object_type", "source", "run", "rarest.token")
+    met = met_on.join(using, ["object_type", "token"]).where((F.col("source") != F.col("field")) & contains_run(F.col("seq"), F.col("run")))
     return _edges(met, "object_type", "source", "object_type", "field", "intra")
 
 
