@@ -139,6 +139,10 @@ ORACLE_SQL: dict[str, str] = {
     "rollup_nations": f"{_ROLLUP} SELECT n_nationkey, {_double('cust_total')}, {_double('gap_total')} FROM nations",
     "rollup_customers": f"{_ROLLUP} SELECT c_custkey, {_double('order_total')}, {_double('gap')} FROM customers",
     "rollup_orders": f"{_ROLLUP} SELECT o_orderkey, {_double('item_total')}, {_double('taxed_total', 6)}, coalesce(item_count, 0) AS item_count FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey",
+    "staged_rollups": f"""{_ROLLUP} SELECT 'Customer' AS object, CAST(c_custkey AS BIGINT) AS key, round(order_total, 4) AS total FROM customers
+UNION ALL SELECT 'Nation', n_nationkey, round(cust_total, 4) FROM nations
+UNION ALL SELECT 'Region', r_regionkey, round(nation_total, 4) FROM region LEFT JOIN (
+  SELECT n_regionkey, coalesce(fsum(cust_total), 0) AS nation_total FROM nations GROUP BY n_regionkey) AS t ON n_regionkey = r_regionkey""",
     "write_back_keeps_old": """SELECT c_custkey, round(coalesce(m, c_acctbal), 4) AS c_acctbal FROM customer LEFT JOIN (
   SELECT o_custkey, max(o_totalprice) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) AS t ON o_custkey = c_custkey""",
     "exact_sums": """SELECT o_orderkey, round(tiny, 2) AS tiny, round(huge, 2) AS huge, CAST(rate AS VARCHAR) AS rate, round(mean, 6) AS mean, round(spread, 2) AS spread, round("both", 4) AS "both" FROM orders LEFT JOIN (

@@ -355,23 +355,35 @@ def object_of(table: str, objects: Iterable[str]) -> str:
     return snake[max(found, key=len)]
 
 
+def runnable_steps(plan: DataFrame, objects: Sequence[str]) -> DataFrame:
+    """The active steps of a plan that can run on tables of these objects."""
+    return plan.where("active AND NOT in_cycle AND status = 'run'").where(F.col("object").isin(list(objects)))
+
+
+def apply_group(group: Sequence[Mapping], tables: Mapping[str, DataFrame], ids: Mapping[str, str], functions: Mapping[str, Callable[..., Column]] | None = None) -> DataFrame | None:
+    """The table of a group of fused steps after them; None where their source has no table."""
+    name, rule = group[0]["object"], group[0]["rule"]
+    if rule is None:
+        return apply_triggers(tables[name], {s["column"]: s["formula"] for s in group}, functions, lambda table: tables[object_of(table, tables)])
+    if rule["source"] not in tables:
+        return None
+    specs = [WriteBack(s["column"], s["rule"]["expression"], s["rule"]["key"], s["rule"]["condition"]) for s in group]
+    return apply_write_backs(tables[name], ids[name], tables[rule["source"]], specs)
+
+
 def run_plan(plan: DataFrame, tables: Mapping[str, DataFrame], ids: Mapping[str, str], functions: Mapping[str, Callable[..., Column]] | None = None) -> dict[str, DataFrame]:
     """The tables (by object) after all active steps that can run, in plan order. ids: each object's key column. A step with a rule is a roll-up, else a trigger.
 
-    Nothing is computed until a table is read. Steps on objects without a table are left out. A plan of more than MOST_STEPS such steps is an error: it is to be run in parts.
+    Nothing is computed until a table is read. Steps on objects without a table are left out. A plan of more than MOST_STEPS such steps is an error: `stages.run_plan_in_stages` runs those.
     """
     out = dict(tables)
-    runnable = plan.where("active AND NOT in_cycle AND status = 'run'").where(F.col("object").isin(list(out)))
-    steps = [r.asDict(recursive=True) for r in runnable.orderBy("step").limit(MOST_STEPS + 1).collect()]
+    steps = [r.asDict(recursive=True) for r in runnable_steps(plan, list(out)).orderBy("step").limit(MOST_STEPS + 1).collect()]
     if len(steps) > MOST_STEPS:
-        raise ValueError(f"more than {MOST_STEPS} steps in one plan")
+        raise ValueError(f"more than {MOST_STEPS} steps in one plan: run it in stages")
     for group in fuse_updates(steps):
-        name = group[0]["object"]
-        if group[0]["rule"] is None:
-            out[name] = apply_triggers(out[name], {s["column"]: s["formula"] for s in group}, functions, lambda table: out[object_of(table, out)])
-        elif group[0]["rule"]["source"] in out:
-            specs = [WriteBack(s["column"], s["rule"]["expression"], s["rule"]["key"], s["rule"]["condition"]) for s in group]
-            out[name] = apply_write_backs(out[name], ids[name], out[group[0]["rule"]["source"]], specs)
+        after = apply_group(group, dict(out), ids, functions)
+        if after is not None:
+            out[group[0]["object"]] = after
     return out
 
 
