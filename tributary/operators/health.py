@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, rules
-from ..sources.catalog import Catalog, canonical, fields_from_source, object_titles, scan_fields, sequences, targets_by_source
+from ..sources.catalog import Catalog, canonical, fields_from_source, object_titles, references, scan_fields, sequences, targets_by_source
 from .graph import impact
+from .pages import PAGE_ITEMS, pages
 
 
-def object_health(fields: DataFrame) -> DataFrame:
-    """Per object: fields in total, with a formula or rule, referenced in the object (by themselves too), dead (neither), written back, and written back without reference.
-
-    Fields without a name count in the total only.
-    """
+def _uses(fields: DataFrame) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """The fields with whether their object's formulas use them, conditions to count by, and those whose fields are listed."""
     rows = fields.withColumn("field", canonical())
     used = sequences(fields).select("object_type", F.explode("seq").alias("field")).distinct().withColumn("used", F.lit(True))
     named = F.col("field").isNotNull()
@@ -24,8 +22,28 @@ def object_health(fields: DataFrame) -> DataFrame:
     dead = named & ~formula & ~is_used
     counts = {"with_formula": formula, "referenced": named & is_used, "dead": dead, "write_back": back, "write_back_unreferenced": back & ~is_used}
     lists = {"dead_fields": dead, "write_back_unreferenced_fields": back & ~is_used}
+    return rows.join(used, ["object_type", "field"], "left"), counts, lists
+
+
+def _listed(lists: dict[str, Column]) -> Column:
+    """A row for each list that a row is in."""
+    return F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in lists.items())), lambda n: n.isNotNull())).alias("list")
+
+
+def object_health(fields: DataFrame) -> DataFrame:
+    """Per object: fields in total, with a formula or rule, referenced in the object (by themselves too), dead (neither), written back, and written back without reference.
+
+    Fields without a name count in the total only.
+    """
+    rows, counts, lists = _uses(fields)
     listed = [F.array_sort(F.collect_list(F.when(c, F.col("field")))).alias(n) for n, c in lists.items()]
-    return rows.join(used, ["object_type", "field"], "left").groupBy("object_type").agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in counts.items()), *listed)
+    return rows.groupBy("object_type").agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in counts.items()), *listed)
+
+
+def object_health_pages(fields: DataFrame, size: int = PAGE_ITEMS) -> DataFrame:
+    """(object_type, list, page, items): the lists of `object_health` in pages, for objects of any number of fields."""
+    rows, _, lists = _uses(fields)
+    return pages(rows.select("object_type", _listed(lists), "field"), ("object_type", "list"), "field", size)
 
 
 def _categories(catalog: Catalog) -> DataFrame:
@@ -37,18 +55,26 @@ def _categories(catalog: Catalog) -> DataFrame:
     return named.withColumns({"category": category, "amount": rules.is_amount(F.col("field"), F.col("biz_type")), "quantity": rules.is_quantity(F.col("field"), F.col("biz_type"))})
 
 
-def object_profile(catalog: Catalog) -> DataFrame:
-    """Per object its title and its fields by category, sorted: write_back, virtual, trigger, base, amount and quantity.
-
-    Triggered amounts and quantities are in two lists; other amounts and quantities without formulas leave the base list. With the numbers of sources and targets.
-    """
-    rows = _categories(catalog)
+def _profile_lists() -> dict[str, Column]:
     own = F.col("category")
     measured = own.isin("trigger", "base") & (F.col("amount") | F.col("quantity"))
-    lists = {
+    return {
         "write_back": own == "write_back", "virtual": own == "virtual", "trigger": own == "trigger", "base": (own == "base") & ~measured,
         "amount": measured & F.col("amount"), "quantity": measured & ~F.col("amount") & F.col("quantity"),
     }
+
+
+def object_profile_pages(catalog: Catalog, size: int = PAGE_ITEMS) -> DataFrame:
+    """(object_type, list, page, items): the lists of `object_profile` in pages, for objects of any number of fields."""
+    return pages(_categories(catalog).select("object_type", _listed(_profile_lists()), "field"), ("object_type", "list"), "field", size)
+
+
+def object_profile(catalog: Catalog) -> DataFrame:
+    """Per object its title and its fields by category, sorted: write_back, virtual, trigger, base, amount and quantity.
+
+    Triggered amounts and quantities are in two lists; other amounts and quantities without formulas leave the base list. With the numbers of sources and targets.
+    """
+    rows, lists = _categories(catalog), _profile_lists()
     profile = rows.groupBy("object_type").agg(*(F.array_sort(F.collect_list(F.when(c, F.col("field")))).alias(n) for n, c in lists.items()))
     pairs = fields_from_source(catalog).select("source_object", F.col("object_type").alias("target_object")).distinct()
     inbound = pairs.groupBy(F.col("target_object").alias("object_type")).agg(F.count("*").alias("sources"))
@@ -109,6 +135,23 @@ def trigger_summary(catalog: Catalog, edges: DataFrame) -> DataFrame:
     return fields_from_source(catalog).select("object_type", "source_object", "field").distinct().join(used, ["object_type", "field"], "left").select("object_type", "source_object", "field", F.coalesce("triggers", F.lit("")).alias("triggers"))
 
 
+def trigger_summary_pages(catalog: Catalog, edges: DataFrame, size: int = PAGE_ITEMS) -> DataFrame:
+    """(object_type, source_object, field, page, items): for each field written back the fields that its value triggers, in pages; fields that trigger none have no page."""
+    used = edges.where("rel = 'intra'").select(F.col("src_object").alias("object_type"), F.col("src_field").alias("field"), F.col("dst_field").alias("item")).distinct()
+    written = fields_from_source(catalog).select("object_type", "source_object", "field").distinct()
+    return pages(written.join(used, ["object_type", "field"]), ("object_type", "source_object", "field"), size=size)
+
+
+def incoming_reference_pages(catalog: Catalog, size: int = PAGE_ITEMS) -> DataFrame:
+    """(entity, object_type, app_name, page, items): the fields that refer to each entity, in pages; views too."""
+    return pages(references(catalog).withColumn("item", F.coalesce("api_name", "name")), ("entity", "object_type", "app_name"), size=size)
+
+
+def view_dependency_pages(view: DataFrame, size: int = PAGE_ITEMS) -> DataFrame:
+    """(src, page, items): the view fields that depend on each source, in pages."""
+    return pages(view.select("src", F.col("dst").alias("item")).distinct(), ("src",), size=size)
+
+
 def why_no_relation(catalog: Catalog, object_type: str, field: str) -> DataFrame:
     """(check, id): plain text searches: rows of the field by name, the object's formulas that hold the text, rules that hold object and field."""
     rows = scan_fields(catalog)

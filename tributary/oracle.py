@@ -93,6 +93,12 @@ _QUANTITY = "(ok % 13 = 1 OR ok % 7 = 1)"
 _APP = "CASE k % 4 WHEN 0 THEN 'sales' WHEN 1 THEN 'finance' WHEN 2 THEN 'Stock' ELSE 'hr' END"
 
 
+def _pages(rows: str, keys: str, size: int) -> str:
+    """Rows (keys.., item) in pages of so many items."""
+    return f"""SELECT {keys}, page, string_agg(item, ',' ORDER BY item) AS items FROM (
+  SELECT {keys}, item, CAST((row_number() OVER (PARTITION BY {keys} ORDER BY item) - 1) // {size} AS BIGINT) AS page FROM ({rows}) AS listed) AS placed GROUP BY {keys}, page"""
+
+
 def _list(value: str, condition: str) -> str:
     return f"coalesce(string_agg({value}, ',' ORDER BY {value}) FILTER (WHERE {condition}), '')"
 
@@ -254,6 +260,18 @@ UNION SELECT 'Obj' || a.k, a.f, 'CHECK_TRIGGER', {_node('b.k', 'b.ok')} FROM ask
     "trigger_summary": f"""WITH {BASE}, {_PAIRS}, used AS (SELECT a, b FROM direct UNION SELECT a, b FROM same_run)
 SELECT 'Obj' || b.k AS object_type, 'Obj' || (b.k - 1) AS source_object, {_camel('b.ok')} AS field, coalesce(string_agg({_camel('u.b')}, ', ' ORDER BY {_camel('u.b')}) FILTER (WHERE u.b IS NOT NULL), '') AS triggers
 FROM backs b LEFT JOIN used u ON u.a = b.ok GROUP BY b.k, b.ok""",
+    "health_pages": f"WITH {BASE}, {_PAIRS}, " + """t AS (SELECT b.*, b.ok IN (SELECT a FROM direct) AS is_used FROM base b)
+""" + _pages(f"""SELECT 'Obj' || k AS object_type, 'dead_fields' AS list, {_camel('ok')} AS item FROM t WHERE r % 4 = 0 AND NOT {_HAS_BACK} AND NOT is_used
+  UNION ALL SELECT 'Obj' || k, 'write_back_unreferenced_fields', {_camel('ok')} FROM t WHERE {_HAS_BACK} AND NOT is_used""", "object_type, list", 3),
+    "profile_pages": f"WITH {BASE}, t AS (SELECT 'Obj' || k AS object_type, {_camel('ok')} AS item, {_HAS_BACK} AS back, {_VIRTUAL} AS virt, {_TRIGGER} AS trig, {_AMOUNT} AS amt, {_QUANTITY} AS qty FROM base) " + _pages(
+        " UNION ALL ".join(f"SELECT object_type, '{name}' AS list, item FROM t WHERE {condition}" for name, condition in {
+            "write_back": "back", "virtual": "virt", "trigger": "trig", "base": "NOT back AND NOT virt AND NOT trig AND NOT amt AND NOT qty", "amount": "NOT back AND NOT virt AND amt", "quantity": "NOT back AND NOT virt AND qty AND NOT amt",
+        }.items()), "object_type, list", 3),
+    "reference_pages": f"WITH {BASE} " + _pages(f"""SELECT e.entity, 'Obj' || k AS object_type, {_APP} AS app_name, CASE ok % 5 WHEN 0 THEN {_camel('ok')} WHEN 1 THEN '' ELSE {_name('ok')} END AS item
+  FROM base, unnest(['Obj' || (k - 1), 'Other']) AS e(entity) WHERE ok % 6 = 0""", "entity, object_type, app_name", 2),
+    "view_field_pages": f"WITH {BASE}, {_VIEW_ROWS} " + _pages(f"SELECT DISTINCT src, dst AS item FROM ({_VIEW}) AS v", "src", 2),
+    "trigger_pages": f"WITH {BASE}, {_PAIRS} " + _pages(f"""SELECT 'Obj' || b.k AS object_type, 'Obj' || (b.k - 1) AS source_object, {_camel('b.ok')} AS field, {_camel('u.b')} AS item
+  FROM backs b JOIN (SELECT a, b FROM direct UNION SELECT a, b FROM same_run) AS u ON u.a = b.ok""", "object_type, source_object, field", 2),
     "lineage_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM edges",
     "upstream_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM up_edges",
     "impact_nodes": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, {_walk('edges', 3)}, known AS (SELECT {_node('k', 'ok')} AS id, CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title FROM base)

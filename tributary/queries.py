@@ -364,6 +364,36 @@ def trigger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.trigger_summary(c, edges.intra_edges(c.fields).union(edges.alias_edges(c.fields)).distinct())
 
 
+def _paged(found: DataFrame) -> DataFrame:
+    return found.withColumn("items", _joined("items"))
+
+
+def health_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: the lists of fields in pages of three."""
+    return _paged(health.object_health_pages(_catalog(spark, sf_dir).fields, 3))
+
+
+def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In pages of three."""
+    return _paged(health.object_profile_pages(_catalog(spark, sf_dir), 3))
+
+
+def reference_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In pages of two."""
+    return _paged(health.incoming_reference_pages(_catalog(spark, sf_dir), 2))
+
+
+def view_field_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: in pages of two."""
+    return _paged(health.view_dependency_pages(edges.view_edges(_texts(_catalog(spark, sf_dir))), 2))
+
+
+def trigger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In pages of two."""
+    c = _catalog(spark, sf_dir)
+    return _paged(health.trigger_summary_pages(c, edges.intra_edges(c.fields).union(edges.alias_edges(c.fields)).distinct(), 2))
+
+
 # Edges and graphs
 
 
@@ -671,6 +701,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         field_names, formula_fields, formula_words, referred_entities, spelt_names, hooked_formula, formula_columns, write_back_rules, field_kinds, mapping_rewrite, mapping_direction,
         catalog_scan, view_definitions, view_lineage, view_sql_dependencies, view_stats, object_details, fields_by_app, compare_catalog, field_search, object_search,
         fields_per_object, write_back_targets, write_back_sources, incoming_references, category_counts, object_health, object_profile, pattern_check, change_scope, trigger_summary,
+        health_pages, profile_pages, reference_pages, view_field_pages, trigger_pages,
         lineage_edges, upstream_edges, impact_nodes, impact_edges, trace_nodes, closed_graph, explain_paths, object_graph, global_graph, graph_stats,
         lineage_cycles, topological_order, deep_chains, longest_depths, fix_steps, dirty_fields, impact_report, graph_ids, catalog_diff, latest_definitions,
         trigger_fields, direct_upstream, normalised_roots, excluded_relations, thread_chain, why_no_relation, metadata_graph, reference_paths,
