@@ -253,6 +253,15 @@ def test_as_plain_python_and_nothing_survives(spark, documents, source):
             assert kind == "secret" and len(norm) < sg.BARE_SECRET or not re.search(rf"(?<!\w){re.escape(norm)}(?!\w)", plain), (i, kind, norm)
 
 
+def test_names_keep_their_script(documents):
+    out = {r["doc_id"]: r["text"] for r in run(documents([(1, "տիկին Անահիտ Հակոբյան, ՀԱԿՈԲՅԱՆ"), (2, "Dr Հակոբյան"), (3, "պարոն Արտակ Սիմոնյան, κυρία Παππά, госпожа Котова")]))}
+    m = re.fullmatch(r"տիկին (\w+) (\w+), (\w+)", out[1])
+    assert m[1] in sg.GIVEN["armenian", "female"] and m[3] == m[2].upper() and out[2] == f"Dr {m[2]}" and m[2] != "Հակոբյան" and regex.fullmatch(r"\p{Lu}\p{Ll}+", m[2])
+    assert regex.fullmatch(r"\p{Armenian}+", m[1] + m[2])
+    m = regex.fullmatch(r"պարոն (\p{Armenian}+) (\p{Armenian}+), κυρία (\p{Greek}+), госпожа (\p{Cyrillic}+)", out[3])
+    assert m[1] in sg.GIVEN["armenian", "male"] and not {"Արտակ", "Սիմոնյան", "Παππά", "Котова"} & set(m.groups())
+
+
 def test_gender_by_most_mentions(documents):
     rows = run(documents([(1, "Mr Kim Lee"), (2, "Mrs Kim Fox"), (3, "Ms Kim Ox"), (4, "Dr Kim Ash"), (5, "Dr Toni Ash")]))
     given = [r["text"].split(" ")[1] for r in rows]

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, join_counted
 
 # Forms of address by gender, and particles of family names.
-FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа|κυρία"
-MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин|κύριος"
+FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа|κυρία|տիկին|Տիկին"
+MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин|κύριος|պարոն|Պարոն"
 NEUTRAL = "Dr|Prof"
 PARTICLES = "van|von|vom|der|den|de|del|della|di|da|dos|das|la|le|du|ter|ten|zu|zur|bin|ibn|al|el"
 
@@ -76,11 +76,15 @@ GIVEN = {
     ("greek", "female"): "Άννα Ελένη Ειρήνη Μαρία Νίκη Σοφία".split(),
     ("greek", "male"): "Αλέξης Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
     ("greek", "any"): "Άγγελος Χρύσα Φώτης".split(),
+    ("armenian", "female"): "Անի Աննա Արփի Գայանե Լիլիթ Մարիամ Նարե Սոնա".split(),
+    ("armenian", "male"): "Արամ Արման Գոռ Դավիթ Կարեն Հայկ Տիգրան Վահե".split(),
+    ("armenian", "any"): "Արշալույս Երջանիկ Արև".split(),
 }
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so".split(),
     "cyrillic": "ба бе би бо да де ди до ла ле ли ло ма ме ми мо".split(),
     "greek": "βα βε βι βο δα δε δι δο λα λε λι λο μα με μι μο".split(),
+    "armenian": "բա բե բի բո դա դե դի դո լա լե լի լո մա մե մի մո".split(),
 }
 
 # Letters by script, small and capital; scripts without case have one kind.
@@ -174,7 +178,7 @@ def surrogate(kind: Column, norm: Column, gender: Column, key: str, attempt: int
     ip = F.concat(private, octets) if attempt < 20 else ip6
     access = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: _pick(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), _byte(digest, i))), ""))
     hexadecimal = norm.rlike("^[0-9a-f]+$")
-    script = F.when(norm.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
+    script = F.when(norm.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"^\p{IsGreek}"), "greek").when(norm.rlike(r"^\p{IsArmenian}"), "armenian").otherwise("latin")
     given = family = None
     for which, parts in SYLLABLES.items():
         made = F.initcap(F.concat(*(_pick(parts, _byte(digest, i)) for i in range(4 + min(attempt, 12)))))
