@@ -272,6 +272,13 @@ FROM backs b LEFT JOIN used u ON u.a = b.ok GROUP BY b.k, b.ok""",
     "view_field_pages": f"WITH {BASE}, {_VIEW_ROWS} " + _pages(f"SELECT DISTINCT src, dst AS item FROM ({_VIEW}) AS v", "src", 2),
     "trigger_pages": f"WITH {BASE}, {_PAIRS} " + _pages(f"""SELECT 'Obj' || b.k AS object_type, 'Obj' || (b.k - 1) AS source_object, {_camel('b.ok')} AS field, {_camel('u.b')} AS item
   FROM backs b JOIN (SELECT a, b FROM direct UNION SELECT a, b FROM same_run) AS u ON u.a = b.ok""", "object_type, source_object, field", 2),
+    "ordered_targets": f"WITH {BASE} SELECT row_number() OVER (ORDER BY fields DESC, source_object, target_object) AS place, * FROM (SELECT 'Obj' || (k - 1) AS source_object, 'Obj' || k AS target_object, count(*) AS fields FROM base WHERE {_HAS_BACK} GROUP BY k) AS t",
+    "ordered_sources": f"WITH {BASE} SELECT row_number() OVER (ORDER BY fields DESC, target_object, source_object) AS place, * FROM (SELECT 'Obj' || k AS target_object, 'Obj' || (k - 1) AS source_object, count(*) AS fields FROM base WHERE {_HAS_BACK} GROUP BY k) AS t",
+    "ordered_references": f"""WITH {BASE} SELECT row_number() OVER (ORDER BY entity, lower(app_name), lower(object_type)) AS place, * FROM (
+  SELECT DISTINCT e.entity, 'Obj' || k AS object_type, {_APP} AS app_name FROM base, unnest(['Obj' || (k - 1), 'Other']) AS e(entity) WHERE ok % 6 = 0) AS t""",
+    "ordered_steps": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, {_walk('edges', _FAR)}, {_TYPES}, steps AS (
+  SELECT level AS depth, split_part(w.id, '.', 1) AS object, split_part(w.id, '.', 2) AS field, contains(types, 'intra') AS intra FROM walk w JOIN types t ON t.id = w.id WHERE level > 0)
+SELECT row_number() OVER (ORDER BY depth, NOT intra, object, field) AS place, depth, object, field FROM steps""",
     "lineage_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM edges",
     "upstream_edges": f"WITH {_EDGES} SELECT src, dst, rel FROM up_edges",
     "impact_nodes": f"""WITH RECURSIVE {_EDGES}, {_roots(0)}, {_walk('edges', 3)}, known AS (SELECT {_node('k', 'ok')} AS id, CASE WHEN ok % 9 > 0 THEN 'Title ' || ok END AS title FROM base)

@@ -364,6 +364,32 @@ def trigger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.trigger_summary(c, edges.intra_edges(c.fields).union(edges.alias_edges(c.fields)).distinct())
 
 
+def _in_order(found: DataFrame) -> DataFrame:
+    """found with the place that each row has in its own order."""
+    return numbered(checkpoint(found.withColumn("at", F.monotonically_increasing_id())), ("at",), "place").drop("at")
+
+
+def ordered_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of objects as they are listed, most fields first."""
+    return _in_order(cat.targets_by_source(_catalog(spark, sf_dir)))
+
+
+def ordered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, T1."""
+    return _in_order(cat.sources_for_target(_catalog(spark, sf_dir)))
+
+
+def ordered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By entity, app and object in any case."""
+    return _in_order(cat.incoming_references(_catalog(spark, sf_dir)).select("entity", "app_name", "object_type"))
+
+
+def ordered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By depth, computed fields before those written back, then by name."""
+    c = _catalog(spark, sf_dir)
+    return _in_order(graph.fix_steps(_down(c), _roots(c), longest=False).select("depth", "object", "field"))
+
+
 def _paged(found: DataFrame) -> DataFrame:
     return found.withColumn("items", _joined("items"))
 
@@ -701,7 +727,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         field_names, formula_fields, formula_words, referred_entities, spelt_names, hooked_formula, formula_columns, write_back_rules, field_kinds, mapping_rewrite, mapping_direction,
         catalog_scan, view_definitions, view_lineage, view_sql_dependencies, view_stats, object_details, fields_by_app, compare_catalog, field_search, object_search,
         fields_per_object, write_back_targets, write_back_sources, incoming_references, category_counts, object_health, object_profile, pattern_check, change_scope, trigger_summary,
-        health_pages, profile_pages, reference_pages, view_field_pages, trigger_pages,
+        health_pages, profile_pages, reference_pages, view_field_pages, trigger_pages, ordered_targets, ordered_sources, ordered_references, ordered_steps,
         lineage_edges, upstream_edges, impact_nodes, impact_edges, trace_nodes, closed_graph, explain_paths, object_graph, global_graph, graph_stats,
         lineage_cycles, topological_order, deep_chains, longest_depths, fix_steps, dirty_fields, impact_report, graph_ids, catalog_diff, latest_definitions,
         trigger_fields, direct_upstream, normalised_roots, excluded_relations, thread_chain, why_no_relation, metadata_graph, reference_paths,
