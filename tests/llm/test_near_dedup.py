@@ -177,6 +177,37 @@ def test_components(spark, monkeypatch, edges, last):
     assert got == want
 
 
+def jobs_of(spark, run):
+    """How many jobs a call starts, which the driver keeps a record of task by task."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "")
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    return len(context.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_few_jobs_for_components(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, k) for k in range(1, 30)] + [(100, 101)], "a long, b long")
+    assert 0 < jobs_of(spark, lambda: components.connected_components(edges)) <= 6
+    monkeypatch.setattr(components, "LAST_EDGES", 10)
+    assert 0 < jobs_of(spark, lambda: components.connected_components(edges)) <= 16
+
+
+@pytest.mark.parametrize("last", [0, 10_000])
+def test_components_with_further_links(spark, monkeypatch, last):
+    """Links between components, from one to a new node, between new nodes, and within a component."""
+    monkeypatch.setattr(components, "LAST_EDGES", last)
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    edges = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]
+    for more in ([(3, 11), (11, 21), (40, 41), (0, 31), (1, 3)], [(1, 3)], []):
+        got = components.with_links(components.connected_components(frame(edges)), frame(more))
+        want = components.connected_components(frame(edges + more))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_recall_at_the_threshold(documents):
     """Pairs of a similarity from 0.75 to 0.80, each of its own words: all are found."""
     random.seed(31)

@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.loops import checkpoint, shared_folder
+from ..operators.loops import checkpoint, counted, shared_folder
 
-__all__ = ["checkpoint", "shared_folder"]
+__all__ = ["checkpoint", "counted", "shared_folder"]
 
 #: Bytes of text that a Python task looks at in one go.
 CHUNK_BYTES = 1 << 20
@@ -54,9 +54,9 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFram
 
     Frequent keys' rows stay where they are; the bound on their number bounds the broadcast, and with it what one key brings to a task of the other join.
     """
-    total = table.agg(F.sum("n")).head()[0] or 0
-    often = F.col("n") > max(LEAST_OFTEN, total // LISTED)
-    if table.where(often).isEmpty():
+    total, most = table.agg(F.sum("n"), F.max("n")).head()
+    often = F.col("n") > max(LEAST_OFTEN, (total or 0) // LISTED)
+    if (most or 0) <= max(LEAST_OFTEN, (total or 0) // LISTED):
         return rows.join(table.drop("n"), keys)
     listed = F.broadcast(table.where(often).drop("n"))
     rest = rows.join(listed.select(keys), keys, "left_anti").join(table.where(~often).drop("n"), keys)

@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, chunks, join_counted, joined, keep_only, lowered, mix, partitions, unused, word_hashes, words
-from .components import connected_components
+from .common import checkpoint, chunks, counted, join_counted, joined, keep_only, lowered, mix, partitions, unused, word_hashes, words
+from .components import connected_components, with_links
 from .exchange import blocks, bucket_count, bucket_of, entries
 
 SHINGLE = 5
@@ -258,11 +258,10 @@ def _frequent_group_pairs(classes: DataFrame, frequent: np.ndarray, groups: np.n
     return classes.mapInArrow(stars, "a long, b long, star boolean")
 
 
-def _candidate_pairs(classes: DataFrame) -> DataFrame:
-    """classes: id, pairs, bits."""
+def _candidate_pairs(classes: DataFrame, n: int) -> DataFrame:
+    """classes: n rows id, pairs, bits."""
     buckets = bucket_count(classes.sparkSession)
     narrow = classes.select("id", "pairs", "bits")
-    n = narrow.count()
 
     def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("near_dedup")
@@ -402,17 +401,17 @@ def _second_round(star: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     members = checkpoint(families.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     counts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
     counts = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_open")).where("n_open > 0")
-    counts = checkpoint(counts)
-    if counts.isEmpty():
+    many, seen = F.col("n_open") > MANY_BLOCKS * BLOCK_ROWS, Observation()
+    counts = checkpoint(counts.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(many).alias("n_many")))
+    if not seen.get["n"]:
         return None
-    many = F.col("n_open") > MANY_BLOCKS * BLOCK_ROWS
-    if counts.where(many).isEmpty():
+    if not seen.get["n_many"]:
         return _in_blocks(members.join(counts, "family").withColumn("is_open", F.col("component") != F.col("largest")).join(sets, "id"), percent)
     within = checkpoint(members.join(counts, "family").withColumn("is_open", F.col("component") != F.col("largest")).join(sets, "id"))
     links, dense = _by_rare_shingles(within.where(many), sets, percent)
     left = within.join(dense.withColumn("dense", F.lit(True)), "id", "left").withColumn("is_open", F.col("is_open") & (~many | F.col("dense").isNotNull()))
     left = left.drop("n_open").join(left.groupBy("family").agg(F.count_if("is_open").alias("n_open")).where("n_open > 0"), "family")
-    return checkpoint(links).union(_in_blocks(left, percent))
+    return links.union(_in_blocks(left, percent))
 
 
 def _in_blocks(within: DataFrame, percent: int) -> DataFrame:
@@ -447,18 +446,18 @@ def _in_blocks(within: DataFrame, percent: int) -> DataFrame:
         columns = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return checkpoint(left.groupBy("family", "block", "open_block").cogroup(right.groupBy("of", "b1", "b2")).applyInArrow(link, "a long, b long"))
+    return left.groupBy("family", "block", "open_block").cogroup(right.groupBy("of", "b1", "b2")).applyInArrow(link, "a long, b long")
 
 
 #: A class whose documents are all rows of ids that other texts have too gets a number from here on, beyond usual ids.
 NUMBERED = 1 << 62
 
 
-def _repeated(signed: DataFrame) -> DataFrame:
-    """doc_id and n (rows) of ids that rows of different sets have, with the least of these sets; sets without shingles come last."""
+def _repeated(signed: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id and n (rows) of ids that rows of different sets have, with the least of these sets; sets without shingles come last. And how many ids that are."""
     of_row = F.struct((F.col("n_shingles") == 0).alias("blank"), "fp1", "fp2")
     rows = signed.groupBy("doc_id").agg(F.min(of_row).alias("least"), F.max(of_row).alias("most"), F.count("*").alias("n"))
-    return checkpoint(rows.where("least <> most").select("doc_id", "n", F.col("least.fp1").alias("least1"), F.col("least.fp2").alias("least2")))
+    return counted(rows.where("least <> most").select("doc_id", "n", F.col("least.fp1").alias("least1"), F.col("least.fp2").alias("least2")))
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
@@ -468,8 +467,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """
     known = docs.where(F.col("doc_id").isNotNull())
     signed = checkpoint(signatures(known))
-    repeated = _repeated(signed)
-    several = not repeated.isEmpty()
+    repeated, several = _repeated(signed)
     keys, nodes = ["fp1", "fp2", "n_shingles"], None
     full = signed.where("n_shingles > 0").withColumn("node", F.col("doc_id"))
     if several:
@@ -478,17 +476,20 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         met = join_counted(full, repeated, ["doc_id"]).withColumn("node", F.when(first, F.col("doc_id")).otherwise(number))
         full = checkpoint(full.join(repeated, "doc_id", "left_anti").unionByName(met.select(full.columns)))
     least = F.min_by(F.struct(F.col("node").alias("id"), "doc_id"), "node")
-    classes = checkpoint(full.groupBy(*keys).agg(least.alias("least"), F.first("pairs").alias("pairs"), F.first("bits").alias("bits")).select(*keys, "least.id", "least.doc_id", "pairs", "bits"))
+    classes, n = counted(full.groupBy(*keys).agg(least.alias("least"), F.first("pairs").alias("pairs"), F.first("bits").alias("bits")).select(*keys, "least.id", "least.doc_id", "pairs", "bits"))
     if several:
         nodes = classes.select("id", "doc_id", "fp1", "fp2")
-    confirmed, sets = _confirm(known, checkpoint(_candidate_pairs(classes)), percent, nodes)
-    confirmed = checkpoint(confirmed)
+    confirmed, sets = _confirm(known, checkpoint(_candidate_pairs(classes, n)), percent, nodes)
+    confirmed, apart = counted(confirmed, F.col("star") & ~F.col("linked"))
     links = confirmed.where("linked").select("a", "b")
     found = connected_components(links)
-    more = _second_round(confirmed.where("star").select("a", "b"), found, sets, percent)
+    # Where all are linked with their middles, each family is in one component.
+    more = _second_round(confirmed.where("star").select("a", "b"), found, sets, percent) if apart else None
     if more is not None:
-        links = links.union(more)
-        found = connected_components(links)
+        more, n_more = counted(more)
+        if n_more:
+            links = links.union(more)
+            found = with_links(found, more)
     of_class = checkpoint(classes.select(*keys, "id").join(found, "id", "left").select(*keys, "id", F.coalesce("component", "id").alias("of_text")))
     rows = signed.select("doc_id", "digest", *keys)
     if not several:
@@ -530,10 +531,12 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     An id with several texts may lose some and keep others. Rows without id or without words stay; so do rows that repeat both id and text of one that stays.
     """
     rows = _grouped(docs, percent)
-    kept = rows.where("n_shingles > 0 AND doc_id = text_id").groupBy("of_text").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*")
-    blank = rows.where("n_shingles = 0").select("doc_id", "digest")
+    blank = F.col("n_shingles") == 0
+    # Blank rows are all kept: their groups are those of equal ids and texts.
+    group = [blank.alias("blank"), F.when(~blank, F.col("of_text")).alias("of_text"), F.when(blank, F.col("doc_id")).alias("own"), F.when(blank, F.col("digest")).alias("own_digest")]
+    kept = rows.where(blank | (F.col("doc_id") == F.col("text_id"))).groupBy(*group).agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     (doc, digest) = unused(docs.columns, "doc", "digest")
-    stays = kept.union(blank).distinct().select(F.col("doc_id").alias(doc), F.col("digest").alias(digest))
+    stays = kept.select(F.col("first.doc_id").alias(doc), F.col("first.digest").alias(digest))
     known = docs.where(F.col("doc_id").isNotNull())
     left = known.join(stays, (known["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(known["text"].cast("string")) == F.col(digest)), "left_semi")
     return left.unionByName(docs.where(F.col("doc_id").isNull()))
