@@ -1,5 +1,7 @@
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -175,3 +177,55 @@ def test_long_rings_take_few_rounds(spark, monkeypatch):
     want = {x: "r" for e in ring for x in e} | {x: "down0" for e in both for x in e} | {x: "w" for x in ("w", "x0", "x1", "x2", "y")}
     assert found == want
     assert n < 700
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_shuffle_files_go_with_the_statement(spark):
+    """What is written needs its shuffle files no more, so disk doesn't grow with the number of rounds."""
+    before = shuffle_files(spark)
+    written, n = loops.counted(spark.range(20_000).repartition(4, "id").groupBy("id").count())
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert n == written.count() == 20_000 and spark.conf.get(loops.CLEANUP) == "false"
+
+
+def test_islands_take_one_task_each(spark, monkeypatch):
+    """Many small graphs, with and without cycles, and one that is too large for a task."""
+    monkeypatch.setattr(loops, "LAST_EDGES", 60)
+    small = [(f"O{i}.p{k}", f"O{i}.p{k + 1}") for i in range(40) for k in range(25)] + [(f"O{i}.p25", f"Q{i}.q") for i in range(40)] + [(f"Q{i}.q", f"O{i}.p5") for i in range(0, 40, 4)]
+    large = [(f"L{k}.f", f"M{(k + j) % 40}.f") for k in range(40) for j in range(3)] + [("M3.f", "L3.f"), ("M5.f", "M5.f"), ("M9.f", "N.f"), ("N.f", "N.g")]
+    all_edges = small + large
+    edges, names = frame(spark, all_edges), sorted({x for e in all_edges for x in e})
+    nodes = ids(spark, *names, "alone.x")
+    found, rest = (x.collect() for x in loops.peel(nodes, edges))
+    want, left = {}, set(names)
+    while free := {b for b in left if not any(a in left for a, c in all_edges if c == b)}:
+        want |= {b: max([want[a] + 1 for a, c in all_edges if c == b], default=0) for b in free}
+        left -= free
+    assert {r["id"]: r["level"] for r in found} == want | {"alone.x": 0} and sorted(r["id"] for r in rest) == sorted(left)
+    assert {r["id"]: r["component"] for r in graph.cycles(edges).collect()} == components(names, all_edges)
+    starts = ["O1.p3", "O4.p0", "L7.f", "none.y"]
+    level, frontier = dict.fromkeys(starts, 0), starts
+    while frontier:
+        new = {b for a, b in all_edges if a in frontier} - set(level)
+        level |= dict.fromkeys(new, level[frontier[0]] + 1)
+        frontier = list(new)
+    assert {r["id"]: r["level"] for r in loops.bfs(edges, ids(spark, *starts)).collect()} == level
+
+
+def test_depth_of_islands_takes_no_rounds(spark, monkeypatch):
+    """One round for each level before: 64 edges in a row in each of 30 objects, with a branch at each node so that nothing is a chain."""
+    monkeypatch.setattr(loops, "LAST_EDGES", 400)
+    edges = [(f"O{i}.p{k}", f"O{i}.{side}{k + 1}") for i in range(30) for k in range(64) for side in "pb"]
+    edges += [(f"O{i}.b{k}", f"O{i}.p{k + 1}") for i in range(30) for k in range(1, 64)]
+    nodes = ids(spark, *{x for e in edges for x in e})
+    (found, rest), n = jobs_of(spark, lambda: tuple(x.collect() for x in loops.peel(nodes, frame(spark, edges))))
+    assert not rest and {r["id"]: r["level"] for r in found if r["id"].startswith("O7.p")} == {f"O7.p{k}": k for k in range(65)}
+    assert n < 40
