@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 
 from tributary.operators import graph, loops
+from tributary.plans import recompute
+from tributary.sources import derived
 
 
 def frame(spark, edges, rel="intra"):
@@ -196,6 +198,20 @@ def test_shuffle_files_go_with_the_statement(spark):
     assert n == written.count() == 20_000 and spark.conf.get(loops.CLEANUP) == "false"
 
 
+def test_plans_leave_no_shuffle_files(spark):
+    """A plan of many written steps needs no more disk for shuffles than its largest step."""
+    catalog = derived.rule_catalog(spark, derived.tables(spark, "/root/testdata/sf0.001"))
+    before = shuffle_files(spark)
+    plan = recompute.recompute_plan_batch(catalog, spark.createDataFrame([("Lineitem", "l_extendedprice")], "object string, field string"), 2)
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    rows = {r["node"]: (r["formula"], r["rule"] and r["rule"]["expression"]) for r in plan.collect()}
+    assert rows["Lineitem.taxed"] == ("net * (1 + l_tax)", None) and rows["Orders.itemTotal"] == (None, "sum(net)")
+
+
 def test_islands_take_one_task_each(spark, monkeypatch):
     """Many small graphs, with and without cycles, and one that is too large for a task."""
     monkeypatch.setattr(loops, "LAST_EDGES", 60)
